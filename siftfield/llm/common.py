@@ -7,6 +7,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterat
     col = batch.column(i)
     if batch.num_rows == 0:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
     start, total = 0, 0
     for k, n in enumerate(sizes):
         if k > start and total + n > limit:
