@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftfield.llm import bpe
+from siftfield.llm import bpe, license_scan, quality
 from siftfield.llm.common import read_table, text_rows
 
 
@@ -14,6 +14,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan_licenses(documents(spark, sf_dir)))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.verdicts(quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +32,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op4_quality": op4_quality,
     "op10_bpe": op10_bpe,
 }
 
