@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftfield.llm import bpe, license_scan, quality
+from siftfield.llm import bpe, license_scan, mixing, quality
 from siftfield.llm.common import read_table, text_rows
 
 
@@ -25,6 +26,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +41,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_quality": op4_quality,
+    "op6_mix": op6_mix,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mix": r"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM rows GROUP BY source),
+weighted AS (
+  SELECT *, [5, 2, 1][1 + rank % 3]::BIGINT AS weight, 3 * source_size AS cap FROM sizes),
+ordered AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0) AS room, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS of_weight
+  FROM weighted WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT *, room::DOUBLE / of_weight AS level, cap <= weight * (room::DOUBLE / of_weight) AS capped FROM ordered),
+targets AS (
+  SELECT source, rank, source_size,
+         CASE WHEN capped THEN cap::DOUBLE ELSE weight * (SELECT arg_min(level, cap / weight) FROM levels WHERE NOT capped) END AS target
+  FROM levels),
+queued AS (
+  SELECT r.doc_id, r.size, r.key, t.rank, t.source_size, t.target,
+         sum(r.size) OVER (PARTITION BY t.rank ORDER BY r.key, r.doc_id, r.size ROWS UNBOUNDED PRECEDING)::BIGINT AS sent
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT doc_id, size, key, rank, (e * source_size + sent) / target AS finish
+  FROM queued, (VALUES (0), (1), (2)) x(e) WHERE size > 0 AND target > 0),
+ranged AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, key, doc_id ROWS UNBOUNDED PRECEDING) AS until FROM copies),
+taken AS (
+  SELECT doc_id, count(*) AS n FROM ranged WHERE until <= (SELECT sum(size) FROM rows) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.n, 0))::BIGINT AS taken
+FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
+""",
+}
