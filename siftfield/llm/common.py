@@ -83,3 +83,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX1
     x = (x ^ (x >> np.uint64(27))) * MIX2
     return x ^ (x >> np.uint64(31))
+
+
+#: An odd multiplier for polynomial hashes modulo 2**64, and its inverse.
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i < n."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _powers:
+        _powers.clear()
+        with np.errstate(over="ignore"):
+            _powers[size] = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (BASE, UNBASE))
+    up, down = _powers[size]
+    return up[:n], down[:n]
+
+
+def prefix_hashes(raw: np.ndarray) -> np.ndarray:
+    """P[i]: the polynomial hash of the first i bytes, so that any substring's hash takes one subtraction."""
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw))[0], out=out[1:])
+    return out
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, end to end, and the bounds of each text's words."""
+    joined = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)  # bytes: A to Z only
+    gap = np.concatenate(([True], BLANK[raw]))
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    ends = np.flatnonzero(~gap[:-1] & gap[1:])
+    ends = ends if len(ends) == len(starts) else ends[-len(starts) :]
+    prefix = prefix_hashes(raw)
+    found = (prefix[ends] - prefix[starts]) * powers(len(raw))[1][starts]
+    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+    return mix64(found + (ends - starts).astype(np.uint64)), np.searchsorted(starts, at)
+
+
+def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words within each text (a shorter text with words: of all its
+    words), end to end and with repeats, and the bounds of each text's shingles."""
+    n = np.diff(bounds)
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    out = np.concatenate(([0], np.cumsum(count)))
+    first = np.arange(out[-1]) - np.repeat(out[:-1], count) + np.repeat(bounds[:-1], count)
+    total = np.zeros(len(first), np.uint64)
+    left = np.repeat(np.minimum(n, width), count)
+    for k in range(width):
+        ok = k < left
+        total = np.where(ok, mix64(total + words[np.where(ok, first + k, 0)] + np.uint64(k + 1)), total) if len(words) else total
+    return total, out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfield.llm import bpe, license_scan, mixing, quality
+from siftfield.llm import bpe, langid, license_scan, minhash, mixing, quality
 from siftfield.llm.common import read_table, text_rows
 
 
@@ -32,6 +32,18 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out)
+    model = langid.train(docs.filter("not held_out"), F.col("doc_id"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = minhash.fingerprint_with_edits(documents(spark, sf_dir))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_quality": op4_quality,
     "op6_mix": op6_mix,
+    "op7_langid": op7_langid,
+    "op8_fingerprint": op8_fingerprint,
     "op10_bpe": op10_bpe,
 }
 
