@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfield.llm import bpe, langid, license_scan, minhash, mixing, quality
-from siftfield.llm.common import read_table, text_rows
+from siftfield.llm import bpe, langid, license_scan, minhash, mixing, quality, warc
+from siftfield.llm.common import read_table, shared_dir, text_rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(warc.as_records(read_table(spark, sf_dir, "pages")), path)
+    back = warc.read_archives(spark, path, payload=False, verify=True).filter(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)").alias({"record_id": "page_id"}.get(c, c))  # noqa: E731  after urn:page:
+    return back.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan_licenses(documents(spark, sf_dir)))
 
@@ -51,6 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_license_scan": op2_license_scan,
     "op4_quality": op4_quality,
     "op6_mix": op6_mix,
@@ -60,6 +69,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(p.h, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN firsts USING (h)
+""",
     "op6_mix": r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
