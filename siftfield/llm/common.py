@@ -138,3 +138,17 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
         ok = k < left
         total = np.where(ok, mix64(total + words[np.where(ok, first + k, 0)] + np.uint64(k + 1)), total) if len(words) else total
     return total, out
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minima of all runs of ``width`` neighbours."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    rows = -(-len(x) // width)
+    padded = np.full(rows * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    grid = padded.reshape(rows, width)
+    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
