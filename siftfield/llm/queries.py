@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfield.llm import bpe, jaccard_join, langid, license_scan, minhash, mixing, quality, warc
+from siftfield.llm import bpe, jaccard_join, langid, license_scan, minhash, mixing, quality, suffix_dedup, warc
 from siftfield.llm.common import read_table, shared_dir, text_rows
 
 
@@ -38,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.n_words(F.col("text")).alias("size"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
     "op7_langid": op7_langid,
     "op8_fingerprint": op8_fingerprint,
