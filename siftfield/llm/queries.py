@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfield.llm import bpe, jaccard_join, langid, license_scan, minhash, mixing, quality, suffix_dedup, warc
+from siftfield.llm import bpe, gru_lm, jaccard_join, langid, license_scan, minhash, mixing, quality, suffix_dedup, warc
 from siftfield.llm.common import read_table, shared_dir, text_rows
 
 
@@ -60,6 +60,12 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out)
+    return gru_lm.score_texts(docs, docs.filter("not held_out"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix": op6_mix,
     "op7_langid": op7_langid,
     "op8_fingerprint": op8_fingerprint,
+    "op9_gru_lm": op9_gru_lm,
     "op10_bpe": op10_bpe,
 }
 
