@@ -161,7 +161,8 @@ def context_rows(texts: DataFrame, buckets: int) -> DataFrame:
                 types = [pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
 
-    return texts.select("ord", "tag", "text", "places").mapInArrow(run, CONTEXTS)
+    # all columns go in, so that the exchange of the texts is the one that the cutting uses again
+    return texts.select("ord", "tag", "text", "places", "rest").mapInArrow(run, CONTEXTS)
 
 
 class Suffixes:
@@ -337,14 +338,17 @@ def cuts_of_buckets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "ord bigint, tag bigint, cuts binary")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, small: int = SMALL) -> DataFrame:
-    """doc_id, n_bytes, spans (array of start and end, in bytes) and kept (binary) of every row.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, small: int = SMALL, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (array of start and end, in bytes), kept (binary) of every row, and the
+    columns named in ``keep``, as they were, in one struct ``rest`` (null if none are named).
+
+    ``as_text``: kept is a string, without what is left of characters that were cut in two.
 
     Null texts are empty.  Null ids come after all others, and rows with one id don't remove from each
     other, so repeats under one id stay.  Texts under 50 bytes are left alone.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.xxhash64(F.sha2(text, 256)).alias("tag"), text.alias("text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.xxhash64(F.sha2(text, 256)).alias("tag"), text.alias("text"), (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("rest"))
     own = docs.select("ord", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     facts = written(own.filter(F.col("n_bytes") >= LENGTH), "facts")
     buckets = max(1, int((facts.agg(F.sum("n_bytes")).first()[0] or 0) // bucket_bytes))
@@ -377,9 +381,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                     sizes.append(len(raw))
                 types = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, types), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, types), left, part.column(4)], names=["doc_id", "n_bytes", "spans", "kept", "rest"])
 
-    out = docs.join(cuts, "ord", "left").select("ord", "tag", "text", "cuts").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    kinds = f"doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}, rest {docs.schema['rest'].dataType.simpleString()}"
+    out = docs.join(cuts, "ord", "left").select("ord", "tag", "text", "cuts", "rest").mapInArrow(run, kinds)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 
 
