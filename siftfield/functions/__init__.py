@@ -1 +1 @@
-"""See the README for what this part of the package holds."""
+"""Column functions that the operators are built from."""
