@@ -75,7 +75,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> D
     queued = written(queued, "mix-queued")
 
     # the finish times of a document's copies, and the ranges they fall in
-    finish = lambda e: (e * F.col("source_size") + F.col("sent")) / F.col("target")
+    finish = lambda e: (e * F.col("source_size") + F.col("sent")) / F.nullif(F.col("target"), F.lit(0.0))
     steps = max(64, ceil(n / RANGE_ROWS))
     step = lambda t: F.floor(F.least(t, F.lit(float(cap + 1))) * steps)
     real = queued.filter("size > 0 and target > 0")
