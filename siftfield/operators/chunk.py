@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import Lexicon, any_of, count_of, words
+from siftfield.functions.text import count_of, words
 from siftfield.lexicons import RELEVANT_TERMS
 from siftfield.operators.lines import capture_section, descriptive_lines, explode_lines, gathered, general_info, keyword_lines
 
@@ -142,12 +142,3 @@ def page_chunks(products: DataFrame, keys: Sequence[str], name_col: str, flags:
 
 def stamped(chunks: DataFrame, size: Column) -> DataFrame:
     return chunks.withColumns({"file_size": size, "processed_at": F.current_timestamp()})
-
-
-def any_flag(conditions: Sequence[Column]) -> Column:
-    return any_of(conditions)
-
-
-def by_lexicon(text: Column, lexicon: Lexicon, default: str) -> Column:
-    """Section type by words in place of patterns."""
-    return F.coalesce(*(F.when(any_of(F.lower(text).contains(v) for v in vs), k) for k, vs in lexicon), F.lit(default))

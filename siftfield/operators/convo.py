@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import Lexicon, all_of, captured, contains_any, first_match, joined, n_words, words
+from siftfield.functions.text import Lexicon, captured, contains_any, first_match, joined, n_words, words
 
 MESSAGE_PATHS = ("$.body.messages[*].content", "$.messages[*].content", "$.message", "$.body.message", "$.input", "$.query")
 REPLY_PATHS = ("$.choices[0].message.content", "$.reply", "$.output", "$.response", "$.result", "$.content", "$.message", "$.text")
@@ -70,7 +70,6 @@ def rolling_memory(turns: DataFrame, last: int = 12, key: str = "conv_id") -> Da
 def days_in(text: Column, most: int = 7) -> Column:
     """Days a question is about: tomorrow 2, today 1, the next N (``most`` at most)."""
     low = F.lower(text)
-    n = F.expr("NULL")
     n = F.try_to_number(F.nullif(F.regexp_extract(low, r"pr[oó]ximos?\s+(\d{1,3})\s+d[ií]as", 1), F.lit("")), F.lit("999")).cast("int")
     return F.when(low.contains("mañana"), 2).when(low.contains("hoy"), 1).when(n.isNotNull(), F.least(n, F.lit(most)))
 
@@ -185,7 +184,3 @@ def with_system_first(messages: Column, system: str) -> Column:
     """Put a system message in front of an array of (role, content) that has none."""
     own = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
     return F.when(F.exists(messages, lambda m: m["role"] == "system"), messages).otherwise(F.concat(own, messages))
-
-
-def both(*conditions: Column) -> Column:
-    return all_of(conditions)

@@ -62,10 +62,6 @@ def active_ingredient(text: Column, patterns: Sequence[str] = tuple(INGREDIENT_P
     return F.coalesce(*(F.when(F.regexp_extract(text, p, 1) != "", F.concat(F.regexp_extract(text, p, 1), F.lit(" "), F.regexp_extract(text, p, 2), F.lit("%"))) for p in patterns))
 
 
-def number(text: Column) -> Column:
-    return F.expr("try_cast(NULL AS DOUBLE)") if text is None else F.try_to_number(F.translate(text, ",", "."), F.lit("999999.9999")).cast("double")
-
-
 def dose(text: Column, pattern: str = RANGE) -> Column:
     """struct(low, high, unit, display): the first amount per area; without upper bound high is null."""
     low, high, unit = (F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in (1, 2, 3))

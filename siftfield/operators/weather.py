@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import any_of, contains_any, fold_accents
+from siftfield.functions.text import contains_any, fold_accents
 from siftfield.operators.lexicon import small
 
 WEATHER_WORDS = ["clima", "tiempo", "temperatura", "lluvia", "pronóstico", "pronostico", "viento", "helada", "weather"]
@@ -55,7 +55,7 @@ def precipitation(code: Column) -> Column:
 
 def rain_class(probability: Column) -> Column:
     """Text or number in percent; what isn't a number is unknown."""
-    p = F.expr("NULL") if probability is None else F.try_to_number(probability.cast("string"), F.lit("999999.999999")).cast("double")
+    p = F.try_to_number(probability.cast("string"), F.lit("999999.999999")).cast("double")
     return F.when(p.isNull(), "unknown").when(p > 70, "high").when(p > 30, "medium").otherwise("low")
 
 
@@ -105,7 +105,3 @@ def stage_risk(df: DataFrame, crop_col: str, days_col: str, temp_col: str, stage
     on = (F.col(crop_col) == F.col("crop_")) & F.col(days_col).between(F.col("day_from"), F.col("day_to"))
     risk = F.when(F.col(temp_col) < F.col("temp_critical"), "risk").otherwise("ok")
     return df.join(table, on, "left").withColumn("risk", F.when(F.col("stage").isNotNull(), risk)).drop("crop_")
-
-
-def any_weather(text: Column) -> Column:
-    return any_of([contains_any(text, WEATHER_WORDS)])

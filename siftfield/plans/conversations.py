@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftfield.functions import text as t
@@ -219,7 +218,3 @@ def commercial_first(spark, d):
 @query("two_section_listing", f"SELECT CASE WHEN hit THEN 'Productos y precios' ELSE 'Información' END AS section, string_agg(position || '. ' || page_id || ' - ' || url, chr(10) ORDER BY position) AS listing FROM {FIRST8} GROUP BY 1")
 def two_section_listing(spark, d):
     return market.two_sections(ranked_pages(spark, d), "hit", "position", F.col("page_id").cast("string"), F.col("url"))
-
-
-def newest(key: str):
-    return Window.partitionBy(key).orderBy(F.desc("turn"))

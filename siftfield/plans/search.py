@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from siftfield.operators import vectors as v
@@ -129,7 +128,3 @@ def term_overlap(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = items.join(docs, F.col("item_id") == F.col("doc_id"))
     return rows.select("item_id", "doc_id", F.round(v.term_overlap(F.col("question"), F.col("text")), 9).alias("overlap"))
-
-
-def numbered(column: Column) -> Column:
-    return F.row_number().over(Window.orderBy(column))
