@@ -29,8 +29,10 @@ from siftfield.llm.common import blocks, mix64, shingle_hashes, spread, text_row
 from siftfield.llm.components import components
 
 WIDTH, PERCENT = 3, 90
-#: Counters for words; 64-bit words of a parity map; nodes of a shingle that meet in one task; rows to broadcast at most.
-COUNTERS, MAP, HOT, SMALL = 1 << 18, 8, 4096, 400_000
+#: Counters for words; bits of a parity map; nodes of a shingle that meet in one task; rows to broadcast at most.
+COUNTERS, MAP_LEAST, MAP_MOST, HOT, SMALL = 1 << 18, 512, 8192, 4096, 400_000
+#: Neighbours that an entry is compared with before it has to meet a partner in full.
+LOOK = 128
 SHARDS = 64
 NULL_ID = -(1 << 63)
 
@@ -96,9 +98,38 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """A map of MAP * 64 bits; sets that differ in d shingles have maps that differ in d bits at most."""
-    bits = np.bincount((hashes >> np.uint64(30)).astype(np.int64) & (64 * MAP - 1), minlength=64 * MAP) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+    """A map of bits, about as many as shingles; sets that differ in d shingles have maps that differ in
+    d bits at most. Folding a map (one half over the other) gives the map of half the size."""
+    bits = min(MAP_MOST, max(MAP_LEAST, 1 << max(len(hashes) - 1, 1).bit_length()))
+    odd = np.bincount((hashes >> np.uint64(30)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+class ParityMaps:
+    """Maps of several sizes, compared at the smaller size of each pair."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = [np.frombuffer(x, np.uint64) for x in raw]
+        self.size = np.array([len(x) for x in self.raw])
+        self.at: dict[int, np.ndarray] = {}
+
+    def folded(self, size: int) -> np.ndarray:
+        if size not in self.at:
+            out = np.zeros((len(self.raw), size), np.uint64)
+            for row, x in zip(out, self.raw):
+                if len(x) >= size:
+                    row[:] = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+            self.at[size] = out
+        return self.at[size]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, size = np.empty(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        for s in np.unique(size).tolist():
+            which, maps = np.flatnonzero(size == s), self.folded(s)
+            for k in range(0, len(which), 100_000):
+                w = which[k : k + 100_000]
+                out[w] = np.bitwise_count(maps[a[w]] ^ maps[b[w]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def described(docs: DataFrame, rank: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -116,73 +147,125 @@ def described(docs: DataFrame, rank: np.ndarray, width: int, percent: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix binary")
 
 
-def shared_tokens(nodes: DataFrame) -> DataFrame:
-    """node, token: the prefix shingles that two nodes or more have.
+def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
+    """token, node, n, place: the prefix shingles at which a node may meet a partner.
 
-    One pass over the entries sorted by shingle; a row waits until it is known whether another follows.
+    One pass over the entries sorted by shingle.  An entry goes on if another entry of the shingle
+    passes the length filter and the positional filter with it; in runs of more than LOOK entries all do.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = batch.column(1).to_pylist()
-            flat = np.frombuffer(b"".join(prefixes), np.int64)
+            prefixes = batch.column(2).to_pylist()
             times = np.array([len(p) // 8 for p in prefixes], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), times))], names=["token", "node"])
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            what = (np.repeat(batch.column(1).to_numpy(), times) << 32) | place
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(what)], names=["token", "node", "what"])
+
+    def meeting(token: np.ndarray, what: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(token), bool)
+        n, place = what >> 32, what & 0xFFFFFFFF
+        here = np.arange(len(token))
+        for lag in range(1, LOOK + 1):
+            here = here[here + lag < len(token)]
+            here = here[token[here] == token[here + lag]]
+            if not len(here):
+                break
+            a, b = here, here + lag
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= need)
+            ok |= lag == LOOK
+            keep[a[ok]] = True
+            keep[b[ok]] = True
+        if len(here):  # long runs: all of their entries
+            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            size = np.diff(np.concatenate((starts, [len(token)])))
+            keep |= np.repeat(size > LOOK, size)
+        return keep
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, known = np.empty(0, np.int64), np.empty(0, np.int64), False
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
 
-        def out(keep):
-            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["token", "node"])
+        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+            keep = meeting(rows[0], rows[2])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep]), pa.array(rows[2][keep] >> 32), pa.array(rows[2][keep] & 0xFFFFFFFF)], names=["token", "node", "n", "place"])
 
         for batch in batches:
-            token, node = np.concatenate((token, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
-            if len(token) < 2:
-                continue
-            same = token[1:] == token[:-1]
-            keep = np.concatenate(([known], same)) | np.concatenate((same, [False]))
-            last, known = keep[-1], bool(keep[-1])
-            keep[-1] = False  # goes out with the next batch
-            yield out(keep)
-            token, node = token[-1:], node[-1:]
-            known = bool(last)
-        if len(token) and known:
-            yield out(np.ones(len(token), bool))
-
-    schema = "token bigint, node bigint"
-    return nodes.select("node", "prefix").mapInArrow(entries, schema).repartition("token").sortWithinPartitions("token").mapInArrow(repeated, schema)
-
-
-def full_sets(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, width: int, small: int) -> DataFrame:
-    """node, hashes (rarest first), map of the wanted nodes (rows of node, doc_id, digest)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+            held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut == 0 and len(held[0]) > 1_000_000:  # one shingle of very many nodes: it's long enough to go on as it comes
+                cut = len(held[0]) - LOOK - 1
+            if cut:
+                yield out([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield out(held)
+
+    schema = "token bigint, node bigint, what bigint"
+    rows = nodes.select("node", "n", "prefix").mapInArrow(entries, schema).repartition("token").sortWithinPartitions("token", "what")
+    return rows.mapInArrow(repeated, "token bigint, node bigint, n bigint, place bigint")
+
+
+def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int) -> DataFrame:
+    """Compute something from the texts of the wanted rows (doc_id, digest and more), which are few or many.
+
+    ``made`` turns the rows' sets and the other columns of ``wanted`` into the columns of ``schema``.
+    """
+    others = [c for c in wanted.columns if c not in ("doc_id", "digest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
-                node, digest = part.column(0), part.column(2).to_pylist()
-                sets = shingle_sets(utf8(part.column(1)), shared.value, width)
-                keep = pa.array([digest_of(s) == d for s, d in zip(sets, digest)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["node", "hashes", "map"]).filter(keep)
+                sets, keep, last = [], [], (None, None)
+                for text, digest in zip(utf8(part.column(0)), part.column(1).to_pylist()):
+                    if text != last[0]:
+                        last = (text, made.sets([text])[0])
+                    keep.append(digest_of(last[1]) == digest)
+                    sets.append(last[1])
+                which = np.flatnonzero(keep)
+                yield made([sets[i] for i in which], [c.take(pa.array(which)) for c in part.columns[2:]])
 
     wanted = F.broadcast(wanted) if wanted.count() <= small else wanted
-    return docs.join(wanted, "doc_id").select("node", "text", "digest").mapInArrow(run, "node bigint, hashes binary, map binary").dropDuplicates(["node"])
+    return docs.join(wanted, "doc_id").select("text", "digest", *others).mapInArrow(run, schema)
+
+
+class Maps:
+    """The parity map of each node's set."""
+
+    def __init__(self, rank, width: int):
+        self.rank, self.width = rank, width
+
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        return shingle_sets(texts, self.rank.value, self.width)
+
+    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[0], pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["node", "map"])
+
+
+class PairSets(Maps):
+    """The full set of a node, once for each of its pairs."""
+
+    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> pa.RecordBatch:
+        pairs, rows = columns[1].flatten(), np.repeat(np.arange(len(sets)), columns[1].value_lengths().to_numpy())
+        raw = [np.sort(s).tobytes() for s in sets]
+        return pa.RecordBatch.from_arrays([pairs.field(0), pairs.field(1), columns[0].take(pa.array(rows)), pa.array([raw[i] for i in rows], pa.binary())], names=["a", "b", "node", "hashes"])
 
 
 def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
     """a, b: pairs of nodes that pass the filters at their first common shingle.
 
-    ``meet``: cell (long), token, n, node, group, left (part of the cell, or null), place (of the
-    token in the set), before (hashes of the prefix before it), map; sorted by cell.  ``closest``: of
-    each node only the closest earlier partner; otherwise all pairs of different groups.
+    ``meet``: cell, n, node, group, left (part of the cell, or -1), place (of the shingle in the set),
+    before (the node's shared shingles before it), map.  ``closest``: of each node only the partner,
+    among those that come before it by size, whose parity map is closest; otherwise all pairs of
+    different groups, each at its first common shingle.
     """
 
-    def pairs(rows: dict[str, np.ndarray], before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: dict[str, np.ndarray], before: list[np.ndarray], raw: list[bytes]) -> tuple[np.ndarray, ...]:
         order = np.lexsort((rows["node"], rows["n"]))
         n, node, group, place, left = (rows[k][order] for k in ("n", "node", "group", "place", "left"))
-        maps, before = rows["map"][order], [before[i] for i in order]
-        found = []
-        step = max(1, 2_000_000 // (len(n) * MAP))
+        maps, before = ParityMaps([raw[i] for i in order]), [before[i] for i in order]
+        found: list[tuple[np.ndarray, ...]] = []
+        step = max(1, 500_000 // len(n))
         for low in range(0, len(n), step):
             high = min(low + step, len(n))
             start = np.searchsorted(100 * n, percent * n[low])  # length filter: what is too short for all of these
@@ -194,32 +277,32 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             if not closest:
                 ok &= group[a] != group[b]
             a, b, need = a[ok], b[ok], need[ok]
-            differ = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+            differ = maps.differ(a, b)
             ok = differ <= n[a] + n[b] - 2 * need  # suffix filter
             a, b, differ = a[ok], b[ok], differ[ok]
             if closest and len(a):
                 pick = np.lexsort((b, differ, a))
-                a, b = a[pick], b[pick]
+                a, b, differ = a[pick], b[pick], differ[pick]
                 head = np.concatenate(([True], a[1:] != a[:-1]))
-                a, b = a[head], b[head]
+                a, b, differ = a[head], b[head], differ[head]
             if not closest:  # at the first common shingle only
                 own = np.array([not len(np.intersect1d(before[i], before[j], assume_unique=True)) for i, j in zip(a, b)], bool)
-                a, b = a[own], b[own]
-            found.append((node[a], node[b]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+                a, b, differ = a[own], b[own], differ[own]
+            found.append((node[a], node[b], differ))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             cells = rows.column("cell").to_numpy()
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             arrays = {k: rows.column(k).to_numpy().astype(np.int64) for k in ("n", "node", "group", "place", "left")}
-            arrays["map"] = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(-1, MAP)
-            before = [np.frombuffer(x, np.int64) for x in rows.column("before").to_pylist()]
+            maps = rows.column("map").to_pylist()
+            before = [np.frombuffer(x or b"", np.int64) for x in rows.column("before").to_pylist()]
             for i, j in zip(cuts, cuts[1:]):
                 if j - i > 1:
-                    a, b = pairs({k: v[i:j] for k, v in arrays.items()}, before[i:j])
+                    a, b, differ = pairs({k: v[i:j] for k, v in arrays.items()}, before[i:j], maps[i:j])
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(differ)], names=["a", "b", "differ"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -236,7 +319,10 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             yield from emit(held)
 
     columns = ["cell", "n", "node", "group", "left", "place", "before", "map"]
-    return meet.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+    out = meet.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint, differ bigint")
+    if closest:
+        return out.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return out.select("a", "b").distinct()
 
 
 def in_cells(entries: DataFrame, hot: int, closest: bool) -> DataFrame:
@@ -252,23 +338,38 @@ def in_cells(entries: DataFrame, hot: int, closest: bool) -> DataFrame:
     return rows.withColumn("cell", cell).withColumn("left", F.when(F.col("part") != F.col("other"), F.col("part")).otherwise(-1))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, counted on the full sets."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: int, percent: int, small: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, counted on the full sets of their texts.
+
+    A node's set is made once for up to some of its pairs and goes to each of them; the two sets of a
+    pair meet as neighbours.
+    """
+    pairs = written(pairs, "pairs")
+    sides = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
+    lists = sides.groupBy("node", F.pmod(F.xxhash64("a", "b"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    wanted = written(lists.join(nodes.select("node", "doc_id", "digest"), "node").select("doc_id", "digest", "node", "pairs"), "pair-lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_set")) for k in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
-
-
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL) -> DataFrame:
+            out = []
+            for a, b, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is not None and held[:2] == (a, b):
+                    if node == held[2]:
+                        continue
+                    x, y = np.frombuffer(held[3], np.int64), np.frombuffer(raw, np.int64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        out.append((a, b))
+                else:
+                    held = (a, b, node, raw)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    sets = from_texts(docs, wanted, PairSets(rank, width), "a bigint, b bigint, node bigint, hashes binary", small)
+    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL, tokens_of=None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Two documents link when 100 * intersection >= percent * union of their distinct shingles
@@ -276,6 +377,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no shingles and link with nothing.  component_id is the smallest id that links reach, null ids aside
     (null where no other id is reached).  Rows that share an id are documents of their own; equal
     texts give equal components.
+
+    ``tokens_of`` (nodes, texts, rank) may name other places to meet than rare shingles: rows of token,
+    node, n and place (0). Pairs are verified in any case.
     """
     docs = text_rows(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     rank = rarity(word_counts(docs))
@@ -284,28 +388,37 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("x"), F.min(own).alias("least"))
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), F.col("x.prefix").alias("prefix"))
     nodes = written(nodes, "nodes")  # the numbers of nodes are drawn once
-    tokens = written(shared_tokens(nodes), "tokens")
+    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    once = docs  # one row for each id and text
+    if rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
+        once = docs.dropDuplicates(["doc_id", "text"])
+    tokens = tokens_of(nodes, once, shared) if tokens_of else shared_tokens(nodes, percent)
+    tokens = written(tokens, "tokens")
     wanted = written(nodes.join(spread(tokens.select("node").distinct()), "node").select("node", "doc_id", "digest"), "wanted")
-    sets = written(full_sets(docs, wanted, rank, width, small), "sets")
+    maps = written(from_texts(once, wanted, Maps(shared, width), "node bigint, map binary", small), "maps").dropDuplicates(["node"])
 
-    def place_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, n, prefix, maps = batch.columns
-            prefixes = [np.frombuffer(p, np.int64) for p in prefix.to_pylist()]
-            places = [int(np.flatnonzero(p == t)[0]) for p, t in zip(prefixes, token.to_pylist())]
-            before = [p[:k].tobytes() for p, k in zip(prefixes, places)]
-            yield pa.RecordBatch.from_arrays([token, node, n, pa.array(places, pa.int64()), pa.array(before, pa.binary()), maps], names=["token", "node", "n", "place", "before", "map"])
-
-    facts = nodes.select("node", "n", "prefix").join(sets.select("node", "map"), "node")
-    entries = tokens.join(facts, "node").select("token", "node", "n", "prefix", "map").mapInArrow(place_of, "token bigint, node bigint, n bigint, place bigint, before binary, map binary")
+            for node, found, parities in zip(*(c.to_pylist() for c in batch.columns)):
+                found = sorted(found, key=lambda x: (x["place"], x["token"]))
+                tokens = np.array([x["token"] for x in found], np.int64)
+                columns = [pa.array(tokens), pa.array([node] * len(found), pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in ("n", "place"))]
+                before = [tokens[:k].tobytes() for k in range(len(found))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.binary()), pa.array([parities] * len(found), pa.binary())], names=["token", "node", "n", "place", "before", "map"])
+
+    mine = tokens.groupBy("node").agg(F.collect_list(F.struct("token", "n", "place")).alias("found"))  # no more than a prefix
+    entries = mine.join(maps, "node").mapInArrow(in_order, "token bigint, node bigint, n bigint, place bigint, before binary, map binary")
     entries = written(entries, "entries")
 
-    first = written(verified(candidates(in_cells(entries.withColumn("group", F.col("node")), hot, True), percent, True), sets, percent), "first-links")
+    nodes = nodes.select("node", "doc_id", "digest", "least")
+    check = lambda pairs: verified(pairs, nodes, once, shared, width, percent, small)
+    alone = entries.withColumns({"group": F.col("node"), "before": F.lit(None).cast("binary")})
+    first = written(check(candidates(in_cells(alone, hot, True), percent, True)), "first-links")
     roots = components(first)
     grouped = entries.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
     mixed = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
     rest = grouped.join(spread(mixed), "token")
-    second = verified(candidates(in_cells(rest, hot, False), percent, False), sets, percent)
+    second = check(candidates(in_cells(rest, hot, False), percent, False))
     roots = components(first.unionByName(second))
 
     labelled = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
