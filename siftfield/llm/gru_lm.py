@@ -173,27 +173,30 @@ class Network:
             grads["wc"] += p.T @ states
             grads["bc"] += p.sum(axis=0)
             back = p @ v["wc"]
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(self.c + 1))
-        for c in range(self.c):
-            i, j = cuts[c], cuts[c + 1]
-            if i == j:
-                continue
-            own = order[i:j]
-            s = states[own]
-            logits = s @ v["ww"][c].T + v["bw"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1)
-            here, at = np.arange(j - i), y[own] - c * self.s
-            out[own] += logits[here, at] - np.log(total)
-            if grads is not None:
-                p /= total[:, None]
-                p[here, at] -= 1
-                p /= len(y)
-                grads["ww"][c] += p.T @ s
-                grads["bw"][c] += p.sum(axis=0)
-                back[own] += p @ v["ww"][c]
+        order = np.argsort(which, kind="stable")  # by class: one small product for each, the rest for all rows
+        own, s = which[order], states[order]
+        cuts = np.searchsorted(own, np.arange(self.c + 1))
+        spans = [(c, cuts[c], cuts[c + 1]) for c in range(self.c) if cuts[c] < cuts[c + 1]]
+        logits = np.empty((len(y), self.s), np.float32)
+        for c, i, j in spans:
+            np.matmul(s[i:j], v["ww"][c].T, out=logits[i:j])
+        logits += v["bw"][own]
+        logits -= logits.max(axis=1, keepdims=True)
+        at = y[order] - own * self.s
+        hit = logits[rows, at]
+        p = np.exp(logits, out=logits)
+        total = p.sum(axis=1)
+        out[order] += hit - np.log(total)
+        if grads is not None:
+            p /= total[:, None]
+            p[rows, at] -= 1
+            p /= len(y)
+            d = np.empty_like(s)
+            for c, i, j in spans:
+                np.matmul(p[i:j], v["ww"][c], out=d[i:j])
+                grads["ww"][c] += p[i:j].T @ s[i:j]
+                grads["bw"][c] += p[i:j].sum(axis=0)
+            back[order] += d
         return out, back
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
