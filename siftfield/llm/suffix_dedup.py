@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from siftfield.llm.common import blocks, mix64, powers, prefix_hashes, sliding_min, spread, utf8, written
 
 LENGTH, GRAM = 50, 20
-#: Texts longer than CUT are looked at in pieces; bytes of text per bucket; ids to broadcast at most.
-CUT, BUCKET_BYTES, SMALL = 2_000_000, 24_000_000, 400_000
+#: Texts longer than CUT are looked at in pieces; bytes of text per bucket, and per group of documents
+#: whose finds are put together; ids to broadcast at most.
+CUT, BUCKET_BYTES, GROUP_BYTES, SMALL = 1_000_000, 16_000_000, 64_000_000, 400_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -93,29 +94,47 @@ ANCHORS = "bucket bigint, ids binary, counts binary, hashes binary, places binar
 CONTEXTS = "bucket bigint, ids binary, tags binary, counts binary, hashes binary, lows binary, spans binary, bytes binary"
 
 
+def owners(doc: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes], list[np.ndarray]]:
+    """Of each slice of anchors: the ids of its documents, how many anchors each has, and the documents."""
+    own = [runs_of(doc[i:j]) for i, j in zip(at, at[1:])]
+    docs = [doc[i:j][starts] for (starts, _), i, j in zip(own, at, at[1:])]
+    counts = [np.diff(np.concatenate((starts, [j - i]))).astype(np.uint32).tobytes() for (starts, _), i, j in zip(own, at, at[1:])]
+    return [ids[x].tobytes() for x in docs], counts, docs
+
+
 def anchor_rows(reps: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of each block of texts, one row per bucket: ids of the block's documents, how many
-    anchors each has in the bucket, and the anchors (48 bits of hash, place) end to end."""
+    """Anchors of each block of texts, one row per bucket: ids of the documents, how many anchors each
+    has in the bucket, and the anchors (48 bits of hash, place) end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", CUT):
-                ids = part.column(0).to_numpy()
-                found, bucket, sizes = by_bucket(anchors(utf8(part.column(2))), buckets)
+                found, bucket, sizes = by_bucket(anchors(utf8(part.column(1))), buckets)
                 if not len(bucket):
                     continue
                 at = np.concatenate(([0], np.cumsum(sizes)))
-                counts = [np.bincount(found["doc"][i:j], minlength=len(ids)).astype(np.uint32).tobytes() for i, j in zip(at, at[1:])]
+                ids, counts, _ = owners(found["doc"], part.column(0).to_numpy(), at)
                 planes = found["hash"].view(np.uint16).reshape(-1, 4)[:, 1:]
                 hashes = [np.ascontiguousarray(planes[i:j].T).tobytes() for i, j in zip(at, at[1:])]
                 places = [np.ascontiguousarray(found["place"][i:j].astype(np.uint32).view(np.uint16).reshape(-1, 2).T).tobytes() for i, j in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([ids.tobytes()] * len(bucket), pa.binary()), *(pa.array(x, pa.binary()) for x in (counts, hashes, places))], names=["bucket", "ids", "counts", "hashes", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in (ids, counts, hashes, places))], names=["bucket", "ids", "counts", "hashes", "places"])
+
+    return reps.select("ord", "text").mapInArrow(run, ANCHORS)
+
 
-    return reps.select("ord", "tag", "text").mapInArrow(run, ANCHORS)
+def grouped(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by group of documents and document, the groups, and their sizes."""
+    group = (mix64(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((ids, group))
+    starts, _ = runs_of(group[order])
+    return order, group[order][starts], np.diff(np.concatenate((starts, [len(order)])))
 
 
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """ord, places: of each document, the places of a bucket's anchors that another document has too."""
+def repeated_anchors(rows: DataFrame, groups: int) -> DataFrame:
+    """ord, places: of each document, the places of the anchors that another document has too.
+
+    A bucket sends one row to each group of documents, which puts them together by document.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         hashes, ids, places = [], [], []
@@ -123,18 +142,24 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             planes = np.frombuffer(h, np.uint16).reshape(3, -1).astype(np.uint64)
             hashes.append(planes[0] | (planes[1] << np.uint64(16)) | (planes[2] << np.uint64(32)))
             ids.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(counts, np.uint32)))
-            low, high = np.frombuffer(p, np.uint16).reshape(2, -1).astype(np.int64)
-            places.append(low | (high << 16))
+            low, high = np.frombuffer(p, np.uint16).reshape(2, -1).astype(np.uint32)
+            places.append(low | (high << np.uint32(16)))
         hashes, ids, places = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
         order = np.argsort(hashes)
         starts, group = runs_of(hashes[order])
         least, most = np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
         keep = order[(least != most)[group]]
-        keep = keep[np.argsort(ids[keep], kind="stable")]
-        starts, _ = runs_of(ids[keep])
-        return pa.table({"ord": ids[keep][starts], "places": packed(places[keep].astype(np.uint32), np.diff(np.concatenate((starts, [len(keep)]))))}, schema=pa.schema([("ord", pa.int64()), ("places", pa.binary())]))
+        order, group, sizes = grouped(ids[keep], groups)
+        keep = keep[order]
+        return pa.table({"part": group, "ids": packed(ids[keep], sizes), "places": packed(places[keep], sizes)}, schema=pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("places", pa.binary())]))
 
-    return rows.groupBy("bucket").applyInArrow(run, "ord bigint, places binary")
+    def merge(table: pa.Table) -> pa.Table:
+        ids, places = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32)
+        order = np.argsort(ids, kind="stable")
+        starts, _ = runs_of(ids[order])
+        return pa.table({"ord": ids[order][starts], "places": packed(places[order], np.diff(np.concatenate((starts, [len(order)]))))}, schema=pa.schema([("ord", pa.int64()), ("places", pa.binary())]))
+
+    return rows.groupBy("bucket").applyInArrow(run, "part bigint, ids binary, places binary").groupBy("part").applyInArrow(merge, "ord bigint, places binary")
 
 
 def context_rows(texts: DataFrame, buckets: int) -> DataFrame:
@@ -142,22 +167,22 @@ def context_rows(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text", CUT):
-                ids, tags, raw = part.column(0).to_numpy(), part.column(1).to_numpy(), utf8(part.column(2))
+            for part in blocks(batch, "text", 2 * CUT):
+                tags, raw = part.column(1).to_numpy(), utf8(part.column(2))
                 found = anchors(raw)
-                wanted = np.concatenate([np.frombuffer(b"".join(x), np.uint32).astype(np.int64) | (d << 40) for d, x in enumerate(part.column(3).to_pylist())])
+                wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | (d << 40) for d, x in enumerate(part.column(3).to_pylist())])
                 keep = np.isin(found["place"] | (found["doc"] << 40), wanted)
                 found, bucket, sizes = by_bucket({k: v[keep] for k, v in found.items()}, buckets)
                 if not len(bucket):
                     continue
                 at = np.concatenate(([0], np.cumsum(sizes)))
+                ids, counts, docs = owners(found["doc"], part.column(0).to_numpy(), at)
                 rows = []
-                for b, i, j in zip(bucket, at, at[1:]):
+                for k, (b, i, j) in enumerate(zip(bucket, at, at[1:])):
                     doc, low, high = found["doc"][i:j], found["low"][i:j], found["high"][i:j]
                     spans = np.stack((high - low, found["place"][i:j] - low)).astype(np.uint8)
                     text = b"".join([raw[d][s : e + LENGTH] for d, s, e in zip(doc.tolist(), low.tolist(), high.tolist())])
-                    counts = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
-                    rows.append((b, ids.tobytes(), tags.tobytes(), counts.tobytes(), found["hash"][i:j].tobytes(), low.astype(np.uint32).tobytes(), spans.tobytes(), text))
+                    rows.append((b, ids[k], tags[docs[k]].astype(np.int32).tobytes(), counts[k], found["hash"][i:j].tobytes(), low.astype(np.uint32).tobytes(), spans.tobytes(), text))
                 types = [pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
 
@@ -312,8 +337,9 @@ def joined(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return owner[first], low[first], reach[last] - group[last] * wide
 
 
-def cuts_of_buckets(rows: DataFrame) -> DataFrame:
-    """ord, tag, cuts (pairs of 32-bit places) that each bucket's suffix sort finds."""
+def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
+    """ord, tag, cuts (pairs of 32-bit places, joined) that the buckets' suffix sorts find."""
+    kinds = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in ("ids", "tags", "lows", "highs"))])
 
     def run(table: pa.Table) -> pa.Table:
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("ord", "tag", "hash", "low", "extra", "offset")}
@@ -321,21 +347,31 @@ def cuts_of_buckets(rows: DataFrame) -> DataFrame:
         for own, tags, counts, h, low, spans in zip(*(table.column(c).to_pylist() for c in ("ids", "tags", "counts", "hashes", "lows", "spans"))):
             counts = np.frombuffer(counts, np.uint32)
             extra, offset = np.frombuffer(spans, np.uint8).reshape(2, -1).astype(np.int64)
-            for k, v in (("ord", np.repeat(np.frombuffer(own, np.int64), counts)), ("tag", np.repeat(np.frombuffer(tags, np.int64), counts)), ("hash", np.frombuffer(h, np.uint64)), ("low", np.frombuffer(low, np.uint32).astype(np.int64)), ("extra", extra), ("offset", offset)):
+            for k, v in (("ord", np.repeat(np.frombuffer(own, np.int64), counts)), ("tag", np.repeat(np.frombuffer(tags, np.int32), counts)), ("hash", np.frombuffer(h, np.uint64)), ("low", np.frombuffer(low, np.uint32).astype(np.int64)), ("extra", extra), ("offset", offset)):
                 parts[k].append(v)
         members = {k: np.concatenate(v) for k, v in parts.items()}
         del parts
         size = members["extra"] + LENGTH
         members["start"] = np.cumsum(size) - size
         member, low, high = earlier_runs(members, np.frombuffer(text, np.uint8))
-        docs, owner = np.unique(np.stack((members["ord"][member], members["tag"][member])), axis=1, return_inverse=True)
-        owner, low, high = joined(owner.reshape(-1), low, high)
+        owner, low, high = joined(member, low, high)
+        order, group, sizes = grouped(members["ord"][owner], groups)
+        owner, low, high = owner[order], low[order].astype(np.uint32), high[order].astype(np.uint32)
+        return pa.table({"part": group, "ids": packed(members["ord"][owner], sizes), "tags": packed(members["tag"][owner], sizes), "lows": packed(low, sizes), "highs": packed(high, sizes)}, schema=kinds)
+
+    def merge(table: pa.Table) -> pa.Table:
+        ids, tags, lows, highs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("tags", np.int32), ("lows", np.uint32), ("highs", np.uint32)))
+        order = np.lexsort((tags, ids))
+        ids, tags = ids[order], tags[order]
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))
+        owner, low, high = joined(np.cumsum(new) - 1, lows[order].astype(np.int64), highs[order].astype(np.int64))
         starts, _ = runs_of(owner)
         pairs = np.stack((low, high), axis=1).astype(np.uint32).reshape(-1)
         sizes = 2 * np.diff(np.concatenate((starts, [len(owner)])))
-        return pa.table({"ord": docs[0][owner[starts]], "tag": docs[1][owner[starts]], "cuts": packed(pairs, sizes)}, schema=pa.schema([("ord", pa.int64()), ("tag", pa.int64()), ("cuts", pa.binary())]))
+        return pa.table({"ord": ids[new], "tag": tags[new].astype(np.int64), "cuts": packed(pairs, sizes)}, schema=pa.schema([("ord", pa.int64()), ("tag", pa.int64()), ("cuts", pa.binary())]))
 
-    return rows.groupBy("bucket").applyInArrow(run, "ord bigint, tag bigint, cuts binary")
+    made = rows.groupBy("bucket").applyInArrow(run, "part bigint, ids binary, tags binary, lows binary, highs binary")
+    return made.groupBy("part").applyInArrow(merge, "ord bigint, tag bigint, cuts binary")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, small: int = SMALL, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -348,17 +384,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other, so repeats under one id stay.  Texts under 50 bytes are left alone.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.xxhash64(F.sha2(text, 256)).alias("tag"), text.alias("text"), (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("rest"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.hash(F.sha2(text, 256)).cast("long").alias("tag"), text.alias("text"), (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("rest"))
     own = docs.select("ord", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     facts = written(own.filter(F.col("n_bytes") >= LENGTH), "facts")
-    buckets = max(1, int((facts.agg(F.sum("n_bytes")).first()[0] or 0) // bucket_bytes))
+    total = int(facts.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets, groups = max(1, total // bucket_bytes), max(1, total // GROUP_BYTES)
     first = facts.groupBy("sha").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
     copies = written(facts.join(spread(first), "sha").filter("ord > first").select("ord", "tag", "n_bytes").distinct(), "copies")
     ids = copies.select("ord", "tag")
     reps = docs.filter(F.octet_length("text") >= LENGTH).join(F.broadcast(ids) if ids.count() <= small else ids, ["ord", "tag"], "left_anti")
 
-    places = repeated_anchors(anchor_rows(reps, buckets)).groupBy("ord").agg(F.collect_list("places").alias("places"))
-    found = cuts_of_buckets(context_rows(docs.join(places, "ord"), 4 * buckets))
+    places = repeated_anchors(anchor_rows(reps, buckets), groups)
+    found = cuts_of_buckets(context_rows(docs.join(places, "ord"), buckets), groups)
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
