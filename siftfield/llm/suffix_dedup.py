@@ -282,7 +282,8 @@ def earlier_runs(members: dict[str, np.ndarray], raw: np.ndarray, slice_bytes: i
     gone = order[same & (members["ord"][order] > members["ord"][head])]
     out = [(gone, members["low"][gone], members["low"][gone] + size[gone])]
 
-    reps = order[new | ~same]  # classes of one anchor, by hash
+    # of each class the smallest id, with all its places; classes of one anchor stand together
+    reps = order[~same | (members["ord"][order] == members["ord"][head])]
     starts, group = runs_of(members["hash"][reps])
     count = np.diff(np.concatenate((starts, [len(reps)])))
     reps = reps[count[group] > 1]
