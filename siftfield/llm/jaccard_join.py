@@ -30,9 +30,12 @@ from siftfield.llm.components import components
 
 WIDTH, PERCENT = 3, 90
 #: Counters for words; bits of a parity map; nodes of a shingle that meet in one task; rows to broadcast at most.
-COUNTERS, MAP_LEAST, MAP_MOST, HOT, SMALL = 1 << 18, 512, 8192, 4096, 400_000
+COUNTERS, MAP_LEAST, MAP_MOST, HOT, SMALL = 1 << 18, 512, 2048, 4096, 400_000
 #: Neighbours that an entry is compared with before it has to meet a partner in full.
 LOOK = 128
+#: Earlier shared shingles that go with an entry; a pair that shares one of them was met there. With more
+#: of them unseen a pair may be met again, and is still verified once.
+SEEN = 24
 SHARDS = 64
 NULL_ID = -(1 << 63)
 
@@ -98,9 +101,9 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """A map of bits, about as many as shingles; sets that differ in d shingles have maps that differ in
+    """A map of bits, about half as many as shingles; sets that differ in d shingles have maps that differ in
     d bits at most. Folding a map (one half over the other) gives the map of half the size."""
-    bits = min(MAP_MOST, max(MAP_LEAST, 1 << max(len(hashes) - 1, 1).bit_length()))
+    bits = min(MAP_MOST, max(MAP_LEAST, 1 << max(len(hashes) // 2, 1).bit_length()))
     odd = np.bincount((hashes >> np.uint64(30)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -257,7 +260,7 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
     ``meet``: cell, n, node, group, left (part of the cell, or -1), place (of the shingle in the set),
     before (the node's shared shingles before it), map.  ``closest``: of each node only the partner,
     among those that come before it by size, whose parity map is closest; otherwise all pairs of
-    different groups, each at its first common shingle.
+    different groups, each (but for what SEEN says) at its first common shingle.
     """
 
     def pairs(rows: dict[str, np.ndarray], before: list[np.ndarray], raw: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -403,7 +406,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = sorted(found, key=lambda x: (x["place"], x["token"]))
                 tokens = np.array([x["token"] for x in found], np.int64)
                 columns = [pa.array(tokens), pa.array([node] * len(found), pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in ("n", "place"))]
-                before = [tokens[:k].tobytes() for k in range(len(found))]
+                before = [tokens[: min(k, SEEN)].tobytes() for k in range(len(found))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.binary()), pa.array([parities] * len(found), pa.binary())], names=["token", "node", "n", "place", "before", "map"])
 
     mine = tokens.groupBy("node").agg(F.collect_list(F.struct("token", "n", "place")).alias("found"))  # no more than a prefix
