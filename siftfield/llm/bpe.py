@@ -49,7 +49,7 @@ def pieces(text: str) -> list[str]:
 class Bpe:
     """One vocabulary with merges in rank order, as a ``tokenizers`` JSON file holds it."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]

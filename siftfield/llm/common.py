@@ -54,7 +54,7 @@ def fraction(key: Column, name: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 11) / F.lit(float(1 << 53))).cast("double")
 
 
-def blocks(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose text takes about ``limit`` bytes, one row at least."""
     i = batch.schema.get_field_index(column)
     col = batch.column(i)
@@ -95,7 +95,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
-    size = 1 << max(16, (n - 1).bit_length())
+    size = 1 << max(16, (n - 1).bit_length()) if n < 1 << 20 else -(-n // (1 << 18)) << 18
     if size not in _powers:
         _powers.clear()
         with np.errstate(over="ignore"):
@@ -152,3 +152,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in batches of some MB; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))

@@ -80,7 +80,7 @@ def script(text: bytes) -> str:
 class Vocabulary:
     """Encodes words with a SentencePiece model, remembering a bounded number of them."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -223,7 +223,7 @@ def judge(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in blocks(batch, text_col, 3_000_000):
+            for part in blocks(batch, text_col, 2_000_000):
                 texts = utf8(part.column(part.schema.get_field_index(text_col)))
                 langs = part.column(part.schema.get_field_index(lang_col)).to_pylist() if lang_col else [None] * len(texts)
                 m = measure(texts, vocab)

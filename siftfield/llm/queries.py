@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftfield.llm import bpe, gru_lm, jaccard_join, langid, license_scan, minhash, mixing, quality, suffix_dedup, warc
-from siftfield.llm.common import read_table, shared_dir, text_rows
+from siftfield.llm.common import modest_batches, read_table, shared_dir, text_rows
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rows(read_table(spark, sf_dir, "documents"))
+    return text_rows(table(spark, sf_dir, "documents"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
-    warc.write_archives(warc.as_records(read_table(spark, sf_dir, "pages")), path)
+    warc.write_archives(warc.as_records(table(spark, sf_dir, "pages")), path)
     back = warc.read_archives(spark, path, payload=False, verify=True).filter(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)").alias({"record_id": "page_id"}.get(c, c))  # noqa: E731  after urn:page:
     return back.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
@@ -28,29 +33,29 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_groups(read_table(spark, sf_dir, "documents"))
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.verdicts(quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.summary(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+    return suffix_dedup.summary(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.n_words(F.col("text")).alias("size"))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held_out)
     model = langid.train(docs.filter("not held_out"), F.col("doc_id"))
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
@@ -62,7 +67,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out")
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out)
     return gru_lm.score_texts(docs, docs.filter("not held_out"))
 
 
