@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftfield.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
-from siftfield.llm.common import read_table, written
+from siftfield.llm.common import modest_batches, read_table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -19,11 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules reject go."""
     import public_tokenizers
 
+    modest_batches(spark)
     return quality.judge(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model")).filter("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
+    modest_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = jaccard_join.similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
     stays = written(groups, "stays")
@@ -36,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 bytes that an earlier document has are cut; documents of which nothing is left go."""
+    modest_batches(spark)
     cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"), as_text=True)
     same = F.size("spans") == 0
     text = F.col("kept")
@@ -53,6 +56,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as token ids: their number, and fingerprints of the ids and of the decoded text."""
     import public_tokenizers
 
+    modest_batches(spark)
     return bpe.digests(bpe.encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
 
 
