@@ -1,10 +1,10 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
 The network reads a text word by word and predicts the next one: a class by softmax, then the word
-within its class by softmax.  It is trained by backpropagation truncated to windows of STEPS words, with
-the state carried from window to window; in scoring the state is carried through the whole document,
-whatever its length.  Many documents run side by side, in lanes; a lane starts from a zero state where
-a document begins.
+within its class by softmax.  It is trained by backpropagation truncated to windows of STEPS words (up
+to eight times as many where few documents are left to run side by side), with the state carried from
+window to window; in scoring the state is carried through the whole document, whatever its length.
+Many documents run side by side, in lanes; a lane starts from a zero state where a document begins.
 
 The vocabulary is the most frequent training words; other words are one symbol, and which word it is
 has its probability from the training counts.  Counts cover all training documents.  After a warm
@@ -29,8 +29,8 @@ from siftfield.llm.common import blocks, fraction, spread, utf8, word_hashes, wr
 VOCABULARY, HIDDEN, STEPS, LANES = 2000, 16, 16, 256
 #: Words with their counts that every task holds, at most; documents of the warm start, at most.
 TABLE, WARM_DOCS, WARM_ROUNDS = 1 << 19, 1500, 3
-#: Words that a task keeps in memory at once.
-HELD = 3_000_000
+#: Words that a task keeps in memory at once, and words that a window should have.
+HELD, FULL = 3_000_000, 2048
 SHARDS = 16
 
 
@@ -268,12 +268,17 @@ def windows(docs: list[np.ndarray], end: int, steps: int, lanes: int = LANES) ->
     begin[ends - sizes] = True
     length = np.array([sum(len(docs[d]) + 1 for d in ds) for ds in own])
     start = np.cumsum(length) - length
-    for t in range(0, int(length[0]), steps):
+    t = 0
+    while t < int(length[0]):
         live = int(np.searchsorted(-length, -t))
-        at = t + np.arange(min(steps, int(length[0]) - t))[:, None]
+        size = steps
+        while size < 8 * steps and live * size < FULL:  # few lanes are left: longer windows
+            size *= 2
+        at = t + np.arange(min(size, int(length[0]) - t))[:, None]
         real = at < length[None, :live]
         place = np.minimum(start[None, :live] + at, (start + length - 1)[None, :live])
         yield x[place], y[place], number[place], begin[place], real
+        t += size
 
 
 def train_on(net: Network, docs: list[np.ndarray], adam: Adam) -> None:
@@ -344,7 +349,7 @@ def trained(net: Network, train: DataFrame, known: dict[bytes, int], rate: float
     return out
 
 
-DOCS = "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_known bigint, base double, score double, others bigint"
+DOCS = "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_known bigint, base double, score double, others bigint, words array<string>, times array<bigint>"
 
 
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -383,7 +388,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
             lp = score_docs(net, held) / np.log(10)
             columns = list(zip(*rows))
             columns[6] = np.array(columns[6]) + lp
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64()))], names=[x.split(" ")[0] for x in DOCS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=[x.split(" ")[0] for x in DOCS.split(", ")])
 
         for batch in batches:
             for part in blocks(batch, "text"):
@@ -397,10 +402,14 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                 beyond = ids == net.m - 2
                 bounds = np.searchsorted(doc, np.arange(n + 1))
                 end_log = np.log10(counts.ends + 0.1)
+                own = np.flatnonzero(~frequent[codes])  # words that the table of all counts has to tell
+                pairs, times = np.unique(doc[own] * (len(names) + 1) + codes[own], return_counts=True)
+                rare = [names[k].decode("utf-8", "replace") for k in (pairs % (len(names) + 1)).tolist()]
+                cuts = np.searchsorted(pairs, np.arange(n + 1) * (len(names) + 1)).tolist()
                 sums = [np.bincount(doc, w, n) for w in (frequent[codes], logs[codes], np.where(beyond, logs[codes], 0.0), beyond)]
                 for i, (id_, held_out, key) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist())):
                     words = int(bounds[i + 1] - bounds[i])
-                    rows.append((id_, held_out, key, words + 1, int(sums[0][i]) + (counts.ends > 0), float(sums[1][i] + end_log), float(sums[2][i]), int(sums[3][i])))
+                    rows.append((id_, held_out, key, words + 1, int(sums[0][i]) + (counts.ends > 0), float(sums[1][i] + end_log), float(sums[2][i]), int(sums[3][i]), rare[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]].tolist()))
                     held.append(ids[bounds[i] : bounds[i + 1]])
                     size += words + 1
                 if size > HELD:
@@ -409,19 +418,9 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, counts, _ = shared.value
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                names, codes, c, doc = words_in(utf8(part.column(1)), counts)
-                own = np.flatnonzero(c[codes] == 0)
-                pairs, times = np.unique(doc[own] * (len(names) + 1) + codes[own], return_counts=True)
-                keys = part.column(0).to_numpy()[pairs // (len(names) + 1)]
-                words = [names[k].decode("utf-8", "replace") for k in (pairs % (len(names) + 1)).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(words, pa.string()), pa.array(times)], names=["key", "word", "times"])
-
-    scored = docs.select("doc_id", "held_out", "text", "key").mapInArrow(score, DOCS)
-    once = docs.select("key", "text").mapInArrow(rare, "key bigint, word string, times bigint").groupBy("key", "word").agg(F.max("times").alias("times"))
+    scored = written(docs.select("doc_id", "held_out", "text", "key").mapInArrow(score, DOCS), "scored")
+    rare = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", "x.words", "x.times")
+    once = rare.groupBy("key", F.col("words").alias("word")).agg(F.max("times").alias("times"))  # rows that stand there twice
     found = once.join(spread(table.filter(F.col("c") < counts.floor)), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     logs = found.groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"))
     all_log = float(np.log10(counts.n + 0.1 * (counts.v + 1)))
