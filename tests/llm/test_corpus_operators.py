@@ -217,3 +217,16 @@ def test_foreign_archives(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     assert Counter((r.record_id, r.payload_bytes) for r in rows) == Counter({("urn:x:1", 5): 3, ("urn:x:2", 70000): 2})
     assert warc.read_archives(spark, str(tmp_path), payload=False).filter("record_type = 'resource'").count() == 2
+
+
+def test_parity_maps_never_overstate():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 9000, np.uint64)
+    sets = [np.concatenate((base[: n - k], rng.integers(0, 1 << 63, k, np.uint64))) for n in (20, 500, 520, 1000, 1100, 4000, 4200, 9000) for k in (0, 5, 90) if k < n]
+    maps = jaccard_join.ParityMaps([jaccard_join.parity(s).tobytes() for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    told = maps.differ(a, b)
+    assert (told <= real).all() and (told[real == 0] == 0).all()
+    near = (real > 0) & (real <= 100) & (np.minimum(maps.size[a], maps.size[b]) >= 16)
+    assert told[near].sum() > 0.8 * real[near].sum()  # and says nearly all of a small difference
