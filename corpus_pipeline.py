@@ -13,6 +13,8 @@ from siftfield.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
 from siftfield.llm.common import modest_batches, read_table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What makes near copies in the corpus: words of a shingle, and similarity; op3_jaccard_join has its own.
+WIDTH, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more), the document with the smallest id stays."""
     modest_batches(spark)
     docs = docs.select(*COLUMNS)
-    groups = jaccard_join.similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
+    groups = jaccard_join.similar_groups(docs, width=WIDTH, percent=PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
     stays = written(groups, "stays")
     n, different = stays.agg(F.count("*"), F.countDistinct("stays")).first()
     stays = stays.distinct()

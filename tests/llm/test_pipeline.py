@@ -47,3 +47,23 @@ def test_run_survives_empty_and_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
     h.odd(spark).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_copies_of_the_stage(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:60], "x", *words[61:]]  # five-word similarity 0.95; each further change takes off 0.05
+    scattered = ["x" if i in (30, 90, 150) else w for i, w in enumerate(words)]
+    block = [*words[:100], *[f"y{i}" for i in range(15)], *words[115:]]
+    far = ["x" if i % 25 == 9 else w for i, w in enumerate(words)]
+    texts = [(1, words), (2, near), (3, scattered), (4, block), (5, far)]
+    rows = [(d, " ".join(t), "en", "a", 1) for d, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    plain = [(d, t) for d, t, *_ in rows]
+    assert {c for _, c in h.components(plain, 5, 80)} == {1, 5} and {c for _, c in h.components(plain)} == {1, 4, 5}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 5}
+
+
+def test_near_copies_of_the_small_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
+    assert got == Counter({c for _, c in h.components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)})
