@@ -2,7 +2,8 @@
 
 Every word is encoded on its own with a SentencePiece vocabulary that falls back to bytes.  A text is
 then described by characters per token, the share of byte-fallback tokens and the entropy of its
-tokens in bits.  Each language, or else each script, has a band for the three; texts outside it are rejected.  Prose in a language that the vocabulary knows
+tokens in bits.  Each language, or else each script, has a band for the three; texts outside it are rejected, and so are
+texts whose letters were read in a wrong encoding.  Prose in a language that the vocabulary knows
 lies well inside; key dumps, encoded binaries and text in a wrong encoding have short tokens, many
 byte tokens, or both, and endless repetition has hardly any entropy.
 """
@@ -34,15 +35,15 @@ class Band(NamedTuple):
     entropy_low: float  #: smallest entropy in bits; SHORT of the most possible is enough for short texts
 
 
-#: By language code; a language that isn't named here is judged by the script of most of its letters.
+#: By language code, the lower bounds of characters just under the measured spread of prose; a language that isn't named here is judged by the script of most of its letters.
 LANGUAGE_BANDS = {
-    "en": Band(1.20, 8.0, 0.10, 4.0),
-    "de": Band(1.20, 8.0, 0.10, 4.0),
-    "fr": Band(1.15, 8.0, 0.10, 4.0),
-    "es": Band(1.15, 8.0, 0.10, 4.0),
+    "en": Band(1.70, 8.0, 0.10, 4.0),
+    "de": Band(1.70, 8.0, 0.10, 4.0),
+    "fr": Band(1.66, 8.0, 0.10, 4.0),
+    "es": Band(1.65, 8.0, 0.10, 4.0),
 }
 SCRIPT_BANDS = {
-    "latin": Band(1.1, 10.0, 0.15, 3.8),
+    "latin": Band(1.3, 10.0, 0.15, 3.8),
     "cyrillic": Band(1.0, 10.0, 0.30, 3.8),
     "greek": Band(0.6, 10.0, 0.50, 3.5),
     "hebrew": Band(0.5, 10.0, 0.60, 3.5),
@@ -52,7 +53,10 @@ SCRIPT_BANDS = {
     "hangul": Band(0.3, 10.0, 0.95, 3.0),
     "cjk": Band(0.3, 10.0, 0.95, 3.0),
     "other": Band(0.2, 10.0, 1.00, 2.5),
+    "none": Band(1.3, 10.0, 0.15, 3.8),  #: no letters at all
 }
+#: One-byte code pages as which UTF-8 is read by mistake, and words of a text to a letter that is wrong by it.
+CODE_PAGES, WRONG = ("cp1252", "latin-1", "cp1251", "cp437"), 50
 #: A text with few tokens needs this share of the entropy that they could have.
 SHORT = 0.4
 #: First code point of each range, and the script of its letters; "" for what has no letters of a script.
@@ -70,11 +74,11 @@ SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in RANGES])
 
 
 def script(text: bytes) -> str:
-    """The script of most letters of a text; "other" without letters."""
+    """The script of most letters of a text; "none" without letters."""
     points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     seen = np.bincount(SCRIPT_OF[np.searchsorted(STARTS, points, "right") - 1], minlength=len(SCRIPTS))
     seen[SCRIPTS.index("")] = 0
-    return SCRIPTS[int(seen.argmax())] if seen.any() else "other"
+    return SCRIPTS[int(seen.argmax())] if seen.any() else "none"
 
 
 class Vocabulary:
@@ -152,6 +156,19 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def wrong_letters(text: bytes) -> int:
+    """Letters that a wrong encoding has spoilt: replacement characters, or those that become UTF-8 again as bytes of a code page."""
+    if text.isascii():
+        return 0
+    whole, lost = text.decode("utf-8", "replace"), text.count(b"\xef\xbf\xbd")
+    for page in CODE_PAGES:
+        try:
+            return max(lost, len(whole) - len(whole.encode(page).decode("utf-8")))
+        except UnicodeError:
+            continue
+    return lost
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 SIZE = "n_tokens"
@@ -230,6 +247,7 @@ def judge(
                 names = [x if x in bands else script(t) for x, t in zip(langs, texts)]
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
                 good = [within(bands.get(n) or scripts[n], *row) for n, *row in zip(names, *(m[k].tolist() for k in (*MEASURES, SIZE)))]
+                good = [g and WRONG * wrong_letters(t) <= n for g, t, n in zip(good, texts, m["n_words"].tolist())]
                 out = [pa.array(m[k], pa.int64()) for k in COUNTS] + [pa.array(m[k], pa.float64()) for k in MEASURES]
                 out += [pa.array(names, pa.string()), pa.array(failed), pa.array(~failed & np.array(good, bool))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*kept, *added])

@@ -135,3 +135,26 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(asked, nothing).collect()} == {"und"}
     single = langid.train(train.filter("lang = 'en'"), F.col("doc_id"))
     assert {r.lang_pred for r in langid.identify(asked.filter("doc_id < 4"), single).collect()} == {"en"}
+
+
+def test_quality_rejects_junk_and_keeps_prose(spark):
+    import base64
+
+    random.seed(5)
+    sf = "/root/testdata/sf0.01"
+    prose = duckdb.sql(f"SELECT text, lang FROM '{sf}/documents.parquet' WHERE lang IN ('en', 'de', 'fr', 'es')").fetchall()
+    letters, marks = "abcdefghijklmnopqrstuvwxyz", "!@#$%^&*()_+-=[]{};:,./?"
+    some = lambda make, n=60: [" ".join(make() for _ in range(n)) for _ in range(20)]
+    junk = [("base64", t, g) for t in some(lambda: base64.b64encode(random.randbytes(48)).decode()) for g in ("en", "de", "fr", "es", None)]
+    junk += [("hex", t, g) for t in some(lambda: random.randbytes(8).hex()) for g in ("en", "de", "fr", "es", None)]
+    junk += [("soup", t, g) for t in some(lambda: "".join(random.choices(marks, k=6))) for g in ("en", "de", "fr", "es", None)]
+    junk += [("letters", t, g) for t in some(lambda: "".join(random.choices(letters, k=8)), 200) for g in ("en", "de", "fr", "es")]
+    accented = [(t, g) for t, g in prose if g in ("de", "fr", "es") and 10 * sum(x > "\x7f" for x in t) > len(t.split()) > 30]
+    junk += [(page, t.encode().decode(page), g) for t, g in accented[:60] for page in ("latin-1", "cp437")]
+    junk += [("lost", t.encode("latin-1", "replace").decode("utf-8", "replace"), g) for t, g in accented[:60]]
+    rows = [(i, "prose", t, g) for i, (t, g) in enumerate(prose)] + [(-1 - i, k, t, g) for i, (k, t, g) in enumerate(junk)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, kind string, text string, lang string"), PIECES).filter("not base_failed").collect()
+    kept = {k: [r.kept for r in out if r.kind == k] for k in {r.kind for r in out}}
+    assert len(accented) >= 60 and set(kept) == {"prose", "base64", "hex", "soup", "letters", "latin-1", "cp437", "lost"}
+    assert sum(kept.pop("prose")) >= 0.99 * sum(r.kind == "prose" for r in out)
+    assert {k: sum(v) for k, v in kept.items()} == dict.fromkeys(kept, 0)
