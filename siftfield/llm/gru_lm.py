@@ -6,8 +6,9 @@ to eight times as many where few documents are left to run side by side), with t
 window to window; in scoring the state is carried through the whole document, whatever its length.
 Many documents run side by side, in lanes; a lane starts from a zero state where a document begins.
 
-The vocabulary is the most frequent training words; other words are one symbol, and which word it is
-has its probability from the training counts.  Counts cover all training documents.  After a warm
+The vocabulary is the most frequent training words, as many as cover a share COVERAGE of the training
+tokens, so it grows with the data; other words are one symbol, and which word it is has its probability
+from the training counts.  Counts cover all training documents.  After a warm
 start on a bounded sample every task trains on all its training documents, and the weights are
 averaged by the number of words behind them.
 """
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 
 from siftfield.llm.common import blocks, fraction, spread, utf8, word_hashes, written
 
-VOCABULARY, HIDDEN, STEPS, LANES = 2000, 16, 16, 256
+#: Share of the training tokens that the vocabulary covers at least, and its least number of words.
+COVERAGE, VOCABULARY = 0.8, 2000
+HIDDEN, STEPS, LANES = 16, 16, 256
 #: Words with their counts that every task holds, at most; documents of the warm start, at most.
 TABLE, WARM_DOCS, WARM_ROUNDS = 1 << 19, 1500, 3
 #: Words that a task keeps in memory at once, and words that a window should have.
 HELD, FULL = 3_000_000, 2048
-SHARDS = 16
+#: Pieces in which weights are averaged, at least, and weights of a piece.
+SHARDS, PIECE = 16, 1 << 14
 
 
 @dataclass
@@ -101,7 +105,14 @@ def gather_counts(train: DataFrame) -> tuple[Counts, DataFrame]:
     hashes = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows]) if rows else np.empty(0, np.uint64)
     counts = np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows]) if rows else np.empty(0, np.int64)
     order = np.argsort(hashes)
-    top = table.orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()
+    least, covered, words = max(by_step, default=0) + 1, 0, 0
+    for s in sorted(by_step, reverse=True):
+        if covered >= COVERAGE * (n - ends) and words >= VOCABULARY:
+            break
+        least, covered, words = s, covered + by_step[s][1], words + by_step[s][0]
+    top = sorted(table.filter(step >= least).collect(), key=lambda r: (-r["c"], r["word"].encode()))
+    taken = np.searchsorted(np.cumsum([r["c"] for r in top]), COVERAGE * (n - ends)) + 1
+    top = top[: max(int(taken), VOCABULARY)]
     return Counts(n, v, ends, [r["word"].encode() for r in top], [r["c"] for r in top], hashes[order], counts[order], floor), table
 
 
@@ -199,8 +210,8 @@ class Network:
             back[order] += d
         return out, back
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient of a window's mean loss, and the state to carry on."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray, np.ndarray]:
+        """Gradient of a window's mean loss, the words it reads, and the state to carry on."""
         kept: list = []
         states = self.states(x, fresh, h, kept)
         grad = Network(self.m - 2, self.h)
@@ -223,8 +234,9 @@ class Network:
         words, flat = x[real], into[real]
         order = np.argsort(words, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], words[order][1:] != words[order][:-1])))
-        g["x"][words[order][starts]] = np.add.reduceat(flat[order], starts, axis=0)
-        return grad.flat, states[-1]
+        rows = words[order][starts]
+        g["x"][rows] = np.add.reduceat(flat[order], starts, axis=0)
+        return grad, rows, states[-1]
 
 
 class Adam:
@@ -232,14 +244,24 @@ class Adam:
         self.net, self.rate, self.t = net, rate, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
-    def step(self, grad: np.ndarray) -> None:
+    def step(self, grad: Network, rows: np.ndarray) -> None:
+        """Input weights are looked at for the words that were read only."""
         self.t += 1
-        size = float(np.sqrt((grad * grad).sum()))
-        if size > 1:
-            grad = grad / size
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.005 * (grad * grad - self.v)
-        self.net.flat -= self.rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.995**self.t)) + 1e-6)
+        n = grad.views["x"].size
+        read, rest = grad.views["x"][rows], grad.flat[n:]
+        size = float(np.sqrt((read * read).sum() + (rest * rest).sum()))
+        scale = np.float32(1 / max(size, 1))
+        first, second, x = self.m[:n].reshape(grad.m, -1), self.v[:n].reshape(grad.m, -1), self.net.views["x"]
+        m, v = first[rows], second[rows]
+        x[rows] -= self.change(read * scale, m, v)
+        first[rows], second[rows] = m, v
+        self.net.flat[n:] -= self.change(rest * scale, self.m[n:], self.v[n:])
+
+    def change(self, grad: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """What to take off the weights; updates the means m and v in place."""
+        m += np.float32(0.1) * (grad - m)
+        v += np.float32(0.005) * (grad * grad - v)
+        return np.float32(self.rate / (1 - 0.9**self.t)) * m / (np.sqrt(v / np.float32(1 - 0.995**self.t)) + np.float32(1e-6))
 
 
 def windows(docs: list[np.ndarray], end: int, steps: int, lanes: int = LANES) -> Iterator[tuple[np.ndarray, ...]]:
@@ -285,8 +307,8 @@ def train_on(net: Network, docs: list[np.ndarray], adam: Adam) -> None:
     h = None
     for x, y, _, fresh, real in windows(docs, net.m - 1, STEPS):
         h = np.zeros((x.shape[1], net.h), np.float32) if h is None else h[: x.shape[1]]
-        grad, h = net.gradients(x, y, fresh, real, h)
-        adam.step(grad)
+        grad, rows, h = net.gradients(x, y, fresh, real, h)
+        adam.step(grad, rows)
 
 
 def score_docs(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -330,15 +352,15 @@ def trained(net: Network, train: DataFrame, known: dict[bytes, int], rate: float
         if held:
             learn()
         if weight:
-            pieces = np.array_split(own.flat.astype(np.float64) * weight, SHARDS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary()), pa.array([float(weight)] * SHARDS)], names=["shard", "values", "weight"])
+            pieces = np.array_split(own.flat, max(SHARDS, -(-len(own.flat) // PIECE)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary()), pa.array([float(weight)] * len(pieces))], names=["shard", "values", "weight"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
             for shard, values, weight in zip(*(c.to_pylist() for c in batch.columns)):
                 old = sums.setdefault(shard, [0.0, 0.0])
-                sums[shard] = [old[0] + np.frombuffer(values), old[1] + weight]
+                sums[shard] = [old[0] + weight * np.frombuffer(values, np.float32).astype(np.float64), old[1] + weight]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([w for _, w in sums.values()], pa.float64())], names=["shard", "values", "weight"])
 
     schema = "shard int, values binary, weight double"

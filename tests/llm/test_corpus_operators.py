@@ -230,3 +230,14 @@ def test_parity_maps_never_overstate():
     assert (told <= real).all() and (told[real == 0] == 0).all()
     near = (real > 0) & (real <= 100) & (np.minimum(maps.size[a], maps.size[b]) >= 16)
     assert told[near].sum() > 0.8 * real[near].sum()  # and says nearly all of a small difference
+
+
+def test_vocabulary_follows_the_training_tokens(spark):
+    texts = [" ".join(f"w{(k * 7 + i) % 6000}" for i in range(40)) for k in range(600)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts, _ = gru_lm.gather_counts(train)
+    c = Counter(x for t in texts for x in t.split())
+    assert sum(counts.of_vocabulary) >= 0.8 * sum(c.values()) > sum(k for _, k in c.most_common(2000))
+    assert [c[w.decode()] for w in counts.vocabulary] == counts.of_vocabulary == sorted(c.values(), reverse=True)[: len(counts.vocabulary)]
+    few, _ = gru_lm.gather_counts(spark.createDataFrame([(t,) for t in texts[:3]], "text string"))
+    assert len(few.vocabulary) == few.v - 1 == len({x for t in texts[:3] for x in t.split()})  # small tables: all words
