@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: An ordered lexicon: a key and the variants by which a text names it.
 Lexicon = Sequence[tuple[str, Sequence[str]]]
 
-ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöçÁÉÍÓÚÜÑ", "aeiouunaeiouaeiouaeiocAEIOUUN"
+ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöçÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÄËÏÖÇ", "aeiouunaeiouaeiouaeiocAEIOUUNAEIOUAEIOUAEIOC"
 
 
 def any_of(conditions: Iterable[Column]) -> Column:

@@ -124,7 +124,12 @@ def prompt_assembly(spark, d):
 @query("accent_fold", "SELECT doc_id, md5(strip_accents(substr(text, 1, 400))) AS folded FROM documents WHERE lang IN ('es', 'fr')")
 def accent_fold(spark, d):
     docs = table(spark, d, "documents").filter("lang in ('es', 'fr')")
-    return docs.select("doc_id", F.md5(t.fold_accents(F.translate(F.substring("text", 1, 400), "ÊÈÇÂÀ", "EECAA"))).alias("folded"))
+    return docs.select("doc_id", F.md5(t.fold_accents(F.substring("text", 1, 400))).alias("folded"))
+
+
+@query("accent_fold_whole")
+def accent_fold_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(t.fold_accents(F.col("text"))).alias("folded"))
 
 
 @query("region_lookup", "SELECT c_custkey, coalesce(r_name, 'no identificada') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 5 <> 4 LEFT JOIN region ON r_regionkey = n_regionkey")

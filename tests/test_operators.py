@@ -281,3 +281,21 @@ def test_order_of_rows_does_not_matter(spark, small, parts):
     got = sorted(map(tuple, lines.context_evidence(ls, "doc_id", "(?i)license", ["[0-9]+"]).select("doc_id", "line_no").collect()))
     want = sorted(map(tuple, lines.context_evidence(lines.explode_lines(docs.coalesce(1), "doc_id", "text"), "doc_id", "(?i)license", ["[0-9]+"]).select("doc_id", "line_no").collect()))
     assert got == want
+
+
+def test_accent_fold_of_whole_texts(spark, tmp_path):
+    import hashlib
+    import unicodedata
+
+    from siftfield.plans.registry import QUERIES
+
+    late = "x" * 400 + " ÁÀÂÄ ÉÈÊË ÍÌÎÏ ÓÒÔÖ ÚÙÛÜ Ñ Ç áàâä éèêë íìîï óòôö úùûü ñ ç ß 漢 ж"
+    rows = [(1, late, "es"), (2, late, "de"), (3, "Müller à Ölçü", None), (4, None, "fr"), (5, "", "en"), (6, "ÊÈÇÂÀ", "fr"), (6, "ÊÈÇÂÀ", "fr")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain(text):
+        return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+    want = sorted((i, x if x is None else hashlib.md5(plain(x).encode()).hexdigest()) for i, x, _ in rows)
+    got = sorted((r.doc_id, r.folded) for r in QUERIES["accent_fold_whole"](spark, str(tmp_path)).collect())
+    assert got == want and len({x for i, x in got if i in (1, 2)}) == 1
