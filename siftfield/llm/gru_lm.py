@@ -1,16 +1,20 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
 The network reads a text word by word and predicts the next one: a class by softmax, then the word
-within its class by softmax.  It is trained by backpropagation truncated to windows of STEPS words (up
-to eight times as many where few documents are left to run side by side), with the state carried from
-window to window; in scoring the state is carried through the whole document, whatever its length.
-Many documents run side by side, in lanes; a lane starts from a zero state where a document begins.
+within its class by softmax.  It is trained by backpropagation truncated to windows of STEPS words,
+with the state carried from window to window, for SEGMENT words; in scoring the state is carried through
+the whole document, whatever its length.  Many documents run side by side, in lanes; a lane starts from a zero
+state where a document begins.
 
 The vocabulary is the most frequent training words, as many as cover a share COVERAGE of the training
 tokens, so it grows with the data; other words are one symbol, and which word it is has its probability
-from the training counts.  Counts cover all training documents.  After a warm
-start on a bounded sample every task trains on all its training documents, and the weights are
-averaged by the number of words behind them.
+from the training counts.  Counts cover all training documents.
+
+Texts are turned into ids once.  After a warm start on WARM_DOCS different texts at most, training
+documents are dealt by hash to shards of about SHARD_TOKENS words; a network learns from each shard, and
+the networks are averaged by the words behind them, in ROUNDS rounds over disjoint parts of the
+documents.  Shards depend on the documents alone, so neither files nor the cluster change the result
+beyond rounding.
 """
 
 from __future__ import annotations
@@ -19,23 +23,28 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import blocks, fraction, spread, utf8, word_hashes, written
+from siftfield.llm.common import blocks, spread, utf8, word_hashes, written
 
 #: Share of the training tokens that the vocabulary covers at least, and its least number of words.
 COVERAGE, VOCABULARY = 0.8, 2000
-HIDDEN, STEPS, LANES = 16, 16, 256
+HIDDEN, STEPS, LANES = 16, 16, 512
 #: Words with their counts that every task holds, at most; documents of the warm start, at most.
 TABLE, WARM_DOCS, WARM_ROUNDS = 1 << 19, 1500, 3
-#: Words that a task keeps in memory at once, and words that a window should have.
-HELD, FULL = 3_000_000, 2048
-#: Pieces in which weights are averaged, at least, and weights of a piece.
-SHARDS, PIECE = 16, 1 << 14
+#: Words of a shard, about, and rounds of averaging; words that a task keeps in memory at once, at most.
+SHARD_TOKENS, ROUNDS, HELD = 1_000_000, 2, 3_000_000
+#: In training the state is carried over so many words of a document at most; words of a window in scoring, about.
+SEGMENT, FULL = 2048, 1 << 15
+#: Weights in a piece of a network on its way to the average, and rows of a block of logits.
+PIECE, ROWS = 1 << 16, 2048
+#: Symbols: a word that isn't in the vocabulary, the end, then the vocabulary by frequency.
+OTHER, END, FIRST = 0, 1, 2
 
 
 @dataclass
@@ -61,10 +70,12 @@ class Counts:
 
 
 def counted(train: DataFrame) -> DataFrame:
-    """word, c over rows of text; each task adds up its own words first, in bounded memory."""
+    """word, c over rows of text, the number of texts under a null word; each task adds up its own words
+    first, in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        texts = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
@@ -73,21 +84,25 @@ def counted(train: DataFrame) -> DataFrame:
             for part in blocks(batch, "text"):
                 for text in utf8(part.column(0)):
                     seen.update(text.lower().split())
+                texts += part.num_rows
                 if len(seen) > 300_000:
                     yield out()
                     seen.clear()
         if seen:
             yield out()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([texts], pa.int64())], names=["word", "c"])
 
     return train.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def gather_counts(train: DataFrame) -> tuple[Counts, DataFrame]:
     """The totals and frequent words, and the table of all counts."""
-    table = written(counted(train), "word-counts")
+    everything = written(counted(train), "word-counts")
+    table = everything.filter("word is not null")
     step = F.floor(F.log2("c") * 8).cast("int")
     by_step = {r["s"]: (r["k"], r["c"]) for r in table.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect()}
-    ends = train.count()
+    ends = int(everything.filter("word is null").agg(F.sum("c")).first()[0] or 0)
     n, v = sum(c for _, c in by_step.values()) + ends, sum(k for k, _ in by_step.values()) + (ends > 0)
     low, held = max(by_step, default=0) + 1, 0
     for s in sorted(by_step, reverse=True):
@@ -116,332 +131,449 @@ def gather_counts(train: DataFrame) -> tuple[Counts, DataFrame]:
     return Counts(n, v, ends, [r["word"].encode() for r in top], [r["c"] for r in top], hashes[order], counts[order], floor), table
 
 
+def class_bounds(symbols: int) -> np.ndarray:
+    """Where classes begin in the symbols by frequency, and the end.
+
+    A class that begins at rank a takes sqrt(a * ln(symbols)) of them, 8 at least: where frequency falls
+    with rank, this makes the classes and the words within a token's class about equally many.
+    """
+    out = [0]
+    while out[-1] < symbols:
+        out.append(min(symbols, out[-1] + max(8, int(np.sqrt(out[-1] * np.log(symbols))))))
+    return np.array(out)
+
+
 class Network:
-    """Weights of the network, as one flat vector with views on it."""
-
-    def __init__(self, n_words: int, hidden: int = HIDDEN):
-        self.m, self.h = n_words + 2, hidden  # the words, one for all others, the end
-        self.s = max(1, int(np.ceil(np.sqrt(self.m))))
-        self.c = -(-self.m // self.s)
-        shapes = {"x": (self.m, 3 * hidden), "u": (hidden, 3 * hidden), "wc": (self.c, hidden), "bc": (self.c,), "ww": (self.c, self.s, hidden), "bw": (self.c, self.s)}
-        self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
+    """Weights of the network, as one flat vector with views on it.
+
+    Output weights end in a bias; they meet states that end in a one.
+    """
+
+    def __init__(self, n_words: int, hidden: int = HIDDEN, kind: type = np.float32):
+        self.m, self.h, self.kind = n_words + FIRST, hidden, kind
+        self.bounds = class_bounds(self.m)
+        self.c = len(self.bounds) - 1
+        self.of = np.repeat(np.arange(self.c), np.diff(self.bounds))
+        shapes = {"x": (self.m, 3 * hidden), "u": (hidden, 3 * hidden), "wc": (self.c, hidden + 1), "ww": (self.m, hidden + 1)}
+        self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), kind)
         self.views, at = {}, 0
         for k, shape in shapes.items():
             size = int(np.prod(shape))
             self.views[k] = self.flat[at : at + size].reshape(shape)
             at += size
+        self.room: np.ndarray = np.empty(0, kind)
 
     @classmethod
-    def start(cls, counts: Counts, seed: int = 9) -> Network:
+    def start(cls, counts: Counts, seed: int = 9, hidden: int = HIDDEN, kind: type = np.float32) -> Network:
         """Random recurrent weights; the output begins with the words' frequencies."""
-        net, random = cls(len(counts.vocabulary)), np.random.default_rng(seed)
+        net, random = cls(len(counts.vocabulary), hidden, kind), np.random.default_rng(seed)
         net.views["x"][:] = random.normal(0, 0.3, net.views["x"].shape)
         net.views["u"][:] = random.normal(0, 0.3, net.views["u"].shape)
-        p = np.full(net.c * net.s, 1e-30)
-        p[: net.m] = np.array([*counts.of_vocabulary, counts.other_n, counts.ends], float) + 0.5
-        p = p.reshape(net.c, net.s)
-        net.views["bc"][:] = np.log(p.sum(axis=1) / p.sum())
-        net.views["bw"][:] = np.log(p / p.sum(axis=1, keepdims=True))
+        p = np.array([counts.other_n, counts.ends, *counts.of_vocabulary], float) + 0.5
+        of_class = np.add.reduceat(p, net.bounds[:-1])
+        net.views["wc"][:, -1] = np.log(of_class / p.sum())
+        net.views["ww"][:, -1] = np.log(p / of_class[net.of])
         return net
 
+    def empty(self) -> Network:
+        return Network(self.m - FIRST, self.h, self.kind)
+
     def copy(self) -> Network:
-        out = Network(self.m - 2, self.h)
+        out = self.empty()
         out.flat[:] = self.flat
         return out
 
-    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return {"m": self.m, "h": self.h, "kind": self.kind, "flat": self.flat}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["m"] - FIRST, state["h"], state["kind"])
+        self.flat[:] = state["flat"]
+
+    def block(self, rows: int, columns: int) -> np.ndarray:
+        """Scratch memory that is used again; fresh pages for each block of logits cost more than the logits."""
+        if len(self.room) < rows * columns:
+            self.room = np.empty(rows * columns, self.kind)
+        return self.room[: rows * columns].reshape(rows, columns)
+
+    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """The state after each word of a window (words by lanes), from the state before it."""
-        n, u, table = self.h, self.views["u"], self.views["x"]
-        out = np.empty((*x.shape, n), np.float32)
+        n, u, lanes = self.h, self.views["u"], x.shape[1]
+        out, read = np.empty((*x.shape, n), self.kind), self.views["x"][x]
+        if keep is not None:
+            keep.update({k: np.empty((*x.shape, w * n), self.kind) for k, w in (("before", 1), ("gates", 2), ("new", 1), ("from_h", 1))})
+        b, gates, new = np.empty((lanes, 3 * n), self.kind), np.empty((lanes, 2 * n), self.kind), np.empty((lanes, n), self.kind)
+        begins = fresh.any(axis=1)
         for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            a, b = table[x[t]], h @ u
-            gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + b[:, : 2 * n])))
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
+            if begins[t]:
+                h = np.where(fresh[t][:, None], self.kind(0), h)
+            np.matmul(h, u, out=b)
+            np.add(read[t, :, : 2 * n], b[:, : 2 * n], out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[:, n:], b[:, 2 * n :], out=new)
+            new += read[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((h, z, r, new, b[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+                keep["before"][t], keep["gates"][t], keep["new"][t], keep["from_h"][t] = h, gates, new, b[:, 2 * n :]
+            h = np.subtract(h, new, out=out[t])
+            h *= gates[:, :n]
+            h += new
         return out
 
     def log_p(self, states: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target after its state; with ``grads``, adds the gradients
-        of the mean loss to it and returns that of the states."""
-        v, which = self.views, y // self.s
-        logits = states @ v["wc"].T + v["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        rows = np.arange(len(y))
-        out = logits[rows, which] - np.log(total)
-        back = None
-        if grads is not None:
-            p /= total[:, None]
-            p[rows, which] -= 1
-            p /= len(y)
-            grads["wc"] += p.T @ states
-            grads["bc"] += p.sum(axis=0)
-            back = p @ v["wc"]
-        order = np.argsort(which, kind="stable")  # by class: one small product for each, the rest for all rows
-        own, s = which[order], states[order]
-        cuts = np.searchsorted(own, np.arange(self.c + 1))
-        spans = [(c, cuts[c], cuts[c + 1]) for c in range(self.c) if cuts[c] < cuts[c + 1]]
-        logits = np.empty((len(y), self.s), np.float32)
-        for c, i, j in spans:
-            np.matmul(s[i:j], v["ww"][c].T, out=logits[i:j])
-        logits += v["bw"][own]
-        logits -= logits.max(axis=1, keepdims=True)
-        at = y[order] - own * self.s
-        hit = logits[rows, at]
-        p = np.exp(logits, out=logits)
-        total = p.sum(axis=1)
-        out[order] += hit - np.log(total)
+        """Natural log probability of each target after its state; with ``grads``, sets the output weights'
+        gradients of the mean loss there and returns that of the states."""
+        wc, ww, n, h = self.views["wc"], self.views["ww"], len(y), self.h
+        # states lie between -1 and 1, so this bounds all logits; small ones need no shift before exp
+        shift = max(np.abs(wc).sum(axis=1).max(), np.abs(ww).sum(axis=1).max()) > 60
+
+        def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            rows = np.arange(len(at))
+            if shift:
+                logits -= logits.max(axis=1, keepdims=True)
+            hit = logits[rows, at]
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=1)
+            if grads is not None:
+                logits *= (1 / (n * total))[:, None]
+                logits[rows, at] -= self.kind(1 / n)
+            return hit - np.log(total)
+
+        order = np.argsort(self.of[y], kind="stable")
+        s, which = np.ones((n, h + 1), self.kind), self.of[y[order]]
+        s[:, :h] = states[order]
+        lp = np.empty(n, self.kind)
+        back = np.empty((n, h), self.kind) if grads is not None else None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, at] -= 1
-            p /= len(y)
-            d = np.empty_like(s)
-            for c, i, j in spans:
-                np.matmul(p[i:j], v["ww"][c], out=d[i:j])
-                grads["ww"][c] += p[i:j].T @ s[i:j]
-                grads["bw"][c] += p[i:j].sum(axis=0)
-            back[order] += d
-        return out, back
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[Network, np.ndarray, np.ndarray]:
-        """Gradient of a window's mean loss, the words it reads, and the state to carry on."""
-        kept: list = []
+            grads["wc"][:], grads["ww"][:] = 0, 0
+        for i in range(0, n, ROWS):
+            j = min(i + ROWS, n)
+            logits = np.matmul(s[i:j], wc.T, out=self.block(j - i, self.c))
+            lp[i:j] = softmax(logits, which[i:j])
+            if grads is not None:
+                grads["wc"] += logits.T @ s[i:j]
+                np.matmul(logits, wc[:, :h], out=back[i:j])
+        at = y[order] - self.bounds[which]
+        cuts = np.searchsorted(which, np.arange(self.c + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            words = slice(self.bounds[c], self.bounds[c + 1])
+            for i in range(cuts[c], cuts[c + 1], ROWS):
+                j = min(i + ROWS, cuts[c + 1])
+                logits = np.matmul(s[i:j], ww[words].T, out=self.block(j - i, words.stop - words.start))
+                lp[i:j] += softmax(logits, at[i:j])
+                if grads is not None:
+                    grads["ww"][words] += logits.T @ s[i:j]
+                    back[i:j] += logits @ ww[words, :h]
+        out = np.empty(n, self.kind)
+        out[order] = lp
+        if grads is None:
+            return out, None
+        d = np.empty((n, h), self.kind)
+        d[order] = back
+        return out, d
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray, grad: Network) -> tuple[np.ndarray, np.ndarray]:
+        """Put the gradient of a window's mean loss into ``grad`` (input weights: only of the words that are
+        read); returns those words, and the state to carry on."""
+        kept: dict = {}
         states = self.states(x, fresh, h, kept)
-        grad = Network(self.m - 2, self.h)
-        g, n = grad.views, self.h
+        g, n, u = grad.views, self.h, self.views["u"].T
         back = np.zeros_like(states)
         _, back[real] = self.log_p(states[real], y[real], g)
-        into, later = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(h)
+        into = np.empty((*x.shape, 3 * n), self.kind)
+        d_b = np.empty_like(into)
+        later, begins = np.zeros_like(states[0]), fresh.any(axis=1)
+        z, r = kept["gates"][..., :n], kept["gates"][..., n:]
+        # what the chain rule needs of each step beside the gradient that comes back to its state
+        by_new = (1 - z) * (1 - kept["new"] ** 2)
+        by_z = (kept["before"] - kept["new"]) * z * (1 - z)
+        by_r = by_new * kept["from_h"] * r * (1 - r)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, new, from_h = kept[t]
-            d = back[t] + later
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * from_h * r * (1 - r)
-            into[t, :, :n], into[t, :, n : 2 * n], into[t, :, 2 * n :] = d_z, d_r, d_new
-            d_b = np.concatenate((d_z, d_r, d_new * r), axis=1)
-            g["u"] += before.T @ d_b
-            later = d * z + d_b @ self.views["u"].T
-            if fresh[t].any():
-                later = np.where(fresh[t][:, None], np.float32(0), later)
+            d = back[t]
+            d += later
+            np.multiply(d, by_z[t], out=into[t, :, :n])
+            np.multiply(d, by_r[t], out=into[t, :, n : 2 * n])
+            np.multiply(d, by_new[t], out=into[t, :, 2 * n :])
+            d_b[t, :, : 2 * n] = into[t, :, : 2 * n]
+            np.multiply(into[t, :, 2 * n :], r[t], out=d_b[t, :, 2 * n :])
+            np.matmul(d_b[t], u, out=later)
+            d *= z[t]
+            later += d
+            if begins[t]:
+                later[fresh[t]] = 0
+        np.matmul(kept["before"].reshape(-1, n).T, d_b.reshape(-1, 3 * n), out=g["u"])
         words, flat = x[real], into[real]
         order = np.argsort(words, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], words[order][1:] != words[order][:-1])))
-        rows = words[order][starts]
+        words = words[order]
+        starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        rows = words[starts]
         g["x"][rows] = np.add.reduceat(flat[order], starts, axis=0)
-        return grad, rows, states[-1]
+        return rows, states[-1].copy()
 
 
 class Adam:
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.t = net, rate, 0
-        self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.m, self.v, self.grad = np.zeros_like(net.flat), np.zeros_like(net.flat), net.empty()
+        self.room = np.empty_like(net.flat[net.views["x"].size :])
 
-    def step(self, grad: Network, rows: np.ndarray) -> None:
-        """Input weights are looked at for the words that were read only."""
+    def step(self, rows: np.ndarray) -> None:
+        """Take a step by ``grad``; input weights are looked at for the words that were read only."""
         self.t += 1
-        n = grad.views["x"].size
+        grad, n = self.grad, self.grad.views["x"].size
         read, rest = grad.views["x"][rows], grad.flat[n:]
-        size = float(np.sqrt((read * read).sum() + (rest * rest).sum()))
-        scale = np.float32(1 / max(size, 1))
+        size = float(np.sqrt(np.vdot(read, read) + np.vdot(rest, rest)))
+        if size > 1:
+            read *= self.net.kind(1 / size)
+            rest *= self.net.kind(1 / size)
         first, second, x = self.m[:n].reshape(grad.m, -1), self.v[:n].reshape(grad.m, -1), self.net.views["x"]
         m, v = first[rows], second[rows]
-        x[rows] -= self.change(read * scale, m, v)
+        x[rows] -= self.change(read, m, v, np.empty_like(read))
         first[rows], second[rows] = m, v
-        self.net.flat[n:] -= self.change(rest * scale, self.m[n:], self.v[n:])
-
-    def change(self, grad: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """What to take off the weights; updates the means m and v in place."""
-        m += np.float32(0.1) * (grad - m)
-        v += np.float32(0.005) * (grad * grad - v)
-        return np.float32(self.rate / (1 - 0.9**self.t)) * m / (np.sqrt(v / np.float32(1 - 0.995**self.t)) + np.float32(1e-6))
-
-
-def windows(docs: list[np.ndarray], end: int, steps: int, lanes: int = LANES) -> Iterator[tuple[np.ndarray, ...]]:
+        self.net.flat[n:] -= self.change(rest, self.m[n:], self.v[n:], self.room)
+
+    def change(self, grad: np.ndarray, m: np.ndarray, v: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """What to take off the weights; updates the means m and v in place, as it does ``grad``."""
+        kind = self.net.kind
+        m *= kind(0.9)
+        np.multiply(grad, kind(0.1), out=room)
+        m += room
+        v *= kind(0.995)
+        np.multiply(grad, grad, out=grad)
+        grad *= kind(0.005)
+        v += grad
+        np.sqrt(v, out=room)
+        room += kind(1e-6 * np.sqrt(1 - 0.995**self.t))
+        np.divide(m, room, out=room)
+        room *= kind(self.rate / (1 - 0.9**self.t) * np.sqrt(1 - 0.995**self.t))
+        return room
+
+
+def windows(docs: list[np.ndarray], steps: int, full: int = 0, cut: int = 0, lanes: int = LANES) -> Iterator[tuple[np.ndarray, ...]]:
     """Documents (ids of their words) dealt to lanes of about equal length, window by window: inputs,
-    targets, document numbers, where a document begins, and what is real; the longest lanes come first,
-    and lanes that have ended fall away."""
-    heap = [(0, k) for k in range(max(1, min(lanes, len(docs))))]
-    own: list[list[int]] = [[] for _ in heap]
-    for d in sorted(range(len(docs)), key=lambda d: (-len(docs[d]), d)):
-        load, k = heapq.heappop(heap)
-        own[k].append(d)
-        heapq.heappush(heap, (load + len(docs[d]) + 1, k))
-    own = sorted((ds for ds in own if ds), key=lambda ds: -sum(len(docs[d]) + 1 for d in ds))
-    order = [d for ds in own for d in ds]
-    if not order:
+    targets, document numbers, where a state begins, and what is real; the longest lanes come first, and
+    lanes that have ended fall away.
+
+    A window has ``steps`` words of each lane, or more if it holds fewer than ``full`` in all (no matter in
+    scoring, as the state is carried).  ``cut``: documents are dealt in pieces of so many words.
+    """
+    if not docs:
         return
-    sizes = np.array([len(docs[d]) + 1 for d in order])
+    sizes = np.array([len(d) + 1 for d in docs])
     ends = np.cumsum(sizes)
-    y = np.full(ends[-1], end, np.int64)
-    number = np.repeat(np.array(order), sizes)
+    begins = ends - sizes
+    y, x = np.full(ends[-1], END, np.int64), np.full(ends[-1], END, np.int64)
     inner = np.ones(len(y), bool)
     inner[ends - 1] = False
-    y[inner] = np.concatenate([docs[d] for d in order])
-    x = np.concatenate(([end], y[:-1]))  # the end of one document is the beginning of the next
-    begin = np.zeros(len(y), bool)
-    begin[ends - sizes] = True
-    length = np.array([sum(len(docs[d]) + 1 for d in ds) for ds in own])
+    y[inner] = np.concatenate(docs)
+    x[1:] = y[:-1]  # the end of one document is the beginning of the next
+    pieces = -(-sizes // cut) if cut else np.ones(len(docs), np.int64)
+    doc = np.repeat(np.arange(len(docs)), pieces)
+    low = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * cut
+    low, size = begins[doc] + low, np.minimum(sizes[doc] - low, cut or sizes.max())
+    heap = [(0, k) for k in range(min(lanes, len(doc)))]
+    own: list[list[int]] = [[] for _ in heap]
+    for d in np.lexsort((low, -size)).tolist():
+        load, k = heapq.heappop(heap)
+        own[k].append(d)
+        heapq.heappush(heap, (load + int(size[d]), k))
+    length = np.array([size[ds].sum() for ds in own])
+    by = np.argsort(-length, kind="stable")
+    length, order = length[by], np.concatenate([own[k] for k in by]).astype(np.int64)
     start = np.cumsum(length) - length
+    place = np.arange(length.sum()) + np.repeat(low[order] - (np.cumsum(size[order]) - size[order]), size[order])
+    fresh = np.zeros(len(y), bool)
+    fresh[low] = True
+    number = np.repeat(np.arange(len(docs)), sizes)
     t = 0
     while t < int(length[0]):
         live = int(np.searchsorted(-length, -t))
-        size = steps
-        while size < 8 * steps and live * size < FULL:  # few lanes are left: longer windows
-            size *= 2
-        at = t + np.arange(min(size, int(length[0]) - t))[:, None]
+        to = min(t + max(steps, full // live), int(length[0]))
+        at = np.arange(t, to)[:, None]
         real = at < length[None, :live]
-        place = np.minimum(start[None, :live] + at, (start + length - 1)[None, :live])
-        yield x[place], y[place], number[place], begin[place], real
-        t += size
+        here = place[np.minimum(start[None, :live] + at, (start + length - 1)[None, :live])]
+        yield x[here], y[here], number[here], fresh[here], real
+        t = to
 
 
 def train_on(net: Network, docs: list[np.ndarray], adam: Adam) -> None:
     h = None
-    for x, y, _, fresh, real in windows(docs, net.m - 1, STEPS):
-        h = np.zeros((x.shape[1], net.h), np.float32) if h is None else h[: x.shape[1]]
-        grad, rows, h = net.gradients(x, y, fresh, real, h)
-        adam.step(grad, rows)
+    for x, y, _, fresh, real in windows(docs, STEPS, cut=SEGMENT):
+        h = np.zeros((x.shape[1], net.h), net.kind) if h is None else h[: x.shape[1]]
+        rows, h = net.gradients(x, y, fresh, real, h, adam.grad)
+        adam.step(rows)
 
 
 def score_docs(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each whole document, its end included."""
     out, h = np.zeros(len(docs)), None
-    for x, y, number, fresh, real in windows(docs, net.m - 1, 4 * STEPS):
-        h = np.zeros((x.shape[1], net.h), np.float32) if h is None else h[: x.shape[1]]
+    for x, y, number, fresh, real in windows(docs, STEPS, full=FULL):
+        h = np.zeros((x.shape[1], net.h), net.kind) if h is None else h[: x.shape[1]]
         states = net.states(x, fresh, h)
-        h = states[-1]
+        h = states[-1].copy()
         lp, _ = net.log_p(states[real], y[real])
         out += np.bincount(number[real], lp.astype(np.float64), len(docs))
     return out
 
 
-def ids_of(texts: list[bytes], known: dict[bytes, int], other: int) -> list[np.ndarray]:
-    return [np.fromiter((known.get(w, other) for w in t.lower().split()), np.int64) for t in texts]
+CODED = "doc_id bigint, held_out boolean, key bigint, text_key bigint, n_tokens bigint, n_known bigint, base double, outside double, others bigint, ids binary, words array<string>, times array<bigint>"
+
 
+def coded(docs: DataFrame, counts: Counts) -> DataFrame:
+    """Every text as ids, and what the counts that every task holds say of it.
 
-def trained(net: Network, train: DataFrame, known: dict[bytes, int], rate: float, rounds: int = 1) -> Network:
-    """Train a copy of the network in every task on all its rows, and average the copies by words."""
-    shared = train.sparkSession.sparkContext.broadcast((net, known))
+    Per row: key (of id and text) and text_key, tokens with the end, known ones, the sum of log counts
+    (base), that of words outside the vocabulary (outside) and their number (others); words and times:
+    those that only the table of all counts can tell.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((counts, {w: i + FIRST for i, w in enumerate(counts.vocabulary)}))
+    names = [x.split(" ")[0] for x in CODED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, known = shared.value
+        end_log = float(np.log10(counts.ends + 0.1))
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                texts = utf8(part.column(2))
+                words = [t.lower().split() for t in texts]
+                flat, n = list(chain.from_iterable(words)), len(texts)
+                names_ = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+                codes = np.fromiter(map(names_.__getitem__, flat), np.int64, len(flat))
+                lengths = np.array([len(ws) for ws in words], np.int64)
+                distinct = list(names_)
+                hashes, _ = word_hashes([b"\n".join(distinct)])
+                at = np.minimum(np.searchsorted(counts.hashes, hashes), max(len(counts.hashes) - 1, 0))
+                c = np.where(counts.hashes[at] == hashes, counts.counts[at], 0) if len(counts.hashes) else np.zeros(len(hashes), np.int64)
+                frequent, logs = c > 0, np.where(c > 0, np.log10(c + 0.1), 0.0)
+                place = np.fromiter((known.get(w, OTHER) for w in distinct), np.int32, len(distinct))
+                ids, doc = place[codes], np.repeat(np.arange(n), lengths)
+                beyond = ids == OTHER
+                own = np.flatnonzero(~frequent[codes])
+                pairs, times = np.unique(doc[own] * (len(distinct) + 1) + codes[own], return_counts=True)
+                rare = [distinct[k].decode("utf-8", "replace") for k in (pairs % (len(distinct) + 1)).tolist()]
+                lists = pa.array(np.searchsorted(pairs, np.arange(n + 1) * (len(distinct) + 1)).astype(np.int32))
+                known_, base, outside, others = (np.bincount(doc, w, n) for w in (frequent[codes], logs[codes], np.where(beyond, logs[codes], 0.0), beyond))
+                raw, bounds = ids.tobytes(), 4 * np.concatenate(([0], np.cumsum(lengths)))
+                columns = [
+                    *(part.column(i) for i in (0, 1, 3, 4)), pa.array(lengths + 1), pa.array(known_.astype(np.int64) + (counts.ends > 0)), pa.array(base + end_log), pa.array(outside), pa.array(others.astype(np.int64)),
+                    pa.array([raw[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary()), pa.ListArray.from_arrays(lists, pa.array(rare, pa.string())), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    sha = F.sha2("text", 256)
+    return docs.select("doc_id", "held_out", "text", F.xxhash64("doc_id", sha).alias("key"), F.xxhash64(sha).alias("text_key")).mapInArrow(run, CODED)
+
+
+def averaged(net: Network, rows: DataFrame, rate: float, shards: int, rounds: int = 1) -> Network:
+    """Learn from each shard of the rows (shard, key, ids), beginning with ``net``, and average by words.
+
+    A task takes its shards one by one and sends one network, the mean of theirs.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, known = shared.value
-        own, weight, held, size = start.copy(), 0, [], 0
-        adam = Adam(own, rate)
+        start, shard, first, held, size = shared.value, None, 0, [], 0
+        total, weight, words = np.zeros(len(start.flat)), 0, 0
+        own: Network | None = None
 
         def learn() -> None:
             for _ in range(rounds):
                 train_on(own, held, adam)
+            held.clear()
 
         for batch in batches:
-            for part in blocks(batch, "text"):
-                docs = ids_of(utf8(part.column(0)), known, own.m - 2)
-                held.extend(docs)
-                n = sum(map(len, docs)) + len(docs)
-                weight, size = weight + n, size + n
+            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if s != shard:
+                    if own is not None:
+                        learn()
+                        total += own.flat.astype(np.float64) * words
+                        weight += words
+                    first = s if shard is None else first
+                    own, shard, size, words = start.copy(), s, 0, 0
+                    adam = Adam(own, rate)
+                held.append(np.frombuffer(raw, np.int32))
+                size, words = size + len(held[-1]) + 1, words + len(held[-1]) + 1
                 if size > HELD:
                     learn()
-                    held, size = [], 0
-        if held:
+                    size = 0
+        if own is not None:
             learn()
-        if weight:
-            pieces = np.array_split(own.flat, max(SHARDS, -(-len(own.flat) // PIECE)))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary()), pa.array([float(weight)] * len(pieces))], names=["shard", "values", "weight"])
+            total += own.flat.astype(np.float64) * words
+            weight += words
+            pieces = np.array_split((total / weight).astype(np.float32), -(-len(total) // PIECE))
+            k = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([first] * k, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary()), pa.array([float(weight)] * k)], names=["piece", "source", "values", "weight"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for shard, values, weight in zip(*(c.to_pylist() for c in batch.columns)):
-                old = sums.setdefault(shard, [0.0, 0.0])
-                sums[shard] = [old[0] + weight * np.frombuffer(values, np.float32).astype(np.float64), old[1] + weight]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([w for _, w in sums.values()], pa.float64())], names=["shard", "values", "weight"])
-
-    schema = "shard int, values binary, weight double"
-    rows = sorted(train.select("text").mapInArrow(run, schema).repartition("shard").mapInArrow(add, schema).collect(), key=lambda r: r["shard"])
+            for piece, _, values, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                old = sums.setdefault(piece, [0.0, 0.0])
+                sums[piece] = [old[0] + weight * np.frombuffer(values, np.float32).astype(np.float64), old[1] + weight]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / w).astype(np.float32).tobytes() for x, w in sums.values()], pa.binary())], names=["piece", "values"])
+
+    tasks = min(shards, 4 * spark.sparkContext.defaultParallelism)
+    made = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "key").select("shard", "ids").mapInArrow(run, "piece int, source bigint, values binary, weight double")
+    pieces = made.repartition("piece").sortWithinPartitions("piece", "source").mapInArrow(add, "piece int, values binary").collect()
     out = net.copy()
-    if rows:
-        out.flat[:] = np.concatenate([np.frombuffer(r["values"]) / r["weight"] for r in rows])
+    if pieces:
+        out.flat[:] = np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(pieces, key=lambda r: r["piece"])])
     return out
 
 
-DOCS = "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_known bigint, base double, score double, others bigint, words array<string>, times array<bigint>"
+def warm_texts(train: DataFrame) -> DataFrame:
+    """WARM_DOCS different texts at most, drawn by hash, as one shard."""
+    least = train.select("text_key").distinct().orderBy("text_key").limit(WARM_DOCS)
+    drawn = train.join(F.broadcast(least), "text_key", "left_semi").groupBy("text_key").agg(F.first("ids").alias("ids"))  # equal texts have equal ids
+    return drawn.select(F.lit(0).cast("long").alias("shard"), F.col("text_key").alias("key"), "ids")
 
 
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
-    (doc_id, held_out, text), learning from the texts of ``train``.
+    (doc_id, held_out, text), learning from the texts of ``train``, which is ``docs`` or some of its rows
+    (all that aren't held out), or none.
 
     Null texts are empty: one token, the end.  Without any training text every score has but the
     smoothing to go by.  Rows that are equal get equal scores up to rounding.
     """
     counts, table = gather_counts(train)
-    known = {w: i for i, w in enumerate(counts.vocabulary)}
+    rows = written(coded(docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")), counts), "coded")
     net = Network.start(counts)
     if counts.ends:
-        sample = train.withColumn("text", F.col("text")).filter(fraction(F.col("text"), "warm start") < F.lit(min(1.0, WARM_DOCS / counts.ends)))
-        net = trained(net, sample.repartition(1), known, 0.01, WARM_ROUNDS)
-        net = trained(net, train, known, 0.003)
-    shared = docs.sparkSession.sparkContext.broadcast((net, counts, known))
-    docs = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", F.sha2("text", 256)))
-
-    def words_in(texts: list[bytes], counts: Counts) -> tuple:
-        words = [t.lower().split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        codes = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
-        hashes, _ = word_hashes([b"\n".join(distinct)])
-        at = np.minimum(np.searchsorted(counts.hashes, hashes), max(len(counts.hashes) - 1, 0))
-        c = np.where(counts.hashes[at] == hashes, counts.counts[at], 0) if len(counts.hashes) else np.zeros(len(hashes), np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-        return list(distinct), codes, c, doc
+        learn = rows.filter("not held_out")
+        net = averaged(net, warm_texts(learn), 0.01, 1, WARM_ROUNDS)
+        shards = max(1, counts.n // (ROUNDS * SHARD_TOKENS))
+        for k in range(ROUNDS):
+            part = learn.filter(F.pmod(F.xxhash64(F.lit("round"), "key"), F.lit(ROUNDS)) == k)
+            net = averaged(net, part.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "ids"), 0.003, shards)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    kept = ["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "outside", "others"]
+    kinds = dict(rows.dtypes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, counts, known = shared.value
-        rows, held, size = [], [], 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            lp = score_docs(net, held) / np.log(10)
-            columns = list(zip(*rows))
-            columns[6] = np.array(columns[6]) + lp
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=[x.split(" ")[0] for x in DOCS.split(", ")])
+            ids = [np.frombuffer(x, np.int32) for b in held for x in b.column(len(kept)).to_pylist()]
+            lp = score_docs(shared.value, ids) / np.log(10)
+            columns = [pa.concat_arrays([b.column(i) for b in held]) for i in range(len(kept))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(lp)], names=[*kept, "lp"])
 
         for batch in batches:
-            for part in blocks(batch, "text"):
-                texts = utf8(part.column(2))
-                names, codes, c, doc = words_in(texts, counts)
-                n = len(texts)
-                frequent = c > 0
-                logs = np.where(frequent, np.log10(c + 0.1), 0.0)
-                place = np.fromiter((known.get(w, net.m - 2) for w in names), np.int64, len(names))
-                ids = place[codes]
-                beyond = ids == net.m - 2
-                bounds = np.searchsorted(doc, np.arange(n + 1))
-                end_log = np.log10(counts.ends + 0.1)
-                own = np.flatnonzero(~frequent[codes])  # words that the table of all counts has to tell
-                pairs, times = np.unique(doc[own] * (len(names) + 1) + codes[own], return_counts=True)
-                rare = [names[k].decode("utf-8", "replace") for k in (pairs % (len(names) + 1)).tolist()]
-                cuts = np.searchsorted(pairs, np.arange(n + 1) * (len(names) + 1)).tolist()
-                sums = [np.bincount(doc, w, n) for w in (frequent[codes], logs[codes], np.where(beyond, logs[codes], 0.0), beyond)]
-                for i, (id_, held_out, key) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist())):
-                    words = int(bounds[i + 1] - bounds[i])
-                    rows.append((id_, held_out, key, words + 1, int(sums[0][i]) + (counts.ends > 0), float(sums[1][i] + end_log), float(sums[2][i]), int(sums[3][i]), rare[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]].tolist()))
-                    held.append(ids[bounds[i] : bounds[i + 1]])
-                    size += words + 1
-                if size > HELD:
-                    yield out()
-                    rows, held, size = [], [], 0
-        if rows:
+            held.append(batch)
+            size += batch.column(len(kept)).nbytes // 4
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if held:
             yield out()
 
-    scored = written(docs.select("doc_id", "held_out", "text", "key").mapInArrow(score, DOCS), "scored")
-    rare = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", "x.words", "x.times")
+    scored = rows.select(*kept, "ids").mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", lp double")
+    rare = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", "x.words", "x.times")
     once = rare.groupBy("key", F.col("words").alias("word")).agg(F.max("times").alias("times"))  # rows that stand there twice
     found = once.join(spread(table.filter(F.col("c") < counts.floor)), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     logs = found.groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("seen"))
@@ -450,5 +582,5 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     log, seen = F.coalesce("log", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     return scored.join(logs, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(counts.n).cast("long").alias("train_tokens"),
-        (F.col("base") + log - F.col("n_tokens") * F.lit(all_log)).alias("base_score"), (F.col("score") + log - F.col("others") * F.lit(other_log)).alias("score"),
+        (F.col("base") + log - F.col("n_tokens") * F.lit(all_log)).alias("base_score"), (F.col("lp") + F.col("outside") + log - F.col("others") * F.lit(other_log)).alias("score"),
     )

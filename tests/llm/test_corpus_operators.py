@@ -176,17 +176,79 @@ def test_language_model_edges(spark, monkeypatch):
     assert gru_lm.score_texts(docs.limit(0), docs).count() == 0
 
 
+def tiny_counts():
+    return gru_lm.Counts(100, 8, 10, [b"a", b"b", b"c", b"d", b"e"], [20, 15, 10, 9, 8], np.empty(0, np.uint64), np.empty(0, np.int64), 0)
+
+
 def test_network_probabilities_add_up():
-    counts = gru_lm.Counts(100, 8, 10, [b"a", b"b", b"c", b"d", b"e"], [20, 15, 10, 9, 8], np.empty(0, np.uint64), np.empty(0, np.int64), 0)
-    net = gru_lm.Network.start(counts)
-    gru_lm.train_on(net, [np.array([0, 1, 2, 3, 4, 5])] * 5, gru_lm.Adam(net, 0.05))
-    state = np.random.default_rng(0).normal(size=(1, net.h)).astype(np.float32)
+    net = gru_lm.Network.start(tiny_counts())
+    gru_lm.train_on(net, [np.array([0, 2, 3, 4, 5, 6])] * 5, gru_lm.Adam(net, 0.05))
+    state = np.random.default_rng(0).uniform(-1, 1, (1, net.h)).astype(np.float32)
     total = sum(float(np.exp(net.log_p(state, np.array([k]))[0][0])) for k in range(net.m))
     assert total == pytest.approx(1, abs=1e-4)
-    long, short = np.arange(500) % 5, np.array([1, 2])
+    long, short = np.arange(5000) % 5, np.array([1, 2])
     together = gru_lm.score_docs(net, [long, short, np.empty(0, np.int64)])
     alone = [gru_lm.score_docs(net, [x])[0] for x in (long, short, np.empty(0, np.int64))]
     assert np.allclose(together, alone, rtol=1e-4)  # the state runs through a document and not into the next
+    net.views["ww"][:] *= 1e3  # logits far beyond what exp bears are shifted
+    assert np.isfinite(gru_lm.score_docs(net, [short])).all()
+
+
+def test_gradients_equal_differences():
+    words = 40  # several classes
+    counts = gru_lm.Counts(3000, words + 2, 10, [b"%d" % i for i in range(words)], list(range(60, 60 - words, -1)), np.empty(0, np.uint64), np.empty(0, np.int64), 0)
+    net = gru_lm.Network.start(counts, hidden=5, kind=np.float64)
+    rng = np.random.default_rng(1)
+    net.flat += rng.normal(0, 0.2, len(net.flat))
+    docs = [rng.integers(0, net.m, n) for n in (3, 9, 0, 14)]
+    x, y, _, fresh, real = next(gru_lm.windows(docs, 12, lanes=2))
+    h = rng.uniform(-1, 1, (2, 5))
+
+    def loss():
+        states = net.states(x, fresh, h)
+        return -net.log_p(states[real], y[real])[0].mean()
+
+    grad = net.empty()
+    rows, _ = net.gradients(x, y, fresh, real, h, grad)
+    assert len(net.bounds) > 3 and set(rows) == set(x[real])
+    for name, view in net.views.items():
+        for at in rng.integers(0, view.size, 60):
+            flat, kept = view.reshape(-1), view.reshape(-1)[at]
+            if name == "x" and at // view.shape[1] not in rows:
+                continue
+            flat[at] = kept + 1e-5
+            up = loss()
+            flat[at] = kept - 1e-5
+            down = loss()
+            flat[at] = kept
+            assert grad.views[name].reshape(-1)[at] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_windows_hold_every_word_once():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 9, n) for n in (0, 1, 50, 333, 7, 7)]
+    for steps, full, cut, lanes in ((16, 0, 0, 4), (16, 64, 0, 4), (5, 0, 20, 3), (16, 0, 64, 512)):
+        seen, starts = Counter(), 0
+        for x, y, number, fresh, real in gru_lm.windows(docs, steps, full, cut, lanes):
+            seen.update(zip(number[real].tolist(), x[real].tolist(), y[real].tolist()))
+            starts += int(fresh[real].sum())
+            assert x.shape[1] <= lanes
+        want = Counter((d, a, b) for d, t in enumerate(docs) for a, b in zip([gru_lm.END, *t.tolist()], [*t.tolist(), gru_lm.END]))
+        assert seen == want and starts == sum(-(-(len(t) + 1) // cut) if cut else 1 for t in docs)
+    assert list(gru_lm.windows([], 4)) == []
+
+
+def test_training_does_not_depend_on_files(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    runs = [{r.doc_id: r.score for r in gru_lm.score_texts(d, d).collect()} for d in (docs.coalesce(1), docs.repartition(7))]
+    assert runs[0].keys() == runs[1].keys() and all(runs[1][k] == pytest.approx(v, rel=1e-4) for k, v in runs[0].items())
+
+
+def test_warm_start_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "WARM_DOCS", 5)
+    rows = [(k % 9, i, np.array([k % 9], np.int32).tobytes()) for i, k in enumerate(range(900))]
+    drawn = gru_lm.warm_texts(spark.createDataFrame(rows, "text_key bigint, key bigint, ids binary")).collect()
+    assert sorted(r.key for r in drawn) == [0, 1, 2, 3, 4] and {r.shard for r in drawn} == {0}
 
 
 def test_archives(spark, tmp_path):
@@ -239,5 +301,6 @@ def test_vocabulary_follows_the_training_tokens(spark):
     c = Counter(x for t in texts for x in t.split())
     assert sum(counts.of_vocabulary) >= 0.8 * sum(c.values()) > sum(k for _, k in c.most_common(2000))
     assert [c[w.decode()] for w in counts.vocabulary] == counts.of_vocabulary == sorted(c.values(), reverse=True)[: len(counts.vocabulary)]
+    assert counts.ends == len(texts)
     few, _ = gru_lm.gather_counts(spark.createDataFrame([(t,) for t in texts[:3]], "text string"))
     assert len(few.vocabulary) == few.v - 1 == len({x for t in texts[:3] for x in t.split()})  # small tables: all words
