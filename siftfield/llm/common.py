@@ -8,6 +8,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for one run under ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where that setting is missing (tests on one machine) is a folder of the warehouse taken.
+    Where that setting is missing, a folder of the warehouse serves on one machine (a local master); on a
+    cluster it might be local to each machine, so there it's an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
@@ -111,18 +115,37 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Longer words are hashed by xxh3, one by one.
+LONG_WORD = 256
+
+
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, end to end, and the bounds of each text's words."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)  # bytes: A to Z only
+    """64-bit hashes of all words of the texts, end to end, and the bounds of each text's words.
+
+    A word's bytes go through the mixer eight at a time, all words together; unlike a polynomial this has
+    no algebra by which families of words meet.
+    """
+    joined = b"\n".join(texts) + b"\n" + bytes(8)
+    joined = joined.lower() if lower else joined  # bytes: A to Z only
+    raw = np.frombuffer(joined, np.uint8)[:-8]
     gap = np.concatenate(([True], BLANK[raw]))
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
     ends = np.flatnonzero(~gap[:-1] & gap[1:])
     ends = ends if len(ends) == len(starts) else ends[-len(starts) :]
-    prefix = prefix_hashes(raw)
-    found = (prefix[ends] - prefix[starts]) * powers(len(raw))[1][starts]
-    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
-    return mix64(found + (ends - starts).astype(np.uint64)), np.searchsorted(starts, at)
+    size = ends - starts
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))  # eight bytes from each place on
+    found = mix64(size.astype(np.uint64) + np.uint64(0x243F6A8885A308D3))
+    live, at = np.arange(len(starts)), 0
+    while len(live) and at < LONG_WORD:
+        left = size[live] - at
+        whole = eight[starts[live] + at]
+        part = whole & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
+        found[live] = mix64((found[live] ^ np.where(left >= 8, whole, part)) + np.uint64(0x9E3779B97F4A7C15))
+        live, at = live[left > 8], at + 8
+    for k in live.tolist():
+        found[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]], int(size[k]))
+    where = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+    return found, np.searchsorted(starts, where)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,11 +8,13 @@
    and goes on if the length filter, the positional filter (what can follow is enough) and the suffix
    filter pass; the last bounds from below in how many shingles the sets differ, from parity maps.
 4. Pairs that go on are verified once on the full sets.  First each node only meets its closest
-   partners; then only pairs across the components found so far are looked at, all of them.  So a
+   partner; then only pairs across the components found so far are looked at, all of them.  So a
    group of n near copies costs about n pairs and not n * n, and no link between groups is lost.
 
-A shingle with more than ``HOT`` nodes is dealt out in cells: its nodes are split into parts, and
-each pair of parts meets in a task of its own.
+A shingle with more than ``HOT`` nodes is dealt out in parts, which meet within themselves.  They are dealt
+anew ``MIXES`` times, each node meeting its closest partner of another component, which joins the parts of
+a cluster.  In the end the nodes of a shingle's largest component needn't meet each other; they, in parts,
+meet all others.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ LOOK = 128
 #: Earlier shared shingles that go with an entry; a pair that shares one of them was met there. With more
 #: of them unseen a pair may be met again, and is still verified once.
 SEEN = 24
+#: Times that the nodes of hot shingles are dealt anew; pairs whose sets are compared in one block, about; bytes of sets in a batch.
+MIXES, BLOCK, BATCH = 2, 64, 8_000_000
 SHARDS = 64
 NULL_ID = -(1 << 63)
 
@@ -136,7 +140,7 @@ class ParityMaps:
 
 
 def described(docs: DataFrame, rank: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its prefix (64-bit hashes, rarest first)."""
+    """doc_id, text_key, n_shingles, digest of the set, and its prefix (64-bit hashes, rarest first)."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +149,17 @@ def described(docs: DataFrame, rank: np.ndarray, width: int, percent: int) -> Da
                 sets = shingle_sets(utf8(part.column(1)), shared.value, width)
                 digests = [digest_of(s) for s in sets]
                 prefixes = [s[: prefix_size(len(s), percent)].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n_shingles", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, prefix binary")
 
 
 def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
     """token, node, n, place: the prefix shingles at which a node may meet a partner.
 
-    One pass over the entries sorted by shingle.  An entry goes on if another entry of the shingle
-    passes the length filter and the positional filter with it; in runs of more than LOOK entries all do.
+    One pass over the entries, range-sorted by shingle and size, so that a frequent shingle may lie in
+    several tasks.  An entry goes on if another entry of the shingle passes the length filter and the
+    positional filter with it; in runs of more than LOOK entries, and of the shingles at a task's ends, all do.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,31 +193,39 @@ def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        edge: int | None = None  # the first shingle of the task, or one whose entries have gone on so far
 
-        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-            keep = meeting(rows[0], rows[2])
+        def out(rows: list[np.ndarray], last: bool = False) -> pa.RecordBatch:
+            keep = meeting(rows[0], rows[2]) | (rows[0] == edge)
+            if last:
+                keep |= rows[0] == rows[0][-1]
             return pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep]), pa.array(rows[2][keep] >> 32), pa.array(rows[2][keep] & 0xFFFFFFFF)], names=["token", "node", "n", "place"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut == 0 and len(held[0]) > 1_000_000:  # one shingle of very many nodes: it's long enough to go on as it comes
-                cut = len(held[0]) - LOOK - 1
+            edge = int(held[0][0]) if edge is None else edge
+            cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
                 yield out([h[:cut] for h in held])
                 held = [h[cut:] for h in held]
+            elif len(held[0]) > 1_000_000:  # one shingle of very many nodes: its entries go on as they come
+                yield out(held, last=True)
+                edge, held = int(held[0][-1]), [h[:0] for h in held]
         if len(held[0]):
-            yield out(held)
+            yield out(held, last=True)
 
     schema = "token bigint, node bigint, what bigint"
-    rows = nodes.select("node", "n", "prefix").mapInArrow(entries, schema).repartition("token").sortWithinPartitions("token", "what")
-    return rows.mapInArrow(repeated, "token bigint, node bigint, n bigint, place bigint")
+    rows = nodes.select("node", "n", "prefix").mapInArrow(entries, schema).repartitionByRange("token", "what").sortWithinPartitions("token", "what")
+    found = rows.mapInArrow(repeated, "token bigint, node bigint, n bigint, place bigint")
+    return found
 
 
 def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int) -> DataFrame:
     """Compute something from the texts of the wanted rows (doc_id, digest and more), which are few or many.
 
-    ``made`` turns the rows' sets and the other columns of ``wanted`` into the columns of ``schema``.
+    ``made`` turns the rows' sets and the other columns of ``wanted`` into batches of ``schema``.
     """
     others = [c for c in wanted.columns if c not in ("doc_id", "digest")]
 
@@ -226,7 +239,7 @@ def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int
                     keep.append(digest_of(last[1]) == digest)
                     sets.append(last[1])
                 which = np.flatnonzero(keep)
-                yield made([sets[i] for i in which], [c.take(pa.array(which)) for c in part.columns[2:]])
+                yield from made([sets[i] for i in which], [c.take(pa.array(which)) for c in part.columns[2:]])
 
     wanted = F.broadcast(wanted) if wanted.count() <= small else wanted
     return docs.join(wanted, "doc_id").select("text", "digest", *others).mapInArrow(run, schema)
@@ -241,26 +254,38 @@ class Maps:
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         return shingle_sets(texts, self.rank.value, self.width)
 
-    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[0], pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["node", "map"])
+    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([columns[0], pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["node", "map"])
+
 
+class BlockSets(Maps):
+    """The full set of a node, once for each block that it has to come to, in batches of bounded size."""
 
-class PairSets(Maps):
-    """The full set of a node, once for each of its pairs."""
+    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
 
-    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> pa.RecordBatch:
-        pairs, rows = columns[1].flatten(), np.repeat(np.arange(len(sets)), columns[1].value_lengths().to_numpy())
-        raw = [np.sort(s).tobytes() for s in sets]
-        return pa.RecordBatch.from_arrays([pairs.field(0), pairs.field(1), columns[0].take(pa.array(rows)), pa.array([raw[i] for i in rows], pa.binary())], names=["a", "b", "node", "hashes"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "role", "node", "hashes"])
+
+        for s, node, blocks_ in zip(sets, *(c.to_pylist() for c in columns)):
+            raw = np.sort(s).tobytes()
+            for b in blocks_:
+                rows.append((b["block"], b["role"], node, raw))
+                size += len(raw) + 20
+                if size > BATCH:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
 
 
 def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """a, b: pairs of nodes that pass the filters at their first common shingle.
+    """a, b: pairs of nodes of different groups that pass the filters.
 
-    ``meet``: cell, n, node, group, left (part of the cell, or -1), place (of the shingle in the set),
-    before (the node's shared shingles before it), map.  ``closest``: of each node only the partner,
-    among those that come before it by size, whose parity map is closest; otherwise all pairs of
-    different groups, each (but for what SEEN says) at its first common shingle.
+    ``meet``: cell, n, node, group, left (side of a cell of two sides, else -1), place (of the shingle in
+    the set), before (the node's shared shingles before it), map.  ``closest``: of each node only the
+    partner, among those that come before it by size, whose parity map is closest; otherwise all pairs,
+    each (but for what SEEN says) at its first common shingle.
     """
 
     def pairs(rows: dict[str, np.ndarray], before: list[np.ndarray], raw: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -276,9 +301,7 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             a, b = a.ravel(), b.ravel()
             need = -(-percent * (n[a] + n[b]) // (100 + percent))
             ok = (b < a) & (100 * n[b] >= percent * n[a]) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= need) & (node[a] != node[b])
-            ok &= (left[a] != left[b]) | (left[a] < 0)
-            if not closest:
-                ok &= group[a] != group[b]
+            ok &= ((left[a] != left[b]) | (left[a] < 0)) & (group[a] != group[b])
             a, b, need = a[ok], b[ok], need[ok]
             differ = maps.differ(a, b)
             ok = differ <= n[a] + n[b] - 2 * need  # suffix filter
@@ -328,51 +351,76 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
     return out.select("a", "b").distinct()
 
 
-def in_cells(entries: DataFrame, hot: int, closest: bool) -> DataFrame:
-    """Add cell and left: a shingle's nodes meet in one cell, or, if they are many, part by part."""
-    sizes = entries.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > hot)
-    rows = entries.join(spread(sizes), "token", "left").withColumn("parts", F.coalesce(F.ceil(F.col("k") / F.lit(hot / 2)), F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    own = F.array(F.col("part"))
-    others = own if closest else F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x)
-    rows = rows.withColumn("other", F.explode(F.when(F.col("parts") > 1, others).otherwise(own)))
-    cell = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
-    # in a cell of two parts only pairs across them are new; those of one part meet in its own cell
-    return rows.withColumn("cell", cell).withColumn("left", F.when(F.col("part") != F.col("other"), F.col("part")).otherwise(-1))
+CELL = ["cell", "n", "node", "group", "left", "place", "before", "map"]
+
+
+def dealt(entries: DataFrame, hot: int, salt: int) -> DataFrame:
+    """The cells where each node looks for its closest partner: a shingle's nodes (k of them), or one part of them."""
+    part = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("k") / F.lit(hot / 2)))
+    return entries.withColumn("cell", F.when(F.col("k") > hot, F.xxhash64("token", part)).otherwise(F.xxhash64("token"))).withColumn("left", F.lit(-1)).select(*CELL)
+
+
+def across(entries: DataFrame, hot: int) -> DataFrame:
+    """The cells where all nodes of a shingle meet that are in different groups (``main``: the shingle's largest
+    group, k - others of its k nodes).
+
+    If they are many, both the main nodes and the others are dealt in parts; each part of the main nodes
+    meets each part of the others, as do the parts of the others with each other.
+    """
+    many = lambda n: F.greatest(F.ceil(n / F.lit(hot / 2)), F.lit(1)).cast("long")
+    rows = entries.withColumns({"minor": F.col("group") != F.col("main"), "mains": many(F.col("k") - F.col("others")), "minors": many(F.col("others"))})
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains")))
+    rows = rows.withColumn("part", part)
+    # (kind of cell, one part, the other part, side)
+    cell = lambda kind, a, b, left: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), left.cast("long").alias("left"))
+    zero = F.lit(0).cast("long")
+    to_minors = F.transform(F.sequence(zero, F.col("minors") - 1), lambda j: cell(0, F.col("part"), j, zero))
+    to_mains = F.transform(F.sequence(zero, F.col("mains") - 1), lambda i: cell(0, i, F.col("part"), F.lit(1)))
+    own = F.transform(F.sequence(zero, F.col("minors") - 1), lambda j: cell(1, F.least("part", j), F.greatest("part", j), F.when(j == F.col("part"), F.lit(-1)).otherwise(F.col("part"))))
+    whole = F.array(cell(2, zero, zero, F.lit(-1)))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("k") <= hot, whole).when(F.col("minor"), F.concat(to_mains, own)).otherwise(to_minors)))
+    return rows.withColumn("cell", F.xxhash64("token", "to.kind", "to.a", "to.b")).withColumn("left", F.col("to.left")).select(*CELL)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: int, percent: int, small: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, counted on the full sets of their texts.
 
-    A node's set is made once for up to some of its pairs and goes to each of them; the two sets of a
-    pair meet as neighbours.
+    Of a pair the node with more pairs is the hub.  A hub's pairs are dealt in blocks of about ``BLOCK``;
+    the hub's set comes to a block once, and so does that of each partner.
     """
     pairs = written(pairs, "pairs")
-    sides = pairs.select(F.col("a").alias("node"), "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "a", "b"))
-    lists = sides.groupBy("node", F.pmod(F.xxhash64("a", "b"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    wanted = written(lists.join(nodes.select("node", "doc_id", "digest"), "node").select("doc_id", "digest", "node", "pairs"), "pair-lists")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
+    rows = pairs.join(spread(degree.select(F.col("node").alias("a"), F.col("k").alias("of_a"))), "a").join(spread(degree.select(F.col("node").alias("b"), F.col("k").alias("of_b"))), "b")
+    first = (F.col("of_a") > F.col("of_b")) | ((F.col("of_a") == F.col("of_b")) & (F.col("a") < F.col("b")))
+    hub, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    rows = rows.select(hub.alias("hub"), other.alias("other"), F.greatest("of_a", "of_b").alias("k"))
+    rows = rows.withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / BLOCK))))
+    sides = rows.select(F.col("hub").alias("node"), "block", F.lit(0).alias("role")).unionByName(rows.select(F.col("other").alias("node"), "block", F.lit(1).alias("role"))).distinct()
+    lists = sides.join(spread(degree), "node").groupBy("node", F.pmod(F.xxhash64("block"), F.ceil(F.col("k") / BLOCK)).alias("part")).agg(F.collect_list(F.struct("block", "role")).alias("blocks"))
+    wanted = written(lists.join(nodes.select("node", "doc_id", "digest"), "node").select("doc_id", "digest", "node", "blocks"), "block-lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        block = at = last = None
         for batch in batches:
             out = []
-            for a, b, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is not None and held[:2] == (a, b):
-                    if node == held[2]:
-                        continue
-                    x, y = np.frombuffer(held[3], np.int64), np.frombuffer(raw, np.int64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        out.append((a, b))
-                else:
-                    held = (a, b, node, raw)
+            for b, role, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (b, role, node) == last:
+                    continue  # a row that stands there twice
+                last = (b, role, node)
+                own = np.frombuffer(raw, np.int64)
+                if b != block:
+                    block, at, hub_set = b, node, own
+                    continue
+                both = len(np.intersect1d(hub_set, own, assume_unique=True))
+                if 100 * both >= percent * (len(hub_set) + len(own) - both):
+                    out.append((at, node))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    sets = from_texts(docs, wanted, PairSets(rank, width), "a bigint, b bigint, node bigint, hashes binary", small)
-    return sets.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a bigint, b bigint")
+    sets = from_texts(docs, wanted, BlockSets(rank, width), "block bigint, role int, node bigint, hashes binary", small)
+    return sets.repartition("block").sortWithinPartitions("block", "role", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL, tokens_of=None) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL, tokens_of=None, with_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Two documents link when 100 * intersection >= percent * union of their distinct shingles
@@ -381,8 +429,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (null where no other id is reached).  Rows that share an id are documents of their own; equal
     texts give equal components.
 
-    ``tokens_of`` (nodes, texts, rank) may name other places to meet than rare shingles: rows of token,
-    node, n and place (0). Pairs are verified in any case.
+    ``with_keys`` adds text_key (xxhash64 of the text) and component, which names a component whatever
+    its ids (null without shingles).  ``tokens_of`` (nodes, texts, rank) may name other places to meet than
+    rare shingles: rows of token, node, n and place (0). Pairs are verified in any case.
     """
     docs = text_rows(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     rank = rarity(word_counts(docs))
@@ -416,16 +465,30 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = nodes.select("node", "doc_id", "digest", "least")
     check = lambda pairs: verified(pairs, nodes, once, shared, width, percent, small)
     alone = entries.withColumns({"group": F.col("node"), "before": F.lit(None).cast("binary")})
-    first = written(check(candidates(in_cells(alone, hot, True), percent, True)), "first-links")
-    roots = components(first)
-    grouped = entries.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    mixed = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    rest = grouped.join(spread(mixed), "token")
-    second = check(candidates(in_cells(rest, hot, False), percent, False))
-    roots = components(first.unionByName(second))
+    sizes = entries.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > hot)
+    any_hot = sizes.limit(1).count() > 0
+    sized = alone.join(spread(sizes), "token", "left") if any_hot else alone.withColumn("k", F.lit(0).cast("long"))
+    links = written(check(candidates(dealt(sized.withColumn("k", F.coalesce("k", F.lit(0))), hot, 0), percent, True)), "links-0")
+    roots = components(links)
+
+    def mixed() -> DataFrame:
+        """Entries of the shingles whose nodes are in several groups, with the facts of the shingle."""
+        grouped = entries.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+        per_group = grouped.groupBy("token", "group").agg(F.count("*").alias("c"))
+        facts = per_group.groupBy("token").agg(F.sum("c").alias("k"), F.max(F.struct("c", "group")).alias("most"), F.count("*").alias("groups"))
+        facts = facts.filter("groups > 1").select("token", "k", F.col("most.group").alias("main"), (F.col("k") - F.col("most.c")).alias("others"))
+        return grouped.join(spread(facts), "token")
+
+    for salt in range(1, MIXES + 1) if any_hot else ():
+        again = mixed().filter(F.col("k") > hot).withColumn("before", F.lit(None).cast("binary"))
+        links = written(links.unionByName(check(candidates(dealt(again, hot, salt), percent, True))), f"links-{salt}")
+        roots = components(links)
+    last = check(candidates(across(mixed(), hot), percent, False))
+    roots = components(links.unionByName(last))
 
     labelled = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    label = labelled.filter("least is not null").groupBy("root").agg(F.min("least").alias("component"))
-    labelled = labelled.join(spread(label), "root", "left").select("digest", "component")
+    label = labelled.filter("least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = labelled.join(spread(label), "root", "left").select("digest", "component_id", F.col("root").alias("component"))
     out = rows.join(spread(labelled), "digest", "left")
-    return out.select(own.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(own).alias("component_id"))
+    keys = ["text_key", "component"] if with_keys else []
+    return out.select(own.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own).alias("component_id"), *keys)

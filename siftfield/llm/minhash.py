@@ -138,14 +138,14 @@ class Bands(Maps):
         super().__init__(rank, width)
         self.bands = bands
 
-    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> pa.RecordBatch:
+    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
         signs = minima(np.concatenate(sets) if sets else np.empty(0, np.uint64), bounds)
         rows = PERMUTATIONS // self.bands
         tokens = [xxhash.xxh3_64_intdigest(signs[i, b * rows : (b + 1) * rows].tobytes(), b) for i in range(len(sets)) for b in range(self.bands)]
         flat = np.array(tokens, np.uint64).view(np.int64)
         node, n = (np.repeat(c.to_numpy(zero_copy_only=False), self.bands) for c in columns)
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(n), pa.array(np.zeros(len(flat), np.int64))], names=["token", "node", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(n), pa.array(np.zeros(len(flat), np.int64))], names=["token", "node", "n", "place"])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80, bands: int = 16, small: int = SMALL) -> DataFrame:

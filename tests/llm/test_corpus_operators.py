@@ -48,6 +48,47 @@ def test_join_equals_all_pairs(spark, hot, small_):
     assert got == Counter((d, n, c) for (d, _), (n, c) in zip(rows, h.components(rows)))
 
 
+def test_hot_shingles_cost_pairs_in_proportion(spark, monkeypatch):
+    seen = []
+    plain = jaccard_join.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[:k], f"e{i}", *base[k + 1 :]])) for i, k in enumerate(np.random.default_rng(3).integers(150, 390, 1200).tolist())]
+    rows += [(5000 + i, " ".join([*base[:40], *(f"f{i}x{k}" for k in range(40))])) for i in range(60)]  # share its words, but not enough
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=100).collect()}
+    assert got == {d: 0 if d < 5000 else d for d, _ in rows}  # any two of the first differ in six shingles of about 404
+    assert sum(seen) < 5000
+
+
+def test_parts_of_a_hot_shingle_meet(spark):
+    rng = np.random.default_rng(4)
+    rows = [(7, n, 100, g, k, 70, 30 + (g == 1) * 10) for k, (n, g) in enumerate(zip(range(100), [*[0] * 60, *rng.integers(1, 6, 40).tolist()]))]
+    rows = [(t, node, n, g, 100, 0, 40) for t, node, n, g, *_ in rows]
+    df = spark.createDataFrame(rows, "token bigint, node bigint, n bigint, group bigint, k bigint, main bigint, others bigint").withColumns({"place": F.lit(0).cast("long"), "before": F.lit(None).cast("binary"), "map": F.lit(None).cast("binary")})
+    cells = {}
+    for r in jaccard_join.across(df, 20).collect():
+        cells.setdefault(r.cell, []).append((r.node, r.left, r.group))
+    met = Counter(frozenset((a, b)) for x in cells.values() for a, la, ga in x for b, lb, gb in x if a < b and ga != gb and (la != lb or la < 0))
+    group = {node: g for _, node, _, g, *_ in rows}
+    assert set(met) == {frozenset((a, b)) for a in group for b in group if a < b and group[a] != group[b]} and set(met.values()) == {1}
+    assert max(map(len, cells.values())) <= 45
+
+
+def test_words_with_one_polynomial_hash_are_told_apart(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y"), (2, f"{other} x y"), (3, f"{word} x y z"), (4, f"{'c' * 300} {'d' * 8}"), (5, f"{'c' * 301} {'d' * 8}")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i for i in range(1, 6)}
+
+
 def test_join_edges(spark):
     got = Counter(map(tuple, jaccard_join.similar_groups(h.odd(spark)).collect()))
     assert got == Counter((d, n, c) for (d, _), (n, c) in zip(h.ODD, h.components(h.ODD)))

@@ -26,7 +26,8 @@ def test_stages(spark, small):
     failed = {i for i, r in rows.items() if (b := h.base_counts(r.text))[0] < 10 or 100 * b[4] > 20 * b[0]}
     assert not failed & {r.doc_id for r in quality} and len(quality) >= 0.99 * (len(rows) - len(failed))
     pairs = [(r.doc_id, r.text) for r in quality]
-    assert Counter(r.doc_id for r in join) == Counter({c for _, c in h.components(pairs)})
+    assert Counter(r.doc_id for r in join) == Counter({c for _, c in h.components(pairs, corpus_pipeline.WIDTH, corpus_pipeline.PERCENT)})
+    assert (corpus_pipeline.WIDTH, corpus_pipeline.PERCENT) == (5, 80)
     pairs = [(r.doc_id, r.text) for r in join]
     want = {d: x for (d, _), x in zip(pairs, h.repeats(pairs))}
     for r in suffix:
@@ -43,8 +44,12 @@ def test_stages(spark, small):
 
 
 def test_run_survives_empty_and_odd_tables(spark, tmp_path):
-    h.odd(spark).write.parquet(str(tmp_path / "documents.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+    prose = "The river was high after the rain and the bridge had to be closed until the water went down again in the evening."
+    rows = [*h.ODD, (20, prose), (None, prose), (21, prose + " " + prose[:40]), (22, "The council met on Tuesday and agreed that the old mill should be repaired before the winter, if the money could be found.")]
+    h.odd(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} >= {20, 22} and None not in {r.doc_id for r in out} and all(r.n_tokens > 0 for r in out)
+    assert max(Counter(r.doc_id for r in out).values()) <= 3
     h.odd(spark).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
@@ -63,6 +68,21 @@ def test_near_copies_of_the_stage(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 5}
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join([*words[:k], "x", *words[k + 1 :]])
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, near(10)), (None, near(50)), (None, " ".join(words)), (None, other), (3, other + " more"), (3, near(70) + " of another kind"), (4, None), (4, ""), (4, " "), (None, ""), (5, "one two"), (5, "one two")]
+    rows = [(d, t, "en", "a", 1) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(t for d, t in out if t and t.strip() and d is None) == [] and Counter(d for d, t in out if not t or not t.strip()) == {4: 3, None: 1}
+    assert sorted((d, t) for d, t in out if t and t.strip()) == sorted([(3, other + " more"), (3, near(70) + " of another kind"), (5, "one two")])
+    nulls = spark.createDataFrame([r for r in rows if r[0] is None], docs.schema)
+    out = [t for _, t, *_ in corpus_pipeline.near_duplicates(spark, nulls, "").collect()]
+    assert len(out) == 3 and {other, ""} < set(out)
+
+
 def test_near_copies_of_the_small_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
