@@ -14,6 +14,12 @@ bytes hold the same place:
 4. The runs that go return to their documents, where they are joined into maximal spans and cut out.
 
 Exact copies take a short way: all but the smallest id of equal texts are removed as a whole.
+
+No group grows with the documents that share a passage.  In steps 1 and 2 each block of texts first
+decides what it can: an anchor that several of its documents have is known to be repeated, and of equal
+contexts all but the smallest id go at once; a bucket hears of the rest, one entry for each block.  Around
+a passage contexts differ from document to document, so anchors of more than ``HOT`` documents (the
+``SMALL`` most frequent at most) are dealt by the bytes of each run in place of the anchor.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ LENGTH, GRAM = 50, 20
 #: Texts longer than CUT are looked at in pieces; bytes of text per bucket, and per group of documents
 #: whose finds are put together; ids to broadcast at most.
 CUT, BUCKET_BYTES, GROUP_BYTES, SMALL = 1_000_000, 16_000_000, 64_000_000, 400_000
+#: Documents of an anchor beyond which its runs are dealt one by one; the bit of an entry that stands for a whole block.
+HOT, WHOLE = 20_000, 1 << 31
 LAST_ID = (1 << 63) - 1
 
 
@@ -90,6 +98,14 @@ def by_bucket(found: dict[str, np.ndarray], buckets: int) -> tuple[dict[str, np.
     return {k: v[order] for k, v in found.items()}, bucket[order][starts], np.diff(np.concatenate((starts, [len(order)])))
 
 
+def by_part(found: dict[str, np.ndarray], ids: np.ndarray, groups: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows in order of their document's group and document, the groups as buckets below zero, and their sizes."""
+    part = (mix64(ids[found["doc"]].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((found["doc"], part))
+    starts, _ = runs_of(part[order])
+    return {k: v[order] for k, v in found.items()}, -1 - part[order][starts], np.diff(np.concatenate((starts, [len(order)])))
+
+
 ANCHORS = "bucket bigint, ids binary, counts binary, hashes binary, places binary"
 CONTEXTS = "bucket bigint, ids binary, tags binary, counts binary, hashes binary, lows binary, spans binary, bytes binary"
 
@@ -102,22 +118,45 @@ def owners(doc: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[list[bytes
     return [ids[x].tobytes() for x in docs], counts, docs
 
 
-def anchor_rows(reps: DataFrame, buckets: int) -> DataFrame:
+def known_here(found: dict[str, np.ndarray], ids: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """What a block of texts has to ask, and what it knows: places of anchors that documents with different
+    ids of it have. For each of these anchors one entry is asked with, its place telling the number of documents."""
+    order = np.argsort(found["hash"] >> np.uint64(16), kind="stable")
+    rows = {k: v[order] for k, v in found.items()}
+    starts, group = runs_of(rows["hash"] >> np.uint64(16))
+    if not len(starts):
+        return found, found
+    own = ids[rows["doc"]]
+    least, most = np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)
+    several = least != most
+    known = {k: v[several[group]] for k, v in rows.items()}
+    entry = starts[several]
+    size = np.diff(np.concatenate((starts, [len(own)])))[several]
+    asked = {k: np.concatenate((v[~several[group]], v[entry])) for k, v in rows.items()}
+    asked["place"][len(asked["place"]) - len(entry) :] = WHOLE | np.minimum(size, WHOLE - 1)
+    by = np.argsort(asked["doc"], kind="stable")
+    return {k: v[by] for k, v in asked.items()}, known
+
+
+def anchor_rows(reps: DataFrame, buckets: int, groups: int) -> DataFrame:
     """Anchors of each block of texts, one row per bucket: ids of the documents, how many anchors each
-    has in the bucket, and the anchors (48 bits of hash, place) end to end."""
+    has in the bucket, and the anchors (48 bits of hash, place) end to end; below zero, by group of
+    documents, the places that the block itself knows to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", CUT):
-                found, bucket, sizes = by_bucket(anchors(utf8(part.column(1))), buckets)
-                if not len(bucket):
-                    continue
-                at = np.concatenate(([0], np.cumsum(sizes)))
-                ids, counts, _ = owners(found["doc"], part.column(0).to_numpy(), at)
-                planes = found["hash"].view(np.uint16).reshape(-1, 4)[:, 1:]
-                hashes = [np.ascontiguousarray(planes[i:j].T).tobytes() for i, j in zip(at, at[1:])]
-                places = [np.ascontiguousarray(found["place"][i:j].astype(np.uint32).view(np.uint16).reshape(-1, 2).T).tobytes() for i, j in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in (ids, counts, hashes, places))], names=["bucket", "ids", "counts", "hashes", "places"])
+                ords = part.column(0).to_numpy()
+                asked, known = known_here(anchors(utf8(part.column(1))), ords)
+                for found, bucket, sizes in (by_bucket(asked, buckets), by_part(known, ords, groups)):
+                    if not len(bucket):
+                        continue
+                    at = np.concatenate(([0], np.cumsum(sizes)))
+                    ids, counts, _ = owners(found["doc"], ords, at)
+                    planes = found["hash"].view(np.uint16).reshape(-1, 4)[:, 1:]
+                    hashes = [np.ascontiguousarray(planes[i:j].T).tobytes() if b >= 0 else b"" for b, i, j in zip(bucket, at, at[1:])]
+                    places = [np.ascontiguousarray(found["place"][i:j].astype(np.uint32).view(np.uint16).reshape(-1, 2).T).tobytes() for i, j in zip(at, at[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in (ids, counts, hashes, places))], names=["bucket", "ids", "counts", "hashes", "places"])
 
     return reps.select("ord", "text").mapInArrow(run, ANCHORS)
 
@@ -130,61 +169,138 @@ def grouped(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, group[order][starts], np.diff(np.concatenate((starts, [len(order)])))
 
 
-def repeated_anchors(rows: DataFrame, groups: int) -> DataFrame:
-    """ord, places: of each document, the places of the anchors that another document has too.
+def repeated_anchors(rows: DataFrame, groups: int, hot: int) -> DataFrame:
+    """ord, places: of each document, the places of the anchors that another document has too; where ord is
+    null, places are the anchors (48 bits of hash above 16 of their frequency's logarithm) of more than ``hot`` documents.
 
     A bucket sends one row to each group of documents, which puts them together by document.
     """
+    kinds = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("places", pa.binary())])
 
-    def run(table: pa.Table) -> pa.Table:
-        hashes, ids, places = [], [], []
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, hashes, ids, places = key[0].as_py(), [], [], []
         for own, counts, h, p in zip(*(table.column(c).to_pylist() for c in ("ids", "counts", "hashes", "places"))):
-            planes = np.frombuffer(h, np.uint16).reshape(3, -1).astype(np.uint64)
-            hashes.append(planes[0] | (planes[1] << np.uint64(16)) | (planes[2] << np.uint64(32)))
+            if bucket >= 0:
+                planes = np.frombuffer(h, np.uint16).reshape(3, -1).astype(np.uint64)
+                hashes.append(planes[0] | (planes[1] << np.uint64(16)) | (planes[2] << np.uint64(32)))
             ids.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(counts, np.uint32)))
             low, high = np.frombuffer(p, np.uint16).reshape(2, -1).astype(np.uint32)
             places.append(low | (high << np.uint32(16)))
-        hashes, ids, places = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
+        ids, places = np.concatenate(ids), np.concatenate(places)
+        if bucket < 0:
+            return pa.table({"part": [-1 - bucket], "ids": [ids.tobytes()], "places": [places.tobytes()]}, schema=kinds)
+        hashes = np.concatenate(hashes)
         order = np.argsort(hashes)
         starts, group = runs_of(hashes[order])
         least, most = np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
-        keep = order[(least != most)[group]]
-        order, group, sizes = grouped(ids[keep], groups)
-        keep = keep[order]
-        return pa.table({"part": group, "ids": packed(ids[keep], sizes), "places": packed(places[keep], sizes)}, schema=pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("places", pa.binary())]))
-
-    def merge(table: pa.Table) -> pa.Table:
+        whole = places[order] >= WHOLE
+        times = np.add.reduceat(np.where(whole, places[order].astype(np.int64) - WHOLE, 1), starts)
+        again = (least != most) | (np.add.reduceat(whole.astype(np.int64), starts) > 0)
+        keep = order[again[group] & ~whole]
+        order_, part, sizes = grouped(ids[keep], groups)
+        keep = keep[order_]
+        many = np.flatnonzero(times > hot)
+        frequent = (hashes[order][starts[many]] << np.uint64(16)) | (1024 * np.log2(times[many])).astype(np.uint64)
+        part = np.concatenate((part, [-1 - bucket] if len(many) else []))
+        packs = [packed(ids[keep], sizes), packed(places[keep], sizes)]
+        if len(many):
+            packs = [pa.concat_arrays([packs[0], pa.array([b""], pa.binary())]), pa.concat_arrays([packs[1], pa.array([frequent.tobytes()], pa.binary())])]
+        return pa.table({"part": part.astype(np.int64), "ids": packs[0], "places": packs[1]}, schema=kinds)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = pa.schema([("ord", pa.int64()), ("places", pa.binary())])
+        if key[0].as_py() < 0:
+            return pa.table({"ord": [None] * table.num_rows, "places": table.column("places")}, schema=kinds)
         ids, places = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32)
         order = np.argsort(ids, kind="stable")
         starts, _ = runs_of(ids[order])
-        return pa.table({"ord": ids[order][starts], "places": packed(places[order], np.diff(np.concatenate((starts, [len(order)]))))}, schema=pa.schema([("ord", pa.int64()), ("places", pa.binary())]))
+        return pa.table({"ord": ids[order][starts], "places": packed(places[order], np.diff(np.concatenate((starts, [len(order)]))))}, schema=kinds)
 
     return rows.groupBy("bucket").applyInArrow(run, "part bigint, ids binary, places binary").groupBy("part").applyInArrow(merge, "ord bigint, places binary")
 
 
-def context_rows(texts: DataFrame, buckets: int) -> DataFrame:
-    """Contexts of the anchors at given places (ord, tag, text, places), one row per block and bucket."""
+def hot_anchors(places: DataFrame, most: int) -> np.ndarray:
+    """The most frequent of the hot anchors (48 bits of hash), ``most`` at most, sorted."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(16)).view(np.int64)), pa.array((x & np.uint64(0xFFFF)).astype(np.int64))], names=["hash", "times"])
+
+    rows = places.filter("ord is null").select("places").mapInArrow(flat, "hash bigint, times bigint").orderBy(F.desc("times"), "hash").limit(most).toArrow()
+    return np.sort(rows.column("hash").to_numpy().view(np.uint64))
+
+
+def run_by_run(found: dict[str, np.ndarray], hot: np.ndarray, hashes: np.ndarray, base: np.ndarray) -> dict[str, np.ndarray]:
+    """Turn the contexts of hot anchors into their single runs, each with the hash of its own bytes.
+
+    ``hashes``: polynomial prefix hashes of all texts end to end; ``base``: where each text begins.
+    """
+    short = found["hash"] >> np.uint64(16)
+    at = np.minimum(np.searchsorted(hot, short), max(len(hot) - 1, 0))
+    is_hot = hot[at] == short if len(hot) else np.zeros(len(short), bool)
+    rows = {k: v[is_hot] for k, v in found.items()}
+    times = rows["high"] - rows["low"] + 1
+    one = {k: np.repeat(v, times) for k, v in rows.items()}
+    low = one["low"] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    start = base[one["doc"]] + low
+    one.update(low=low, high=low, place=low, hash=mix64((hashes[start + LENGTH] - hashes[start]) * powers(len(hashes))[1][start] if len(start) else np.empty(0, np.uint64)))
+    out = {k: np.concatenate((v[~is_hot], one[k])) for k, v in found.items()}
+    order = np.argsort(out["doc"], kind="stable")
+    return {k: v[order] for k, v in out.items()}
+
+
+def settled_here(found: dict[str, np.ndarray], ids: np.ndarray, raw: np.ndarray, hashes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Whether a document of the block with a smaller id has the whole context too, byte for byte."""
+    start, size = base[found["doc"]] + found["low"], found["high"] - found["low"] + LENGTH
+    if not len(start):
+        return np.empty(0, bool)
+    whole = (hashes[start + size] - hashes[start]) * powers(len(hashes))[1][start]
+    key = mix64(mix64(whole + (found["place"] - found["low"]).astype(np.uint64)) + size.astype(np.uint64)) ^ found["hash"]
+    own = ids[found["doc"]]
+    order = np.lexsort((own, key))
+    starts, group = runs_of(key[order])
+    head = order[starts[group]]
+    same = equal_bytes(raw, start[order], start[head], np.minimum(size[order], size[head])) & (size[order] == size[head])
+    out = np.empty(len(order), bool)
+    out[order] = same & (own[order] > own[head])
+    return out
+
+
+def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -> DataFrame:
+    """Contexts of the anchors at given places (ord, tag, text, places), one row per block and bucket; below
+    zero, by group of documents, the spans that a block can tell to go (their ends in ``hashes``)."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 2 * CUT):
-                tags, raw = part.column(1).to_numpy(), utf8(part.column(2))
+                ords, tags, raw = part.column(0).to_numpy(), part.column(1).to_numpy(), utf8(part.column(2))
                 found = anchors(raw)
                 wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | (d << 40) for d, x in enumerate(part.column(3).to_pylist())])
                 keep = np.isin(found["place"] | (found["doc"] << 40), wanted)
-                found, bucket, sizes = by_bucket({k: v[keep] for k, v in found.items()}, buckets)
-                if not len(bucket):
-                    continue
+                flat = np.frombuffer(b"".join(raw), np.uint8)
+                hashes, base = prefix_hashes(flat), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+                found = run_by_run({k: v[keep] for k, v in found.items()}, shared.value, hashes, base)
+                gone = settled_here(found, ords, flat, hashes, base)
+                owner, low, high = joined(found["doc"][gone], found["low"][gone], found["high"][gone] + LENGTH)
+                spans, bucket, sizes = by_part({"doc": owner, "low": low, "high": high}, ords, groups)
+                rows, types = [], [pa.int64(), *[pa.binary()] * 7]
+                at = np.concatenate(([0], np.cumsum(sizes)))
+                ids, counts, docs = owners(spans["doc"], ords, at) if len(bucket) else ([], [], [])
+                for k, (b, i, j) in enumerate(zip(bucket, at, at[1:])):
+                    rows.append((b, ids[k], tags[docs[k]].astype(np.int32).tobytes(), counts[k], spans["high"][i:j].astype(np.uint32).tobytes(), spans["low"][i:j].astype(np.uint32).tobytes(), b"", b""))
+                found, bucket, sizes = by_bucket({k: v[~gone] for k, v in found.items()}, buckets)
                 at = np.concatenate(([0], np.cumsum(sizes)))
-                ids, counts, docs = owners(found["doc"], part.column(0).to_numpy(), at)
-                rows = []
+                ids, counts, docs = owners(found["doc"], ords, at) if len(bucket) else ([], [], [])
                 for k, (b, i, j) in enumerate(zip(bucket, at, at[1:])):
                     doc, low, high = found["doc"][i:j], found["low"][i:j], found["high"][i:j]
                     spans = np.stack((high - low, found["place"][i:j] - low)).astype(np.uint8)
                     text = b"".join([raw[d][s : e + LENGTH] for d, s, e in zip(doc.tolist(), low.tolist(), high.tolist())])
                     rows.append((b, ids[k], tags[docs[k]].astype(np.int32).tobytes(), counts[k], found["hash"][i:j].tobytes(), low.astype(np.uint32).tobytes(), spans.tobytes(), text))
-                types = [pa.int64(), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     # all columns go in, so that the exchange of the texts is the one that the cutting uses again
     return texts.select("ord", "tag", "text", "places", "rest").mapInArrow(run, CONTEXTS)
@@ -342,7 +458,14 @@ def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
     """ord, tag, cuts (pairs of 32-bit places, joined) that the buckets' suffix sorts find."""
     kinds = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in ("ids", "tags", "lows", "highs"))])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if (bucket := key[0].as_py()) < 0:
+            columns: dict[str, list[bytes]] = {k: [] for k in ("ids", "tags", "lows", "highs")}
+            for own, tags, counts, high, low in zip(*(table.column(c).to_pylist() for c in ("ids", "tags", "counts", "hashes", "lows"))):
+                counts = np.frombuffer(counts, np.uint32)
+                for k, v in (("ids", np.repeat(np.frombuffer(own, np.int64), counts).tobytes()), ("tags", np.repeat(np.frombuffer(tags, np.int32), counts).tobytes()), ("lows", low), ("highs", high)):
+                    columns[k].append(v)
+            return pa.table({"part": [-1 - bucket], **{k: [b"".join(v)] for k, v in columns.items()}}, schema=kinds)
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("ord", "tag", "hash", "low", "extra", "offset")}
         text = b"".join(table.column("bytes").to_pylist())
         for own, tags, counts, h, low, spans in zip(*(table.column(c).to_pylist() for c in ("ids", "tags", "counts", "hashes", "lows", "spans"))):
@@ -375,7 +498,7 @@ def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
     return made.groupBy("part").applyInArrow(merge, "ord bigint, tag bigint, cuts binary")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, small: int = SMALL, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, small: int = SMALL, keep: tuple[str, ...] = (), as_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end, in bytes), kept (binary) of every row, and the
     columns named in ``keep``, as they were, in one struct ``rest`` (null if none are named).
 
@@ -395,8 +518,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = copies.select("ord", "tag")
     reps = docs.filter(F.octet_length("text") >= LENGTH).join(F.broadcast(ids) if ids.count() <= small else ids, ["ord", "tag"], "left_anti")
 
-    places = repeated_anchors(anchor_rows(reps, buckets), groups)
-    found = cuts_of_buckets(context_rows(docs.join(places, "ord"), buckets), groups)
+    if facts.groupBy("ord", "tag").count().filter("count > 1").limit(1).count():  # rows that stand there twice
+        reps = reps.dropDuplicates(["ord", "tag"])
+    places = written(repeated_anchors(anchor_rows(reps, buckets, groups), groups, hot), "places")
+    frequent = hot_anchors(places, SMALL)
+    found = cuts_of_buckets(context_rows(docs.join(places.filter("ord is not null"), "ord"), buckets, groups, frequent), groups)
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

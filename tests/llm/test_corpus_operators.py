@@ -129,10 +129,10 @@ def test_fingerprint_edges(spark):
     assert minhash.fingerprint_with_edits(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-@pytest.mark.parametrize("bucket, small_", [(20_000_000, 400_000), (20_000, 0)])
-def test_removal_equals_brute_force(spark, docs, bucket, small_):
+@pytest.mark.parametrize("bucket, small_, hot", [(20_000_000, 400_000, 20_000), (20_000, 0, 3), (20_000, 0, 0)])
+def test_removal_equals_brute_force(spark, docs, bucket, small_, hot):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.summary(suffix_dedup.remove_repeats(df, bucket_bytes=bucket, small=small_)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.summary(suffix_dedup.remove_repeats(df, bucket_bytes=bucket, small=small_, hot=hot)).collect()}
     assert got == {d: x for (d, _), x in zip(docs, h.repeats(docs))}
 
 
@@ -146,6 +146,23 @@ def test_removal_edges(spark):
     assert suffix_dedup.remove_repeats(h.odd(spark).limit(0)).count() == 0
 
 
+def test_groups_do_not_grow_with_a_shared_passage():
+    rng = np.random.default_rng(9)
+    line = b"a footer of more than fifty bytes that every document of the block ends with, in all its years"
+    texts = [bytes(rng.integers(97, 123, 400, np.uint8)) + line + bytes(rng.integers(97, 123, 40, np.uint8)) for _ in range(300)]
+    ords, flat = np.arange(300) + 1000, np.frombuffer(b"".join(texts), np.uint8)
+    found = suffix_dedup.anchors(texts)
+    asked, known = suffix_dedup.known_here(found, ords)
+    short = lambda f: Counter((f["hash"] >> np.uint64(16)).tolist())
+    assert max(short(found).values()) >= 300 and set(short(asked).values()) == {1} and set(short(known)) == {h for h, n in short(found).items() if n > 1}
+    hashes, base = suffix_dedup.prefix_hashes(flat), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    hot = np.sort(np.array([h for h, n in short(found).items() if n > 2], np.uint64))
+    runs = suffix_dedup.run_by_run(found, hot, hashes, base)
+    assert runs["high"].sum() - runs["low"].sum() + len(runs["low"]) == found["high"].sum() - found["low"].sum() + len(found["low"])
+    left = {k: v[~suffix_dedup.settled_here(runs, ords, flat, hashes, base)] for k, v in runs.items()}
+    assert max(Counter(left["hash"].tolist()).values()) <= 2  # what a bucket hears of any run
+
+
 def test_long_texts_are_cut_in_pieces(monkeypatch):
     rng = np.random.default_rng(5)
     texts = [bytes(rng.integers(97, 101, n, np.uint8)) for n in (0, 49, 50, 51, 997, 4000)]
