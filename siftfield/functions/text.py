@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column
@@ -12,7 +13,24 @@ from pyspark.sql import functions as F
 #: An ordered lexicon: a key and the variants by which a text names it.
 Lexicon = Sequence[tuple[str, Sequence[str]]]
 
-ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöçÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÄËÏÖÇ", "aeiouunaeiouaeiouaeiocAEIOUUNAEIOUAEIOUAEIOC"
+
+@lru_cache(maxsize=1)
+def accents() -> tuple[str, str]:
+    """Characters with marks and what is left of them, in one string each; marks alone, at the end, have nothing left.
+
+    By Unicode's canonical decompositions; a character that leaves several others stays as it is.
+    """
+    letters, plain, marks = [], [], []
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        if unicodedata.category(c) in ("Mn", "Mc", "Me"):
+            marks.append(c)
+            continue
+        base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) not in ("Mn", "Mc", "Me")))
+        if base != c and len(base) == 1:
+            letters.append(c)
+            plain.append(base)
+    return "".join(letters + marks), "".join(plain)
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -87,7 +105,7 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text))
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
 def count_of(text: Column, term: str) -> Column:
@@ -96,7 +114,8 @@ def count_of(text: Column, term: str) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """The text without accents and other marks, in any script."""
+    return F.translate(text, *accents())
 
 
 def joined(rows: Column, field: str, sep: str) -> Column:

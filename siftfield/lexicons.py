@@ -16,5 +16,8 @@ UNITS = ["kg/ha", "L/ha", "g/ha", "cc/ha", "ml/ha"]
 HEADINGS = ["composición", "modo de acción", "precauciones", "advertencias", "compatibilidad", "almacenamiento"]
 FORMULATIONS = ["WP", "EC", "SC", "SL", "WG", "SE", "EW"]
 STAGES = [("preemergencia", ["pre-emergencia", "preemergencia", "pre emergencia"]), ("postemergencia", ["post-emergencia", "postemergencia", "post emergencia"]), ("presiembra", ["presiembra", "antes de la siembra"])]
-#: Terms of a text that is about applying products.
-RELEVANT_TERMS = ["aplicacion", "dosis", "tratamiento", "cultivo", "plaga", "fungicida", "herbicida", "insecticida", "temporada", "hectarea", "intervalo", "carencia", "litros", "gramos"]
+#: Terms of a text that is about applying products. Fixed values.
+RELEVANT_TERMS = [
+    "aplicacion", "dosis", "tratamiento", "cultivo", "plaga", "fungicida", "herbicida", "insecticida", "temporada",
+    "hectarea", "maximo", "minimo", "dias", "frecuencia", "carencia", "intervalo", "litros", "gramos",
+]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from siftfield.functions.text import count_of, words
+from siftfield.functions.text import count_of, n_words, words
 from siftfield.lexicons import RELEVANT_TERMS
-from siftfield.operators.lines import capture_section, descriptive_lines, explode_lines, gathered, general_info, keyword_lines
+from siftfield.operators.extract import structured_lines
+from siftfield.operators.lines import lines_of, settled, with_descriptions, with_general_info, with_keywords, with_section
 
 SIZE, OVERLAP, SHORTEST = 500, 100, 50
 SECTION_TYPES = [
@@ -37,18 +39,17 @@ def word_windows(found: list[str], size: int, share: float, tail: int) -> list[s
     return out
 
 
-def _windows(size: int, share: float, tail: int):
-    @F.pandas_udf("array<string>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: word_windows((t or "").split(), size, share, tail))
-
-    return cut
+@F.pandas_udf(ArrayType(StringType()))
+def windows_of(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """:func:`word_windows` of (text, size, share, tail); none of a null text."""
+    for texts, sizes, shares, tails in rows:
+        yield pd.Series([word_windows(t.split(), n, s, k) if t else [] for t, n, s, k in zip(texts, sizes, shares, tails)], dtype=object)
 
 
 def word_chunks(df: DataFrame, keys: Sequence[str], text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """keys, chunk_index (from 0), text: overlapping runs of words; carried state makes this a pandas UDF."""
-    return df.select(*keys, F.posexplode(_windows(size, overlap / size, SHORTEST)(F.col(text_col))).alias("chunk_index", "text"))
+    cut = windows_of(F.col(text_col), F.lit(size), F.lit(overlap / size), F.lit(SHORTEST))
+    return df.select(*keys, F.posexplode(cut).alias("chunk_index", "text"))
 
 
 def chunk_id(source: Column, index: Column, text: Column) -> Column:
@@ -65,7 +66,7 @@ def section_type(text: Column, types: Sequence[tuple[str, str]] = tuple(SECTION_
 
 def relevance(text: Column, terms: Sequence[str] = tuple(RELEVANT_TERMS)) -> Column:
     """Twice the terms' number per word, 1 at most; 0 for a text without words."""
-    low, n = F.lower(text), F.size(words(text))
+    low, n = F.lower(text), n_words(text)
     total = sum((count_of(low, t) for t in terms), F.lit(0))
     return F.when(n > 0, F.least(2.0 * total / n, F.lit(1.0))).otherwise(0.0)
 
@@ -86,14 +87,15 @@ def semantic_chunks(df: DataFrame, key: str, text_col: str, headings: Sequence[s
     words.  With two pieces or fewer the whole text is cut by words.
     """
     pattern = rf"(?iu)(?:\n\s*)(?=(?:{'|'.join(headings)}).{{0,120}}:?)"
-    pieces = df.select(key, text_col, F.split(F.col(text_col), pattern).alias("pieces"))
-    plain = word_chunks(pieces.filter(F.size("pieces") <= 2), [key], text_col, size, overlap)
-    plain = plain.select(key, "chunk_index", F.lit(None).cast("int").alias("sub_index"), F.lit("character_split").alias("section_type"), "text")
-    cut = pieces.filter(F.size("pieces") > 2).select(key, F.posexplode("pieces").alias("chunk_index", "piece")).withColumn("piece", F.trim("piece", F.lit(" \n\t\r")))
-    cut = cut.filter(F.length("piece") >= SHORTEST).withColumn("section_type", section_type(F.col("piece")))
-    whole = cut.filter(F.length("piece") <= 1.5 * size).select(key, "chunk_index", F.lit(None).cast("int").alias("sub_index"), "section_type", F.col("piece").alias("text"))
-    split = cut.filter(F.length("piece") > 1.5 * size).select(key, "chunk_index", "section_type", F.posexplode(_windows(size, 0.2, 0)(F.col("piece"))).alias("sub_index", "text"))
-    rows = plain.unionByName(whole).unionByName(split.select(key, "chunk_index", "sub_index", "section_type", "text"))
+    rows = settled(df.select(key, F.col(text_col).alias("text_")), pieces=F.split("text_", pattern))
+    piece = lambda i, x, whole: F.struct(i.cast("int").alias("at"), x.alias("piece"), whole.alias("whole"))
+    parts = F.filter(F.transform("pieces", lambda x, i: piece(i, F.trim(x, F.lit(" \n\t\r")), F.lit(False))), lambda p: F.length(p["piece"]) >= SHORTEST)
+    rows = rows.select(key, F.inline(F.when(F.size("pieces") <= 2, F.array(piece(F.lit(0), F.col("text_"), F.lit(True)))).otherwise(parts)))
+    long = ~F.col("whole") & (F.length("piece") > 1.5 * size)
+    by_words = F.when(F.col("whole") | long, F.col("piece"))
+    cut = windows_of(by_words, F.lit(size), F.when(F.col("whole"), overlap / size).otherwise(0.2), F.when(F.col("whole"), SHORTEST).otherwise(0))
+    rows = rows.select(key, "at", "whole", long.alias("long"), F.when(F.col("whole"), "character_split").otherwise(section_type(F.col("piece"))).alias("section_type"), F.posexplode(F.when(by_words.isNull(), F.array("piece")).otherwise(cut)).alias("pos", "text"))
+    rows = rows.select(key, F.when(F.col("whole"), F.col("pos")).otherwise(F.col("at")).alias("chunk_index"), F.when(F.col("long"), F.col("pos")).alias("sub_index"), "section_type", "text")
     ids = F.when(F.col("sub_index").isNull(), chunk_id(F.col(key).cast("string"), F.col("chunk_index"), F.col("text"))).otherwise(sub_chunk_id(F.col("chunk_index"), F.col("sub_index"), F.col("text")))
     return rows.withColumn("chunk_id", ids).withColumn("relevance", relevance(F.col("text")))
 
@@ -103,35 +105,48 @@ def best_candidate(df: DataFrame, keys: Sequence[str], order: str, quality: str,
 
     Extractions for which ``fallback`` holds count only where no other reaches ``enough``.
     """
-    rows = df
-    if fallback is not None:
-        best = F.max(F.when(~fallback, F.col(quality))).over(Window.partitionBy(*keys))
-        rows = df.withColumn("best_", best).filter(~fallback | F.col("best_").isNull() | (F.col("best_") < enough)).drop("best_")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(quality), order))
-    return rows.withColumn("rank_", rank).filter("rank_ = 1").drop("rank_")
+    every = F.struct(*df.columns)
+    first = lambda keep: F.min_by(F.when(keep, every), F.when(keep, F.struct(-F.coalesce(F.col(quality), F.lit(-1.0)), F.col(order))))
+    if fallback is None:
+        return df.groupBy(*keys).agg(first(F.lit(True)).alias("x_")).select("x_.*")
+    own = F.max(F.when(~fallback, F.col(quality)))
+    found = df.groupBy(*keys).agg(own.alias("best_"), first(F.lit(True)).alias("any_"), first(~fallback).alias("own_"))
+    return found.select(F.when(F.col("best_") >= enough, F.col("own_")).otherwise(F.col("any_")).alias("x_")).select("x_.*")
 
 
 def comprehensive_chunks(df: DataFrame, key: str, text_col: str, name: str, headings: Sequence[str]) -> DataFrame:
     """key, content_category, text: general, composition, safety, commercial, descriptive and full document."""
-    lines = explode_lines(df, key, text_col)
-    kinds = {
-        "general_info": gathered(general_info(lines, key, [name], ["composición", "cultivo", "dosis"]), key),
-        "composition": gathered(capture_section(lines, key, ["composición"], ["lote", "fecha", "autorización"]), key),
-        "safety": gathered(capture_section(lines, key, ["precauciones", "advertencias", "no aplicar", "peligro"], ["fabricado", "importa", "autorización"], keep_heading=True), key),
-        "commercial": keyword_lines(lines, key, ["fabricado", "importa", "distribuye", "autorización"]),
-        "descriptive": gathered(descriptive_lines(lines, key, headings), key),
-        "full_document": df.select(key, F.col(text_col).alias("text")),
-    }
-    out = None
-    for kind, rows in kinds.items():
-        part = rows.filter("trim(text) <> ''").select(key, F.lit(kind).alias("content_category"), "text")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def file_chunks(table_rows: DataFrame, chunks: DataFrame, key: str, product: Column) -> DataFrame:
-    """Table rows and text chunks of each file in one, with the file's product."""
-    return table_rows.unionByName(chunks, allowMissingColumns=True).withColumn("product", product)
+    rows = settled(lines_of(df, key, text_col).withColumnRenamed("lines_", "whole_"), lines_=F.transform("whole_", lambda x: F.trim(x)))
+    rows = with_general_info(rows, "general_info", [name], ["composición", "cultivo", "dosis"])
+    rows = with_section(rows, "composition", ["composición"], ["lote", "fecha", "autorización"])
+    rows = with_section(rows, "safety", ["precauciones", "advertencias", "no aplicar", "peligro"], ["fabricado", "importa", "autorización"], keep_heading=True)
+    rows = with_keywords(rows, "commercial", ["fabricado", "importa", "distribuye", "autorización"])
+    rows = with_descriptions(rows, "descriptive", headings)
+    kinds = ("general_info", "composition", "safety", "commercial", "descriptive")
+    chunk = lambda kind, text: F.struct(F.lit(kind).alias("content_category"), text.alias("text"))
+    found = F.array(*(chunk(k, F.array_join(F.col(k)["line"], "\n")) for k in kinds), chunk("full_document", F.array_join("whole_", "\n")))
+    rows = rows.select(key, F.inline(found))
+    return rows.filter("trim(text) <> ''").select(key, "content_category", "text")
+
+
+def structured_chunks(pages: DataFrame, tables: DataFrame, keys: Sequence[str], text_col: str, crop_pattern: str, fewest: int = 2) -> DataFrame:
+    """keys, content_category, text: what the long lines of pages with fewer than ``fewest`` tables say of doses.
+
+    tables: a row per extracted table, with the same keys.
+    """
+    enough = tables.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= fewest)
+    few = pages.join(enough, list(keys), "left_anti")
+    lines = few.select(*keys, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    found = structured_lines(lines, crop_pattern)
+    amount = F.concat_ws(" - ", F.col("dose_low").cast("string"), F.col("dose_high").cast("string"))
+    return found.select(*keys, F.lit("structured").alias("content_category"), F.concat(F.lit("Cultivo: "), F.col("crops"), F.lit(" | Dosis: "), amount, F.lit(" "), F.col("unit")).alias("text"))
+
+
+def file_chunks(table_rows: DataFrame, chunks: DataFrame, key: str, product: Column, structured: DataFrame | None = None) -> DataFrame:
+    """Table rows and text chunks of each file in one (and, if given, structured text), with the file's product."""
+    out = table_rows.unionByName(chunks, allowMissingColumns=True)
+    out = out if structured is None else out.unionByName(structured, allowMissingColumns=True)
+    return out.withColumn("product", product)
 
 
 def page_chunks(products: DataFrame, keys: Sequence[str], name_col: str, flags: dict[str, Column]) -> DataFrame:

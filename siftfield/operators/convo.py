@@ -14,8 +14,26 @@ MESSAGE_PATHS = ("$.body.messages[*].content", "$.messages[*].content", "$.messa
 REPLY_PATHS = ("$.choices[0].message.content", "$.reply", "$.output", "$.response", "$.result", "$.content", "$.message", "$.text")
 
 
+#: Keys that a message may stand under, in order.
+MESSAGE_KEYS = ("content", "text", "message", "query", "prompt")
+
+
+def deep_message(json: Column, depth: int = 3, keys: Sequence[str] = MESSAGE_KEYS) -> Column:
+    """The first message in JSON text, depth first: of an object its own by the keys' order, else what its values
+    hold, in their order; of a list what its items hold; ``depth`` levels down.  Numbers aren't messages, and a string
+    that is itself JSON counts as what it says."""
+    own = F.from_json(json, ", ".join(f"`{k}` variant" for k in keys))
+    said = F.coalesce(*(F.when(F.schema_of_variant(own[k]) == "STRING", F.nullif(F.trim(F.try_variant_get(own[k], "$", "string")), F.lit(""))) for k in keys))
+    if depth == 0:
+        return F.when(json.startswith("{"), said)
+    first = lambda parts: F.get(F.filter(F.transform(parts, lambda x: deep_message(x, depth - 1, keys)), lambda x: x.isNotNull()), F.lit(0))
+    inside = F.filter(F.map_values(F.from_json(json, "map<string,string>")), lambda x: x.startswith("{") | x.startswith("["))
+    items = F.filter(F.from_json(json, "array<string>"), lambda x: x.startswith("{") | x.startswith("["))
+    return F.when(json.startswith("{"), F.coalesce(said, first(inside))).when(json.startswith("["), first(items))
+
+
 def user_message(payload: Column) -> Column:
-    """The last message of a request, by the first path that has one; else, a level down, under the same keys."""
+    """The last message of a request, by the first path that has one; else the first that a search three levels deep finds."""
     doc = F.try_parse_json(payload)
 
     def last(path: str) -> Column:
@@ -25,8 +43,7 @@ def user_message(payload: Column) -> Column:
         found = F.filter(F.transform(F.coalesce(F.try_variant_get(doc, base, "array<variant>"), F.array().cast("array<variant>")), lambda m: F.try_variant_get(m, f"$.{field}", "string")), lambda t: t.isNotNull() & (F.trim(t) != ""))
         return F.try_element_at(found, F.lit(-1))
 
-    nested = [f"$.{outer}.{key}" for outer in ("data", "payload", "request", "body") for key in ("message", "content", "text", "query", "input")]
-    return F.coalesce(*(last(p) for p in (*MESSAGE_PATHS, *nested)))
+    return F.coalesce(*(last(p) for p in MESSAGE_PATHS), F.when(doc.isNotNull(), deep_message(F.trim(payload, F.lit(" \n\t\r")))))
 
 
 def reply_content(payload: Column) -> Column:

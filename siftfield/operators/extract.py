@@ -70,6 +70,18 @@ def dose(text: Column, pattern: str = RANGE) -> Column:
     return F.struct(F.translate(low, ",", ".").cast("double").alias("low"), F.translate(high, ",", ".").cast("double").alias("high"), unit.alias("unit"), display.alias("display"))
 
 
+def dose_text(text: Column, style: str = "dash", pattern: str = RANGE) -> Column:
+    """struct(range, unit) in the forms that different crops' records have.
+
+    dash: ``low-high``, and ``low-`` without an upper bound; bare: without one, low alone and no unit;
+    spaced: ``low - high``, or low alone, and always the unit.
+    """
+    d, (low, high) = dose(text, pattern), (F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in (1, 2))
+    both = {"dash": F.concat(low, F.lit("-"), F.coalesce(high, F.lit(""))), "bare": F.concat_ws("-", low, high), "spaced": F.concat_ws(" - ", low, high)}[style]
+    unit = F.when(high.isNull(), "").otherwise(d["unit"]) if style == "bare" else d["unit"]
+    return F.struct(F.when(low.isNotNull(), both).alias("range"), F.when(low.isNotNull(), unit).alias("unit"))
+
+
 def unit_in(text: Column, units: Sequence[str] = tuple(UNITS)) -> Column:
     return F.coalesce(*(F.when(F.contains(F.lower(text), F.lit(u.lower())), u) for u in units))
 

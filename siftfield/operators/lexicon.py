@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from siftfield.functions.text import all_of, any_of, contains_any, words
 
-#: Rows of a term list that may be broadcast; a longer one is joined without the hint.
-SMALL_LEXICON = 100_000
+#: Rows of a term list that may go to every task; characters of a gram by which longer lists are joined.
+SMALL_LEXICON, GRAM = 100_000, 4
 
 
 def small(table: DataFrame, most: int = SMALL_LEXICON) -> DataFrame:
@@ -18,10 +20,46 @@ def small(table: DataFrame, most: int = SMALL_LEXICON) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def occurring(df: DataFrame, key_cols: Sequence[str], text: Column, terms: DataFrame, term_col: str) -> DataFrame:
+    """key_cols and the columns of ``terms``: a row for each term that occurs in a row's text (not null, not empty).
+
+    Up to SMALL_LEXICON terms go to every task, as one automaton that reads each text once.  Of more terms and
+    of the texts, grams of up to GRAM characters meet in a join, and then the whole terms are looked for; so
+    terms are never compared with all texts.
+    """
+    terms = terms.filter(F.length(term_col) > 0)
+    rows = terms.select(term_col).distinct().limit(SMALL_LEXICON + 1).collect()
+    keyed = df.select(*key_cols, text.alias("text_"))
+    if len(rows) <= SMALL_LEXICON:
+        shared = df.sparkSession.sparkContext.broadcast([r[0] for r in rows])
+
+        @F.pandas_udf(ArrayType(StringType()))
+        def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for term in shared.value:
+                machine.add_word(term, term)
+            if shared.value:
+                machine.make_automaton()
+            for batch in texts:
+                yield pd.Series([sorted({x for _, x in machine.iter(t)}) if t and shared.value else [] for t in batch], dtype=object)
+
+        hits = keyed.select(*key_cols, F.explode(found("text_")).alias(term_col))
+        return hits.join(small(terms), term_col)
+    size = F.least(F.length(term_col), F.lit(GRAM))
+    sizes = [r[0] for r in terms.select(size.alias("n")).distinct().collect()]
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text_") - n + 1, F.lit(1))), lambda i: F.substring("text_", i, n))
+    grams = F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
+    met = keyed.select(*key_cols, F.explode(grams).alias("gram_")).join(terms.withColumn("gram_", F.substring(term_col, F.lit(1), size)), "gram_").drop("gram_")
+    on = [keyed[c].eqNullSafe(met[c]) for c in key_cols]
+    return met.join(keyed, on).filter(F.contains("text_", F.col(term_col))).select(*(met[c] for c in met.columns))
+
+
 def first_match_table(df: DataFrame, text_col: str, lexicon: DataFrame, key_cols: Sequence[str], default: str | None = None) -> DataFrame:
     """Add ``match``: the key with the lowest ``ord`` of which a variant occurs (lexicon: ord, key, variant)."""
-    terms = small(lexicon.select("ord", F.col("key").alias("key_"), F.lower("variant").alias("variant_")))
-    hits = df.join(terms, F.contains(F.lower(F.col(text_col)), F.col("variant_"))).groupBy(*key_cols).agg(F.min_by("key_", "ord").alias("match"))
+    terms = lexicon.select("ord", F.col("key").alias("key_"), F.lower("variant").alias("variant_"))
+    hits = occurring(df, key_cols, F.lower(F.col(text_col)), terms, "variant_").groupBy(*key_cols).agg(F.min_by("key_", "ord").alias("match"))
     return df.join(hits, list(key_cols), "left").withColumn("match", F.coalesce("match", F.lit(default)))
 
 
@@ -57,9 +95,11 @@ def valid_name(
 
 
 def unprocessed(df: DataFrame, name_col: str, processed: DataFrame, product_col: str) -> DataFrame:
-    """Files whose name holds none of the processed products."""
-    known = small(processed.select(F.lower(product_col).alias("product_")).filter("product_ <> ''").distinct())
-    return df.join(known, F.contains(F.lower(F.col(name_col)), F.col("product_")), "left_anti")
+    """Files whose name holds none of the processed products (null names and products hold none)."""
+    known = processed.select(F.lower(product_col).alias("product_")).filter("product_ <> ''").distinct()
+    names = df.select(F.lower(F.col(name_col)).alias("name_")).filter("name_ is not null").distinct()
+    done = occurring(names, ["name_"], F.col("name_"), known, "product_").select("name_").distinct()
+    return df.join(done, F.lower(F.col(name_col)) == F.col("name_"), "left_anti")
 
 
 def allowed(df: DataFrame, key: str, allow: DataFrame) -> DataFrame:

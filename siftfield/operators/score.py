@@ -41,8 +41,8 @@ def evidence_kind(tag: Column, crop: str, overlap: bool = False) -> Column:
 
 def priority(
     processed: Column, named: Column, table_rows: Column, direct: Column, context: Column, ingredient: Column, related: Column, product_type: Column, chunks: Column,
-) -> tuple[Column, Column]:
-    """(priority, reasons) by the first rule that holds."""
+) -> tuple[Column, Column, Column]:
+    """(priority, recommendation, reasons) by the first rule that holds."""
     known = ingredient.isNotNull() & (ingredient != "")
     tables, typed = table_rows > 0, product_type.isin(*KNOWN_TYPES)
     related_crops = F.size(related) > 0
@@ -70,7 +70,20 @@ def priority(
         F.when(~processed & ~named & related_crops & known & typed, F.concat(F.lit("type "), product_type)),
         F.when(~processed & ~named & ~related_crops & (chunks < 5), "little content"),
     ))
-    return level, reasons
+    advice = (
+        F.when(processed, "processed before")
+        .when(named & tables & (direct > 0), F.when(known, "process: doses for the crop, all known").otherwise("process: doses for the crop, ingredient to be checked"))
+        .when(named & tables & (context > 0), F.when(known, "process: doses near the crop, ingredient known").otherwise("process: doses near the crop, ingredient to be checked"))
+        .when(named & tables, "process: crop named, no doses for it")
+        .when(named & (direct + context > 0), "process: doses for the crop, no tables")
+        .when(named, "evaluate: crop named, little else")
+        .when(related_crops & known & typed, "process if wanted: related crops, ingredient known")
+        .when(related_crops & known, "evaluate by hand: related crops, type unknown")
+        .when(related_crops, "evaluate by hand: related crops, ingredient unknown")
+        .when(chunks < 5, "leave: nothing relevant")
+        .otherwise("evaluate by hand: nothing named, whole document")
+    )
+    return level, advice, reasons
 
 
 def evaluations(files: DataFrame, key: str, per_file: Sequence[DataFrame], counts: Sequence[str]) -> DataFrame:
@@ -101,12 +114,19 @@ def chunk_stats(chunks: DataFrame, group: str, score: str, flags: dict[str, Colu
 
 
 def extraction_detail(chunks: DataFrame, key: str, names: str, weeds: str, has_dose: Column, score: str, id_col: str, top: int = 3) -> DataFrame:
-    """key, names and weeds (distinct, sorted), dose_chunks, top (ids of the best chunks)."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), id_col))
-    rows = chunks.withColumn("rank_", rank)
+    """key, names and weeds (distinct, sorted), dose_chunks, top (ids of the best chunks).
+
+    Sets and counts are taken with map-side partials; the best chunks are ranked within parts of a key first.
+    """
     unique = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    best = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank_") <= top, F.struct("rank_", F.col(id_col).alias("id"))))), lambda x: x["id"])
-    return rows.groupBy(key).agg(unique(names).alias("names"), unique(weeds).alias("weeds"), F.count_if(has_dose).alias("dose_chunks"), best.alias("top"))
+    facts = chunks.groupBy(key).agg(unique(names).alias("names"), unique(weeds).alias("weeds"), F.count_if(has_dose).alias("dose_chunks"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score_"), "id_"))
+    rows = chunks.select(key, F.col(score).alias("score_"), F.col(id_col).alias("id_")).withColumn("part_", F.pmod(F.xxhash64("id_"), F.lit(64)))
+    best = rows.withColumn("r_", rank(key, "part_")).filter(F.col("r_") <= top).withColumn("r_", rank(key)).filter(F.col("r_") <= top)
+    best = best.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("r_", "id_"))), lambda x: x["id_"]).alias("top"))
+    on = F.col("f.key_").eqNullSafe(F.col("b.key_"))
+    joined = facts.withColumnRenamed(key, "key_").alias("f").join(best.withColumnRenamed(key, "key_").alias("b"), on, "left")
+    return joined.select(F.col("f.key_").alias(key), "names", "weeds", "dose_chunks", "top")
 
 
 def approval_stats(decided: DataFrame, group: Sequence[str], approved: Column, is_table: Column) -> DataFrame:

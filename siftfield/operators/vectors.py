@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from siftfield.functions.text import contains_any, joined, words
 from siftfield.operators.lexicon import from_sources, mentions
 
-#: Queries that may go to every task; more of them are taken in parts of this size.
-MOST_QUERIES = 10_000
+#: Vectors and queries in a block; queries that may go to every task.
+BLOCK, MOST_QUERIES = 1024, 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,49 +45,73 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id"
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), F.desc(id_col))))
 
 
+def in_blocks(rows: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
+    """Rows of up to BLOCK vectors: ids and limits as arrays, the vectors as one binary of doubles (null: zeros)."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                column = part.column(1)
+                width = max((len(v) for v in column.to_pylist() if v is not None), default=0)
+                flat = np.array([v if v is not None else [0.0] * width for v in column.to_pylist()], np.float64)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                limits = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(2).cast(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, limits, pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_limits", f"{name}_flat"])
+
+    return rows.select(id_col, vector_col, "k_").mapInArrow(run, f"{name}_ids array<{kinds[id_col]}>, {name}_limits array<int>, {name}_flat binary")
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: str = "id", vector_col: str = "embedding", query_id: str = "qid", metric: str = "cosine", digits: int | None = None) -> DataFrame:
     """qid, id, similarity, rank for many queries (qid, embedding and, where k names a column, that).
 
-    Every task multiplies its vectors with all queries in numpy and keeps the best k per query, so only
-    k rows per task and query are shuffled; ties by the smaller id.  Queries come to the driver in
-    parts of ``MOST_QUERIES``.
+    Blocks of queries meet blocks of vectors in numpy.  A task keeps the best k of each of its queries as it
+    goes, so k rows per task and query are shuffled; ties by the smaller id.  Queries are broadcast, packed, only
+    if a count shows that they are at most ``MOST_QUERIES``; more of them are dealt out like the vectors.
     """
-    wanted = queries.select(query_id, vector_col, (F.col(k) if isinstance(k, str) else F.lit(k)).alias("k_"))
-    n = wanted.count()
-    parts = max(1, -(-n // MOST_QUERIES))
-    out = None
-    for part in range(parts):
-        chosen = wanted if parts == 1 else wanted.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
-        found = _best(vectors, chosen.collect(), id_col, vector_col, query_id, metric, digits)
-        out = found if out is None else out.unionByName(found)
-    return out
-
+    asked = queries.select(query_id, vector_col, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k_"))
+    few = asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+    q = in_blocks(asked, query_id, vector_col, "q")
+    v = in_blocks(vectors.withColumn("k_", F.lit(0)), id_col, vector_col, "v")
+    pairs = v.crossJoin(F.broadcast(q) if few else q).select("q_ids", "q_limits", "q_flat", "v_ids", "v_flat")
+    kinds = {query_id: dict(queries.dtypes)[query_id], id_col: dict(vectors.dtypes)[id_col]}
 
-def _best(vectors: DataFrame, rows: list, id_col: str, vector_col: str, query_id: str, metric: str, digits: int | None) -> DataFrame:
-    matrix = np.array([r[vector_col] for r in rows], np.float64) if rows else np.zeros((0, 1))
-    names, limits = [r[query_id] for r in rows], [r["k_"] for r in rows]
-    kinds = dict(vectors.dtypes)
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, list] = {}  # by block of queries: ids, limits, and of each query the best scores and ids
+        types: dict[int, pa.DataType] = {}
         for batch in batches:
-            if not batch.num_rows or not len(matrix):
-                continue
-            ids = np.array(batch.column(0).to_pylist())
-            flat = batch.column(1)
-            x = np.array([v if v is not None else np.zeros(matrix.shape[1]) for v in flat.to_pylist()], np.float64)
-            if metric == "cosine":
-                size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((matrix * matrix).sum(1))[None]
-                scores = np.divide(x @ matrix.T, size, out=np.zeros(size.shape), where=size > 0)
-            else:
-                scores = 1 - ((x * x).sum(1)[:, None] + (matrix * matrix).sum(1)[None] - 2 * x @ matrix.T)
-            if digits is not None:
-                scores = np.round(scores, digits)
-            for j, (name, k) in enumerate(zip(names, limits)):
-                best = np.lexsort((ids, -scores[:, j]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best)), pa.array([k] * len(best), pa.int32()), pa.array(ids[best]), pa.array(scores[best, j])], names=[query_id, "k_", id_col, "similarity"])
-
-    qtype = "bigint" if not names or isinstance(names[0], int) else "string"
-    near = vectors.select(id_col, vector_col).mapInArrow(run, f"{query_id} {qtype}, k_ int, {id_col} {kinds[id_col]}, similarity double")
+            types = types or {0: batch.column(0).type.value_type, 3: batch.column(3).type.value_type}
+            for names, limits, q_raw, ids, v_raw in zip(*(c.to_pylist() for c in batch.columns)):
+                m, x = (np.frombuffer(raw).reshape(n, -1) for raw, n in ((q_raw, len(names)), (v_raw, len(ids))))
+                if metric == "cosine":
+                    scores = unit(m) @ unit(x).T if m.shape[1] == x.shape[1] else np.zeros((len(m), len(x)))
+                else:
+                    scores = 1 - ((m * m).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * m @ x.T)
+                if digits is not None:
+                    scores = np.round(scores, digits)
+                ids, key = np.array(ids, object if isinstance(ids[0], str) else None), repr(names[:2]).encode() + q_raw[:64]
+                held = best.setdefault(key, [names, limits, [np.empty(0)] * len(names), [ids[:0]] * len(names)])
+                most = max(limits, default=0)
+                for j, n in enumerate(limits):
+                    row = scores[j]
+                    if len(row) > 4 * most > 0:  # ties with the n-th stay in
+                        row_at = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if n else np.empty(0, np.int64)
+                    else:
+                        row_at = np.arange(len(row))
+                    s, i = np.concatenate((held[2][j], row[row_at])), np.concatenate((held[3][j], ids[row_at]))
+                    order = np.lexsort((i, -s))[:n]
+                    held[2][j], held[3][j] = s[order], i[order]
+        for names, limits, scores, found in best.values():
+            times = [len(s) for s in scores]
+            columns = [np.repeat(np.array(names, object), times).tolist(), np.repeat(np.array(limits), times), np.concatenate(found).tolist(), np.concatenate(scores)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (types[0], pa.int32(), types[3], pa.float64()))], names=[query_id, "k_", id_col, "similarity"])
+
+    near = pairs.mapInArrow(run, f"{query_id} {kinds[query_id]}, k_ int, {id_col} {kinds[id_col]}, similarity double")
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
     return near.withColumn("rank", rank).filter(F.col("rank") <= F.col("k_")).drop("k_")
 
@@ -146,13 +170,18 @@ def hashed_vectors(texts: pd.Series, dim: int) -> list[list[float]]:
     return out
 
 
-def embed_unseen(texts: DataFrame, cache: DataFrame, text_col: str, dim: int = 64, longest: int = 8000, embedder: Callable[[pd.Series, int], list] = hashed_vectors) -> tuple[DataFrame, DataFrame]:
+def word_marks(words: Sequence[str]) -> Callable[[pd.Series, int], list]:
+    """An embedder with a dimension for each word: 1 where the text, in lower case, holds it."""
+    return lambda texts, dim: [[float(w in (x or "").lower()) for w in words[:dim]] for x in texts]
+
+
+def embed_unseen(texts: DataFrame, cache: DataFrame, text_col: str, dim: int = 64, longest: int | None = None, embedder: Callable[[pd.Series, int], list] = hashed_vectors) -> tuple[DataFrame, DataFrame]:
     """(misses, cache): the distinct texts that the cache lacks, and the cache with their vectors.
 
-    Texts are keyed by MD5, so a failed one can't shift the others; only the first ``longest``
-    characters go to the embedder, as such services cut their input there.
+    Texts are keyed by MD5, so a failed one can't shift the others.  ``longest``: only so many characters go to
+    the embedder, for services that cut their input (such as at 8,000).
     """
-    keyed = texts.select(F.md5(text_col).alias("text_md5"), F.substring(text_col, 1, longest).alias("text")).filter("text_md5 is not null").dropDuplicates(["text_md5"])
+    keyed = texts.select(F.md5(text_col).alias("text_md5"), (F.substring(text_col, 1, longest) if longest else F.col(text_col)).alias("text")).filter("text_md5 is not null").dropDuplicates(["text_md5"])
     misses = keyed.join(cache.select("text_md5"), "text_md5", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftfield.functions.text import contains_any, fold_accents
-from siftfield.operators.lexicon import small
+from siftfield.operators.lexicon import occurring, small
 
 WEATHER_WORDS = ["clima", "tiempo", "temperatura", "lluvia", "pronóstico", "pronostico", "viento", "helada", "weather"]
 WEEKDAYS = "lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo"
@@ -34,13 +34,25 @@ def weather_period(text: Column) -> Column:
     return F.struct(contains_any(text, WEATHER_WORDS).alias("is_weather"), found["period"].alias("period"), found["days"].alias("days"))
 
 
-def located(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame, default: str = "Santiago", match: str = "first") -> DataFrame:
+#: Words before a place's name.
+PLACE_PATTERNS = [r"(?iu)(?:clima|temperatura|pronóstico|tiempo)?\s*\b(?:en|de|para)\s+([\p{L}\s,]+)", r"(?iu)próximos?\s+\d+\s+días?\s+(?:en|de)\s+([\p{L}\s,]+)"]
+
+
+def located(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame, default: str = "Santiago", match: str = "first", patterns: Sequence[str] = tuple(PLACE_PATTERNS)) -> DataFrame:
     """Add ``place``: of the aliases (ord, alias, place) that occur, accents aside, the first in order or
-    the longest; else the default."""
-    names = small(gazetteer.select("ord", fold_accents(F.lower("alias")).alias("alias_"), "place"))
-    order = F.col("ord") if match == "first" else F.struct(-F.length("alias_"), "ord")
-    hits = df.join(names, F.contains(fold_accents(F.lower(F.col(text_col))), F.col("alias_"))).groupBy(key).agg(F.min_by("place", order).alias("place"))
-    return df.join(hits, key, "left").withColumn("place", F.coalesce("place", F.lit(default)))
+    the longest (match); else the one that equals what a preposition pattern captures; else the default.
+
+    With match="named" the name after a preposition comes first.
+    """
+    folded = fold_accents(F.lower(F.col(text_col)))
+    names = gazetteer.select("ord", F.trim(fold_accents(F.lower("alias"))).alias("alias_"), "place")
+    order = F.struct(-F.length("alias_"), "ord") if match == "longest" else F.col("ord")
+    hits = occurring(df, [key], folded, names, "alias_").groupBy(key).agg(F.min_by("place", order).alias("held_"))
+    captures = F.array_compact(F.array(*(F.nullif(F.trim(F.regexp_extract(F.col(text_col), p, 1)), F.lit("")) for p in patterns)))
+    said = df.select(key, F.posexplode(F.transform(captures, lambda x: fold_accents(F.lower(x)))).alias("pos_", "alias_"))
+    named = said.join(small(names), "alias_").groupBy(key).agg(F.min_by("place", F.struct("pos_", "ord")).alias("named_"))
+    place = F.coalesce("named_", "held_") if match == "named" else F.coalesce("held_", "named_")
+    return df.join(hits, key, "left").join(named, key, "left").withColumn("place", F.coalesce(place, F.lit(default))).drop("held_", "named_")
 
 
 def region_of(df: DataFrame, place_col: str, regions: DataFrame, default: str = "no identificada") -> DataFrame:
@@ -59,7 +71,7 @@ def rain_class(probability: Column) -> Column:
     return F.when(p.isNull(), "unknown").when(p > 70, "high").when(p > 30, "medium").otherwise("low")
 
 
-#: Upper bounds of the thermal bands, in degrees.
+#: Upper bounds of the thermal bands, in degrees. Fixed values.
 BANDS = [(0, "freezing"), (5, "very cold"), (10, "cold"), (15, "cool"), (20, "mild"), (25, "warm"), (30, "hot"), (35, "very hot")]
 
 

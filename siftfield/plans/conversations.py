@@ -121,13 +121,13 @@ def prompt_assembly(spark, d):
     return rows.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.col("messages")[0]["content"].alias("head"))
 
 
-@query("accent_fold", "SELECT doc_id, md5(strip_accents(substr(text, 1, 400))) AS folded FROM documents WHERE lang IN ('es', 'fr')")
+@query("accent_fold", "SELECT doc_id, md5(strip_accents(text)) AS folded, length(strip_accents(text)) AS n FROM documents")
 def accent_fold(spark, d):
-    docs = table(spark, d, "documents").filter("lang in ('es', 'fr')")
-    return docs.select("doc_id", F.md5(t.fold_accents(F.substring("text", 1, 400))).alias("folded"))
+    folded = table(spark, d, "documents").select("doc_id", t.fold_accents(F.col("text")).alias("x"))
+    return folded.select("doc_id", F.md5("x").alias("folded"), F.length("x").cast("long").alias("n"))
 
 
-@query("accent_fold_whole")
+@query("accent_fold_whole", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
 def accent_fold_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(t.fold_accents(F.col("text"))).alias("folded"))
 

@@ -40,7 +40,7 @@ CONTEXT = f"WITH {LINES}, near AS (SELECT *, max(regexp_matches(line, '(?i)licen
 
 @query("context_evidence_lines", CONTEXT + " SELECT doc_id, line_no FROM near WHERE n = 1 AND NOT regexp_matches(line, '(?i)license') AND (regexp_matches(line, '[0-9]+') OR regexp_matches(line, '(?i)version'))")
 def context_evidence_lines(spark, d):
-    return lines.context_evidence(exploded(spark, d), "doc_id", CROP, DOSES).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    return lines.context_evidence(table(spark, d, "documents"), "doc_id", "text", CROP, DOSES).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query("evidence_counts", CONTEXT + """, e AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '(?i)license') THEN 'direct' ELSE 'context' END AS tag, line
@@ -49,7 +49,7 @@ SELECT doc_id, tag, count(*) AS n, array_to_string(list(md5(line) ORDER BY line_
 def evidence_counts(spark, d):
     rows = exploded(spark, d)
     direct = lines.direct_evidence(rows, CROP, DOSES).select("doc_id", "line_no", F.md5("line").alias("line"), F.lit("LICENSE - line").alias("tag"))
-    context = lines.context_evidence(rows, "doc_id", CROP, DOSES).select("doc_id", "line_no", F.md5("line").alias("line"), F.lit("CONTEXTO LICENSE - line").alias("tag"))
+    context = lines.context_evidence(table(spark, d, "documents"), "doc_id", "text", CROP, DOSES).select("doc_id", "line_no", F.md5("line").alias("line"), F.lit("CONTEXTO LICENSE - line").alias("tag"))
     tagged = direct.unionByName(context).withColumn("tag", score.evidence_kind(F.col("tag"), "LICENSE"))
     return score.evidence_counts(tagged, "doc_id", "tag", "line_no", "line").withColumn("samples", F.array_join("samples", ","))
 
@@ -63,12 +63,12 @@ SELECT doc_id, line_no FROM b WHERE line_no >= from_ AND (to_ IS NULL OR line_no
 
 @query("section_capture", SECTION + " AND NOT begins")
 def section_capture(spark, d):
-    return lines.capture_section(exploded(spark, d), "doc_id", ["the"], ["license", "token"], ["|"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    return lines.capture_section(table(spark, d, "documents"), "doc_id", "text", ["the"], ["license", "token"], ["|"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query("section_capture_with_heading", SECTION)
 def section_capture_with_heading(spark, d):
-    return lines.capture_section(exploded(spark, d), "doc_id", ["the"], ["license", "token"], ["|"], keep_heading=True).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    return lines.capture_section(table(spark, d, "documents"), "doc_id", "text", ["the"], ["license", "token"], ["|"], keep_heading=True).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query("descriptive_lines", f"""WITH {LINES}, t AS (SELECT doc_id, line_no, trim(line) AS l FROM lines WHERE trim(line) <> ''), m AS (SELECT *, contains(lower(l), 'license') AS heading FROM t),
@@ -76,13 +76,13 @@ e AS (SELECT *, CASE WHEN heading THEN 1 WHEN contains(l, '|') THEN 0 END AS eve
 r AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS on_ FROM e)
 SELECT doc_id, line_no, md5(CASE WHEN heading THEN '=== ' || upper(l) || ' ===' ELSE l END) AS line FROM r WHERE heading OR (event IS NULL AND on_ = 1 AND length(l) > 10)""")
 def descriptive_lines(spark, d):
-    out = lines.descriptive_lines(exploded(spark, d), "doc_id", ["license"], ["|"])
+    out = lines.descriptive_lines(table(spark, d, "documents"), "doc_id", "text", ["license"], ["|"])
     return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line"))
 
 
 @query("keyword_lines", f"WITH {LINES} SELECT doc_id, string_agg(trim(line), chr(10) ORDER BY line_no) AS text FROM lines WHERE contains(lower(line), 'license') OR contains(lower(line), 'rights') GROUP BY doc_id")
 def keyword_lines(spark, d):
-    return lines.keyword_lines(exploded(spark, d), "doc_id", ["license", "rights"])
+    return lines.keyword_lines(table(spark, d, "documents"), "doc_id", "text", ["license", "rights"])
 
 
 @query("general_info_lines", f"""WITH {LINES}, t AS (SELECT doc_id, line_no, trim(line) AS l FROM lines),
@@ -91,7 +91,7 @@ g AS (SELECT *, line_no > from_ AND line_no <= from_ + 9 AND length(l) > 20 AND
 h AS (SELECT *, min(CASE WHEN later AND contains(lower(l), 'license') THEN line_no END) OVER (PARTITION BY doc_id) AS to_ FROM g)
 SELECT doc_id, line_no FROM h WHERE line_no = from_ OR (later AND (to_ IS NULL OR line_no < to_))""")
 def general_info_lines(spark, d):
-    return lines.general_info(exploded(spark, d), "doc_id", ["the", "and"], ["license"], ["|"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    return lines.general_info(table(spark, d, "documents"), "doc_id", "text", ["the", "and"], ["license"], ["|"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query("table_like_lines", f"WITH {LINES} SELECT doc_id, count(*) AS n FROM lines WHERE contains(line, '|') OR contains(line, 'DOSIS') OR contains(line, 'CULTIVO') GROUP BY doc_id")

@@ -242,11 +242,11 @@ def rated(spark, d):
     text = F.col("text")
     docs = table(spark, d, "documents")
     related = F.array_compact(F.array(*(F.when(t.contains_any(text, [w]), w) for w in ("http", "rights"))))
-    level, reasons = score.priority(
+    level, advice, reasons = score.priority(
         t.contains_any(text, ["token"]), t.contains_any(text, ["license"]), F.size(F.split(text, "\n", -1)) - 1, t.count_of(text, " the "), t.count_of(text, " of "),
         t.first_match(text, [("in", [" in "]), ("la", [" la "])]), related, F.when(F.col("lang") == "en", "Herbicida").otherwise("Otro"), F.floor(F.col("n_chars") / 500),
     )
-    return docs.select("doc_id", "source", level.alias("priority"), reasons.alias("reasons"))
+    return docs.select("doc_id", "source", level.alias("priority"), advice.alias("recommendation"), reasons.alias("reasons"))
 
 
 @query("priority_counts", """

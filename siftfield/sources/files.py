@@ -13,9 +13,10 @@ RECORD = "name string, id string, content string, data string, path string, url
 PLACES = ("$.files", "$.body.files", "$.attachments", "$.documents")
 
 
-def scan_files(spark: SparkSession, folder: str, extension: str = "pdf", content: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, folder: str, extensions: str | Sequence[str] = "pdf", content: bool = False) -> DataFrame:
     """path, file_name, modified, size_mb (and content) of the files under a folder, by any scheme Spark reads."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", "true").load(folder)
+    kinds = [extensions] if isinstance(extensions, str) else list(extensions)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     out = files.select("path", name.alias("file_name"), F.col("modificationTime").alias("modified"), (F.col("length") / 1024 / 1024).alias("size_mb"), "content")
     return out if content else out.drop("content")

@@ -38,13 +38,21 @@ def dimension(spark: SparkSession, knowledge: dict[str, dict[str, dict[str, str]
     """crop, name, attribute, text, low, high: one kind of a nested knowledge base, numbers parsed from
     texts such as ``15-20°C``."""
     rows = [(crop, name, a, t) for crop, kinds in knowledge.items() for name, facts in kinds.get(kind, {}).items() for a, t in (facts.items() if isinstance(facts, dict) else [("text", facts)])]
-    df = spark.createDataFrame(rows, "crop string, name string, attribute string, text string")
+    return with_bounds(spark.createDataFrame(rows, "crop string, name string, attribute string, text string"))
+
+
+def with_bounds(df: DataFrame) -> DataFrame:
+    """Add low and high, the numbers of texts such as ``15-20°C`` (one number is both)."""
     number = lambda k: F.expr(f"try_cast(nullif(regexp_extract(text, '(-?[0-9]+(?:[.][0-9]+)?)(?:\\\\s*-\\\\s*([0-9]+(?:[.][0-9]+)?))?', {k}), '') AS DOUBLE)")
     return df.withColumns({"low": number(1), "high": F.coalesce(number(2), number(1))})
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """ord, alias, place, lat, lon from a CSV of ord, alias, place, coords (``lat,lon``)."""
-    rows = spark.read.schema("ord int, alias string, place string, coords string").option("header", "true").csv(path)
-    part = F.split("coords", ",")
-    return rows.select("ord", "alias", "place", F.trim(part[0]).cast("double").alias("lat"), F.trim(part[1]).cast("double").alias("lon"))
+    return with_coordinates(spark.read.schema("ord int, alias string, place string, coords string").option("header", "true").csv(path))
+
+
+def with_coordinates(rows: DataFrame) -> DataFrame:
+    """lat and lon in place of coords (``lat,lon``); null where they aren't numbers."""
+    number = lambda k: F.expr(f"try_cast(trim(split(coords, ',')[{k}]) AS DOUBLE)")
+    return rows.withColumns({"lat": number(0), "lon": number(1)}).drop("coords")

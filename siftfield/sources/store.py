@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Collections of a batch up to which the store is read by collection.
+MOST_COLLECTIONS = 1000
+
+
 def with_ids(chunks: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
     """Add ``id``: ``chunk_{i}_{file}``, i from 0 in the file's order."""
     i = F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1
@@ -19,7 +23,8 @@ def unseen(chunks: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFram
 
 
 def append(chunks: DataFrame, path: str) -> None:
-    """Append rows that the store (partitioned by collection) doesn't have yet."""
+    """Append rows that the store (partitioned by collection) doesn't have yet; only the collections of the new
+    rows are read (ids tell chunks apart within a collection)."""
     spark = chunks.sparkSession
     try:
         stored = spark.read.parquet(path)
@@ -27,14 +32,18 @@ def append(chunks: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = None
-    new = chunks if stored is None else unseen(chunks, stored)
-    new.dropDuplicates(["id"]).write.mode("append").partitionBy("collection").parquet(path)
+    new = chunks
+    if stored is not None:
+        names = [r[0] for r in chunks.select("collection").distinct().limit(MOST_COLLECTIONS + 1).collect()]
+        if len(names) <= MOST_COLLECTIONS and None not in names:
+            stored = stored.filter(F.col("collection").isin(names))
+        new = chunks.join(stored.select("id", "collection"), ["id", "collection"], "left_anti")
+    new.dropDuplicates(["id", "collection"]).write.mode("append").partitionBy("collection").parquet(path)
 
 
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key, the one that comes last."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))
-    return rows.withColumn("rank_", rank).filter("rank_ = 1").drop("rank_")
+    return rows.groupBy(F.col(key).alias("key_")).agg(F.max_by(F.struct(*rows.columns), order).alias("x_")).select("x_.*")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, path: str) -> None:
@@ -48,14 +57,27 @@ def collection_counts(store: DataFrame) -> DataFrame:
 
 
 def save_cache(cache: DataFrame, path: str) -> None:
-    cache.select("text_md5", "embedding").write.mode("overwrite").parquet(path)
+    """Write the cache as a new version under ``path``; the one that it may have been read from stays."""
+    last = _last_version(cache.sparkSession, path)
+    cache.select("text_md5", "embedding").write.parquet(f"{path}/version={(last or 0) + 1}")
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("text_md5 string, embedding array<float>").parquet(path)
+    """The last version that has rows; an empty cache where there's none."""
+    schema, last = "text_md5 string, embedding array<float>", _last_version(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={last}") if last else spark.createDataFrame([], schema)
+
+
+def _last_version(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.schema("text_md5 string, version int").parquet(path).agg(F.max("version")).first()[0]
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
 
 
 def ingest_summary(runs: DataFrame, group: Sequence[str], ok: Column, error: Column, longest: int = 200) -> DataFrame:
-    """total, ok, failed, success_pct (one decimal), last_error (cut) of ingestion runs."""
+    """total, ok, failed, success_pct (one decimal), error (the last by its text, cut) of ingestion runs."""
     total, good = F.count("*"), F.count_if(ok)
     return runs.groupBy(*group).agg(total.alias("total"), good.alias("ok"), (total - good).alias("failed"), F.round(100.0 * good / total, 1).alias("success_pct"), F.max(F.when(~ok, F.substring(error, 1, longest))).alias("error"))

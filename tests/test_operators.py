@@ -66,13 +66,13 @@ def test_product_records_and_lines(spark):
     assert (row["product"], row["crops"], row["targets"]) == ("SELECTOR 480 SC", ["lenteja", "lentejas", "trigo"], ["ballica", "rábano"])
     ls = lines.explode_lines(docs, "file", "text")
     assert ls.count() == 15
-    dose = lines.heading_dose(ls, "file", "(?i)lenteja", [r"\d+[.,]\d+\s*-\s*\d+[.,]\d+"], UNITS).first()
+    dose = lines.heading_dose(docs, "file", "text", "(?i)lenteja", [r"\d+[.,]\d+\s*-\s*\d+[.,]\d+"], UNITS).first()
     assert (dose.dose, dose.unit) == ("0,5 - 1,0", "kg/ha")
-    composition = lines.gathered(lines.capture_section(ls, "file", ["composición"], ["lote"]), "file").first().text
+    composition = lines.gathered(lines.capture_section(docs, "file", "text", ["composición"], ["lote"]), "file").first().text
     assert composition == "Metribuzina 48,0 % p/v\nCoformulantes"
-    safety = lines.gathered(lines.capture_section(ls, "file", ["precauciones"], ["fabricado"], keep_heading=True), "file").first().text
+    safety = lines.gathered(lines.capture_section(docs, "file", "text", ["precauciones"], ["fabricado"], keep_heading=True), "file").first().text
     assert safety == "Precauciones\nNo aplicar con viento fuerte"
-    assert [r.line_no for r in lines.context_evidence(ls, "file", "(?i)lenteja", DOSE_PATTERNS).collect()] == [9]
+    assert [r.line_no for r in lines.context_evidence(docs, "file", "text", "(?i)lenteja", DOSE_PATTERNS).collect()] == [9]
     kinds = {r.content_category for r in chunk.comprehensive_chunks(docs, "file", "text", "herbicida", HEADINGS).collect()}
     assert kinds == {"general_info", "composition", "safety", "commercial", "descriptive", "full_document"}
     long = "Lenteja y trigo: aplicar en cobertura total 0,5 - 1,5 kg/ha antes de que las malezas tengan tres hojas verdaderas en todo el campo."
@@ -117,15 +117,15 @@ def test_evidence_and_ladder(spark):
         (False, False, 0, 0, 0, None, ["haba"], "Herbicida", 9, "LOW"), (False, False, 0, 0, 0, None, [], "x", 4, "SKIP"), (False, False, 0, 0, 0, None, [], "x", 5, "LOW"),
     ]
     df = spark.createDataFrame(cases, "p boolean, n boolean, r int, d int, c int, i string, rel array<string>, ty string, ch int, want string")
-    level, reasons = score.priority(*(F.col(c) for c in ("p", "n", "r", "d", "c", "i", "rel", "ty", "ch")))
-    rows = df.select("want", level.alias("got"), reasons.alias("why")).collect()
-    assert [r.got for r in rows] == [r.want for r in rows] and all(r.why for r in rows)
+    level, advice, reasons = score.priority(*(F.col(c) for c in ("p", "n", "r", "d", "c", "i", "rel", "ty", "ch")))
+    rows = df.select("want", level.alias("got"), advice.alias("advice"), reasons.alias("why")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and all(r.why and r.advice for r in rows)
     merged = score.evaluations(spark.createDataFrame([("a",), ("b",)], "file string"), "file", [df.limit(1).select(F.lit("a").alias("file"), "r")], ["r"])
     assert sorted(map(tuple, merged.collect())) == [("a", 9), ("b", 0)]
 
 
 def test_requests(spark):
-    cases = [({"body": {"messages": [{"content": "a"}, {"content": "b"}]}}, "b"), ({"messages": [{"content": " "}, {"content": "c"}]}, "c"), ({"message": "d"}, "d"), ({"data": {"text": "e"}}, "e"), ({"other": 1}, None)]
+    cases = [({"body": {"messages": [{"content": "a"}, {"content": "b"}]}}, "b"), ({"messages": [{"content": " "}, {"content": "c"}]}, "c"), ({"message": "d"}, "d"), ({"data": {"text": "e"}}, "e"), ({"other": 1}, None), ({"z": {"n": 5, "y": [{"q": 1}, {"content": 7, "text": " f "}]}, "a": {"text": "late"}}, "f"), ({"a": {"b": {"c": {"d": {"text": "too deep"}}}}}, None), ({"a": [{"b": {"prompt": "g"}}]}, "g")]
     df = spark.createDataFrame([(json.dumps(x),) for x, _ in cases] + [("{broken",)], "text string")
     assert [r[0] for r in df.select(convo.user_message(F.col("text"))).collect()] == [w for _, w in cases] + [None]
     replies = [({"choices": [{"message": {"content": "x"}}]}, "x"), ({"output": "y"}, "y")]
@@ -199,6 +199,55 @@ def test_files_and_store(spark, tmp_path):
     store.save_cache(cache, str(tmp_path / "cache"))
     misses, _ = vectors.embed_unseen(chunks, store.load_cache(spark, str(tmp_path / "cache")), "text", dim=8)
     assert misses.count() == 0
+    more, cache = vectors.embed_unseen(chunks.withColumn("text", F.concat("text", "id")), store.load_cache(spark, str(tmp_path / "cache")), "text", dim=8)
+    store.save_cache(cache, str(tmp_path / "cache"))  # read from the folder that it's written to
+    assert more.count() == 2 and store.load_cache(spark, str(tmp_path / "cache")).count() == 4 and store.load_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_long_term_lists_meet_by_grams(spark, monkeypatch):
+    texts = [(1, "alpha beta"), (2, "Betamax"), (3, "ab"), (4, None), (5, ""), (6, "gamma alpha"), (6, "gamma alpha")]
+    df = spark.createDataFrame(texts, "k int, text string")
+    terms = spark.createDataFrame([("beta",), ("alpha beta",), ("ab",), ("a",), ("max",), ("",), (None,), ("zz",)], "term string")
+    want = sorted((k, w) for k, x in texts for w in ("beta", "alpha beta", "ab", "a", "max", "zz") if x and w in x.lower())
+    for most in (100_000, 2):
+        monkeypatch.setattr(lexicon, "SMALL_LEXICON", most)
+        found = lexicon.occurring(df.distinct(), ["k"], F.lower("text"), terms, "term").select("k", "term")
+        assert sorted(map(tuple, found.distinct().collect())) == sorted(set(want))
+    names = lexicon.unprocessed(df, "text", spark.createDataFrame([("BETA",), ("",)], "p string"), "p")
+    assert sorted((r.k, r.text) for r in names.collect() if r.text) == [(3, "ab"), (6, "gamma alpha"), (6, "gamma alpha")] and names.count() == 5
+
+
+def test_places_after_prepositions(spark):
+    table = spark.createDataFrame([(0, "paine", "Paine"), (1, "Lota", "Lota"), (2, "torres del paine", "Torres del Paine")], "ord int, alias string, place string")
+    df = spark.createDataFrame([(1, "clima en Torres del Paine"), (2, "¿Cómo está?"), (3, "tiempo para LÓTA"), (4, None)], "qid int, text string")
+    got = {m: [r.place for r in weather.located(df, "qid", "text", table, match=m).orderBy("qid").collect()] for m in ("first", "named")}
+    assert got == {"first": ["Paine", "Santiago", "Lota", "Santiago"], "named": ["Torres del Paine", "Santiago", "Lota", "Santiago"]}
+
+
+def test_dose_styles(spark):
+    texts = spark.createDataFrame([(0, "0,5 - 1,0 kg/ha"), (1, "2 L/ha"), (2, "nada")], "k int, text string")
+    got = {s: [tuple(r.x) for r in texts.select("k", extract.dose_text(F.col("text"), s).alias("x")).orderBy("k").collect()] for s in ("dash", "bare", "spaced")}
+    assert got == {"dash": [("0,5-1,0", "kg/ha"), ("2-", "L/ha"), (None, None)], "bare": [("0,5-1,0", "kg/ha"), ("2", ""), (None, None)], "spaced": [("0,5 - 1,0", "kg/ha"), ("2", "L/ha"), (None, None)]}
+
+
+def test_vector_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(400)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(5)
+    asked = [(f"q{i}", rows[i][1], i % 4) for i in range(40)]
+    queries = spark.createDataFrame(asked, "qid string, embedding array<float>, k int")
+    x = np.array([r or [0.0] * 6 for _, r in rows])
+    for blocks_, most in ((1024, 10_000), (64, 10)):  # broadcast, and dealt out
+        monkeypatch.setattr(vectors, "BLOCK", blocks_)
+        monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+        got = sorted((r.qid, r["rank"], r.id) for r in vectors.batch_top_k(df, queries, "k", metric="l2").collect())
+        want = []
+        for name, q, k in asked:
+            near = sorted((-(1 - ((x[j] - q) ** 2).sum()), rows[j][0]) for j in range(len(rows)))[:k]
+            want += [(name, n + 1, i) for n, (_, i) in enumerate(near)]
+        assert got == sorted(want)
 
 
 def test_vectors(spark):
@@ -277,10 +326,8 @@ def test_streams_equal_batches(spark, tmp_path, small):
 @pytest.mark.parametrize("parts", [1, 5])
 def test_order_of_rows_does_not_matter(spark, small, parts):
     docs = spark.read.parquet(f"{small}/documents.parquet").repartition(parts)
-    ls = lines.explode_lines(docs, "doc_id", "text")
-    got = sorted(map(tuple, lines.context_evidence(ls, "doc_id", "(?i)license", ["[0-9]+"]).select("doc_id", "line_no").collect()))
-    want = sorted(map(tuple, lines.context_evidence(lines.explode_lines(docs.coalesce(1), "doc_id", "text"), "doc_id", "(?i)license", ["[0-9]+"]).select("doc_id", "line_no").collect()))
-    assert got == want
+    evidence = lambda x: sorted(map(tuple, lines.context_evidence(x, "doc_id", "text", "(?i)license", ["[0-9]+"]).select("doc_id", "line_no").collect()))
+    assert evidence(docs) == evidence(docs.coalesce(1))
 
 
 def test_accent_fold_of_whole_texts(spark, tmp_path):
