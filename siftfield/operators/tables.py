@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import contains_any, list_matches
+from siftfield.functions.text import Lexicon, all_matches, contains_any, list_matches
 from siftfield.operators.extract import RANGE
 
 DOSE_WORDS = ["dosis", "cultivo", "maleza", "plaga", "kg/ha", "l/ha", "g/ha", "cc/ha", "aplicación", "época", "observaciones"]
@@ -82,7 +82,12 @@ def interpreted(headers: Column, row: Column) -> Column:
     return F.concat_ws(" | ", named("Dosis", ["dosis"]), named("Cultivo", ["cultivo"]), named("Maleza", ["maleza"]))
 
 
-def dose_cells(df: DataFrame, keys: Sequence[str], cells_col: str) -> DataFrame:
-    """keys, dose, row_no, col_no (from 0, the header is row 0): amounts in cells, each place once."""
-    rows = df.select(*keys, F.posexplode(cells_col).alias("row_no", "row")).select(*keys, "row_no", F.posexplode("row").alias("col_no", "cell"))
-    return rows.select(*keys, "row_no", "col_no", F.explode(F.regexp_extract_all(F.coalesce("cell", F.lit("")), F.lit(RANGE), F.lit(0))).alias("dose")).dropDuplicates([*keys, "row_no", "col_no", "dose"])
+def dose_cells(df: DataFrame, keys: Sequence[str], cells_col: str, crops: Lexicon = (), weeds: Lexicon = ()) -> DataFrame:
+    """keys, dose, row_no, col_no (from 0, the header is row 0): amounts in cells, each place once; and the
+    crops and weeds that the table names (sorted, joined)."""
+    whole = F.array_join(F.flatten(F.col(cells_col)), " ")
+    named = lambda lex: F.array_join(all_matches(F.coalesce(whole, F.lit("")), lex), ", ") if lex else F.lit("")
+    rows = df.select(*keys, named(crops).alias("crops"), named(weeds).alias("weeds"), F.posexplode(cells_col).alias("row_no", "row"))
+    rows = rows.select(*keys, "crops", "weeds", "row_no", F.posexplode("row").alias("col_no", "cell"))
+    amounts = F.array_distinct(F.regexp_extract_all(F.coalesce("cell", F.lit("")), F.lit(RANGE), F.lit(0)))
+    return rows.select(*keys, "row_no", "col_no", F.explode(amounts).alias("dose"), "crops", "weeds").dropDuplicates([*keys, "row_no", "col_no", "dose"])

@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-from siftfield.plans import conversations, lines, search, store, texts  # noqa: E402, F401  they register their queries
+from siftfield.plans import conversations, lines, records, search, store, texts  # noqa: E402, F401  they register their queries
 
 FLAGSHIP = QUERIES["numbered_context"]
