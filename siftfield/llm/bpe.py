@@ -16,7 +16,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,9 @@ class Bpe:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(steps[0]["pattern"]["Regex"])
         letters = byte_letters()
+        #: What the library takes to normalise and split; its Unicode tables are others than Python's.
+        self.spec = json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
+        self.bytes_of = {c: b for b, c in enumerate(letters)}
         self.inner, self.last = [vocab[c] for c in letters], [vocab[c + end] for c in letters]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -175,6 +178,19 @@ class Bpe:
             out.update(zip(names, merged))
         return out
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
+    def words_by_library(self, piece: str) -> list[str]:
+        """The words of a piece with code points that Python's Unicode doesn't know: classes, case and
+        composition are then those of the library's tables."""
+        lib = self.library
+        found = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(piece))
+        return [bytes(map(self.bytes_of.__getitem__, w)).decode("utf-8") for w, _ in found]
+
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of new runs without white space."""
         cut = {}
@@ -182,6 +198,9 @@ class Bpe:
             if p.isascii() and p.isalpha():
                 cut[p] = (p.lower(),)
                 continue
+            if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p):
+                cut[p] = self.words_by_library(p)
+                continue
             norm = p if p.isascii() else unicodedata.normalize("NFC", p)
             cut[p] = self.split.findall(norm.lower() if norm.isascii() else "".join(map(str.lower, norm)))
         words = self.words

@@ -32,6 +32,37 @@ def test_bpe_equals_the_library(spark, small, docs):
         assert own.decode(ids) == lib.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORDS), bpe.Bpe(WORDS)
+    codes = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "a{}", "{}1b"):
+        texts = [form.format(chr(c)) for c in codes]
+        want = [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+        got = own.encode_all(texts)
+        assert [hex(c) for c, a, b in zip(codes, got, want) if a.tolist() != b] == []
+
+
+def test_texts_beyond_a_block(spark):
+    """Texts of more than a block (1 MB), with the same result as if they were cut by hand."""
+    from tokenizers import Tokenizer
+
+    random.seed(11)
+    some = [" ".join(random.choices(["river", "Fluß", "été", "bridge42", "under the MIT license.", "#", "\n"], k=60)) for _ in range(40)]
+    long = "\n".join(random.choices(some, k=7000))
+    assert len(long.encode()) > 2_500_000
+    rows = [(1, "first", "en"), (2, long, "en"), (3, "x" * 1_200_000, "en"), (4, "last under the mit license", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in license_scan.report(license_scan.scan_licenses(df)).collect()}
+    assert all((got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == base_of(t) for i, t, _ in rows)
+    lib = Tokenizer.from_file(WORDS)
+    ids = {r.doc_id: r.n for r in bpe.encode_texts(df, WORDS).selectExpr("doc_id", "size(ids) AS n").collect()}
+    assert ids == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t, _ in rows}
+    judged = {r.doc_id: r for r in quality.verdicts(quality.judge(df, PIECES)).collect()}
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == h.base_counts(t) for i, t, _ in rows for r in [judged[i]])
+
+
 def test_bpe_query_and_edges(spark, small, docs):
     import hashlib
 
