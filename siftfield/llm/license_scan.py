@@ -1,12 +1,16 @@
 """License scans with a positional index of rare words.
 
-Templates (short, telling runs of words of known licences) are indexed by word, with the places at
-which each word stands.  Of a text, the licence words with the highest inverse document frequency over
-the templates are looked up; each place of one is taken for the start that the template would have
-there, and the postings of the template's rarest words have to meet in that start.  A start that
-enough of the template's words agree on is then verified: its mandatory key phrases have to
-stand, word for word, near their places.  Phrases that are templates of their own, with the whole
-phrase mandatory, make the base labels.
+Templates are whole licence texts (the files in ``licences``, named by their SPDX ids), cut into passages of
+PASSAGE words, and short notices.  Each passage and notice is posted under its RARE words with the
+highest inverse document frequency, with the places at which they stand.  Of a text, the words that have
+postings are looked up, those with the highest frequency rank first; each place of one is taken for the start that
+the template would have there, and starts on which two of a template's rare words agree (or its only
+one) are verified word for word.
+
+A notice counts where words of ENOUGH of its weight stand in their places and its mandatory key phrases near
+them.  A licence counts where passages of WHOLE of its weight stand in the text, and its key phrases anywhere.
+Phrases that are templates of their own, with the whole phrase mandatory, make the base labels; each is looked
+up by its rarest word at every place.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -59,56 +64,104 @@ TEMPLATES = [
     Template("cc0", "to the public domain under cc0 1 0 universal", ("public domain", "cc0")),
     Template("reserved", "all rights reserved", ("all rights reserved",)),
 ]
-#: A start needs this share of its template's weight; a text looks up its RARE rarest licence words per template.
-#: of them, those that at most FEW templates hold.
-ENOUGH, RARE, FEW, SLACK = 0.7, 3, 4, 2
+#: Of whole texts: the label, and the phrases that have to stand in a text. Names are those of the files.
+WHOLE_TEXTS = {
+    "MIT": ("mit", ("permission is hereby granted",)), "ISC": ("isc", ("permission to use copy modify",)), "BSD-3-Clause": ("bsd", ("redistribution and use in source and binary forms",)),
+    "Apache-2.0": ("apache-2", ("terms and conditions for use reproduction and distribution",)), "MPL-2.0": ("mpl-2", ("mozilla public license",)), "CC0-1.0": ("cc0", ("cc0",)), "Artistic-1.0": ("artistic", ("artistic license",)),
+    "GPL-2.0": ("gpl", ("gnu general public license",)), "GPL-3.0": ("gpl", ("gnu general public license",)), "LGPL-2.1": ("lgpl", ("lesser general public license",)), "LGPL-3.0": ("lgpl", ("lesser general public license",)), "GFDL-1.3": ("gfdl", ("gnu free documentation license",)),
+}
+#: Words of a passage, and rare words under which a template is posted; shares of weight that a template's start, and a
+#: whole licence, needs; words by which a key phrase may stand off.
+PASSAGE, RARE, ENOUGH, WHOLE, SLACK = 24, 5, 0.7, 0.5, 2
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
+def whole_texts(folder: str = str(Path(__file__).parent / "licences")) -> list[tuple[str, list[bytes], tuple[str, ...]]]:
+    """Label, words and key phrases of each whole licence text."""
+    return [(label, words_of((Path(folder) / f"{name}.txt").read_bytes()), keys) for name, (label, keys) in WHOLE_TEXTS.items()]
+
+
+class Find(NamedTuple):
+    label: str
+    start: int
+    n_words: int
+    share: float
+    base: bool
+
+
 class Index:
-    """Word -> (template, place), with weights that fall with the number of templates that hold the word."""
+    """Word -> (template, place) for the rare words of each template; passages of whole licences are templates."""
 
-    def __init__(self, templates: Sequence[Template]):
-        self.templates = list(templates)
+    def __init__(self, templates: Sequence[Template], licences: Sequence[tuple[str, list[bytes], tuple[str, ...]]] = ()):
+        self.templates, self.licences = list(templates), list(licences)
         self.words = [words_of(t.words.encode()) for t in templates]
         self.keys = [[words_of(k.encode()) for k in t.keys] for t in templates]
+        self.of = [-1] * len(templates)  # the licence of each passage
+        for k, (_, words, _) in enumerate(self.licences):
+            cuts = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
+            self.words += cuts
+            self.of += [k] * len(cuts)
         df = Counter(w for ws in self.words for w in set(ws))
-        self.idf = {w: math.log((1 + len(templates)) / n) for w, n in df.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.idf = {w: math.log((1 + len(self.words)) / n) for w, n in df.items()}
         self.weight = [sum(self.idf[w] for w in ws) for ws in self.words]
-        #: Of each template, the places of its words with the highest idf; postings of these are intersected.
-        self.rare: list[list[int]] = []
-        #: Of these, the places that are looked up: words of few templates (of a base phrase, which has to stand whole, the rarest).
-        anchors: list[list[int]] = []
-        for t, ws in enumerate(self.words):
-            places = sorted(range(len(ws)), key=lambda p: (-self.idf[ws[p]], p))[:RARE]
-            self.rare.append(places)
-            anchors.append(places[:1] if templates[t].base else [p for p in places if p == places[0] or df[ws[p]] <= FEW])
+        self.whole = [sum(x for x, of in zip(self.weight, self.of) if of == k) for k in range(len(self.licences))]
+        self.phrases = [[b" " + b" ".join(words_of(p.encode())) + b" " for p in keys] for _, _, keys in self.licences]
+        self.base: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.least: list[int] = []  # rare words that have to agree
         for t, ws in enumerate(self.words):
-            for place in anchors[t]:
+            places = sorted(range(len(ws)), key=lambda p: (-self.idf[ws[p]], p))
+            if t < len(templates) and templates[t].base:
+                self.base[ws[places[0]]].append((t, places[0]))
+                self.least.append(0)
+                continue
+            for place in places[:RARE]:
                 self.postings[ws[place]].append((t, place))
-        self.postings = dict(self.postings)
-
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """Verified finds: template, start and the share of the template's weight that agrees."""
-        postings, n = self.postings, len(words)
-        starts = {(t, i - place) for i in [i for i, w in enumerate(words) if w in postings] for t, place in postings[words[i]]}
+            self.least.append(min(2, len(places)))
+        self.base, self.postings = dict(self.base), dict(self.postings)
+
+    def scan(self, words: list[bytes]) -> list[Find]:
+        """Verified finds, by place."""
+        postings, base, n = self.postings, self.base, len(words)
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in postings or w in base:
+                at[w].append(i)
         found = []
-        for t, start in starts:
-            ws = self.words[t]
-            if self.templates[t].base:
-                if start >= 0 and words[start : start + len(ws)] == ws:
-                    found.append((t, start, 1.0))
+        for w, places in at.items():
+            for t, place in base.get(w, ()):
+                ws = self.words[t]
+                found += [Find(self.templates[t].label, i - place, len(ws), 1.0, True) for i in places if i >= place and words[i - place : i - place + len(ws)] == ws]
+        starts: Counter = Counter()
+        for w in sorted(at, key=lambda w: (-self.idf[w], w)):
+            for t, place in postings.get(w, ()):
+                starts.update((t, i - place) for i in at[w])
+        passages: dict[int, dict[int, tuple[int, float]]] = defaultdict(dict)
+        for (t, start), agree in starts.items():
+            if agree < self.least[t]:
                 continue
-            if sum(0 <= start + p < n and words[start + p] == ws[p] for p in self.rare[t]) < 2:
+            ws = self.words[t]
+            there = words[max(start, 0) : max(start + len(ws), 0)]
+            share = sum(self.idf[a] for a, b in zip(ws[max(-start, 0) :], there) if a == b) / self.weight[t]
+            if share < ENOUGH:
                 continue
-            share = sum(self.idf[w] for p, w in enumerate(ws) if 0 <= start + p < n and words[start + p] == w) / self.weight[t]
-            if share >= ENOUGH and all(self.near(words, key, start, len(ws)) for key in self.keys[t]):
-                found.append((t, start, share))
-        return sorted(found)
+            if self.of[t] >= 0:
+                old = passages[self.of[t]].get(t)
+                passages[self.of[t]][t] = min(old, (start, share)) if old else (start, share)
+            elif all(self.near(words, key, start, len(ws)) for key in self.keys[t]):
+                found.append(Find(self.templates[t].label, start, len(ws), share, False))
+        text = b""
+        for k, own in passages.items():
+            share = sum(self.weight[t] * x for t, (_, x) in own.items()) / self.whole[k]
+            if share >= WHOLE:
+                text = text or b" " + b" ".join(words) + b" "
+                if all(p in text for p in self.phrases[k]):
+                    low, high = min(s for s, _ in own.values()), max(s + len(self.words[t]) for t, (s, _) in own.items())
+                    found.append(Find(self.licences[k][0], max(low, 0), min(high, n) - max(low, 0), share, False))
+        return sorted(found, key=lambda f: (f.start, f.label, f.n_words))
 
     def near(self, words: list[bytes], key: list[bytes], start: int, length: int) -> bool:
         """Whether a key phrase stands within the template's span, give or take a few words."""
@@ -122,31 +175,30 @@ FIELDS = {
 }
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text", base: Sequence[Template] = tuple(BASE), templates: Sequence[Template] = tuple(TEMPLATES)) -> DataFrame:
+def scan_licenses(df: DataFrame, text_col: str = "text", base: Sequence[Template] = tuple(BASE), templates: Sequence[Template] = tuple(TEMPLATES), licences: Sequence[tuple[str, list[bytes], tuple[str, ...]]] | None = None) -> DataFrame:
     """Add what every text says about its licence, with each find (label, start word, words, share).
 
+    ``licences``: label, words and key phrases of whole texts; without them, those of the files.
     Words are runs of ASCII letters (A to Z in lower case), digits and other than ASCII characters.
     A null text counts as empty: no words, no finds, score 0.  Overlapping and repeated phrases all
     count.  Rows are independent; other columns stay, columns with a result's name are replaced.
     """
     df = df.drop(*(c for c in FIELDS if c != text_col))
-    kept = df.columns
+    kept, held = df.columns, whole_texts() if licences is None else list(licences)
     finds_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("n_words", pa.int32()), ("share", pa.float64()), ("base", pa.bool_())]))
     types = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64(), finds_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index([*base, *templates])
+        index = Index([*base, *templates], held)
         for batch in batches:
             for part in blocks(batch, text_col, 1_000_000):
                 rows = []
                 for text in utf8(part.column(part.schema.get_field_index(text_col))):
                     words = words_of(text)
                     finds = index.scan(words)
-                    own = sorted(s for t, s, _ in finds if index.templates[t].base)
-                    ends = sorted({index.templates[t].label for t, _, _ in finds if index.templates[t].base})
-                    labels = sorted({index.templates[t].label for t, _, _ in finds})
-                    spans = [{"label": index.templates[t].label, "start": s, "n_words": len(index.words[t]), "share": x, "base": index.templates[t].base} for t, s, x in finds]
-                    rows.append((len(words), len(own), own[0] if own else None, own[-1] if own else None, ends, labels, max([0.0, *(x for _, _, x in finds)]), spans))
+                    own = [f.start for f in finds if f.base]
+                    labels = [sorted({f.label for f in finds if f.base or not only}) for only in (True, False)]
+                    rows.append((len(words), len(own), own[0] if own else None, own[-1] if own else None, *labels, max([0.0, *(f.share for f in finds)]), [f._asdict() for f in finds]))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*kept, *FIELDS])
 

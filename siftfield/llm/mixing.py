@@ -7,9 +7,9 @@ end, divided by the target; after its last document a source starts over, up to
 sources' documents are then ranged by finish time, and the mix ends where it has as many words as
 all the documents together.
 
-Running totals are taken in two levels, so no source and no time has to fit into one task: totals of
-short ranges first, then rows within a range.  Only two rows reach the driver: the range in which the
-mix ends, and the last document in it.
+Running totals are taken in levels, so no source and no time has to fit into one task: totals of
+ranges first, then of short ranges, then rows within a range.  Only three rows reach the driver: the ranges in
+which the mix ends, and the last document in them.
 """
 
 from __future__ import annotations
@@ -81,8 +81,12 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> D
     real = queued.filter("size > 0 and target > 0")
     copies = real.select("rank", "key", "doc_id", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), finish)).alias("finish"))
     by_step = copies.groupBy(step(F.col("finish")).alias("step")).agg(F.sum("size").alias("words"))
-    run = by_step.withColumn("until", F.sum("words").over(Window.orderBy("step")))
-    ends = run.filter(F.col("until") > total).agg(F.min_by(F.struct("step", (F.col("until") - F.col("words")).alias("before")), "step").alias("at")).first()["at"]
+    # wide steps first, then the steps of the one in which the mix ends, so that no window holds more than the root of their number
+    wide = F.floor(F.col("step") / F.lit(ceil((cap + 2) * steps) ** 0.5)).cast("long")
+    by_wide = by_step.groupBy(wide.alias("wide")).agg(F.sum("words").alias("words"))
+    passing = lambda rows, by, sent: rows.withColumn("until", F.lit(sent) + F.sum("words").over(Window.orderBy(by))).filter(F.col("until") > total).agg(F.min_by(F.struct(by, (F.col("until") - F.col("words")).alias("before")), by).alias("at")).first()["at"]
+    around = passing(by_wide, "wide", 0)
+    ends = around and passing(by_step.filter(wide == around["wide"]), "step", around["before"])
     if ends is None:
         taken_copies = F.when((F.col("size") > 0) & (F.col("target") > 0), F.lit(cap)).otherwise(0)
     else:

@@ -23,9 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(warc.as_records(table(spark, sf_dir, "pages")), path)
-    back = warc.read_archives(spark, path, payload=False, verify=True).filter(F.col("record_type").isin("response", "revisit"))
+    # of responses the payloads are decoded and compared with their digests; of revisits headers tell all, and what is
+    # not a revisit is stepped over
+    whole = warc.read_archives(spark, path, payload=False, verify=True).filter(F.col("record_type") == "response")
+    again = warc.read_archives(spark, path, payload=False).filter(F.col("record_type") == "revisit")
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)").alias({"record_id": "page_id"}.get(c, c))  # noqa: E731  after urn:page:
-    return back.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+    return whole.unionByName(again).select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of the fingerprints' operator: documents that share a band, with their sets verified."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_gru_lm": op9_gru_lm,
     "op10_bpe": op10_bpe,
+    "near_documents": near_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -4,10 +4,10 @@ Reading: one task per group of files; filters on the record type and on header f
 and decided on a record's headers, before its block is decoded.  Every record of a ``.warc.gz`` is a
 gzip member of its own; members written here carry their length in a gzip extra field, so a record
 that isn't wanted is stepped over without being decompressed.  Other members are decompressed to find
-their end, uncompressed records are stepped over by their Content-Length.
+their end, bit by bit and without keeping what isn't wanted; uncompressed records are stepped over by their Content-Length.
 
-Writing: each task writes files of bounded size under a temporary name, and the commit moves those of
-the successful attempts into place, so lost executors and repeated tasks leave nothing half-written.
+Writing: each task writes files of bounded size to a temporary folder of its own, and the commit moves those
+of the successful attempts into place, so lost executors and repeated tasks leave nothing half-written.
 
 Paths may be anything that ``pyarrow.fs`` opens (a shared folder, S3, GCS, HDFS).
 """
@@ -19,7 +19,9 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -34,7 +36,7 @@ from siftfield.llm.common import spread
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_bytes bigint, payload binary"
 #: Column -> header field.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
-FILE_BYTES, TASK_BYTES, CHUNK = 64 << 20, 64 << 20, 1 << 20
+FILE_BYTES, TASK_BYTES, CHUNK, MOVES = 64 << 20, 64 << 20, 1 << 20, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The extra field of a gzip member that tells the member's whole length.
 MARK = b"SL"
@@ -109,37 +111,51 @@ def fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def records(file, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Header fields and block of each wanted record; without ``payloads``, the block's first bytes."""
-    source = Source(file)
+def records(file, wanted, payloads: bool, decoded: Counter | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields and block of each wanted record; without ``payloads``, the block's first bytes.
+
+    ``decoded`` counts the bytes that were decompressed and kept, and those that were dropped to find a member's end.
+    """
+    source, decoded = Source(file), Counter() if decoded is None else decoded
     while source.need(1):
         if source.need(2) and source.buffer[source.at : source.at + 2] == b"\x1f\x8b":
-            start, length = source.at, None
+            length = None
             if source.need(20) and source.buffer[source.at + 3] & 4 and source.buffer[source.at + 12 : source.at + 14] == MARK:
                 length = struct.unpack_from("<I", source.buffer, source.at + 16)[0]
             inflate = zlib.decompressobj(31)
             if length:
                 source.need(length)
-                start = source.at
-                raw = memoryview(source.buffer)[start : start + length]
-                text = inflate.decompress(raw, 4096)
-                while b"\r\n\r\n" not in text and not inflate.eof and (more := inflate.decompress(inflate.unconsumed_tail, 4096)):
-                    text += more
-            else:
-                text = b""
-                while not inflate.eof and source.need(1):
-                    text += inflate.decompress(source.take(min(CHUNK, len(source.buffer) - source.at)))
-                source.at -= len(inflate.unused_data)
-            head, _, rest = text.partition(b"\r\n\r\n")
+
+            def more() -> bytes:
+                """The next bytes of the member, CHUNK at most; none at its end."""
+                while not inflate.eof:
+                    data = inflate.unconsumed_tail or (source.take(min(CHUNK, len(source.buffer) - source.at, left[0])) if source.need(1) else b"")
+                    left[0] -= len(data) if not inflate.unconsumed_tail else 0
+                    if not data:
+                        return b""
+                    if out := inflate.decompress(data, sizes[0]):
+                        return out
+                return b""
+
+            left, sizes, parts = [length or 1 << 62], [4096], [b""]
+            while b"\r\n\r\n" not in parts[0] and (part := more()):
+                parts[0] += part
+            head, _, rest = parts[0].partition(b"\r\n\r\n")
             names = fields(head)
-            if wanted(names):
-                if length and payloads:
-                    rest += inflate.decompress(inflate.unconsumed_tail)
-                size = int(names.get("content-length", 0))
-                yield names, bytes(rest[:size])
+            keep, sizes[0] = wanted(names), CHUNK
+            decoded["kept"] += len(parts[0])
+            parts = [rest]
+            if (keep and payloads) or not length:  # else it's stepped over
+                while part := more():
+                    if keep and payloads:
+                        parts.append(part)
+                    decoded["kept" if keep and payloads else "dropped"] += len(part)
+            if keep:
+                yield names, b"".join(parts)[: int(names.get("content-length", 0))]
             if length:
-                del raw
-                source.take(length)
+                source.skip(left[0])
+            else:
+                source.at -= len(inflate.unused_data)
         else:
             while source.need(1) and source.buffer[source.at : source.at + 1] in (b"\r", b"\n"):
                 source.at += 1
@@ -230,7 +246,7 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    task: str | None  #: folder of the task's files
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -241,14 +257,14 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, at = opened(self.path)
-        system.create_dir(f"{at}/_temporary", recursive=True)
-        files, out, size = [], None, 0
+        task = f"part-{uuid4().hex}"
+        n, out, size = 0, None, 0
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
-                    name = f"part-{uuid4().hex}.warc.gz"
-                    files.append((f"{at}/_temporary/{name}", f"{at}/{name}"))
-                    out, size = system.open_output_stream(files[-1][0], compression=None), 0
+                    if not n:
+                        system.create_dir(f"{at}/_temporary/{task}", recursive=True)
+                    out, size, n = system.open_output_stream(f"{at}/_temporary/{task}/{n:05d}.warc.gz", compression=None), 0, n + 1
                 data = member(record(row))
                 out.write(data)
                 size += len(data)
@@ -257,23 +273,24 @@ class WarcWriter(DataSourceArrowWriter):
                     out = None
         if out is not None:
             out.close()
-        return Written(files)
+        return Written(task if n else None)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Move each task's folder into place; several at a time, as there may be many."""
         system, at = opened(self.path)
         system.create_dir(at, recursive=True)
-        for m in messages:
-            for old, new in m.files if m else ():
-                system.move(old, new)
-        if system.get_file_info(f"{at}/_temporary").type == fs.FileType.Directory:
-            system.delete_dir(f"{at}/_temporary")
+        tasks = [m.task for m in messages if m and m.task]
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda t: system.move(f"{at}/_temporary/{t}", f"{at}/{t}"), tasks))
+        self.clear(system, at)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = opened(self.path)
-        for m in messages:
-            for old, _ in m.files if m else ():
-                if system.get_file_info(old).type == fs.FileType.File:
-                    system.delete_file(old)
+        self.clear(*opened(self.path))
+
+    @staticmethod
+    def clear(system: fs.FileSystem, at: str) -> None:
+        if system.get_file_info(f"{at}/_temporary").type == fs.FileType.Directory:
+            system.delete_dir(f"{at}/_temporary")
 
 
 class WarcSource(DataSource):

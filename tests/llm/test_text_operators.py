@@ -109,6 +109,24 @@ def test_license_scan(spark, small, docs):
     assert license_scan.scan_licenses(h.odd(spark).limit(0)).count() == 0
 
 
+def test_planted_licences_are_found():
+    """Whole texts with every twentieth word changed, one word in two hundred dropped, between other words."""
+    index = license_scan.Index([*license_scan.BASE, *license_scan.TEMPLATES], license_scan.whole_texts())
+    random.seed(5)
+    prose = "the river was high after the rain and no person could use the bridge or any part of it".split()
+    planted = []
+    for label, words, _ in license_scan.whole_texts():
+        for _ in range(3):
+            edited = [f"x{k}".encode() if random.random() < 0.05 else w for k, w in enumerate(words) if random.random() > 0.005]
+            planted.append((label, [w.encode() for w in random.choices(prose, k=200)] + edited + [w.encode() for w in random.choices(prose, k=50)]))
+    hits = [label in {f.label for f in index.scan(words)} for label, words in planted]
+    assert sum(hits) >= 0.9 * len(hits), sum(hits) / len(hits)
+    assert not index.scan([w.encode() for w in random.choices(prose, k=5000)])
+    two = [w for _, words, _ in license_scan.whole_texts()[:2] for w in words]  # one file, two licences
+    assert {"mit", "isc"} <= {f.label for f in index.scan(two)}
+    assert all(phrase in b" " + b" ".join(words) + b" " for (_, words, _), phrases in zip(index.licences, index.phrases) for phrase in phrases)
+
+
 def test_quality_rules(spark, small, docs):
     got = {r.doc_id: r for r in QUERIES["op4_quality"](spark, small).collect()}
     good = 0
