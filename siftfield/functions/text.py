@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache, reduce
 from operator import and_, or_
 
@@ -108,9 +108,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def count_of(text: Column, term: str) -> Column:
     """How often a term occurs, without overlaps."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))) / len(term.encode())).cast("int")
+
+
+def count_all(text: Column, terms: Sequence[str]) -> Column:
+    """The occurrences of all terms together, each counted without overlaps of its own."""
+    return once(text, lambda x: sum((count_of(x, t) for t in terms), F.lit(0)))
 
 
 def fold_accents(text: Column) -> Column:

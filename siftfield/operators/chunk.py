@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from siftfield.functions.text import count_of, n_words, words
+from siftfield.functions.text import count_all, n_words, once
 from siftfield.lexicons import RELEVANT_TERMS
 from siftfield.operators.extract import structured_lines
 from siftfield.operators.lines import lines_of, settled, with_descriptions, with_general_info, with_keywords, with_section
@@ -61,23 +61,22 @@ def sub_chunk_id(index: Column, sub: Column, text: Column) -> Column:
 
 
 def section_type(text: Column, types: Sequence[tuple[str, str]] = tuple(SECTION_TYPES), default: str = "general") -> Column:
-    return F.coalesce(*(F.when(F.lower(text).rlike(p), k) for k, p in types), F.lit(default))
+    return once(F.lower(text), lambda low: F.coalesce(*(F.when(low.rlike(p), k) for k, p in types), F.lit(default)))
 
 
 def relevance(text: Column, terms: Sequence[str] = tuple(RELEVANT_TERMS)) -> Column:
     """Twice the terms' number per word, 1 at most; 0 for a text without words."""
-    low, n = F.lower(text), n_words(text)
-    total = sum((count_of(low, t) for t in terms), F.lit(0))
-    return F.when(n > 0, F.least(2.0 * total / n, F.lit(1.0))).otherwise(0.0)
+    n = n_words(text)
+    return F.when(n > 0, F.least(2.0 * count_all(F.lower(text), terms) / n, F.lit(1.0))).otherwise(0.0)
 
 
 def content_quality(text: Column, indicators: Sequence[str]) -> Column:
     """0.3 of the printable share, 0.4 of the share of real words, 0.03 for each indicator (0.4 at most)."""
-    found = words(text)
+    n = n_words(text)
     printable = F.length(F.regexp_replace(text, r"[\x00-\x08\x0E-\x1B\x7F]", "")) / F.length(text)
-    real = F.size(F.filter(found, lambda w: (F.length(w) > 1) & w.rlike(r"[A-Za-z]"))) / F.size(found)
-    score = F.least(sum((F.when(F.lower(text).rlike(p), 0.03).otherwise(0.0) for p in indicators), F.lit(0.0)), F.lit(0.4))
-    return F.when((F.length(text) == 0) | text.isNull() | (F.size(found) == 0), 0.0).otherwise(F.least(printable * 0.3 + real * 0.4 + score, F.lit(1.0)))
+    real = F.regexp_count(text, F.lit(r"(?<!\S)(?=\S*[A-Za-z])\S{2,}")) / n
+    score = once(F.lower(text), lambda low: F.least(sum((F.when(low.rlike(p), 0.03).otherwise(0.0) for p in indicators), F.lit(0.0)), F.lit(0.4)))
+    return F.when(n > 0, F.least(printable * 0.3 + real * 0.4 + score, F.lit(1.0))).otherwise(0.0)
 
 
 def semantic_chunks(df: DataFrame, key: str, text_col: str, headings: Sequence[str], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -94,7 +93,8 @@ def semantic_chunks(df: DataFrame, key: str, text_col: str, headings: Sequence[s
     long = ~F.col("whole") & (F.length("piece") > 1.5 * size)
     by_words = F.when(F.col("whole") | long, F.col("piece"))
     cut = windows_of(by_words, F.lit(size), F.when(F.col("whole"), overlap / size).otherwise(0.2), F.when(F.col("whole"), SHORTEST).otherwise(0))
-    rows = rows.select(key, "at", "whole", long.alias("long"), F.when(F.col("whole"), "character_split").otherwise(section_type(F.col("piece"))).alias("section_type"), F.posexplode(F.when(by_words.isNull(), F.array("piece")).otherwise(cut)).alias("pos", "text"))
+    rows = settled(rows, section_type=F.when(F.col("whole"), "character_split").otherwise(section_type(F.col("piece"))))
+    rows = rows.select(key, "at", "whole", long.alias("long"), "section_type", F.posexplode(F.when(by_words.isNull(), F.array("piece")).otherwise(cut)).alias("pos", "text"))
     rows = rows.select(key, F.when(F.col("whole"), F.col("pos")).otherwise(F.col("at")).alias("chunk_index"), F.when(F.col("long"), F.col("pos")).alias("sub_index"), "section_type", "text")
     ids = F.when(F.col("sub_index").isNull(), chunk_id(F.col(key).cast("string"), F.col("chunk_index"), F.col("text"))).otherwise(sub_chunk_id(F.col("chunk_index"), F.col("sub_index"), F.col("text")))
     return rows.withColumn("chunk_id", ids).withColumn("relevance", relevance(F.col("text")))

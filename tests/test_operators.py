@@ -224,6 +224,13 @@ def test_places_after_prepositions(spark):
     assert got == {"first": ["Paine", "Santiago", "Lota", "Santiago"], "named": ["Torres del Paine", "Santiago", "Lota", "Santiago"]}
 
 
+@pytest.mark.parametrize("terms", [["tion", "the"], ["aa", "b"], ["a", "ab"], ["dosis", "plaga", "aplica"], []])
+def test_counts_of_terms(spark, terms):
+    texts = ["", "aaaa b abab", "the thetion plagaplica dosisdosis", "x" * 50, "tiontion th"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert [r[0] for r in df.select(t.count_all(F.col("text"), terms)).collect()] == [sum(x.count(w) for w in terms) for x in texts]
+
+
 def test_dose_styles(spark):
     texts = spark.createDataFrame([(0, "0,5 - 1,0 kg/ha"), (1, "2 L/ha"), (2, "nada")], "k int, text string")
     got = {s: [tuple(r.x) for r in texts.select("k", extract.dose_text(F.col("text"), s).alias("x")).orderBy("k").collect()] for s in ("dash", "bare", "spaced")}
