@@ -169,6 +169,45 @@ def test_language_of_held_out_texts(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held) > 0
 
 
+def plain_decision(model, text):
+    """Family by the largest of its machines, then votes of all pairs within it, word by word of the definition."""
+    grams = {}
+    raw = b" " + text.encode().lower() + b" "
+    for i in range(len(raw) - 1):
+        two = (raw[i] * 257 + raw[i + 1]) % (1 << 32)
+        keys = [(two * 0x9E3779B1 % (1 << 32)) >> 21]
+        if i + 2 < len(raw):
+            keys.append(((two * 65599 + raw[i + 2]) % (1 << 32) * 0x85EBCA6B % (1 << 32)) >> 21)
+        for k in keys:
+            grams[k] = grams.get(k, 0) + 1
+    size = sum(grams.values()) ** 0.5
+    margin = [sum((n**0.5) / size * float(model.weights[k, c]) for k, n in grams.items()) + float(model.weights[-1, c]) for c in range(model.weights.shape[1])]
+    family = max(range(len(model.names)), key=lambda c: margin[c]) if len(model.names) > 1 else 0
+    votes, sure = {}, {}
+    own = model.families[model.names[family]]
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            p = 1 / (1 + 2.718281828459045 ** (-4 * max(-30, min(30, margin[model.pairs[a, b]]))))
+            votes[a if p >= 0.5 else b] = votes.get(a if p >= 0.5 else b, 0) + 1
+            sure[a], sure[b] = sure.get(a, 0) + p, sure.get(b, 0) + 1 - p
+    return max(own, key=lambda x: (votes.get(x, 0), sure.get(x, 0)))
+
+
+def test_language_by_plain_decision(spark, docs):
+    from pyspark.sql import functions as F
+
+    words = {"en": "the and house of with street", "de": "der und haus mit straße nicht", "nl": "het en huis van met straat", "sv": "och huset med gatan inte det", "fr": "les et maison avec rue dans", "es": "los y casa con calle en", "it": "gli e casa con via nella", "ru": "и дом на улице не все", "pl": "i dom na ulicy nie wszystko"}
+    random.seed(6)
+    say = lambda lang: " ".join(random.choices(words[lang].split(), k=12))
+    rows = [(100 * k + i, say(lang), lang) for k, lang in enumerate(words) for i in range(30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.col("doc_id"))
+    assert len(model.families["germanic"]) == 4 and len(model.families["romance"]) == 3 and len(model.pairs) == 6 + 3 + 1
+    asked = [(lang, say(lang)) for lang in words for _ in range(8)] + [(None, t) for _, t, _ in docs[:60]] + [(None, "x"), (None, "zzz qqq")]
+    got, scores = model.predict([t.encode() for _, t in asked])
+    assert got == [plain_decision(model, t) for _, t in asked] and all(0 <= x <= 1 for x in scores)
+    assert sum(g == lang for g, (lang, _) in zip(got, asked) if lang) >= 0.95 * 72
+
+
 def test_language_edges(spark):
     from pyspark.sql import functions as F
 
