@@ -1,7 +1,7 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
-The network reads a text word by word and predicts the next one: a class by softmax, then the word
-within its class by softmax.  It is trained by backpropagation truncated to windows of STEPS words,
+The network reads a text word by word and predicts the next one: a group of classes, a class of the
+group and the word within its class, each by softmax.  It is trained by backpropagation truncated to windows of STEPS words,
 with the state carried from window to window, for SEGMENT words; in scoring the state is carried through
 the whole document, whatever its length.  Many documents run side by side, in lanes; a lane starts from a zero
 state where a document begins.
@@ -154,7 +154,10 @@ class Network:
         self.bounds = class_bounds(self.m)
         self.c = len(self.bounds) - 1
         self.of = np.repeat(np.arange(self.c), np.diff(self.bounds))
-        shapes = {"x": (self.m, 3 * hidden), "u": (hidden, 3 * hidden), "wc": (self.c, hidden + 1), "ww": (self.m, hidden + 1)}
+        self.g = int(np.sqrt(self.c))
+        self.groups = np.linspace(0, self.c, self.g + 1).astype(np.int64)
+        self.group_of = np.repeat(np.arange(self.g), np.diff(self.groups))
+        shapes = {"x": (self.m, 3 * hidden), "u": (hidden, 3 * hidden), "wg": (self.g, hidden + 1), "wc": (self.c, hidden + 1), "ww": (self.m, hidden + 1)}
         self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), kind)
         self.views, at = {}, 0
         for k, shape in shapes.items():
@@ -171,7 +174,9 @@ class Network:
         net.views["u"][:] = random.normal(0, 0.3, net.views["u"].shape)
         p = np.array([counts.other_n, counts.ends, *counts.of_vocabulary], float) + 0.5
         of_class = np.add.reduceat(p, net.bounds[:-1])
-        net.views["wc"][:, -1] = np.log(of_class / p.sum())
+        of_group = np.add.reduceat(of_class, net.groups[:-1])
+        net.views["wg"][:, -1] = np.log(of_group / p.sum())
+        net.views["wc"][:, -1] = np.log(of_class / of_group[net.group_of])
         net.views["ww"][:, -1] = np.log(p / of_class[net.of])
         return net
 
@@ -226,47 +231,46 @@ class Network:
     def log_p(self, states: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target after its state; with ``grads``, sets the output weights'
         gradients of the mean loss there and returns that of the states."""
-        wc, ww, n, h = self.views["wc"], self.views["ww"], len(y), self.h
-        # states lie between -1 and 1, so this bounds all logits; small ones need no shift before exp
-        shift = max(np.abs(wc).sum(axis=1).max(), np.abs(ww).sum(axis=1).max()) > 60
-
-        def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            rows = np.arange(len(at))
-            if shift:
-                logits -= logits.max(axis=1, keepdims=True)
-            hit = logits[rows, at]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
-            if grads is not None:
-                logits *= (1 / (n * total))[:, None]
-                logits[rows, at] -= self.kind(1 / n)
-            return hit - np.log(total)
-
-        order = np.argsort(self.of[y], kind="stable")
-        s, which = np.ones((n, h + 1), self.kind), self.of[y[order]]
+        n, h, one = len(y), self.h, self.kind(1)
+        # states lie between -1 and 1, so the longest row of weights bounds all logits; small ones need no shift before exp
+        shift = max(np.einsum("ij,ij->i", w, w).max() for w in (self.views["wg"], self.views["wc"], self.views["ww"])) * (h + 1) > 60**2
+        order = np.argsort(self.of[y], kind="stable")  # by class, and so by group
+        word = y[order]
+        which = self.of[word]
+        group = self.group_of[which]
+        s = np.ones((n, h + 1), self.kind)
         s[:, :h] = states[order]
-        lp = np.empty(n, self.kind)
-        back = np.empty((n, h), self.kind) if grads is not None else None
-        if grads is not None:
-            grads["wc"][:], grads["ww"][:] = 0, 0
-        for i in range(0, n, ROWS):
-            j = min(i + ROWS, n)
-            logits = np.matmul(s[i:j], wc.T, out=self.block(j - i, self.c))
-            lp[i:j] = softmax(logits, which[i:j])
-            if grads is not None:
-                grads["wc"] += logits.T @ s[i:j]
-                np.matmul(logits, wc[:, :h], out=back[i:j])
-        at = y[order] - self.bounds[which]
-        cuts = np.searchsorted(which, np.arange(self.c + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            words = slice(self.bounds[c], self.bounds[c + 1])
-            for i in range(cuts[c], cuts[c + 1], ROWS):
-                j = min(i + ROWS, cuts[c + 1])
-                logits = np.matmul(s[i:j], ww[words].T, out=self.block(j - i, words.stop - words.start))
-                lp[i:j] += softmax(logits, at[i:j])
-                if grads is not None:
-                    grads["ww"][words] += logits.T @ s[i:j]
-                    back[i:j] += logits @ ww[words, :h]
+        lp = np.zeros(n, self.kind)
+        back = np.zeros((n, h), self.kind) if grads is not None else None
+        rows, ones = np.arange(min(n, ROWS)), np.ones(self.m, self.kind)
+        for name, bounds, cell, chosen in (("wg", np.array([0, self.g]), np.zeros(n, np.int64), group), ("wc", self.groups, group, which), ("ww", self.bounds, which, word)):
+            at = chosen - bounds[cell]
+            cuts, ends = np.searchsorted(cell, np.arange(len(bounds))).tolist(), bounds.tolist()
+            for c in range(len(ends) - 1):
+                of_cell = slice(ends[c], ends[c + 1])
+                w, size = self.views[name][of_cell], ends[c + 1] - ends[c]
+                one_block = 0 < cuts[c + 1] - cuts[c] <= ROWS
+                if grads is not None and not one_block:
+                    grads[name][of_cell] = 0
+                for i in range(cuts[c], cuts[c + 1], ROWS):
+                    j = min(i + ROWS, cuts[c + 1])
+                    logits = np.matmul(s[i:j], w.T, out=self.block(j - i, size))
+                    if shift:
+                        logits -= logits.max(axis=1, keepdims=True)
+                    hit = logits[rows[: j - i], at[i:j]]
+                    np.exp(logits, out=logits)
+                    total = logits @ ones[:size]
+                    lp[i:j] += hit - np.log(total)
+                    if grads is not None:
+                        logits[rows[: j - i], at[i:j]] -= total
+                        scale = (one / (total * self.kind(n)))[:, None]
+                        if one_block:
+                            np.matmul(logits.T, s[i:j] * scale, out=grads[name][of_cell])
+                        else:
+                            grads[name][of_cell] += logits.T @ (s[i:j] * scale)
+                        d = logits @ w[:, :h]
+                        d *= scale
+                        back[i:j] += d
         out = np.empty(n, self.kind)
         out[order] = lp
         if grads is None:
@@ -281,8 +285,12 @@ class Network:
         kept: dict = {}
         states = self.states(x, fresh, h, kept)
         g, n, u = grad.views, self.h, self.views["u"].T
+        whole = bool(real.all())
         back = np.zeros_like(states)
-        _, back[real] = self.log_p(states[real], y[real], g)
+        if whole:
+            back = self.log_p(states.reshape(-1, n), y.reshape(-1), g)[1].reshape(states.shape)
+        else:
+            _, back[real] = self.log_p(states[real], y[real], g)
         into = np.empty((*x.shape, 3 * n), self.kind)
         d_b = np.empty_like(into)
         later, begins = np.zeros_like(states[0]), fresh.any(axis=1)
@@ -305,7 +313,7 @@ class Network:
             if begins[t]:
                 later[fresh[t]] = 0
         np.matmul(kept["before"].reshape(-1, n).T, d_b.reshape(-1, 3 * n), out=g["u"])
-        words, flat = x[real], into[real]
+        words, flat = (x.reshape(-1), into.reshape(-1, 3 * n)) if whole else (x[real], into[real])
         order = np.argsort(words, kind="stable")
         words = words[order]
         starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
