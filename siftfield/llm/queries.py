@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfield.llm import bpe, gru_lm, jaccard_join, langid, license_scan, minhash, mixing, quality, suffix_dedup, warc
+from siftfield.llm import bpe, gru_lm, jaccard_join, langid, lexical_search, license_scan, minhash, mixing, quality, suffix_dedup, url_filter, vector_codes, warc
 from siftfield.llm.common import modest_batches, read_table, shared_dir, text_rows
 
 
@@ -80,11 +80,116 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), label_col="label")
+    found = vector_codes.with_label_errors(codes)
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+#: Rules of the registered query: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",)).drop("score")
+
+
 def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other half of the fingerprints' operator: documents that share a band, with their sets verified."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _codes_sql() -> str:
+    """Brute force over all entries; a round is three tables."""
+    floor = "((s - ((s % n) + n) % n) // n)"
+    sql = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)),
+parts AS MATERIALIZED (
+  SELECT r, p, list_slice(v, (p * len(v) // 4 + 1)::BIGINT, ((p + 1) * len(v) // 4)::BIGINT) AS x FROM kept, range(4) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 256)"""
+    for k in range(5):
+        sql += f""",
+near{k} AS MATERIALIZED (
+  SELECT r, p, min((d, e)) AS best FROM (
+    SELECT a.r, a.p, b.e, list_sum(list_transform(list_zip(a.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts a JOIN book{k} b ON a.p = b.p)
+  GROUP BY r, p)"""
+        if k < 4:
+            sql += f""",
+book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (
+    SELECT p, e, list({floor} ORDER BY i) AS c FROM (
+      SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (
+        SELECT n.p, n.best[2] AS e, unnest(q.x) AS y, generate_subscripts(q.x, 1) AS i FROM near{k} n JOIN parts q ON q.r = n.r AND q.p = n.p)
+      GROUP BY p, e, i)
+    GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+    return (
+        sql
+        + """,
+codes AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', n.best[2]), '' ORDER BY n.p) AS code, sum(n.best[1])::BIGINT AS error
+  FROM near4 n JOIN kept k ON k.r = n.r GROUP BY k.r, k.vec_id, k.label),
+flat AS (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM book4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) FROM flat) AS codebooks_sha256
+FROM codes
+"""
+    )
+
+
+def _urls_sql() -> str:
+    """The same models level by level; URLs are ASCII here, so characters are bytes."""
+    o, names = url_filter.ORDER, ("a", "r")
+    fits = lambda h, p: f"((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}'))"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[k]}'" for h, p, v in ordered) + " END"
+    sql = f"""
+WITH parted AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 2) AS path FROM pages),
+ruled AS (SELECT *, {case(0)} AS rule, {case(1)} AS verdict FROM parted),
+urls AS MATERIALIZED (SELECT DISTINCT url, rule, verdict, substr(md5(url), 1, 1) < '3' AS late FROM ruled),
+places AS MATERIALIZED (
+  SELECT url, rule, verdict, late, substr(repeat(chr(2), {o}) || url || chr(3), i::BIGINT, {o + 1}) AS w FROM urls, LATERAL (SELECT unnest(range(1, length(url) + 2)) AS i)),
+counts AS MATERIALIZED (
+  SELECT w, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS r FROM places WHERE rule IS NOT NULL AND NOT late GROUP BY w),
+g0 AS (SELECT substr(w, {o + 1}, 1) AS g, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM counts GROUP BY 1),
+whole AS (SELECT sum(a) AS xa, sum(r) AS xr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM g0),
+p0 AS (
+  SELECT w, {", ".join(f"(coalesce(g.{c}, 0) + t{c}::DOUBLE / {url_filter.ALPHABET}) / (x{c} + t{c})::DOUBLE AS p{c}" for c in names)}
+  FROM (SELECT DISTINCT w FROM places WHERE rule IS NULL OR late) s CROSS JOIN whole LEFT JOIN g0 g ON g.g = substr(s.w, {o + 1}, 1))"""
+    for k in range(1, o + 1):
+        sql += f""",
+g{k} AS (SELECT substr(w, {o + 1 - k}, {k + 1}) AS g, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM counts GROUP BY 1),
+x{k} AS (SELECT substr(g, 1, {k}) AS x, sum(a) AS xa, sum(r) AS xr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM g{k} GROUP BY 1 HAVING sum(a) + sum(r) >= {url_filter.LEAST}),
+p{k} AS (
+  SELECT w, {", ".join(f"CASE WHEN x{c} > 0 THEN (coalesce(g.{c}, 0) + t{c} * p{c}) / (x{c} + t{c})::DOUBLE ELSE p{c} END AS p{c}" for c in names)}
+  FROM p{k - 1} s LEFT JOIN g{k} g ON g.g = substr(s.w, {o + 1 - k}, {k + 1}) LEFT JOIN x{k} x ON x.x = substr(s.w, {o + 1 - k}, {k}))"""
+    return (
+        sql
+        + f""",
+diffs AS (SELECT w, round({url_filter.UNIT} * (ln(pa) - ln(pr)))::BIGINT AS diff FROM p{o}),
+scores AS (SELECT url, rule, verdict, sum(diff)::BIGINT AS total, count(*) AS n FROM places JOIN diffs USING (w) WHERE rule IS NULL OR late GROUP BY url, rule, verdict),
+buckets AS (
+  SELECT floor(total::DOUBLE / ({url_filter.STEP} * n))::BIGINT AS b, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS r FROM scores WHERE rule IS NOT NULL GROUP BY 1),
+cuts AS (SELECT b, a, r FROM buckets UNION ALL SELECT {url_filter.BUCKETS + 1}, 0, 0),
+below AS (
+  SELECT least(greatest(0, coalesce(lag(b) OVER (ORDER BY b) + 1, {-url_filter.BUCKETS})), b) AS b, coalesce(sum(a) OVER w, 0) AS a, coalesce(sum(r) OVER w, 0) AS r, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
+  FROM cuts WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bound AS (SELECT arg_min(b, (a * all_r + (all_r - r) * all_a, abs(b), b)) AS t FROM below)
+SELECT d.page_id, d.host, d.path, d.rule,
+       CASE WHEN d.rule IS NOT NULL THEN d.verdict WHEN s.total >= s.n * {url_filter.STEP} * t THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled d CROSS JOIN bound LEFT JOIN scores s ON d.rule IS NULL AND s.url = d.url
+"""
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_license_scan": op2_license_scan,
@@ -96,6 +201,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_gru_lm": op9_gru_lm,
     "op10_bpe": op10_bpe,
+    "op11_search": op11_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_url_filter": op13_url_filter,
     "near_documents": near_documents,
 }
 
@@ -157,4 +265,25 @@ taken AS (
 SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.n, 0))::BIGINT AS taken
 FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
 """,
+    "op11_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM docs),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY t),
+parts AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_words))) AS part
+  FROM tfs JOIN docs USING (doc_id) JOIN weights USING (t), totals),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+terms AS (SELECT item_id, t, count(*) AS copies FROM asked GROUP BY ALL),
+scores AS (SELECT item_id, doc_id, sum(copies * part)::BIGINT AS score FROM terms JOIN parts USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_url_filter": _urls_sql(),
 }

@@ -25,7 +25,7 @@ def docs(small):
 def test_matches_sql(name, spark, small, tmp_path):
     QUERIES[name](spark, small).write.parquet(str(tmp_path / "out"))
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     db.sql(f"CREATE TABLE want AS {ORACLE_SQL[name]}")
     db.sql(f"CREATE TABLE raw AS SELECT * FROM read_parquet('{tmp_path}/out/*.parquet')")
