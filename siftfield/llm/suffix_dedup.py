@@ -40,6 +40,8 @@ CUT, BUCKET_BYTES, GROUP_BYTES, SMALL = 1_000_000, 16_000_000, 64_000_000, 400_0
 #: Documents of an anchor beyond which its runs are dealt one by one; the bit of an entry that stands for a whole block.
 HOT, WHOLE = 20_000, 1 << 31
 LAST_ID = (1 << 63) - 1
+#: Texts under one id are told apart by the first 16 bytes of their SHA-256.
+TAG = np.dtype("V16")
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -87,7 +89,7 @@ def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Consecutive runs of a flat array as binary values."""
     offsets = np.concatenate(([0], np.cumsum(sizes))) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
 
 
 def by_bucket(found: dict[str, np.ndarray], buckets: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ def anchor_rows(reps: DataFrame, buckets: int, groups: int) -> DataFrame:
                     places = [np.ascontiguousarray(found["place"][i:j].astype(np.uint32).view(np.uint16).reshape(-1, 2).T).tobytes() for i, j in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in (ids, counts, hashes, places))], names=["bucket", "ids", "counts", "hashes", "places"])
 
-    return reps.select("ord", "text").mapInArrow(run, ANCHORS)
+    return reps.select("key", "text").mapInArrow(run, ANCHORS)
 
 
 def grouped(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ def grouped(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def repeated_anchors(rows: DataFrame, groups: int, hot: int) -> DataFrame:
-    """ord, places: of each document, the places of the anchors that another document has too; where ord is
+    """key, places: of each document, the places of the anchors that another document has too; where key is
     null, places are the anchors (48 bits of hash above 16 of their frequency's logarithm) of more than ``hot`` documents.
 
     A bucket sends one row to each group of documents, which puts them together by document.
@@ -208,15 +210,15 @@ def repeated_anchors(rows: DataFrame, groups: int, hot: int) -> DataFrame:
         return pa.table({"part": part.astype(np.int64), "ids": packs[0], "places": packs[1]}, schema=kinds)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        kinds = pa.schema([("ord", pa.int64()), ("places", pa.binary())])
+        kinds = pa.schema([("key", pa.int64()), ("places", pa.binary())])
         if key[0].as_py() < 0:
-            return pa.table({"ord": [None] * table.num_rows, "places": table.column("places")}, schema=kinds)
+            return pa.table({"key": [None] * table.num_rows, "places": table.column("places")}, schema=kinds)
         ids, places = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32)
         order = np.argsort(ids, kind="stable")
         starts, _ = runs_of(ids[order])
-        return pa.table({"ord": ids[order][starts], "places": packed(places[order], np.diff(np.concatenate((starts, [len(order)]))))}, schema=kinds)
+        return pa.table({"key": ids[order][starts], "places": packed(places[order], np.diff(np.concatenate((starts, [len(order)]))))}, schema=kinds)
 
-    return rows.groupBy("bucket").applyInArrow(run, "part bigint, ids binary, places binary").groupBy("part").applyInArrow(merge, "ord bigint, places binary")
+    return rows.groupBy("bucket").applyInArrow(run, "part bigint, ids binary, places binary").groupBy("part").applyInArrow(merge, "key bigint, places binary")
 
 
 def hot_anchors(places: DataFrame, most: int) -> np.ndarray:
@@ -227,7 +229,7 @@ def hot_anchors(places: DataFrame, most: int) -> np.ndarray:
             x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(16)).view(np.int64)), pa.array((x & np.uint64(0xFFFF)).astype(np.int64))], names=["hash", "times"])
 
-    rows = places.filter("ord is null").select("places").mapInArrow(flat, "hash bigint, times bigint").orderBy(F.desc("times"), "hash").limit(most).toArrow()
+    rows = places.filter("key is null").select("places").mapInArrow(flat, "hash bigint, times bigint").orderBy(F.desc("times"), "hash").limit(most).toArrow()
     return np.sort(rows.column("hash").to_numpy().view(np.uint64))
 
 
@@ -276,7 +278,7 @@ def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 2 * CUT):
-                ords, tags, raw = part.column(0).to_numpy(), part.column(1).to_numpy(), utf8(part.column(2))
+                ords, tags, raw = part.column(0).to_numpy(), np.frombuffer(b"".join(part.column(1).to_pylist()), TAG), utf8(part.column(2))
                 found = anchors(raw)
                 wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | (d << 40) for d, x in enumerate(part.column(3).to_pylist())])
                 keep = np.isin(found["place"] | (found["doc"] << 40), wanted)
@@ -290,7 +292,7 @@ def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 ids, counts, docs = owners(spans["doc"], ords, at) if len(bucket) else ([], [], [])
                 for k, (b, i, j) in enumerate(zip(bucket, at, at[1:])):
-                    rows.append((b, ids[k], tags[docs[k]].astype(np.int32).tobytes(), counts[k], spans["high"][i:j].astype(np.uint32).tobytes(), spans["low"][i:j].astype(np.uint32).tobytes(), b"", b""))
+                    rows.append((b, ids[k], tags[docs[k]].tobytes(), counts[k], spans["high"][i:j].astype(np.uint32).tobytes(), spans["low"][i:j].astype(np.uint32).tobytes(), b"", b""))
                 found, bucket, sizes = by_bucket({k: v[~gone] for k, v in found.items()}, buckets)
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 ids, counts, docs = owners(found["doc"], ords, at) if len(bucket) else ([], [], [])
@@ -298,7 +300,7 @@ def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -
                     doc, low, high = found["doc"][i:j], found["low"][i:j], found["high"][i:j]
                     spans = np.stack((high - low, found["place"][i:j] - low)).astype(np.uint8)
                     text = b"".join([raw[d][s : e + LENGTH] for d, s, e in zip(doc.tolist(), low.tolist(), high.tolist())])
-                    rows.append((b, ids[k], tags[docs[k]].astype(np.int32).tobytes(), counts[k], found["hash"][i:j].tobytes(), low.astype(np.uint32).tobytes(), spans.tobytes(), text))
+                    rows.append((b, ids[k], tags[docs[k]].tobytes(), counts[k], found["hash"][i:j].tobytes(), low.astype(np.uint32).tobytes(), spans.tobytes(), text))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -463,7 +465,7 @@ def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
             columns: dict[str, list[bytes]] = {k: [] for k in ("ids", "tags", "lows", "highs")}
             for own, tags, counts, high, low in zip(*(table.column(c).to_pylist() for c in ("ids", "tags", "counts", "hashes", "lows"))):
                 counts = np.frombuffer(counts, np.uint32)
-                for k, v in (("ids", np.repeat(np.frombuffer(own, np.int64), counts).tobytes()), ("tags", np.repeat(np.frombuffer(tags, np.int32), counts).tobytes()), ("lows", low), ("highs", high)):
+                for k, v in (("ids", np.repeat(np.frombuffer(own, np.int64), counts).tobytes()), ("tags", np.repeat(np.frombuffer(tags, TAG), counts).tobytes()), ("lows", low), ("highs", high)):
                     columns[k].append(v)
             return pa.table({"part": [-1 - bucket], **{k: [b"".join(v)] for k, v in columns.items()}}, schema=kinds)
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("ord", "tag", "hash", "low", "extra", "offset")}
@@ -471,7 +473,7 @@ def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
         for own, tags, counts, h, low, spans in zip(*(table.column(c).to_pylist() for c in ("ids", "tags", "counts", "hashes", "lows", "spans"))):
             counts = np.frombuffer(counts, np.uint32)
             extra, offset = np.frombuffer(spans, np.uint8).reshape(2, -1).astype(np.int64)
-            for k, v in (("ord", np.repeat(np.frombuffer(own, np.int64), counts)), ("tag", np.repeat(np.frombuffer(tags, np.int32), counts)), ("hash", np.frombuffer(h, np.uint64)), ("low", np.frombuffer(low, np.uint32).astype(np.int64)), ("extra", extra), ("offset", offset)):
+            for k, v in (("ord", np.repeat(np.frombuffer(own, np.int64), counts)), ("tag", np.repeat(np.frombuffer(tags, TAG), counts)), ("hash", np.frombuffer(h, np.uint64)), ("low", np.frombuffer(low, np.uint32).astype(np.int64)), ("extra", extra), ("offset", offset)):
                 parts[k].append(v)
         members = {k: np.concatenate(v) for k, v in parts.items()}
         del parts
@@ -484,18 +486,19 @@ def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
         return pa.table({"part": group, "ids": packed(members["ord"][owner], sizes), "tags": packed(members["tag"][owner], sizes), "lows": packed(low, sizes), "highs": packed(high, sizes)}, schema=kinds)
 
     def merge(table: pa.Table) -> pa.Table:
-        ids, tags, lows, highs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("tags", np.int32), ("lows", np.uint32), ("highs", np.uint32)))
-        order = np.lexsort((tags, ids))
-        ids, tags = ids[order], tags[order]
-        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))
+        ids, tags, lows, highs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("tags", TAG), ("lows", np.uint32), ("highs", np.uint32)))
+        halves = tags.view(np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0], ids))
+        ids, tags, halves = ids[order], tags[order], halves[order]
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)))
         owner, low, high = joined(np.cumsum(new) - 1, lows[order].astype(np.int64), highs[order].astype(np.int64))
         starts, _ = runs_of(owner)
         pairs = np.stack((low, high), axis=1).astype(np.uint32).reshape(-1)
         sizes = 2 * np.diff(np.concatenate((starts, [len(owner)])))
-        return pa.table({"ord": ids[new], "tag": tags[new].astype(np.int64), "cuts": packed(pairs, sizes)}, schema=pa.schema([("ord", pa.int64()), ("tag", pa.int64()), ("cuts", pa.binary())]))
+        return pa.table({"ord": ids[new], "tag": packed(tags[new], np.ones(int(new.sum()), np.int64)), "cuts": packed(pairs, sizes)}, schema=pa.schema([("ord", pa.int64()), ("tag", pa.binary()), ("cuts", pa.binary())]))
 
     made = rows.groupBy("bucket").applyInArrow(run, "part bigint, ids binary, tags binary, lows binary, highs binary")
-    return made.groupBy("part").applyInArrow(merge, "ord bigint, tag bigint, cuts binary")
+    return made.groupBy("part").applyInArrow(merge, "ord bigint, tag binary, cuts binary")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, small: int = SMALL, keep: tuple[str, ...] = (), as_text: bool = False, hot: int = HOT) -> DataFrame:
@@ -508,21 +511,36 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other, so repeats under one id stay.  Texts under 50 bytes are left alone.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.hash(F.sha2(text, 256)).cast("long").alias("tag"), text.alias("text"), (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("rest"))
-    own = docs.select("ord", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    sha = F.unhex(F.sha2(text, 256))
+    plain = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.substring(sha, 1, TAG.itemsize).alias("tag"), text.alias("text"), (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("rest"))
+    own = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes")).withColumn("tag", F.substring("sha", 1, TAG.itemsize))
     facts = written(own.filter(F.col("n_bytes") >= LENGTH), "facts")
     total = int(facts.agg(F.sum("n_bytes")).first()[0] or 0)
     buckets, groups = max(1, total // bucket_bytes), max(1, total // GROUP_BYTES)
+    repeated = facts.groupBy("ord").agg(F.count("*").alias("n"), (F.min("tag") != F.max("tag")).alias("several")).filter("n > 1")
+    twice, several, least = repeated.agg(F.count("*"), F.count_if("several"), F.min(F.when(F.col("several"), F.col("ord")))).first()
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        """Adds what rows are joined by: the id, or where that has several texts, a hash of both, so that one id with
+        very many texts isn't one key.  Rows whose hashes meet by chance are still told apart by tag."""
+        hashed = F.xxhash64("ord", "tag")
+        if not several or least == LAST_ID:
+            return rows.withColumn("key", F.when(F.col("ord") == LAST_ID, hashed).otherwise(F.col("ord")) if several else F.col("ord"))
+        mixed = repeated.filter("several").select("ord", F.lit(True).alias("_mixed"))
+        marked = F.broadcast(mixed) if several <= small else mixed
+        return (rows if several <= small else spread(rows)).join(marked, "ord", "left").withColumn("key", F.when(F.col("_mixed"), hashed).otherwise(F.col("ord"))).drop("_mixed")
+
+    docs = keyed(plain)
     first = facts.groupBy("sha").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
     copies = written(facts.join(spread(first), "sha").filter("ord > first").select("ord", "tag", "n_bytes").distinct(), "copies")
     ids = copies.select("ord", "tag")
     reps = docs.filter(F.octet_length("text") >= LENGTH).join(F.broadcast(ids) if ids.count() <= small else ids, ["ord", "tag"], "left_anti")
 
-    if facts.groupBy("ord", "tag").count().filter("count > 1").limit(1).count():  # rows that stand there twice
+    if twice:  # rows that stand there twice
         reps = reps.dropDuplicates(["ord", "tag"])
     places = written(repeated_anchors(anchor_rows(reps, buckets, groups), groups, hot), "places")
     frequent = hot_anchors(places, SMALL)
-    found = cuts_of_buckets(context_rows(docs.join(places.filter("ord is not null"), "ord"), buckets, groups, frequent), groups)
+    found = cuts_of_buckets(context_rows(docs.join(places.filter("key is not null"), "key"), buckets, groups, frequent), groups)
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -530,8 +548,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = np.stack((np.zeros(len(n), np.int64), n), axis=1).astype(np.uint32).reshape(-1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(pairs, np.full(len(n), 2))], names=["ord", "tag", "cuts"])
 
-    found = found.unionByName(copies.select("ord", "tag", "n_bytes").mapInArrow(all_of, "ord bigint, tag bigint, cuts binary"))
-    cuts = found.groupBy("ord").agg(F.collect_list(F.struct("tag", "cuts")).alias("cuts"))
+    found = found.unionByName(copies.select("ord", "tag", "n_bytes").mapInArrow(all_of, "ord bigint, tag binary, cuts binary"))
+    cuts = keyed(found).groupBy("key").agg(F.collect_list(F.struct("tag", "cuts")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -549,7 +567,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, types), left, part.column(4)], names=["doc_id", "n_bytes", "spans", "kept", "rest"])
 
     kinds = f"doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}, rest {docs.schema['rest'].dataType.simpleString()}"
-    out = docs.join(cuts, "ord", "left").select("ord", "tag", "text", "cuts", "rest").mapInArrow(run, kinds)
+    out = docs.join(cuts, "key", "left").select("ord", "tag", "text", "cuts", "rest").mapInArrow(run, kinds)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 
 

@@ -408,3 +408,21 @@ def test_vocabulary_follows_the_training_tokens(spark):
     assert counts.ends == len(texts)
     few, _ = gru_lm.gather_counts(spark.createDataFrame([(t,) for t in texts[:3]], "text string"))
     assert len(few.vocabulary) == few.v - 1 == len({x for t in texts[:3] for x in t.split()})  # small tables: all words
+
+
+def test_texts_under_one_id_are_told_apart_whole(spark):
+    """Null ids and one id with many texts: nothing of one text goes for another's sake, whatever short hashes say."""
+    df = spark.range(200_000).select(F.concat(F.lit("text "), F.col("id"), F.lit(" of many "), F.repeat(F.md5(F.col("id").cast("string")), F.lit(3))).alias("text"))
+    pair = df.select("text", F.hash(F.sha2("text", 256)).alias("h")).groupBy("h").agg(F.collect_list("text").alias("t")).filter("size(t) > 1").orderBy("h").limit(1).first().t
+    rows = [(1, "prefix here. " + pair[0]), (None, pair[0]), (None, pair[1]), (9, pair[1] + " and so on " * 9), (9, pair[0] + "."), (2, "prefix here. " + "x" * 80)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r)[1:] for r in suffix_dedup.summary(suffix_dedup.remove_repeats(made)).collect())
+    assert got == Counter(h.repeats(rows))
+
+
+def test_many_null_ids_are_removed_like_others(spark):
+    rng = np.random.default_rng(5)
+    shared = ["".join(rng.choice(list("abcdefgh "), 70)) for _ in range(40)]
+    rows = [(None if i % 3 else i, "".join(rng.choice(list("abcdefgh "), 40)) + shared[int(rng.integers(40))] + str(i)) for i in range(5000)]
+    got = Counter(tuple(r)[1:] for r in suffix_dedup.summary(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))).collect())
+    assert got == Counter(h.repeats(rows))
