@@ -223,11 +223,12 @@ def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int) -> DataFrame:
-    """Compute something from the texts of the wanted rows (doc_id, digest and more), which are few or many.
+    """Compute something from the texts of the wanted rows (doc_id, text_key, digest and more), which are few or many.
 
+    Rows are found by id and text, so that one id (or none) may have any number of texts.
     ``made`` turns the rows' sets and the other columns of ``wanted`` into batches of ``schema``.
     """
-    others = [c for c in wanted.columns if c not in ("doc_id", "digest")]
+    others = [c for c in wanted.columns if c not in ("doc_id", "text_key", "digest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +243,7 @@ def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int
                 yield from made([sets[i] for i in which], [c.take(pa.array(which)) for c in part.columns[2:]])
 
     wanted = F.broadcast(wanted) if wanted.count() <= small else wanted
-    return docs.join(wanted, "doc_id").select("text", "digest", *others).mapInArrow(run, schema)
+    return docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("text", "digest", *others).mapInArrow(run, schema)
 
 
 class Maps:
@@ -397,7 +398,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: i
     rows = rows.withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / BLOCK))))
     sides = rows.select(F.col("hub").alias("node"), "block", F.lit(0).alias("role")).unionByName(rows.select(F.col("other").alias("node"), "block", F.lit(1).alias("role"))).distinct()
     lists = sides.join(spread(degree), "node").groupBy("node", F.pmod(F.xxhash64("block"), F.ceil(F.col("k") / BLOCK)).alias("part")).agg(F.collect_list(F.struct("block", "role")).alias("blocks"))
-    wanted = written(lists.join(nodes.select("node", "doc_id", "digest"), "node").select("doc_id", "digest", "node", "blocks"), "block-lists")
+    wanted = written(lists.join(nodes.select("node", "doc_id", "text_key", "digest"), "node").select("doc_id", "text_key", "digest", "node", "blocks"), "block-lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = at = last = None
@@ -437,8 +438,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = rarity(word_counts(docs))
     rows = written(described(docs, rank, width, percent), "shingles")
     own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("x"), F.min(own).alias("least"))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.n_shingles").alias("n"), F.col("x.prefix").alias("prefix"))
+    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "prefix")).alias("x"), F.min(own).alias("least"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.text_key").alias("text_key"), F.col("x.n_shingles").alias("n"), F.col("x.prefix").alias("prefix"))
     nodes = written(nodes, "nodes")  # the numbers of nodes are drawn once
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     once = docs  # one row for each id and text
@@ -446,7 +447,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         once = docs.dropDuplicates(["doc_id", "text"])
     tokens = tokens_of(nodes, once, shared) if tokens_of else shared_tokens(nodes, percent)
     tokens = written(tokens, "tokens")
-    wanted = written(nodes.join(spread(tokens.select("node").distinct()), "node").select("node", "doc_id", "digest"), "wanted")
+    wanted = written(nodes.join(spread(tokens.select("node").distinct()), "node").select("node", "doc_id", "text_key", "digest"), "wanted")
     maps = written(from_texts(once, wanted, Maps(shared, width), "node bigint, map binary", small), "maps").dropDuplicates(["node"])
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +463,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = mine.join(maps, "node").mapInArrow(in_order, "token bigint, node bigint, n bigint, place bigint, before binary, map binary")
     entries = written(entries, "entries")
 
-    nodes = nodes.select("node", "doc_id", "digest", "least")
+    nodes = nodes.select("node", "doc_id", "text_key", "digest", "least")
     check = lambda pairs: verified(pairs, nodes, once, shared, width, percent, small)
     alone = entries.withColumns({"group": F.col("node"), "before": F.lit(None).cast("binary")})
     sizes = entries.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > hot)

@@ -156,8 +156,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def tokens_of(nodes: DataFrame, texts: DataFrame, rank) -> DataFrame:
-        wanted = nodes.select("node", "doc_id", "digest", "n")
-        made = written(from_texts(texts, wanted.select("doc_id", "digest", "node", "n"), Bands(rank, width, bands), "token bigint, node bigint, n bigint, place bigint", small), "bands").distinct()
+        wanted = nodes.select("doc_id", "text_key", "digest", "node", "n")
+        made = written(from_texts(texts, wanted, Bands(rank, width, bands), "token bigint, node bigint, n bigint, place bigint", small), "bands").distinct()
         twice = made.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
         return made.join(spread(twice), "token", "left_semi")
 

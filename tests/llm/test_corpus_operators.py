@@ -426,3 +426,24 @@ def test_many_null_ids_are_removed_like_others(spark):
     rows = [(None if i % 3 else i, "".join(rng.choice(list("abcdefgh "), 40)) + shared[int(rng.integers(40))] + str(i)) for i in range(5000)]
     got = Counter(tuple(r)[1:] for r in suffix_dedup.summary(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))).collect())
     assert got == Counter(h.repeats(rows))
+
+
+@pytest.mark.parametrize("small_", [400_000, 0])
+def test_null_and_repeated_ids_cost_no_more_than_others(spark, monkeypatch, small_):
+    """Pairs of near copies under null ids and under one id: texts are found by id and text, each once."""
+    base = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(300)]
+    rows = [(None if i % 2 else 7, base[i] + tail) for i in range(300) for tail in ("", " more")] + [(i, base[i] + " last") for i in range(0, 300, 3)]
+    plain = jaccard_join.from_texts
+
+    def counted(docs, wanted, *rest):
+        met = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).count()
+        assert met == wanted.count()
+        return plain(docs, wanted, *rest)
+
+    monkeypatch.setattr(jaccard_join, "from_texts", counted)
+    monkeypatch.setattr(minhash, "from_texts", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = Counter((d, n, c) for (d, _), (n, c) in zip(rows, h.components(rows)))
+    assert Counter(map(tuple, jaccard_join.similar_groups(df, small=small_).collect())) == want
+    found = minhash.near_duplicates(df, width=3, percent=90, small=small_)
+    assert Counter(map(tuple, found.collect())) == want
