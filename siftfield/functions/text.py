@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: An ordered lexicon: a key and the variants by which a text names it.
 Lexicon = Sequence[tuple[str, Sequence[str]]]
 
+#: White space in all scripts and the separators of ASCII, for the inside of a character class.
+SPACES = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 
 @lru_cache(maxsize=1)
 def accents() -> tuple[str, str]:

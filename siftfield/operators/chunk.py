@@ -2,54 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from siftfield.functions.text import count_all, n_words, once
+from siftfield.functions.text import SPACES, count_all, n_words, once
 from siftfield.lexicons import RELEVANT_TERMS
 from siftfield.operators.extract import structured_lines
 from siftfield.operators.lines import lines_of, settled, with_descriptions, with_general_info, with_keywords, with_section
 
 SIZE, OVERLAP, SHORTEST = 500, 100, 50
+#: Characters of the pieces, and of the pieces in these, within which words are folded.
+LEVELS = (1 << 16, 1 << 11)
 SECTION_TYPES = [
     ("dosage", r"dosis|dosificaci[oó]n"), ("application", r"aplicaci[oó]n|instrucciones"), ("waiting_period", r"carencia"), ("limits", r"m[aá]ximo.*aplicaciones"),
     ("interval", r"intervalo"), ("precautions", r"precauciones|advertencias"), ("composition", r"composici[oó]n"),
 ]
 
 
-def word_windows(found: list[str], size: int, share: float, tail: int) -> list[str]:
-    """Runs of words, closed when they reach ``size``; a share of each run's words opens the next one.
-    What is left at the end is a run if it's longer than ``tail``."""
-    out: list[str] = []
-    start, length, lengths = 0, 0, [len(w) + 1 for w in found]
-    for i, n in enumerate(lengths):
-        length += n
-        if length >= size:
-            out.append(" ".join(found[start : i + 1]))
-            again = int((i + 1 - start) * share)
-            start = i + 1 - again
-            length = sum(lengths[start : i + 1])
-    rest = " ".join(found[start:])
-    if start < len(found) and len(rest) > tail:
-        out.append(rest)
-    return out
+def cut_by(text: Column, most: int) -> Column:
+    """Pieces of at most ``most`` characters that end before white space, or one longer word."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{most}}}(?=[{SPACES}]|\z)|[^{SPACES}]++"), F.lit(0))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def windows_of(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """:func:`word_windows` of (text, size, share, tail); none of a null text."""
-    for texts, sizes, shares, tails in rows:
-        yield pd.Series([word_windows(t.split(), n, s, k) if t else [] for t, n, s, k in zip(texts, sizes, shares, tails)], dtype=object)
+def word_windows(text: Column, size: int, share: Column, tail: Column) -> Column:
+    """Runs of a text's words, joined: a run closes when its words, each with a space, reach ``size``; a share of its
+    words opens the next one.  What is left at the end is a run if it's longer than ``tail``.
+
+    A fold over the words within the row, on the JVM: its state is the open run and the closed ones.  A fold copies
+    its state at every step, so words are folded within pieces of LEVELS characters, with closed runs of their own;
+    a text of any length then costs in proportion to it.
+    """
+    none = F.array().cast("array<string>")
+
+    def state(length: Column, now: Column, closed: Column) -> Column:
+        return F.struct(length.alias("length"), now.alias("now"), closed.alias("closed"))
+
+    def add(s: Column, word: Column) -> Column:
+        length, now = s["length"] + F.length(word) + 1, F.array_append(s["now"], word)
+        full, again = length >= size, F.floor((F.size(s["now"]) + 1) * share).cast("int")
+        kept = F.when(again > 0, F.slice(now, -again, again)).otherwise(none)
+        left = F.when(~full, length).when(again > 0, F.length(F.array_join(kept, " ")) + 1).otherwise(0)
+        return state(left, F.when(full, kept).otherwise(now), F.when(full, F.array_append(s["closed"], F.array_join(now, " "))).otherwise(s["closed"]))
+
+    def fold(text: Column, s: Column, levels: Sequence[int]) -> Column:
+        """The state after a piece of text, with the runs closed in it alone."""
+        begin = state(s["length"], s["now"], none)
+        if not levels:
+            return F.aggregate(F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != ""), begin, add)
+        further = lambda s, piece: once(fold(piece, s, levels[1:]), lambda x: state(x["length"], x["now"], F.concat(s["closed"], x["closed"])))
+        return F.aggregate(cut_by(text, levels[0]), begin, further)
+
+    def rest(s: Column) -> Column:
+        left = F.array_join(s["now"], " ")
+        return F.when((F.size(s["now"]) > 0) & (F.length(left) > tail), F.array_append(s["closed"], left)).otherwise(s["closed"])
+
+    return once(fold(F.coalesce(text, F.lit("")), state(F.lit(0), none, none), LEVELS), rest)
+
+
+def windows_of(df: DataFrame, name: str, text: Column, size: int, share: Column, tail: Column) -> DataFrame:
+    """Adds an array of the text's :func:`word_windows`; none of a null text."""
+    rows = settled(df, whole_=text, share_=share, tail_=tail)
+    return settled(rows, **{name: word_windows(F.col("whole_"), size, F.col("share_"), F.col("tail_"))}).drop("whole_", "share_", "tail_")
 
 
 def word_chunks(df: DataFrame, keys: Sequence[str], text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """keys, chunk_index (from 0), text: overlapping runs of words; carried state makes this a pandas UDF."""
-    cut = windows_of(F.col(text_col), F.lit(size), F.lit(overlap / size), F.lit(SHORTEST))
-    return df.select(*keys, F.posexplode(cut).alias("chunk_index", "text"))
+    """keys, chunk_index (from 0), text: overlapping runs of words."""
+    rows = windows_of(df.select(*keys, F.col(text_col).alias("text_")), "cut_", F.col("text_"), size, F.lit(overlap / size), F.lit(SHORTEST))
+    return rows.select(*keys, F.posexplode("cut_").alias("chunk_index", "text"))
 
 
 def chunk_id(source: Column, index: Column, text: Column) -> Column:
@@ -92,9 +113,9 @@ def semantic_chunks(df: DataFrame, key: str, text_col: str, headings: Sequence[s
     rows = rows.select(key, F.inline(F.when(F.size("pieces") <= 2, F.array(piece(F.lit(0), F.col("text_"), F.lit(True)))).otherwise(parts)))
     long = ~F.col("whole") & (F.length("piece") > 1.5 * size)
     by_words = F.when(F.col("whole") | long, F.col("piece"))
-    cut = windows_of(by_words, F.lit(size), F.when(F.col("whole"), overlap / size).otherwise(0.2), F.when(F.col("whole"), SHORTEST).otherwise(0))
-    rows = settled(rows, section_type=F.when(F.col("whole"), "character_split").otherwise(section_type(F.col("piece"))))
-    rows = rows.select(key, "at", "whole", long.alias("long"), "section_type", F.posexplode(F.when(by_words.isNull(), F.array("piece")).otherwise(cut)).alias("pos", "text"))
+    rows = settled(rows, section_type=F.when(F.col("whole"), "character_split").otherwise(section_type(F.col("piece"))), long=long)
+    rows = windows_of(rows, "cut_", by_words, size, F.when(F.col("whole"), overlap / size).otherwise(0.2), F.when(F.col("whole"), SHORTEST).otherwise(0))
+    rows = rows.select(key, "at", "whole", "long", "section_type", F.posexplode(F.when(F.col("whole") | F.col("long"), F.col("cut_")).otherwise(F.array("piece"))).alias("pos", "text"))
     rows = rows.select(key, F.when(F.col("whole"), F.col("pos")).otherwise(F.col("at")).alias("chunk_index"), F.when(F.col("long"), F.col("pos")).alias("sub_index"), "section_type", "text")
     ids = F.when(F.col("sub_index").isNull(), chunk_id(F.col(key).cast("string"), F.col("chunk_index"), F.col("text"))).otherwise(sub_chunk_id(F.col("chunk_index"), F.col("sub_index"), F.col("text")))
     return rows.withColumn("chunk_id", ids).withColumn("relevance", relevance(F.col("text")))

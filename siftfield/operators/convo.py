@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import Lexicon, captured, contains_any, first_match, joined, n_words, words
+from siftfield.functions.text import SPACES, Lexicon, captured, contains_any, first_match, joined, n_words, words
+from siftfield.operators.lines import settled
 
 MESSAGE_PATHS = ("$.body.messages[*].content", "$.messages[*].content", "$.message", "$.body.message", "$.input", "$.query")
 REPLY_PATHS = ("$.choices[0].message.content", "$.reply", "$.output", "$.response", "$.result", "$.content", "$.message", "$.text")
@@ -139,28 +139,23 @@ def plain_text(text: Column) -> Column:
     return F.trim(out, F.lit(" \n\t\r"))
 
 
-def cut_message(text: str | None, limit: int = 1500) -> list[str]:
-    """Segments of at most ``limit`` characters, cut at the last newline, else space, in the last 40 percent."""
-    rest, out = (text or "").strip(), []
-    while len(rest) > limit:
-        at = rest.rfind("\n", 0, limit)
-        at = at if at >= int(limit * 0.6) else rest.rfind(" ", 0, limit)
-        at = at if at >= int(limit * 0.6) else limit
-        if piece := rest[:at].strip():
-            out.append(piece)
-        rest = rest[at:].strip()
-    return out + [rest] if rest or not out else out
+def segments_of(text: Column, limit: int = 1500) -> Column:
+    """Segments of at most ``limit`` characters, cut at the last newline, else space, in the last 40 percent.
+
+    One pattern that starts where its last match ended: all that is left if it fits, else up to the farthest
+    newline, else up to the farthest space, else ``limit`` characters; space between segments goes.
+    """
+    least = max(int(limit * 0.6), 1)
+    cut = rf"(?s)[{SPACES}]*+(.{{1,{limit}}}\z|.{{{least},{limit - 1}}}(?=\n)|.{{{least},{limit - 1}}}(?= )|.{{{limit}}})" if limit > least else rf"(?s)[{SPACES}]*+(.{{1,{limit}}}\z|.{{{limit}}})"
+    ends = rf"^[{SPACES}]+|[{SPACES}]+\z"
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), ends, "")
+    found = F.transform(F.regexp_extract_all(whole, F.lit(cut), F.lit(1)), lambda x: F.regexp_replace(x, ends, ""))
+    return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(found)
 
 
 def segments(df: DataFrame, keys: Sequence[str], text_col: str, limit: int = 1500) -> DataFrame:
     """keys, part (from 1), parts, text with ``[i/n]`` in front where a message has several segments."""
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: cut_message(t, limit))
-
-    rows = df.withColumn("cut_", cut(F.col(text_col))).select(*keys, F.size("cut_").alias("parts"), F.posexplode("cut_").alias("pos", "piece"))
+    rows = settled(df.select(*keys, F.col(text_col).alias("text_")), cut_=segments_of(F.col("text_"), limit)).select(*keys, F.size("cut_").alias("parts"), F.posexplode("cut_").alias("pos", "piece"))
     mark = F.when(F.col("parts") > 1, F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("/"), F.col("parts").cast("string"), F.lit("] "))).otherwise("")
     return rows.select(*keys, (F.col("pos") + 1).alias("part"), "parts", F.concat(mark, F.col("piece")).alias("text"))
 

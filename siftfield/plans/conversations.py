@@ -94,7 +94,15 @@ def markdown_plain(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(convo.plain_text(F.col("text"))).alias("plain_md5"))
 
 
-@query("message_segments")
+@query("message_segments", r"""
+WITH RECURSIVE cuts AS (
+  SELECT doc_id, 0 AS k, NULL::VARCHAR AS piece, trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS rest FROM documents UNION ALL
+  SELECT doc_id, k + 1, trim(substr(rest, 1, cut), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), trim(substr(rest, cut + 1), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') FROM (
+    SELECT doc_id, k, rest, CASE WHEN length(rest) <= 1500 THEN length(rest) WHEN nl >= 900 THEN nl WHEN sp >= 900 THEN sp ELSE 1500 END AS cut FROM (
+      SELECT *, 1500 - CASE WHEN strpos(back, chr(10)) = 0 THEN 1500 ELSE strpos(back, chr(10)) END AS nl, 1500 - CASE WHEN strpos(back, ' ') = 0 THEN 1500 ELSE strpos(back, ' ') END AS sp
+      FROM (SELECT *, reverse(substr(rest, 1, 1500)) AS back FROM cuts WHERE length(rest) > 0 OR k = 0)))),
+found AS (SELECT doc_id, k, piece, max(k) OVER (PARTITION BY doc_id) AS parts FROM cuts WHERE k > 0)
+SELECT doc_id, k AS part, parts, CASE WHEN parts > 1 THEN '[' || k || '/' || parts || '] ' ELSE '' END || piece AS text FROM found""")
 def message_segments(spark, d):
     return convo.segments(table(spark, d, "documents"), ["doc_id"], "text")
 

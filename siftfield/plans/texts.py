@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftfield.functions import text as t
+from siftfield.lexicons import RELEVANT_TERMS
 from siftfield.operators import chunk, extract, lexicon, score, tables
 from siftfield.plans.registry import query, table
 
@@ -203,14 +204,47 @@ def best_candidate(spark, d):
     return chunk.best_candidate(docs, ["source", "lang"], "doc_id", "quality", F.col("lang") == "fr").select("source", "lang", "doc_id")
 
 
-@query("word_chunks")
+def windows_sql(source, size=500):
+    """Tables after ``source`` (id, text, share, tail): cut_ (id, pos, text), by following the runs' ends."""
+    return f"""
+lists_ AS MATERIALIZED (SELECT id, share, tail, {sql_words('text')} AS ws FROM ({source})),
+words_ AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists_),
+sums_ AS MATERIALIZED (SELECT id, i, length(w) + 1 AS n, sum(length(w) + 1) OVER (PARTITION BY id ORDER BY i)::BIGINT AS p FROM words_),
+ends_ AS MATERIALIZED (SELECT a.id, a.i AS s, b.i AS e FROM (SELECT id, i, p - n + {size} AS target FROM sums_) a ASOF JOIN sums_ b ON a.id = b.id AND a.target <= b.p),
+runs_ AS (
+  SELECT id, s, e FROM ends_ WHERE s = 1 UNION ALL
+  SELECT n.id, n.s, greatest(n.e, r.e + 1) FROM runs_ r JOIN lists_ l ON l.id = r.id JOIN ends_ n ON n.id = r.id AND n.s = r.e + 1 - floor((r.e + 1 - r.s) * l.share)::BIGINT WHERE r.e + 1 <= len(l.ws)),
+last_ AS (SELECT l.id, coalesce(r.e + 1 - floor((r.e + 1 - r.s) * l.share)::BIGINT, 1) AS s FROM lists_ l LEFT JOIN (SELECT id, max(e) AS e, max(s) AS s FROM runs_ GROUP BY id) r ON r.id = l.id),
+all_ AS (
+  SELECT r.id, r.s, array_to_string(list_slice(l.ws, r.s::BIGINT, r.e::BIGINT), ' ') AS text FROM runs_ r JOIN lists_ l ON l.id = r.id UNION ALL
+  SELECT id, s + 1e9::BIGINT, text FROM (SELECT l.id, t.s, l.tail, array_to_string(list_slice(l.ws, t.s::BIGINT, len(l.ws)), ' ') AS text FROM last_ t JOIN lists_ l ON l.id = t.id WHERE t.s <= len(l.ws)) WHERE length(text) > tail),
+cut_ AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY s) - 1)::INT AS pos, text FROM all_)"""
+
+
+@query("word_chunks", f"WITH RECURSIVE {windows_sql('SELECT doc_id AS id, text, 0.2::DOUBLE AS share, 50 AS tail FROM documents')} SELECT id AS doc_id, pos AS chunk_index, text FROM cut_")
 def word_chunks(spark, d):
     return chunk.word_chunks(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-@query("semantic_chunks")
+SEMANTIC_SQL = f"""
+WITH RECURSIVE pieces AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n\\s*(the|le|der|la)', chr(1) || '\\1', 'gi'), chr(1)) AS ps FROM documents),
+parts AS MATERIALIZED (
+  SELECT doc_id, 0 AS k, text AS piece, true AS whole FROM pieces WHERE len(ps) <= 2 UNION ALL
+  SELECT doc_id, k, piece, false FROM (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS k, trim(unnest(ps), ' ' || chr(10) || chr(9) || chr(13)) AS piece FROM pieces WHERE len(ps) > 2) WHERE length(piece) >= 50),
+{windows_sql("SELECT {'d': doc_id, 'k': k} AS id, piece AS text, 0.2::DOUBLE AS share, CASE WHEN whole THEN 50 ELSE 0 END AS tail FROM parts WHERE whole OR length(piece) > 750")},
+chunks AS (
+  SELECT p.doc_id, CASE WHEN whole THEN c.pos ELSE p.k END AS chunk_index, CASE WHEN NOT whole THEN c.pos END AS sub_index, piece, whole, c.text FROM parts p JOIN cut_ c ON c.id = {{'d': p.doc_id, 'k': p.k}} UNION ALL
+  SELECT doc_id, k, NULL, piece, whole, piece FROM parts WHERE NOT whole AND length(piece) <= 750)
+SELECT doc_id, chunk_index::INT AS chunk_index, sub_index::INT AS sub_index, text,
+  CASE WHEN whole THEN 'character_split' {" ".join(f"WHEN regexp_matches(lower(piece), '{p}') THEN '{name}'" for name, p in chunk.SECTION_TYPES)} ELSE 'general' END AS section_type,
+  CASE WHEN sub_index IS NULL THEN 'chunk_' || substr(md5(doc_id || '_' || chunk_index || '_' || substr(text, 1, 100)), 1, 12) ELSE 'chunk_' || chunk_index || '_' || sub_index || '_' || substr(md5(substr(text, 1, 100)), 1, 8) END AS chunk_id,
+  round(CASE WHEN len({sql_words('text')}) > 0 THEN least(2.0::DOUBLE * ({" + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in RELEVANT_TERMS)}) / len({sql_words('text')}), 1.0) ELSE 0.0 END, 9) AS relevance
+FROM chunks"""
+
+
+@query("semantic_chunks", SEMANTIC_SQL)
 def semantic_chunks(spark, d):
-    return chunk.semantic_chunks(table(spark, d, "documents"), "doc_id", "text", ["the", "le", "der", "la"])
+    return chunk.semantic_chunks(table(spark, d, "documents"), "doc_id", "text", ["the", "le", "der", "la"]).withColumn("relevance", F.round("relevance", 9))
 
 
 @query("section_type", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'license|rights') THEN 'law' WHEN regexp_matches(lower(text), 'token|password') THEN 'keys' ELSE 'general' END AS kind FROM documents")

@@ -3,6 +3,7 @@
 import base64
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -289,17 +290,60 @@ def test_lexicon_edges(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab \n", max_size=300), st.integers(5, 40))
-def test_segments_fit_and_lose_nothing(text, limit):
-    parts = convo.cut_message(text, limit)
-    assert all(len(p) <= limit for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abc", min_size=1, max_size=12), max_size=80))
-def test_chunks_cover_all_words(ws):
-    found = chunk.word_windows(ws, 40, 0.2, 0)
-    assert not ws or set(ws) == set(" ".join(found).split())
+def plain_segments(text, limit):
+    rest, out = text.strip(), []
+    while len(rest) > limit:
+        at = rest.rfind("\n", 0, limit)
+        at = at if at >= int(limit * 0.6) else rest.rfind(" ", 0, limit)
+        at = at if at >= int(limit * 0.6) else limit
+        out += [rest[:at].strip()] if rest[:at].strip() else []
+        rest = rest[at:].strip()
+    return out + [rest] if rest or not out else out
+
+
+def plain_windows(found, size, share, tail):
+    out, now = [], []
+    for word in found:
+        now.append(word)
+        if sum(len(w) + 1 for w in now) >= size:
+            out.append(" ".join(now))
+            now = now[len(now) - int(len(now) * share) :]
+    return out + [" ".join(now)] if now and len(" ".join(now)) > tail else out
+
+
+def odd_texts():
+    rng = np.random.default_rng(7)
+    made = ["".join(rng.choice(list("ab \n"), int(n), p=[0.4, 0.35, 0.2, 0.05])) for n in rng.integers(0, 400, 150)]
+    return [*made, None, "", " \n ", "x" * 900, "ü\u2003é\x85漢字 😀\xa0word " * 40, "\x1c a \x1f", "one " * 30 + "y" * 200 + " two" * 30]
+
+
+@pytest.mark.parametrize("limit", [7, 40, 150])
+def test_segments_equal_plain_ones(spark, limit):
+    rows = list(enumerate(odd_texts()))
+    got = {}
+    for r in convo.segments(spark.createDataFrame(rows, "id int, t string"), ["id"], "t", limit).collect():
+        got.setdefault(r.id, []).append((r.part, r.parts, r.text))
+    for i, t in rows:
+        want = plain_segments(t or "", limit)
+        assert sorted(got[i]) == [(k + 1, len(want), f"[{k + 1}/{len(want)}] {x}" if len(want) > 1 else x) for k, x in enumerate(want)]
+        assert "".join("".join(want).split()) == "".join((t or "").split())
+
+
+@pytest.mark.parametrize("size, overlap", [(40, 8), (25, 20), (500, 100)])
+def test_chunks_equal_plain_ones(spark, size, overlap):
+    rows = list(enumerate(odd_texts()))
+    df = spark.createDataFrame(rows, "id int, t string")
+    plan = chunk.word_chunks(df, ["id"], "t", size, overlap)
+    got = sorted(map(tuple, plan.collect()))
+    assert got == sorted((i, k, x) for i, t in rows for k, x in enumerate(plain_windows((t or "").split(), size, overlap / size, 50)))
+    assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_a_very_long_text_is_cut_in_one_pass(spark):
+    text = "word and more\n" * 150_000  # 2 MB
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    assert chunk.word_chunks(df, ["id"], "t").count() == len(plain_windows(text.split(), 500, 0.2, 50))
+    assert convo.segments(df, ["id"], "t").count() == len(plain_segments(text, 1500))
 
 
 def test_streams_equal_batches(spark, tmp_path, small):
