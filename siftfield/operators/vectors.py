@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftfield.functions.text import contains_any, joined, words
 from siftfield.operators.lexicon import from_sources, mentions
+from siftfield.sources.scratch import scratch_table
 
 #: Vectors and queries in a block; queries that may go to every task.
 BLOCK, MOST_QUERIES = 1024, 10_000
@@ -45,57 +49,64 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id"
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), F.desc(id_col))))
 
 
-def in_blocks(rows: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
-    """Rows of up to BLOCK vectors: ids and limits as arrays, the vectors as one binary of doubles (null: zeros)."""
-    kinds = dict(rows.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(i, BLOCK)
-                column = part.column(1)
-                width = max((len(v) for v in column.to_pylist() if v is not None), default=0)
-                flat = np.array([v if v is not None else [0.0] * width for v in column.to_pylist()], np.float64)
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                limits = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(2).cast(pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, limits, pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_limits", f"{name}_flat"])
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows without length stay zero."""
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-    return rows.select(id_col, vector_col, "k_").mapInArrow(run, f"{name}_ids array<{kinds[id_col]}>, {name}_limits array<int>, {name}_flat binary")
 
+def stacked(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one width as rows of doubles; null is zeros."""
+    return np.array([v if v is not None else [0.0] * width for v in column.to_pylist()], np.float64).reshape(len(column), width)
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: str = "id", vector_col: str = "embedding", query_id: str = "qid", metric: str = "cosine", digits: int | None = None) -> DataFrame:
-    """qid, id, similarity, rank for many queries (qid, embedding and, where k names a column, that).
 
-    Blocks of queries meet blocks of vectors in numpy.  A task keeps the best k of each of its queries as it
-    goes, so k rows per task and query are shuffled; ties by the smaller id.  Queries are broadcast, packed, only
-    if a count shows that they are at most ``MOST_QUERIES``; more of them are dealt out like the vectors.
-    """
-    asked = queries.select(query_id, vector_col, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k_"))
-    few = asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    q = in_blocks(asked, query_id, vector_col, "q")
-    v = in_blocks(vectors.withColumn("k_", F.lit(0)), id_col, vector_col, "v")
-    pairs = v.crossJoin(F.broadcast(q) if few else q).select("q_ids", "q_limits", "q_flat", "v_ids", "v_flat")
-    kinds = {query_id: dict(queries.dtypes)[query_id], id_col: dict(vectors.dtypes)[id_col]}
+def in_blocks(rows: DataFrame, id_col: str, vector_col: str, name: str, cell: str | None = None) -> DataFrame:
+    """Rows of up to BLOCK vectors of one width: a number, ids and limits as arrays, the vectors as one binary of doubles
+    (null: zeros); with ``cell``, of one cell each.  Numbers come from the task and the block's place in it, so none comes twice."""
+    kinds = dict(rows.dtypes)
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        size = np.sqrt((x * x).sum(1, keepdims=True))
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), -1))
+            widths, cells = np.where(sizes < 0, sizes.max(), sizes).clip(0), np.asarray(batch.column(3))
+            order = np.lexsort((widths, cells))
+            batch, widths, cells = batch.take(pa.array(order)), widths[order], cells[order]
+            ends = [*(np.flatnonzero((np.diff(cells) != 0) | (np.diff(widths) != 0)) + 1).tolist(), len(cells)]
+            for low, high in zip([0, *ends], ends):
+                for i in range(low, high, BLOCK):
+                    part = batch.slice(i, min(BLOCK, high - i))
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    limits = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(2).cast(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), ids, limits, pa.array([stacked(part.column(1), int(widths[i])).tobytes()], pa.binary()), part.column(3)[:1]], names=[f"{name}_block", f"{name}_ids", f"{name}_limits", f"{name}_flat", f"{name}_cell"])
+                    made += 1
+
+    found = rows.select(id_col, vector_col, "k_", (F.col(cell) if cell else F.lit(0)).cast("long").alias("cell_"))
+    return found.mapInArrow(run, f"{name}_block long, {name}_ids array<{kinds[id_col]}>, {name}_limits array<int>, {name}_flat binary, {name}_cell long")
+
+
+def best_of_pairs(pairs: DataFrame, query_id: str, query_kind: str, id_col: str, id_kind: str, metric: str, digits: int | None) -> DataFrame:
+    """qid, k_, id, similarity of the best vectors that each query meets in a task, from pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, list] = {}  # by block of queries: ids, limits, and of each query the best scores and ids
+        best: dict[int, list] = {}  # by block of queries: ids, limits, and of each query the best scores and ids
         types: dict[int, pa.DataType] = {}
         for batch in batches:
-            types = types or {0: batch.column(0).type.value_type, 3: batch.column(3).type.value_type}
-            for names, limits, q_raw, ids, v_raw in zip(*(c.to_pylist() for c in batch.columns)):
-                m, x = (np.frombuffer(raw).reshape(n, -1) for raw, n in ((q_raw, len(names)), (v_raw, len(ids))))
-                if metric == "cosine":
-                    scores = unit(m) @ unit(x).T if m.shape[1] == x.shape[1] else np.zeros((len(m), len(x)))
+            types = types or {0: batch.column(1).type.value_type, 3: batch.column(4).type.value_type}
+            for block, names, limits, q_raw, ids, v_raw in zip(*(c.to_pylist() for c in batch.columns)):
+                m, x = (np.frombuffer(raw).reshape(n, len(raw) // (8 * n)) for raw, n in ((q_raw, len(names)), (v_raw, len(ids))))
+                if m.shape[1] != x.shape[1]:  # of other widths: as far as can be
+                    scores = np.full((len(m), len(x)), 0.0 if metric == "cosine" else -np.inf)
+                elif metric == "cosine":
+                    scores = unit(m) @ unit(x).T
                 else:
                     scores = 1 - ((m * m).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * m @ x.T)
                 if digits is not None:
                     scores = np.round(scores, digits)
-                ids, key = np.array(ids, object if isinstance(ids[0], str) else None), repr(names[:2]).encode() + q_raw[:64]
-                held = best.setdefault(key, [names, limits, [np.empty(0)] * len(names), [ids[:0]] * len(names)])
+                ids = np.array(ids, object if isinstance(ids[0], str) else None)
+                held = best.setdefault(block, [names, limits, [np.empty(0)] * len(names), [ids[:0]] * len(names)])
                 most = max(limits, default=0)
                 for j, n in enumerate(limits):
                     row = scores[j]
@@ -111,11 +122,42 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: st
             columns = [np.repeat(np.array(names, object), times).tolist(), np.repeat(np.array(limits), times), np.concatenate(found).tolist(), np.concatenate(scores)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (types[0], pa.int32(), types[3], pa.float64()))], names=[query_id, "k_", id_col, "similarity"])
 
-    near = pairs.mapInArrow(run, f"{query_id} {kinds[query_id]}, k_ int, {id_col} {kinds[id_col]}, similarity double")
+    return pairs.select("q_block", "q_ids", "q_limits", "q_flat", "v_ids", "v_flat").mapInArrow(run, f"{query_id} {query_kind}, k_ int, {id_col} {id_kind}, similarity double")
+
+
+def ranked(near: DataFrame, query_id: str, id_col: str) -> DataFrame:
+    """The first k_ rows of each query by similarity, ties by the smaller id."""
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
     return near.withColumn("rank", rank).filter(F.col("rank") <= F.col("k_")).drop("k_")
 
 
+def asked_rows(queries: DataFrame, k: int | str, query_id: str, vector_col: str) -> DataFrame:
+    return queries.select(query_id, vector_col, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k_"))
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: str = "id", vector_col: str = "embedding", query_id: str = "qid", metric: str = "cosine", digits: int | None = None) -> DataFrame:
+    """qid, id, similarity, rank for many queries (qid, embedding and, where k names a column, that), by all vectors.
+
+    Blocks of queries meet blocks of vectors in numpy.  A task keeps the best k of each of its queries as it
+    goes, so k rows per task and query are shuffled; ties by the smaller id.  Up to ``MOST_QUERIES`` queries
+    (by a count) go to every task, packed; more of them are packed into a table first and taken in groups of that size, each
+    with a pass over the vectors, so neither a task nor a broadcast holds more.
+    """
+    asked = asked_rows(queries, k, query_id, vector_col)
+    v = in_blocks(vectors.withColumn("k_", F.lit(0)), id_col, vector_col, "v")
+    kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[id_col]
+    n = asked.count()
+    blocks = in_blocks(asked.repartition(max(1, -(-n // BLOCK))), query_id, vector_col, "q")
+    groups = [blocks]
+    if n > MOST_QUERIES:
+        blocks = scratch_table(blocks, "queries")
+        numbers = sorted(r[0] for r in blocks.select("q_block").collect())  # one for about BLOCK queries
+        size = max(1, MOST_QUERIES // BLOCK)
+        groups = [blocks.filter(F.col("q_block").isin(numbers[i : i + size])) for i in range(0, len(numbers), size)]
+    found = [best_of_pairs(v.crossJoin(F.broadcast(q)), query_id, kinds[0], id_col, kinds[1], metric, digits) for q in groups]
+    return ranked(reduce(DataFrame.unionByName, found), query_id, id_col)
+
+
 def union_of_queries(hits: DataFrame, order: str, key: Column, most: int = 25) -> DataFrame:
     """Hits of several queries in their order, the first of each key, ``most`` at most."""
     first = F.row_number().over(Window.partitionBy("key_").orderBy(order, "rank"))

@@ -6,8 +6,6 @@ their columns; the SQL says what has to come out, from the same columns.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from siftfield.lexicons import CROPS, DOSE_PATTERNS, UNITS
@@ -15,6 +13,7 @@ from siftfield.operators import chunk, convo, extract, lexicon, lines, score, ta
 from siftfield.plans.registry import query, table
 from siftfield.plans.search import FOUND, found
 from siftfield.sources import files, payloads, store
+from siftfield.sources.scratch import scratch_dir
 from siftfield.streaming import jobs
 
 K, S = lambda: F.col("p_partkey"), lambda: F.col("p_size")
@@ -22,12 +21,6 @@ VALID = lambda name: lexicon.valid_name(name)  # noqa: E731  of one argument, as
 TEXT = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
 
 
-def shared(spark, name):
-    """A fresh folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 def labels(spark, d):
     """p_partkey, p_size, text: a label for each part."""
     timing = F.when(K() % 4 == 0, "pre-emergencia").when(K() % 4 == 1, "post emergencia").otherwise("otoño")
@@ -190,7 +183,7 @@ def place_coordinates(spark, d):
 
 @query("cache_round_trip", "SELECT DISTINCT md5(text) AS text_md5, contains(lower(text), 'the')::INT::VARCHAR AS vector FROM documents")
 def cache_round_trip(spark, d):
-    docs, path = table(spark, d, "documents"), shared(spark, "cache")
+    docs, path = table(spark, d, "documents"), scratch_dir(spark, "cache")
     for part in (docs.filter("doc_id % 2 = 0"), docs):  # the second round reads what the first one saved
         _, cache = vectors.embed_unseen(part, store.load_cache(spark, path), "text", 1, embedder=vectors.word_marks(["the"]))
         store.save_cache(cache, path)
@@ -406,14 +399,14 @@ def arriving(spark, d):
 
 def sunk(rows, spark, name):
     """Run a stream to its end into Parquet files, and read them."""
-    path = shared(spark, name)
+    path = scratch_dir(spark, name)
     rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
 @query("stream_ingest", "SELECT 'chunk_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '_' || conv_id AS id, conv_id, turn, 'c' || conv_id % 3 AS collection FROM conversations")
 def stream_ingest(spark, d):
-    path = shared(spark, "ingest")
+    path = scratch_dir(spark, "ingest")
 
     def chunker(df):
         return store.with_ids(df.withColumn("collection", F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string"))), "conv_id", ["turn"])
@@ -425,7 +418,7 @@ def stream_ingest(spark, d):
 
 @query("stream_memory", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS memory_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 12 GROUP BY conv_id")
 def stream_memory(spark, d):
-    path = shared(spark, "memory")
+    path = scratch_dir(spark, "memory")
 
     def keep(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/rows")

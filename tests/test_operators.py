@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftfield.functions import text as t
 from siftfield.lexicons import CROPS, DOSE_PATTERNS, HEADINGS, UNITS, WEEDS
-from siftfield.operators import chunk, convo, extract, lexicon, lines, market, score, tables, vectors, weather
+from siftfield.operators import chunk, convo, extract, lexicon, lines, market, score, tables, vector_index, vectors, weather
 from siftfield.sources import files, payloads, store
 from siftfield.streaming import jobs
 
@@ -346,6 +346,49 @@ def test_a_very_long_text_is_cut_in_one_pass(spark):
     assert convo.segments(df, ["id"], "t").count() == len(plain_segments(text, 1500))
 
 
+def test_blocks_of_queries_that_begin_alike_stay_apart(spark, monkeypatch):
+    """Two blocks with the same first ids and vectors: each query has its own finds, above the bound of a group too."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    queries = [(q, rng.normal(size=4).tolist(), 3) for q in range(30)]
+    queries = queries + queries[:2] + [(100 + q, v, 3) for q, v, _ in queries]
+    df, asked = spark.createDataFrame(rows, "id int, embedding array<double>"), spark.createDataFrame(queries, "qid int, embedding array<double>, k int").coalesce(1)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: np.argsort(-(x @ np.array(v)), kind="stable")[:3].tolist() for q, v, _ in queries}
+    for most in (10_000, 40):
+        monkeypatch.setattr(vectors, "BLOCK", 16)
+        monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+        got = {}
+        for r in vectors.batch_top_k(df.repartition(2), asked, "k").orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert {q: list(dict.fromkeys(ids)) for q, ids in got.items() if q > 1} == {q: ids for q, ids in want.items() if q > 1}
+        assert set(got) == set(want)
+
+
+def test_vector_index_reads_few_cells_and_is_exact_by_default(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, (centres[i % 60] + 0.25 * rng.normal(size=24)).tolist()) for i in range(6000)] + [(7000, None), (7001, [0.0] * 24), (7002, [1.0]), (7003, [2.0] * 24)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    queries = df.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    path = str(tmp_path / "index")
+    vector_index.build(df, path, cells=60)
+    exact = vectors.batch_top_k(df, queries, 10, digits=9).cache()
+    assert sorted(map(tuple, vector_index.search(spark, path, queries, 10, digits=9).collect())) == sorted(map(tuple, exact.collect()))
+    real = queries.filter("qid < 7000")
+    found = vector_index.search(spark, path, real, 10, probes=4)
+    assert vector_index.recall(found, exact.filter("qid < 7000")) >= 0.9
+    sizes = {r.cell: r.n for r in spark.read.parquet(f"{path}/cells").collect()}
+    assert sum(sizes.values()) == len(rows) and sizes[-1] == 3
+    assert 4 * max(sizes.values()) < len(rows) / 10 + 300 and sum(sorted(sizes.values())[-4:]) / len(rows) < 0.2
+    one = vector_index.search(spark, path, real.limit(1), 10, probes=4)
+    assert one.count() == 10
+    empty = str(tmp_path / "empty")
+    vector_index.build(df.limit(0), empty)
+    assert vector_index.search(spark, empty, queries, 3).count() == 0
+
+
 def test_streams_equal_batches(spark, tmp_path, small):
     turns = spark.read.parquet(f"{small}/conversations.parquet")
     turns.repartition(3).write.parquet(str(tmp_path / "in"))
