@@ -13,6 +13,8 @@ from siftfield.functions.text import all_of, any_of, contains_any, words
 
 #: Rows of a term list that may go to every task; characters of a gram by which longer lists are joined.
 SMALL_LEXICON, GRAM = 100_000, 4
+#: Counters of the table that tells how common grams are.
+COUNTERS = 1 << 18
 
 
 def small(table: DataFrame, most: int = SMALL_LEXICON) -> DataFrame:
@@ -23,9 +25,10 @@ def small(table: DataFrame, most: int = SMALL_LEXICON) -> DataFrame:
 def occurring(df: DataFrame, key_cols: Sequence[str], text: Column, terms: DataFrame, term_col: str) -> DataFrame:
     """key_cols and the columns of ``terms``: a row for each term that occurs in a row's text (not null, not empty).
 
-    Up to SMALL_LEXICON terms go to every task, as one automaton that reads each text once.  Of more terms and
-    of the texts, grams of up to GRAM characters meet in a join, and then the whole terms are looked for; so
-    terms are never compared with all texts.
+    Up to SMALL_LEXICON terms go to every task, as one automaton that reads each text once.  Longer lists meet
+    the texts in a join: each term stands under the rarest of its grams of up to GRAM characters, by the number of texts
+    that have it, and where a text has that gram the whole term is looked for.  So terms are never compared with all
+    texts, a common beginning gathers nothing, and a gram that very many texts have is split by the adaptive planner.
     """
     terms = terms.filter(F.length(term_col) > 0)
     rows = terms.select(term_col).distinct().limit(SMALL_LEXICON + 1).collect()
@@ -47,15 +50,40 @@ def occurring(df: DataFrame, key_cols: Sequence[str], text: Column, terms: DataF
 
         hits = keyed.select(*key_cols, F.explode(found("text_")).alias(term_col))
         return hits.join(small(terms), term_col)
-    size = F.least(F.length(term_col), F.lit(GRAM))
-    sizes = [r[0] for r in terms.select(size.alias("n")).distinct().collect()]
-    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text_") - n + 1, F.lit(1))), lambda i: F.substring("text_", i, n))
-    grams = F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
-    met = keyed.select(*key_cols, F.explode(grams).alias("gram_")).join(terms.withColumn("gram_", F.substring(term_col, F.lit(1), size)), "gram_").drop("gram_")
+    sizes = [r[0] for r in terms.select(F.least(F.length(term_col), F.lit(GRAM)).alias("n")).distinct().collect()]
+    placed = posted(terms, term_col, gram_counts(keyed, "text_", sizes))
+    met = keyed.select(*key_cols, F.explode(grams_of(F.col("text_"), sizes)).alias("gram_")).hint("rebalance").join(placed, "gram_").drop("gram_")
     on = [keyed[c].eqNullSafe(met[c]) for c in key_cols]
     return met.join(keyed, on).filter(F.contains("text_", F.col(term_col))).select(*(met[c] for c in met.columns))
 
 
+def grams_of(text: Column, sizes: Sequence[int]) -> Column:
+    """The different grams of these sizes in a text."""
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
+
+
+def counter(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(COUNTERS)).cast("int")
+
+
+def gram_counts(texts: DataFrame, text_col: str, sizes: Sequence[int]) -> DataFrame:
+    """counter_, texts_: in how many texts the grams of each of COUNTERS counters stand (a gram may share one), so the
+    table has a fixed size."""
+    return texts.select(F.explode(grams_of(F.col(text_col), sizes)).alias("g")).groupBy(counter(F.col("g")).alias("counter_")).agg(F.count("*").alias("texts_"))
+
+
+def posted(terms: DataFrame, term_col: str, counts: DataFrame) -> DataFrame:
+    """The terms with ``gram_``, the gram of each that the fewest texts have; a hash decides among equals, so that terms
+    with a common part are dealt over their other grams."""
+    size = F.least(F.length(term_col), F.lit(GRAM))
+    every = F.transform(F.sequence(F.lit(1), F.length(term_col) - size + 1), lambda i: F.substring(F.col(term_col), i, size))
+    rows = terms.select(term_col).distinct().select(term_col, F.explode(F.array_distinct(every)).alias("g"))
+    rare = rows.withColumn("counter_", counter(F.col("g"))).join(F.broadcast(counts), "counter_", "left")
+    rarest = rare.groupBy(term_col).agg(F.min(F.struct(F.coalesce("texts_", F.lit(0)).alias("n"), F.xxhash64("g", term_col).alias("by"), F.col("g"))).alias("x"))
+    return terms.join(rarest.select(term_col, F.col("x.g").alias("gram_")), term_col)
+
+
 def first_match_table(df: DataFrame, text_col: str, lexicon: DataFrame, key_cols: Sequence[str], default: str | None = None) -> DataFrame:
     """Add ``match``: the key with the lowest ``ord`` of which a variant occurs (lexicon: ord, key, variant)."""
     terms = lexicon.select("ord", F.col("key").alias("key_"), F.lower("variant").alias("variant_"))

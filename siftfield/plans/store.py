@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftfield.operators import logs
 from siftfield.plans.registry import query, table
 from siftfield.sources import files, store
+from siftfield.sources.scratch import scratch_dir
 
 IDS = "SELECT 'chunk_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) || '_' || source AS id, doc_id FROM documents"
 
@@ -23,6 +24,15 @@ def upsert_last_wins(spark, d):
     return store.last_wins(table(spark, d, "events"), "user_id", F.col("event_id")).select("user_id", "event_id", "value")
 
 
+@query("upsert_store", "SELECT user_id, arg_max(event_id, (event_type = 'view', event_id)) AS event_id, arg_max(value, (event_type = 'view', event_id)) AS value FROM events GROUP BY user_id")
+def upsert_store(spark, d):
+    """All but the views go into a bucketed store, then the views over them."""
+    events, path = table(spark, d, "events").select("user_id", "event_id", "value", "event_type"), scratch_dir(spark, "store")
+    for part in (F.col("event_type") != "view", F.col("event_type") == "view"):
+        store.upsert(events.filter(part).drop("event_type"), path, "user_id", order=F.col("event_id"))
+    return store.stored(spark, path, events.drop("event_type").schema)
+
+
 @query("collection_counts", "SELECT lang AS collection, count(*) AS n FROM documents GROUP BY lang")
 def collection_counts(spark, d):
     return store.collection_counts(table(spark, d, "documents").withColumnRenamed("lang", "collection"))

@@ -1,13 +1,19 @@
-"""The chunk store and the embedding cache: Parquet folders, appended or replaced by version."""
+"""The chunk store (appended by collection, or in buckets with manifests) and the embedding cache (a log of deltas)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-
+#: Buckets of a new store.
+BUCKETS = 64
 #: Collections of a batch up to which the store is read by collection.
 MOST_COLLECTIONS = 1000
 
@@ -46,31 +52,115 @@ def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(F.col(key).alias("key_")).agg(F.max_by(F.struct(*rows.columns), order).alias("x_")).select("x_.*")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str, path: str) -> None:
-    """Write the store's next version to a folder of its own: stored rows, new ones over them."""
-    both = stored.withColumn("seq_", F.lit(0)).unionByName(new.withColumn("seq_", F.lit(1)))
-    last_wins(both, key, F.col("seq_")).drop("seq_").write.parquet(path)
+def upsert(new: DataFrame, path: str, key: str, buckets: int = BUCKETS, order: Column | None = None) -> int:
+    """Put rows into a bucketed store, over those with equal keys, and return the version that has them.
+
+    The store is ``data/version=v/bucket=b`` and, for each version, a manifest that names the version in which each
+    bucket was written last.  Only buckets that new rows fall into are read and written again; files of the others
+    keep their names, and readers of an older version lose nothing.  Among the new rows of a key the one that comes last by
+    ``order`` counts (one of them where it isn't given); null keys are one key.
+
+    A version's manifest is one file, which the file system lets one writer create; another writer that began from
+    the same version gets an error and may start over.  Its files stay unread, as do those of a writer that dies.
+    """
+    spark = new.sparkSession
+    last = newest(spark, path)
+    held = manifest(spark, path, last)
+    buckets = len(held) or buckets  # set when the store is made
+    rows = new.withColumns({"bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"), "seq_": F.struct(F.lit(1).alias("round"), (order if order is not None else F.lit(0)).alias("at"))})
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # a row for each bucket at most
+    version = last + 1
+    if held:
+        old = stored_buckets(spark, path, {b: held[b] for b in touched}, new.schema)
+        if old is not None:
+            none = F.lit(None).cast(rows.schema["seq_"].dataType["at"].dataType)
+            rows = rows.unionByName(old.select(*new.columns, "bucket", F.struct(F.lit(0).alias("round"), none.alias("at")).alias("seq_")))
+    files = f"{path}/data/version={version}-{uuid4().hex[:8]}"
+    last_wins(rows, key, F.col("seq_")).drop("seq_").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(files)
+    now = {b: None for b in range(buckets)} | held | {b: files.rsplit("/", 1)[1] for b in touched}
+    _create(spark, f"{path}/manifest/version={version}/buckets.json", "".join(json.dumps({"bucket": b, "folder": f}) + "\n" for b, f in sorted(now.items())))
+    return version
+
+
+def stored(spark: SparkSession, path: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """The rows of a bucketed store, of its newest version or an older one."""
+    found = stored_buckets(spark, path, manifest(spark, path, newest(spark, path) if version is None else version), schema)
+    return spark.createDataFrame([], schema) if found is None else found.select(*schema.names)
+
+
+def stored_buckets(spark: SparkSession, path: str, held: dict[int, str | None], schema: StructType) -> DataFrame | None:
+    """Rows of some buckets, each from the folder that has it, with the column ``bucket``; None where none was written."""
+    parts: dict[str, list[int]] = {}
+    for b, folder in held.items():
+        if folder is not None:
+            parts.setdefault(folder, []).append(b)
+    kinds = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    frames = [spark.read.schema(kinds).parquet(f"{path}/data/{folder}").filter(F.col("bucket").isin(own)) for folder, own in sorted(parts.items())]
+    return reduce(DataFrame.unionByName, frames) if frames else None
+
+
+def manifest(spark: SparkSession, path: str, version: int) -> dict[int, str | None]:
+    """Bucket -> the folder under ``data`` that has it (None: nothing yet); empty for a store that isn't there."""
+    return {r.bucket: r.folder for r in spark.read.schema("bucket int, folder string").json(f"{path}/manifest/version={version}").collect()} if version else {}
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    """The highest version with a manifest; 0 where there's none."""
+    return _last_version(spark, f"{path}/manifest", "json") or 0
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that mustn't be there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    except Py4JJavaError as e:
+        raise FileExistsError(f"another writer has made {path}") from e
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def collection_counts(store: DataFrame) -> DataFrame:
     return store.groupBy("collection").agg(F.count("*").alias("n"))
 
 
+CACHE = "text_md5 string, embedding array<float>"
+
+
 def save_cache(cache: DataFrame, path: str) -> None:
-    """Write the cache as a new version under ``path``; the one that it may have been read from stays."""
-    last = _last_version(cache.sparkSession, path)
-    cache.select("text_md5", "embedding").write.parquet(f"{path}/version={(last or 0) + 1}")
+    """Add to the stored cache the keys that it doesn't have yet, as a delta of its own; only stored keys are read."""
+    spark = cache.sparkSession
+    last = _last_version(spark, path) or 0
+    new = cache.select("text_md5", "embedding").dropDuplicates(["text_md5"])
+    if last:
+        new = new.join(load_cache(spark, path).select("text_md5"), "text_md5", "left_anti")
+    new.write.mode("append").parquet(f"{path}/version={last + 1}/whole=0")  # a delta without rows may be there
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The last version that has rows; an empty cache where there's none."""
-    schema, last = "text_md5 string, embedding array<float>", _last_version(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={last}") if last else spark.createDataFrame([], schema)
+    """The last whole version and the deltas after it; an empty cache where there's none.
+
+    Deltas of writers that didn't see each other may have a key in common: the older one counts.
+    """
+    if not _last_version(spark, path):
+        return spark.createDataFrame([], CACHE)
+    rows = spark.read.schema(f"{CACHE}, version int, whole int").parquet(path)
+    base = spark.read.schema("version int, whole int").parquet(path).filter("whole = 1").agg(F.max("version")).first()[0] or 0
+    rows = rows.filter(F.col("version") >= base)
+    return rows.groupBy("text_md5").agg(F.min_by("embedding", "version").alias("embedding"))
+
+
+def compact_cache(spark: SparkSession, path: str) -> None:
+    """Write the cache as one whole version, after which older deltas aren't read any more (nor deleted)."""
+    last = _last_version(spark, path)
+    if last:
+        load_cache(spark, path).write.mode("append").parquet(f"{path}/version={last + 1}/whole=1")
 
 
-def _last_version(spark: SparkSession, path: str) -> int | None:
+def _last_version(spark: SparkSession, path: str, kind: str = "parquet") -> int | None:
+    """The highest ``version=`` folder below a path that has rows."""
     try:
-        return spark.read.schema("text_md5 string, version int").parquet(path).agg(F.max("version")).first()[0]
+        return spark.read.schema("version int").format(kind).load(path).agg(F.max("version")).first()[0]
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -194,8 +194,9 @@ def test_files_and_store(spark, tmp_path):
     for df in (chunks, chunks.unionByName(spark.createDataFrame([("3", "d", "v")], chunks.schema))):
         store.append(df, str(tmp_path / "store"))
     assert sorted(map(tuple, store.collection_counts(spark.read.parquet(str(tmp_path / "store"))).collect())) == [("c", 2), ("d", 1)]
-    store.upsert(chunks, spark.createDataFrame([("2", "c", "new")], chunks.schema), "id", str(tmp_path / "v2"))
-    assert {r.id: r.text for r in spark.read.parquet(str(tmp_path / "v2")).collect()} == {"1": "t", "2": "new"}
+    for df in (chunks, spark.createDataFrame([("2", "c", "new")], chunks.schema)):
+        store.upsert(df, str(tmp_path / "v2"), "id")
+    assert {r.id: r.text for r in store.stored(spark, str(tmp_path / "v2"), chunks.schema).collect()} == {"1": "t", "2": "new"}
     _, cache = vectors.embed_unseen(chunks, spark.createDataFrame([], "text_md5 string, embedding array<float>"), "text", dim=8)
     store.save_cache(cache, str(tmp_path / "cache"))
     misses, _ = vectors.embed_unseen(chunks, store.load_cache(spark, str(tmp_path / "cache")), "text", dim=8)
@@ -346,6 +347,54 @@ def test_a_very_long_text_is_cut_in_one_pass(spark):
     assert convo.segments(df, ["id"], "t").count() == len(plain_segments(text, 1500))
 
 
+def test_terms_with_one_beginning_are_found_by_their_rarest_gram(spark, monkeypatch):
+    """200,000 terms that begin alike: no gram gets more than a sliver of them, and finds are those of a plain search."""
+    terms = spark.range(200_000).select(F.concat(F.lit("http://site.example/"), F.lpad(F.conv(F.abs(F.xxhash64("id")).cast("string"), 10, 36), 7, "0")).alias("term"))
+    rows = [(i, f"see http://site.example/ and http://site.example/{x} or {x}") for i, x in enumerate(r.term[20:] for r in terms.limit(150).collect())] + [(900, None), (901, ""), (902, "http://site.example/" * 50)]
+    texts = spark.createDataFrame(rows, "k int, t string").repartition(3)
+    posted = lexicon.posted(terms, "term", lexicon.gram_counts(texts.select("t"), "t", [4])).groupBy("gram_").count()
+    assert posted.agg(F.max("count")).first()[0] < 2_000  # a hundredth
+    got = sorted((r.k, r.term) for r in lexicon.occurring(texts, ["k"], F.col("t"), terms, "term").collect())
+    every = {r.term for r in terms.collect()}
+    assert got == sorted({(k, x) for k, t in rows for x in (t or "").split() if x in every}) and len(got) == 150
+
+
+def test_upsert_writes_touched_buckets_and_keeps_versions(spark, tmp_path, monkeypatch):
+    path, kind = str(tmp_path / "store"), "k int, v string"
+    rows = lambda *x: spark.createDataFrame(list(x), kind)
+    files = lambda: {p.name for p in (tmp_path / "store").rglob("*.parquet")}
+    schema = rows((1, "a")).schema
+    assert store.stored(spark, path, schema).count() == 0
+    assert store.upsert(rows(*((i, "old") for i in range(200)), (None, "no key")), path, "k", buckets=16) == 1
+    before, held = files(), store.manifest(spark, path, 1)
+    assert store.upsert(rows((3, "new"), (500, "new"), (3, "newer"), (None, "again")), path, "k", order=F.col("v")) == 2
+    now = store.manifest(spark, path, 2)
+    assert len(now) == 16 and before <= files() and sum(now[b] != held[b] for b in now) <= 3
+    want = {i: "old" for i in range(200)} | {3: "newer", 500: "new", None: "again"}
+    assert sorted(map(str, store.stored(spark, path, schema).collect())) == sorted(str(r) for r in rows(*want.items()).collect())
+    assert store.stored(spark, path, schema, version=1).count() == 201
+    monkeypatch.setattr(store, "newest", lambda *_: 1)  # a writer that hasn't seen version 2
+    with pytest.raises(FileExistsError):
+        store.upsert(rows((4, "late")), path, "k")
+    monkeypatch.undo()
+    assert {r.k: r.v for r in store.stored(spark, path, schema).collect()} == want
+
+
+def test_cache_is_a_log_of_deltas(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    made = lambda *keys: spark.createDataFrame([(k, [float(len(k))]) for k in keys], store.CACHE)
+    for keys in (("a", "bb"), ("bb", "ccc", "ccc"), ("a",), ("a",)):
+        store.save_cache(made(*keys), path)
+    written = [sum(1 for _ in spark.read.parquet(str(p)).toLocalIterator()) for p in sorted((tmp_path / "cache").glob("version=*/whole=0"))]
+    assert written == [2, 1, 0]  # new keys alone
+    want = [("a", [1.0]), ("bb", [2.0]), ("ccc", [3.0])]
+    assert sorted(map(tuple, store.load_cache(spark, path).collect())) == want
+    store.compact_cache(spark, path)
+    store.save_cache(made("a", "dddd"), path)
+    assert sorted(map(tuple, store.load_cache(spark, path).collect())) == [*want, ("dddd", [4.0])]
+    assert [p.name for p in sorted((tmp_path / "cache").glob("version=*/*"))][-2:] == ["whole=1", "whole=0"]
+
+
 def test_blocks_of_queries_that_begin_alike_stay_apart(spark, monkeypatch):
     """Two blocks with the same first ids and vectors: each query has its own finds, above the bound of a group too."""
     rng = np.random.default_rng(2)
