@@ -158,11 +158,19 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: st
     return ranked(reduce(DataFrame.unionByName, found), query_id, id_col)
 
 
-def union_of_queries(hits: DataFrame, order: str, key: Column, most: int = 25) -> DataFrame:
-    """Hits of several queries in their order, the first of each key, ``most`` at most."""
-    first = F.row_number().over(Window.partitionBy("key_").orderBy(order, "rank"))
-    once = hits.withColumn("key_", key).withColumn("first_", first).filter("first_ = 1").drop("first_", "key_")
-    return once.orderBy(order, "rank").limit(most)
+def union_of_queries(hits: DataFrame, order: str, key: Column, most: int = 25, request: Sequence[str] = ()) -> DataFrame:
+    """Hits of several queries in their order, the first of each key, ``most`` at most; of each request where columns
+    of ``request`` tell requests apart.
+
+    The first ones are an aggregate with partial results in the tasks, and so is the limit: tasks pass on no more than
+    ``most`` rows of a request.
+    """
+    first = F.min_by(F.struct(*hits.columns), F.struct(order, "rank"))
+    once = hits.groupBy(*request, key.alias("key_")).agg(first.alias("x_")).select("x_.*")
+    if not request:
+        return once.orderBy(order, "rank").limit(most)
+    place = F.row_number().over(Window.partitionBy(*request).orderBy(order, "rank"))
+    return once.withColumn("place_", place).filter(F.col("place_") <= most).drop("place_")
 
 
 def enriched(query: Column, specific: Sequence[str], prefix: str) -> Column:

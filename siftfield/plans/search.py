@@ -70,6 +70,15 @@ def multi_query_union_dedupe(spark, d):
     return v.union_of_queries(rows, "qid", key).select("qid", "id", "rank")
 
 
+@query("multi_request_union", f"""
+WITH {HITS}, once AS (SELECT *, qid % 3 AS request, row_number() OVER (PARTITION BY qid % 3, label, id % 10 ORDER BY qid, rank) AS r FROM hits)
+SELECT request, qid, id, rank FROM once WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY request ORDER BY qid, rank) <= 25""")
+def multi_request_union(spark, d):
+    """As above for several requests at once; a query's number says whose it is."""
+    rows = hits(spark, d).join(stored(spark, d).select("id", "label"), "id").withColumn("request", F.col("qid") % 3)
+    return v.union_of_queries(rows, "qid", F.struct("label", F.col("id") % 10), request=["request"]).select("request", "qid", "id", "rank")
+
+
 FOUND = HITS.replace("rank <= 20", "rank <= 40") + """, words AS (SELECT doc_id, text, source, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents),
 kept AS (SELECT h.qid, h.id, h.rank, h.similarity, d.text, d.source, round(len(list_intersect(q.w, d.w))::DOUBLE / len(q.w), 9) AS score
   FROM hits h JOIN words d ON d.doc_id = h.id JOIN words q ON q.doc_id = h.qid WHERE contains(lower(d.text), 'the')),
