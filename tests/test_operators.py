@@ -2,6 +2,7 @@
 
 import base64
 import json
+import time
 
 import numpy as np
 import pytest
@@ -489,3 +490,48 @@ def test_accent_fold_of_whole_texts(spark, tmp_path):
     want = sorted((i, x if x is None else hashlib.md5(plain(x).encode()).hexdigest()) for i, x, _ in rows)
     got = sorted((r.doc_id, r.folded) for r in QUERIES["accent_fold_whole"](spark, str(tmp_path)).collect())
     assert got == want and len({x for i, x in got if i in (1, 2)}) == 1
+
+
+def memory_run(spark, tmp_path, **options):
+    """Senders' newest memories after a run over what has arrived since the last one; the state is that of the path."""
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.conv_id: r.memory for r in batch.collect()})
+
+    stream = spark.readStream.schema("conv_id bigint, turn int, role string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.memory(stream, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def arrive(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+@pytest.fixture
+def no_empty_batches(spark):
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_memory_survives_a_restart(spark, tmp_path):
+    arrive(spark, tmp_path, [(1, k, "u", f"a{k}") for k in range(500)] + [(2, 1, "u", "b"), (None, 1, "u", "n"), (None, 2, None, "x")])
+    assert memory_run(spark, tmp_path, last=3) == {1: "u: a497\nu: a498\nu: a499", 2: "u: b", None: "u: n"}
+    arrive(spark, tmp_path, [(1, 498, "v", "late"), (1, None, "u", "no turn"), (2, 0, "u", "before"), (2, None, "u", "first")])
+    assert memory_run(spark, tmp_path, last=3) == {1: "u: a498\nv: late\nu: a499", 2: "u: first\nu: before\nu: b"}  # senders without news aren't told
+    assert memory_run(spark, tmp_path, last=3) == {}
+
+
+def test_silent_senders_are_forgotten(spark, tmp_path, no_empty_batches):
+    arrive(spark, tmp_path, [(1, 1, "u", "old"), (2, 1, "u", "old")])
+    assert memory_run(spark, tmp_path, silent_ms=3_600_000) == {1: "u: old", 2: "u: old"}
+    arrive(spark, tmp_path, [(1, 2, "u", "new")])
+    assert memory_run(spark, tmp_path, silent_ms=3_600_000) == {1: "u: old\nu: new"}
+    (tmp_path / "short").mkdir()
+    arrive(spark, tmp_path / "short", [(1, 1, "u", "old"), (2, 1, "u", "old")])
+    memory_run(spark, tmp_path / "short", silent_ms=1000)
+    time.sleep(2)
+    arrive(spark, tmp_path / "short", [(1, 2, "u", "new")])
+    assert memory_run(spark, tmp_path / "short", silent_ms=1000) == {1: "u: new"}
