@@ -100,12 +100,25 @@ def priority_counts(rated: DataFrame) -> DataFrame:
     return F.broadcast(order).join(rated.groupBy("priority").agg(F.count("*").alias("n")), "priority", "left").select("position", "priority", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first n rows of each key, with ``rank_`` from 1.
+
+    As only ranks up to n are asked for, every task drops what is beyond them before the shuffle and a key's rows meet
+    as n per task (a group limit in the plan); ties are settled by ``order`` alone, so it should end with something unique.
+    """
+    return rows.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank_") <= n)
+
+
 def evidence_counts(evidence: DataFrame, key: str, tag: str, order: str, text: str, samples: int = 3) -> DataFrame:
-    """key, tag, n, samples (the first few, in order); ranks keep the sample lists short."""
-    rank = F.row_number().over(Window.partitionBy(key, tag).orderBy(order))
-    rows = evidence.withColumn("rank_", rank)
-    few = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank_") <= samples, F.struct("rank_", F.col(text).alias("t"))))), lambda x: x["t"])
-    return rows.groupBy(key, tag).agg(F.count("*").alias("n"), few.alias("samples"))
+    """key, tag, n, samples (the first few, in order; null texts aren't listed; null keys and tags are groups of their own).
+
+    Rows are counted with map-side partials, and of each group only its first few meet in a task.
+    """
+    counts = evidence.groupBy(key, tag).agg(F.count("*").alias("n"))
+    few = first_rows(evidence.select(key, tag, F.col(order).alias("order_"), F.col(text).alias("text_")), [key, tag], ["order_", "text_"], samples)
+    listed = F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("rank_", "text_"))), lambda x: x["text_"]))
+    few = few.groupBy(F.col(key).alias("key_"), F.col(tag).alias("tag_")).agg(listed.alias("samples"))
+    return counts.join(few, F.col(key).eqNullSafe(F.col("key_")) & F.col(tag).eqNullSafe(F.col("tag_")), "left").select(key, tag, "n", "samples")
 
 
 def chunk_stats(chunks: DataFrame, group: str, score: str, flags: dict[str, Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftfield.functions.text import contains_any, fold_accents
-from siftfield.operators.lexicon import occurring, small
+from siftfield.operators.lexicon import SMALL_LEXICON, occurring, small
 
 WEATHER_WORDS = ["clima", "tiempo", "temperatura", "lluvia", "pronóstico", "pronostico", "viento", "helada", "weather"]
 WEEKDAYS = "lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo"
@@ -110,10 +110,38 @@ def worst_advice(df: DataFrame, keys: Sequence[str], advice: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(advice, order).alias("advice"), F.count("*").alias("n"))
 
 
-def stage_risk(df: DataFrame, crop_col: str, days_col: str, temp_col: str, stages: DataFrame) -> DataFrame:
+def stage_risk(df: DataFrame, crop_col: str, days_col: str, temp_col: str, stages: DataFrame, most: int = SMALL_LEXICON) -> DataFrame:
     """Match days after sowing to a stage's window (crop, stage, day_from, day_to, temp_critical) and
-    tell whether the temperature falls below what is critical for it."""
-    table = small(stages.select(F.col("crop").alias("crop_"), "stage", "day_from", "day_to", "temp_critical"))
-    on = (F.col(crop_col) == F.col("crop_")) & F.col(days_col).between(F.col("day_from"), F.col("day_to"))
+    tell whether the temperature falls below what is critical for it.
+
+    A row stands once for each window its day falls into, bounds included, or once with nulls (null days or crops too). Up to ``most``
+    stages (by a count) go to every task; of more, each day that occurs meets the windows of its ranges (``windows_of``).
+    """
+    table = stages.select(F.col("crop").alias("crop_"), "stage", "day_from", "day_to", "temp_critical")
+    if stages.limit(most + 1).count() <= most:
+        on = (F.col(crop_col) == F.col("crop_")) & F.col(days_col).between(F.col("day_from"), F.col("day_to"))
+        joined = df.join(F.broadcast(table), on, "left").drop("crop_")
+    else:
+        points = df.select(F.col(crop_col).alias("crop_"), F.col(days_col).alias("day_")).dropna().distinct()
+        found = windows_of(points, table, "crop_", "day_", "day_from", "day_to")
+        joined = df.join(found, (F.col(crop_col) == F.col("crop_")) & (F.col(days_col) == F.col("day_")), "left").drop("crop_", "day_")
     risk = F.when(F.col(temp_col) < F.col("temp_critical"), "risk").otherwise("ok")
-    return df.join(table, on, "left").withColumn("risk", F.when(F.col("stage").isNotNull(), risk)).drop("crop_")
+    return joined.withColumn("risk", F.when(F.col("stage").isNotNull(), risk))
+
+
+def windows_of(points: DataFrame, windows: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:
+    """Pairs of points (key, at) and windows (key, low to high) that hold them, by an equi-join on ranges.
+
+    A window of at most 2^n days stands in the one or two ranges of 2^n days that it touches; a point looks into its range of each
+    such width that occurs (64 at most). So rows grow by a bounded factor whatever the lengths of windows, and a point meets only windows
+    near it, not all of its key.
+    """
+    day = lambda c: F.floor(c).cast("bigint")
+    held = windows.filter(F.col(low) <= F.col(high)).withColumn("width_", F.length(F.bin(day(high) - day(low))))
+    widths = sorted(r[0] for r in held.select("width_").distinct().collect())
+    cell = lambda c, width: F.call_function("shiftright", c, width)
+    held = held.withColumn("range_", F.explode(F.array_distinct(F.array(cell(day(low), F.col("width_")), cell(day(high), F.col("width_"))))))
+    asked = points.withColumn("width_", F.explode(F.array(*(F.lit(w) for w in widths)).cast("array<int>")))
+    asked = asked.withColumn("range_", cell(day(at), F.col("width_")))
+    met = asked.join(held, [key, "width_", "range_"]).filter(F.col(at).between(F.col(low), F.col(high)))
+    return met.drop("width_", "range_")

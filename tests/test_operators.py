@@ -535,3 +535,43 @@ def test_silent_senders_are_forgotten(spark, tmp_path, no_empty_batches):
     time.sleep(2)
     arrive(spark, tmp_path / "short", [(1, 2, "u", "new")])
     assert memory_run(spark, tmp_path / "short", silent_ms=1000) == {1: "u: new"}
+
+
+def test_many_stages_meet_days_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    stages = [("a", f"s{k}", int(x), int(x + w), 5.0) for k, (x, w) in enumerate(zip(rng.integers(-50, 400, 300), rng.choice([-1, 0, 1, 7, 30, 5000], 300)))]
+    stages += [("b", "all", -(2**31), 2**31 - 1, 20.0), ("b", "none", 9, 3, 20.0), (None, "x", 0, 9, 1.0), ("a", "open", None, 9, 1.0), ("a", "s0", *stages[0][2:])]
+    rows = [(i, str(rng.choice(["a", "b", "c"])), int(x), float(i % 12)) for i, x in enumerate(rng.integers(-60, 600, 200))] + [(900, "a", None, 1.0), (901, None, 3, 1.0), (900, "a", None, 1.0)]
+    table = spark.createDataFrame(stages, "crop string, stage string, day_from int, day_to int, temp_critical double")
+    df = spark.createDataFrame(rows, "id int, crop string, days int, temp double").withColumnRenamed("crop", "grown")
+    few = weather.stage_risk(df, "grown", "days", "temp", table)
+    many = weather.stage_risk(df, "grown", "days", "temp", table, most=10)
+    want = []
+    for i, crop, day, temp in rows:
+        hits = [s for s in stages if crop is not None and day is not None and s[0] == crop and s[2] is not None and s[2] <= day <= s[3]]
+        want += [(i, s[1], "risk" if temp < s[4] else "ok") for s in hits] or [(i, None, None)]
+    told = lambda x: sorted(map(tuple, x.select("id", "stage", "risk").collect()), key=str)
+    assert told(few) == told(many) == sorted(want, key=str) and few.columns == many.columns
+    assert weather.stage_risk(df.limit(0), "grown", "days", "temp", table, most=0).count() == 0
+    assert {r.stage for r in weather.stage_risk(df, "grown", "days", "temp", table.filter("stage = 'none'"), most=0).collect()} == {None}
+
+
+def test_a_hundred_thousand_stages_of_one_crop(spark):
+    """Every day has its own windows: no range of days gathers more than a few of them."""
+    n = 100_000
+    stages = spark.range(n).select(F.lit("a").alias("crop_"), F.col("id").alias("stage"), F.col("id").alias("day_from"), (F.col("id") + F.col("id") % 5).alias("day_to"), F.lit(1.0).alias("temp_critical"))
+    points = spark.range(0, n, 7).select(F.lit("a").alias("crop_"), F.col("id").alias("day_"))
+    met = weather.windows_of(points, stages, "crop_", "day_", "day_from", "day_to")
+    assert met.count() == sum(1 for d in range(0, n, 7) for s in range(max(0, d - 4), d + 1) if s + s % 5 >= d)
+    held = met.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in held) <= 2 * sorted(r["count"] for r in held)[len(held) // 2]
+
+
+def test_samples_are_cut_before_the_shuffle(spark):
+    rows = [("f", "t", k, f"x{k}") for k in range(2000)] + [("f", None, 2, None), ("f", None, 1, "y"), (None, "t", 1, "z"), (None, "t", 1, "z")]
+    df = spark.createDataFrame(rows, "file string, tag string, no int, text string").repartition(3)
+    out = score.evidence_counts(df, "file", "tag", "no", "text")
+    assert {(r.file, r.tag): (r.n, r.samples) for r in out.collect()} == {("f", "t"): (2000, ["x0", "x1", "x2"]), ("f", None): (2, ["y"]), (None, "t"): (2, ["z", "z"])}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert score.evidence_counts(df.limit(0), "file", "tag", "no", "text").count() == 0
