@@ -16,11 +16,13 @@ up by its rarest word at every place.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,13 @@ class Find(NamedTuple):
     base: bool
 
 
+def agreed(starts: list[np.ndarray], least: int) -> list[int]:
+    """Starts that at least so many of the lists have (each list has one at most once), in order."""
+    every = np.sort(np.concatenate(starts))
+    ends = every[least - 1 :]
+    return np.unique(ends[ends == every[: len(ends)]]).tolist()
+
+
 class Index:
     """Word -> (template, place) for the rare words of each template; passages of whole licences are templates."""
 
@@ -124,25 +133,27 @@ class Index:
         self.base, self.postings = dict(self.base), dict(self.postings)
 
     def scan(self, words: list[bytes]) -> list[Find]:
-        """Verified finds, by place."""
+        """Verified finds, by place.
+
+        Starts are gathered for one template at a time, and only where enough of its rare words stand in the text at all,
+        so memory is in proportion to the text however many templates share a word.
+        """
         postings, base, n = self.postings, self.base, len(words)
-        at: dict[bytes, list[int]] = defaultdict(list)
+        at: dict[bytes, array] = {}
         for i, w in enumerate(words):
             if w in postings or w in base:
-                at[w].append(i)
+                at.setdefault(w, array("q")).append(i)
         found = []
         for w, places in at.items():
             for t, place in base.get(w, ()):
                 ws = self.words[t]
                 found += [Find(self.templates[t].label, i - place, len(ws), 1.0, True) for i in places if i >= place and words[i - place : i - place + len(ws)] == ws]
-        starts: Counter = Counter()
+        told: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
         for w in sorted(at, key=lambda w: (-self.idf[w], w)):
             for t, place in postings.get(w, ()):
-                starts.update((t, i - place) for i in at[w])
+                told[t].append((w, place))
         passages: dict[int, dict[int, tuple[int, float]]] = defaultdict(dict)
-        for (t, start), agree in starts.items():
-            if agree < self.least[t]:
-                continue
+        for t, start in ((t, start) for t in sorted(told) if len(told[t]) >= self.least[t] for start in agreed([np.frombuffer(at[w], np.int64) - place for w, place in told[t]], self.least[t])):
             ws = self.words[t]
             there = words[max(start, 0) : max(start + len(ws), 0)]
             share = sum(self.idf[a] for a, b in zip(ws[max(-start, 0) :], there) if a == b) / self.weight[t]

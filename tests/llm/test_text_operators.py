@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
 import pytest
@@ -109,6 +110,56 @@ def test_license_scan(spark, small, docs):
     assert license_scan.scan_licenses(h.odd(spark).limit(0)).count() == 0
 
 
+def plain_finds(index, words):
+    """Every template held against every start, without postings or counters."""
+    out, passages = [], {}
+    for t, ws in enumerate(index.words):
+        rare = sorted(range(len(ws)), key=lambda p: (-index.idf[ws[p]], p))[: license_scan.RARE]
+        base = t < len(index.templates) and index.templates[t].base
+        for start in range(-len(ws), len(words) + 1):
+            same = [0 <= start + p < len(words) and words[start + p] == w for p, w in enumerate(ws)]
+            share = sum(index.idf[w] for w, x in zip(ws, same) if x) / index.weight[t]
+            if base:
+                out += [(index.templates[t].label, start, len(ws), 1.0, True)] if all(same) else []
+            elif sum(same[p] for p in rare) >= min(2, len(ws)) and share >= license_scan.ENOUGH:
+                if index.of[t] >= 0:
+                    passages.setdefault(index.of[t], {}).setdefault(t, (start, share))
+                elif all(any(words[i : i + len(k)] == k for i in range(max(0, start - license_scan.SLACK), min(len(words), start + len(ws) + license_scan.SLACK) - len(k) + 1)) for k in index.keys[t]):
+                    out.append((index.templates[t].label, start, len(ws), round(share, 9), False))
+    for k, own in passages.items():
+        label, licence, _ = index.licences[k]
+        share = sum(index.weight[t] * x for t, (_, x) in own.items()) / sum(index.idf[w] for w in licence)
+        if share >= license_scan.WHOLE and all(p in b" " + b" ".join(words) + b" " for p in index.phrases[k]):
+            low, high = max(0, min(s for s, _ in own.values())), min(len(words), max(s + len(index.words[t]) for t, (s, _) in own.items()))
+            out.append((label, low, high - low, round(share, 9), False))
+    return sorted(out, key=str)
+
+
+def test_license_finds_equal_plain_ones():
+    index = license_scan.Index([*license_scan.BASE, *license_scan.TEMPLATES], license_scan.whole_texts()[:3])
+    rng = random.Random(5)
+    told = [license_scan.words_of(x.words.encode()) for x in license_scan.TEMPLATES]
+    whole = index.licences[0][1]
+    texts = [[], [b"later"] * 40, [w if rng.random() > 0.1 else b"other" for w in whole], whole[7:] + whole]
+    for _ in range(6):
+        words = [w for ws in rng.sample(told, 5) for w in ([b"x"] * rng.randrange(3) + [w for w in ws if rng.random() > 0.04])]
+        texts.append(words + [b"cc", b"by"] * 2 + [b"nc"])
+    for words in texts:
+        assert sorted(((f.label, f.start, f.n_words, round(f.share, 9), f.base) for f in index.scan(words)), key=str) == plain_finds(index, words)
+
+
+@pytest.mark.parametrize("some", [[b"later"], [b"later", b"version", b"of", b"the"]])
+def test_license_scan_of_a_text_of_one_posted_word(some):
+    index = license_scan.Index([*license_scan.BASE, *license_scan.TEMPLATES], license_scan.whole_texts())
+    assert b"later" in index.postings
+    words = some * (10_000_000 // len(b" ".join(some) + b" "))
+    tracemalloc.start()
+    finds = index.scan(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert finds == [] and peak < 20 * 10_000_000
+
+
 def test_planted_licences_are_found():
     """Whole texts with every twentieth word changed, one word in two hundred dropped, between other words."""
     index = license_scan.Index([*license_scan.BASE, *license_scan.TEMPLATES], license_scan.whole_texts())
