@@ -16,12 +16,40 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 BUCKETS = 64
 #: Collections of a batch up to which the store is read by collection.
 MOST_COLLECTIONS = 1000
+#: Rows of a file beyond which its chunks are numbered by ranges.
+HOT_FILE = 1_000_000
 
 
-def with_ids(chunks: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
-    """Add ``id``: ``chunk_{i}_{file}``, i from 0 in the file's order."""
-    i = F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1
-    return chunks.withColumn("id", F.concat(F.lit("chunk_"), i.cast("string"), F.lit("_"), F.col(file)))
+def with_ids(chunks: DataFrame, file: str, order: Sequence[str], hot: int = HOT_FILE, parts: int = 64) -> DataFrame:
+    """Add ``id``: ``chunk_{i}_{file}``, i from 0 in the file's order (nulls first; rows of a null file get a null id).
+
+    Where a file has more than ``hot`` rows (by a count), such files are numbered in two levels: up to ``parts`` of a file's own keys,
+    those with the least hashes, cut it into ranges, rows are numbered within a range, and what earlier ranges hold is added.
+    Cuts are a function of the rows, so a task that runs again finds the same ones; equal keys fall into one range.
+    """
+    if (chunks.groupBy(file).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= hot:
+        return chunks.withColumn("id", _chunk_id(F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1, file))
+    keys = chunks.select(F.col(file).alias("file_"), F.struct(*order).alias("at_"))
+    large = keys.groupBy("file_").agg(F.count("*").alias("n_")).filter(F.col("n_") > hot).select(F.col("file_").alias("large_"))
+    asked = keys.join(large, F.col("file_").eqNullSafe(F.col("large_")), "left_semi").distinct()
+    few = asked.withColumn("rank_", F.row_number().over(Window.partitionBy("file_").orderBy(F.xxhash64("at_"), "at_"))).filter(F.col("rank_") <= parts)
+    cuts = few.groupBy("file_").agg(F.sort_array(F.collect_list("at_")).alias("cuts_"))
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        at = F.struct(*order)
+        met = rows.join(cuts, F.col(file).eqNullSafe(F.col("file_")), "left").drop("file_")
+        return met.withColumn("range_", F.coalesce(F.size(F.filter("cuts_", lambda c: c <= at)), F.lit(0))).drop("cuts_")
+
+    sizes = ranged(chunks.select(file, *(c for c in order if c != file))).groupBy(F.col(file).alias("file_"), F.col("range_").alias("of_")).agg(F.count("*").alias("n_"))
+    earlier = F.sum("n_").over(Window.partitionBy("file_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("before_", F.coalesce(earlier, F.lit(0))).drop("n_")
+    rows = ranged(chunks).withColumn("i_", F.row_number().over(Window.partitionBy(file, "range_").orderBy(*order)) - 1)
+    rows = rows.join(sizes, F.col(file).eqNullSafe(F.col("file_")) & (F.col("range_") == F.col("of_")), "left")
+    return rows.withColumn("id", _chunk_id(F.col("i_") + F.col("before_"), file)).select(*(c for c in chunks.columns if c != "id"), "id")
+
+
+def _chunk_id(i: Column, file: str) -> Column:
+    return F.concat(F.lit("chunk_"), i.cast("string"), F.lit("_"), F.col(file))
 
 
 def unseen(chunks: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:

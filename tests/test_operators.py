@@ -575,3 +575,18 @@ def test_samples_are_cut_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert score.evidence_counts(df.limit(0), "file", "tag", "no", "text").count() == 0
+
+
+def test_ids_of_large_files_are_numbered_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [("big", int(k), None if k % 50 == 0 else f"t{k % 7}", int(k)) for k in rng.permutation(3000)] + [("small", k, "t", k) for k in range(4)] + [(None, k, "t", k) for k in range(300)] + [("f_", 7, "t", 1)]
+    df = spark.createDataFrame(rows, "file string, no bigint, text string, id bigint").repartition(3)
+    for order in (["no"], ["text", "no"]):
+        one, two = store.with_ids(df, "file", order), store.with_ids(df, "file", order, hot=100, parts=8)
+        told = lambda x: sorted(map(tuple, x.select("file", "no", "text", "id").collect()), key=str)
+        assert told(one) == told(two) and sorted(one.columns) == sorted(two.columns)
+    ids = {r.no: r.id for r in two.filter("file = 'big'").collect()}
+    assert sorted(ids.values(), key=lambda x: int(x.split("_")[1])) == [f"chunk_{k}_big" for k in range(3000)]
+    assert store.with_ids(df.limit(0), "file", ["no"], hot=0).count() == 0
+    twice = store.with_ids(df.unionByName(df), "file", ["no"], hot=100)  # equal keys: every number is there once all the same
+    assert twice.filter("file = 'big'").select("id").distinct().count() == 6000
