@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
@@ -16,6 +17,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 BUCKETS = 64
 #: Collections of a batch up to which the store is read by collection.
 MOST_COLLECTIONS = 1000
+#: New rows up to which the files' filters are asked.
+FILTERED = 100_000
 #: Rows of a file beyond which its chunks are numbered by ranges.
 HOT_FILE = 1_000_000
 
@@ -56,9 +59,9 @@ def unseen(chunks: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFram
     return chunks.join(stored.select(id_col), id_col, "left_anti")
 
 
-def append(chunks: DataFrame, path: str) -> None:
+def append(chunks: DataFrame, path: str, filtered: int = FILTERED) -> None:
     """Append rows that the store (partitioned by collection) doesn't have yet; only the collections of the new
-    rows are read (ids tell chunks apart within a collection)."""
+    rows are read (ids tell chunks apart within a collection), and for up to ``filtered`` new rows only files that may hold one of them."""
     spark = chunks.sparkSession
     try:
         stored = spark.read.parquet(path)
@@ -70,11 +73,59 @@ def append(chunks: DataFrame, path: str) -> None:
     if stored is not None:
         names = [r[0] for r in chunks.select("collection").distinct().limit(MOST_COLLECTIONS + 1).collect()]
         if len(names) <= MOST_COLLECTIONS and None not in names:
+            if chunks.select("id").limit(filtered + 1).count() <= filtered:
+                stored = files_that_may_hold(chunks, stored, path)
             stored = stored.filter(F.col("collection").isin(names))
         new = chunks.join(stored.select("id", "collection"), ["id", "collection"], "left_anti")
     new.dropDuplicates(["id", "collection"]).write.mode("append").partitionBy("collection").parquet(path)
 
 
+FILTERS = "file string, collection string, cells int, cell int, bits binary"
+#: Ids that share a cell of a file's filter (32,768 bits, two for each id).
+IDS_A_CELL = 2000
+
+
+def files_that_may_hold(chunks: DataFrame, stored: DataFrame, path: str) -> DataFrame:
+    """The rows of those files of the store whose filter has an id of the chunks.
+
+    Each file has a Bloom filter of its ids, in cells, in the folder ``<path>-ids``. Files without one (written by the last batch,
+    or by a writer that died before it made them) get it here, so no id is missed. Filters say yes to about one foreign id in seventy.
+    """
+    spark, beside = chunks.sparkSession, f"{path.rstrip('/')}-ids"
+    read = lambda names: spark.read.option("basePath", path).schema(stored.schema).parquet(*names)
+    try:
+        held = {r[0] for r in spark.read.schema(FILTERS).parquet(beside).select("file").distinct().collect()}  # names, as the listing of the store has them
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        held = set()
+    listed = stored.inputFiles()
+    missing = [unquote(f) for f in listed if unquote(f) not in {unquote(h) for h in held}]
+    if missing:
+        rows = read(missing).select(F.col("_metadata.file_path").alias("file"), F.col("collection").cast("string").alias("collection"), F.xxhash64("id").alias("h_"))
+        cells = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / IDS_A_CELL, F.lit(1.0))))).cast("int").alias("cells")
+        rows = rows.join(rows.groupBy("file").agg(F.count("*").alias("n")).select("file", cells), "file")
+        bits = rows.select("file", "collection", "cells", _cell(F.col("cells")).alias("cell"), F.explode(F.array(*_bits())).alias("bit"))
+        bits.groupBy("file", "collection", "cells", "cell").agg(F.bitmap_construct_agg("bit").alias("bits")).write.mode("append").parquet(beside)
+    filters = spark.read.schema(FILTERS).parquet(beside)
+    sizes = [r[0] for r in filters.select("cells").distinct().collect()]  # powers of two
+    asked = chunks.select(F.col("collection").cast("string").alias("collection"), F.xxhash64("id").alias("h_"), F.explode(F.array(*(F.lit(n) for n in sizes)).cast("array<int>")).alias("cells"))
+    asked = asked.withColumn("cell", _cell(F.col("cells")))
+    has = lambda bit: F.getbit(F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    one, two = _bits()
+    names = [r[0] for r in asked.join(filters, ["collection", "cells", "cell"]).filter(has(one) & has(two)).select("file").distinct().collect()]
+    return read([unquote(n) for n in names]) if names else stored.limit(0)
+
+
+def _cell(cells: Column) -> Column:
+    return F.pmod(F.col("h_"), cells).cast("int")
+
+
+def _bits() -> tuple[Column, Column]:
+    """Two places of a hash in a cell."""
+    return tuple(F.shiftrightunsigned("h_", n).bitwiseAND(F.lit(32767)) for n in (20, 40))
+
+
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key, the one that comes last."""
     return rows.groupBy(F.col(key).alias("key_")).agg(F.max_by(F.struct(*rows.columns), order).alias("x_")).select("x_.*")

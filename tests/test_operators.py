@@ -590,3 +590,22 @@ def test_ids_of_large_files_are_numbered_by_ranges(spark):
     assert store.with_ids(df.limit(0), "file", ["no"], hot=0).count() == 0
     twice = store.with_ids(df.unionByName(df), "file", ["no"], hot=100)  # equal keys: every number is there once all the same
     assert twice.filter("file = 'big'").select("id").distinct().count() == 6000
+
+
+def test_a_replayed_batch_reads_few_files(spark, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "store"), []
+    asked = store.files_that_may_hold
+    monkeypatch.setattr(store, "files_that_may_hold", lambda *x: read.append(asked(*x)) or read[-1])
+    batch = lambda k, n=50: spark.range(k * 1000, k * 1000 + n).select(F.concat(F.lit("chunk_"), "id", F.lit("_ñ")).alias("id"), F.lit("a b%").alias("collection"), F.lit(k).alias("k")).coalesce(1)
+    for k in range(6):
+        store.append(batch(k, 5000 if k == 3 else 50), path)
+    assert spark.read.parquet(path).count() == 5 * 50 + 5000 - 2 * 50  # batches 4 and 5 are within batch 3
+    read.clear()
+    store.append(batch(1).unionByName(batch(1)), path)
+    assert len(read[0].inputFiles()) <= 3 and len(spark.read.parquet(path).inputFiles()) >= 4
+    assert spark.read.parquet(path).filter("k = 1").count() == 50
+    store.append(batch(3, 5100), path)
+    assert spark.read.parquet(path).groupBy("id").count().filter("count > 1").count() == 0 and spark.read.parquet(path).filter("k = 3").count() == 5100
+    before = spark.read.parquet(path).count()
+    store.append(batch(0), path, filtered=10)  # beyond the bound all files of the collection are read
+    assert spark.read.parquet(path).count() == before
