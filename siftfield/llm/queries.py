@@ -43,7 +43,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.verdicts(quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return quality.verdicts(quality.judge(docs, [public_tokenizers.path(x) for x in quality.VOCABULARIES]))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators that look at each text on its own."""
 
+import math
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import duckdb
 import pytest
@@ -13,6 +15,7 @@ from siftfield.llm.queries import QUERIES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+BOTH = [public_tokenizers.path(x) for x in quality.VOCABULARIES]
 
 
 @pytest.fixture(scope="module")
@@ -206,11 +209,63 @@ def test_quality_bands_and_edges(spark):
         texts = [t for d, t in h.ODD if d == r.doc_id]
         assert any((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == h.base_counts(t) for t in texts)
     assert quality.judge(h.odd(spark).limit(0), PIECES).count() == 0
+    blank = quality.measure([("\u00a0" * 3_000_000 + "x").encode(), b"a b"], quality.Vocabulary(BOTH))
+    assert blank["n_words"].tolist() == [1, 2] and blank["n_tokens_2"].tolist()[1] == 2
     vocab = quality.Vocabulary(PIECES, most=3)  # a cache that is emptied all the time
     again = quality.measure([prose.encode(), b"", odd_letters.encode()], vocab)
     assert again["n_words"].tolist() == [len(prose.split()), 0, 40] and again["chars_per_token"][0] == out[3].chars_per_token
 
 
+def plain_measures(text, encode, is_byte):
+    """Characters per token, byte share, entropy and tokens, word by word of the definition."""
+    words = [w.decode("utf-8") for w in text.encode().split()]
+    ids = [i for w in words for i in encode(w)]
+    n = max(len(ids), 1)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+    return sum(map(len, words)) / n, sum(map(is_byte, ids)) / n, entropy, len(ids)
+
+
+def spoilt(text):
+    """Letters lost by a wrong encoding: what a code page takes back to UTF-8 gets shorter by them."""
+    for page in quality.CODE_PAGES if not text.isascii() else ():
+        try:
+            return max(text.count("\ufffd"), len(text) - len(text.encode(page).decode("utf-8")))
+        except UnicodeError:
+            pass
+    return text.count("\ufffd")
+
+
+def test_quality_verdicts_equal_plain_ones(spark, docs):
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=BOTH[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BOTH[1], "rb"))}
+    pairs = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tools = [
+        ("", "pieces", pieces.encode, pieces.is_byte),
+        ("_2", "bytes", lambda w: pairs.encode_ordinary(" " + w), lambda i: "\ufffd" in pairs.decode_single_token_bytes(i).decode("utf-8", "replace") and pairs.decode_single_token_bytes(i) != b"\xef\xbf\xbd"),
+    ]
+    random.seed(8)
+    made = [" ".join("".join(random.choices(alphabet, k=random.randint(1, 9))) for _ in range(n)) for alphabet in ("abcdefgh", "αβγδε", "дом река", "漢字文語", "0123456789", "!?#*", "éüñ", "Ã©x") for n in (9, 30, 200)]
+    rows = [*docs, *((-1 - i, t, g) for i, t in enumerate(made) for g in [random.choice(["en", "fr", "xx", None])]), (-100, "a\x00b " * 20, "en"), (-101, "x\u00a0" * 500 + " \u00a0\u00a0 x" * 30, None)]
+    seen = set()
+    for r in quality.verdicts(quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), BOTH)).collect():
+        _, text, lang = next(x for x in rows if x[0] == r.doc_id)
+        name = lang if lang in quality.LANGUAGE_BANDS else quality.script(text.encode())
+        good = r.band == name and 50 * spoilt(text) <= r.n_words
+        for end, kind, encode, is_byte in tools:
+            chars, share, entropy, n = plain_measures(text, encode, is_byte)
+            assert [r["chars_per_token" + end], r["byte_share" + end], r["token_entropy" + end]] == pytest.approx([chars, share, entropy], abs=1e-9)
+            band = quality.BANDS[kind][name]
+            good &= band.chars_low <= chars <= band.chars_high and share <= band.bytes_high and entropy >= min(band.entropy_low, quality.SHORT * math.log2(max(n, 1)))
+        assert r.kept == (good and not r.base_failed), (text[:50], r)
+        seen.add((r.kept, r.band))
+    assert {k for k, _ in seen} == {True, False} and len({b for _, b in seen}) >= 7
+
+
 def test_language_of_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op7_langid"](spark, sf).collect()
@@ -276,7 +331,8 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(asked.filter("doc_id < 4"), single).collect()} == {"en"}
 
 
-def test_quality_rejects_junk_and_keeps_prose(spark):
+@pytest.mark.parametrize("paths", [PIECES, BOTH])
+def test_quality_rejects_junk_and_keeps_prose(spark, paths):
     import base64
 
     random.seed(5)
@@ -292,7 +348,7 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     junk += [(page, t.encode().decode(page), g) for t, g in accented[:60] for page in ("latin-1", "cp437")]
     junk += [("lost", t.encode("latin-1", "replace").decode("utf-8", "replace"), g) for t, g in accented[:60]]
     rows = [(i, "prose", t, g) for i, (t, g) in enumerate(prose)] + [(-1 - i, k, t, g) for i, (k, t, g) in enumerate(junk)]
-    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, kind string, text string, lang string"), PIECES).filter("not base_failed").collect()
+    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, kind string, text string, lang string"), paths).filter("not base_failed").collect()
     kept = {k: [r.kept for r in out if r.kind == k] for k in {r.kind for r in out}}
     assert len(accented) >= 60 and set(kept) == {"prose", "base64", "hex", "soup", "letters", "latin-1", "cp437", "lost"}
     assert sum(kept.pop("prose")) >= 0.99 * sum(r.kind == "prose" for r in out)
