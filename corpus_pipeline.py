@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     modest_batches(spark)
-    return quality.judge(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model")).filter("kept").select(*COLUMNS)
+    paths = [public_tokenizers.path(x) for x in quality.VOCABULARIES]
+    return quality.judge(docs.select(*COLUMNS), paths).filter("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
