@@ -49,11 +49,18 @@ def rolling_memory(spark, d):
     return convo.rolling_memory(turns(spark, d))
 
 
+#: What questions end with, by turn and conversation: a day, a number of days (held to seven), or nothing.
+ENDINGS = "[' hoy', ' mañana', ' próximos ' || conv_id % 12 || ' días', ''][1 + (turn + conv_id) % 4]"
+
+
 @query("intent_flags", f"""
-SELECT conv_id, turn, w AS needs_weather, p OR g AS needs_rag, CASE WHEN g THEN 'growing' WHEN p THEN 'product' WHEN w THEN 'weather' ELSE 'general' END AS query_type, coalesce(place, 'Santiago') AS location, 3 AS days
-FROM (SELECT conv_id, turn, {sql_any('text', WEATHER)} AS w, {sql_any('text', PRODUCT)} AS p, {sql_any('text', GROWING)} AS g, {sql_first('text', PLACES)} AS place FROM conversations WHERE role = 'user')""")
+SELECT conv_id, turn, w AS needs_weather, p OR g AS needs_rag, CASE WHEN g THEN 'growing' WHEN p THEN 'product' WHEN w THEN 'weather' ELSE 'general' END AS query_type, coalesce(place, 'Santiago') AS location,
+  (CASE WHEN contains(q, 'mañana') THEN 2 WHEN contains(q, 'hoy') THEN 1 WHEN n <> '' THEN least(n::INT, 7) ELSE 3 END)::INT AS days
+FROM (SELECT conv_id, turn, lower(q) AS q, regexp_extract(lower(q), 'pr[oó]ximos?\\s+(\\d{{1,3}})\\s+d[ií]as', 1) AS n, {sql_any('q', WEATHER)} AS w, {sql_any('q', PRODUCT)} AS p, {sql_any('q', GROWING)} AS g, {sql_first('q', PLACES)} AS place
+  FROM (SELECT *, text || {ENDINGS} AS q FROM conversations WHERE role = 'user'))""")
 def intent_flags(spark, d):
-    x = convo.intent(F.col("text"), WEATHER, PRODUCT, GROWING, PLACES, default_place="Santiago", default_days=3)
+    ending = F.element_at(F.array(F.lit(" hoy"), F.lit(" mañana"), F.concat(F.lit(" próximos "), (F.col("conv_id") % 12).cast("string"), F.lit(" días")), F.lit("")), ((F.col("turn") + F.col("conv_id")) % 4 + 1).cast("int"))
+    x = convo.intent(F.concat("text", ending), WEATHER, PRODUCT, GROWING, PLACES, default_place="Santiago", default_days=3)
     return turns(spark, d).filter("role = 'user'").select("conv_id", "turn", x.alias("x")).select("conv_id", "turn", "x.needs_weather", "x.needs_rag", "x.query_type", "x.location", "x.days")
 
 
@@ -120,13 +127,17 @@ def system_first(spark, d):
     return rows.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.col("m")[0]["role"].alias("first_role"))
 
 
-@query("prompt_assembly", "SELECT u.conv_id, 1 + (SELECT count(*) FROM conversations c WHERE c.conv_id = u.conv_id) AS n_messages, CASE WHEN u.conv_id % 2 = 0 THEN 'S' || chr(10) || chr(10) || 'W' || chr(10) || chr(10) || 'Sin documentos.' ELSE 'S' || chr(10) || chr(10) || 'Sin datos del tiempo.' || chr(10) || chr(10) || 'Sin documentos.' END AS head FROM (SELECT DISTINCT conv_id FROM conversations) u")
+@query("prompt_assembly", """
+WITH h AS (SELECT conv_id, 1 + count(*) AS n_messages, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS past_md5 FROM conversations GROUP BY conv_id)
+SELECT conv_id, n_messages, past_md5, md5('S' || chr(10) || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'W' || conv_id ELSE 'Sin datos del tiempo.' END || chr(10) || chr(10) || coalesce('D ' || text, 'Sin documentos.')) AS head_md5
+FROM h LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 = 0) ON doc_id = conv_id""")
 def prompt_assembly(spark, d):
     requests = turns(spark, d).select("conv_id").distinct()
-    block = requests.filter("conv_id % 2 = 0").select("conv_id", F.lit("W").alias("block"))
-    none = spark.createDataFrame([], "conv_id bigint, context string")
-    rows = convo.prompts(requests, "conv_id", "S", block, none, turns(spark, d))
-    return rows.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.col("messages")[0]["content"].alias("head"))
+    block = requests.filter("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("W"), F.col("conv_id").cast("string")).alias("block"))
+    context = table(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("conv_id"), F.concat(F.lit("D "), "text").alias("context"))
+    rows = convo.prompts(requests, "conv_id", "S", block, context, turns(spark, d))
+    past = F.array_join(F.transform(F.expr("slice(messages, 2, size(messages))"), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return rows.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(past).alias("past_md5"), F.md5(F.col("messages")[0]["content"]).alias("head_md5"))
 
 
 @query("accent_fold", "SELECT doc_id, md5(strip_accents(text)) AS folded, length(strip_accents(text)) AS n FROM documents")

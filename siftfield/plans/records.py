@@ -279,12 +279,13 @@ def reply_contents(spark, d):
 
 
 @query("chosen_sources", """
-WITH a AS (SELECT conv_id, text, ['expert', 'rag', 'prices', 'weather'][1 + turn % 4] AS source, [2, 1, 4, 3][1 + turn % 4] AS p FROM conversations WHERE turn < 4 AND length(trim(text)) > 50)
-SELECT conv_id, count(*) AS n, arg_min(source, p) AS source, md5(CASE WHEN count(*) = 1 THEN arg_min(text, p) || chr(10) || chr(10) || 'Fuente: ' || arg_min(source, p) ELSE string_agg('[' || source || '] ' || substr(text, 1, 800), chr(10) ORDER BY p) END) AS answer_md5 FROM a GROUP BY conv_id""")
+WITH a AS (SELECT conv_id || ':' || turn // 4 AS request, text, ['expert', 'rag', 'prices', 'weather'][1 + turn % 4] AS source, [2, 1, 4, 3][1 + turn % 4] AS p FROM conversations WHERE length(trim(text)) > 50)
+SELECT request, count(*) AS n, arg_min(source, p) AS source, md5(CASE WHEN count(*) = 1 THEN arg_min(text, p) || chr(10) || chr(10) || 'Fuente: ' || arg_min(source, p) ELSE string_agg('[' || source || '] ' || substr(text, 1, 800), chr(10) ORDER BY p) END) AS answer_md5 FROM a GROUP BY request""")
 def chosen_sources(spark, d):
     source = F.element_at(F.array(*(F.lit(s) for s in ("expert", "rag", "prices", "weather"))), (F.col("turn") % 4 + 1).cast("int"))
-    answers = table(spark, d, "conversations").filter("turn < 4").select("conv_id", source.alias("source"), "text")
-    return convo.chosen_source(answers, "conv_id").select("conv_id", "n", "source", F.md5("answer").alias("answer_md5"))
+    request = TEXT(F.col("conv_id"), ":", F.floor(F.col("turn") / 4))  # four turns are the answers to one request
+    answers = table(spark, d, "conversations").select(request.alias("request"), source.alias("source"), "text")
+    return convo.chosen_source(answers, "request").select("request", "n", "source", F.md5("answer").alias("answer_md5"))
 
 
 @query("source_footers", "SELECT doc_id, CASE WHEN contains(text, 'License') AND lang = 'en' THEN 'Fuentes: docs + tiempo' WHEN contains(text, 'License') THEN 'Fuentes: docs' WHEN lang = 'en' THEN 'Fuentes: tiempo' END AS footer FROM documents")

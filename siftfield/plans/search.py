@@ -111,10 +111,11 @@ def source_map(spark, d):
     return sources.select("qid", F.array_join(F.transform(F.map_entries("sources"), line), ",").alias("sources"))
 
 
-@query("failure_vector", "SELECT vec_id, round(CASE WHEN label % 3 = 0 THEN 0 ELSE 1 END, 6)::DOUBLE AS self_similarity FROM embeddings")
+@query("failure_vector", "SELECT vec_id, round(CASE WHEN label % 3 = 0 THEN 0 ELSE 1 END, 6)::DOUBLE AS self_similarity, CASE WHEN label % 3 = 0 THEN 64 ELSE len(embedding) END AS n, coalesce(round(CASE WHEN label % 3 = 0 THEN 0 ELSE list_sum(embedding::DOUBLE[]) END, 4), 0)::DOUBLE AS total FROM embeddings")
 def failure_vector(spark, d):
     broken = F.when(F.col("label") % 3 == 0, F.lit(None)).otherwise(F.col("embedding"))
-    return stored(spark, d).withColumn("e", v.or_zeros(broken, 64)).select(F.col("id").alias("vec_id"), F.round(v.cosine(F.col("e"), F.col("e")), 6).alias("self_similarity"))
+    total = F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+    return stored(spark, d).withColumn("e", v.or_zeros(broken, 64)).select(F.col("id").alias("vec_id"), F.round(v.cosine(F.col("e"), F.col("e")), 6).alias("self_similarity"), F.size("e").cast("long").alias("n"), (total + F.lit(0.0)).alias("total"))
 
 
 @query("embedding_cache_miss", "SELECT DISTINCT md5(text) AS text_md5 FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'fr')")
