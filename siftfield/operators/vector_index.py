@@ -6,7 +6,8 @@ far, as an angle, its farthest vector is from the centre.
 
 A search is exact by default.  Each query first reads its nearest cells; by the triangle inequality of angles, its k-th best
 similarity then tells which other cells may hold a better one, and those are read in a second round.  With ``probes`` it
-reads that many nearest cells and no more, which is quicker and may miss some; measure what (``recall``).
+reads that many nearest cells and no more, which is quicker and may miss some; measure what (``recall``).  Queries go to the tasks
+in blocks, each once; which of a block's queries want a cell is a mask of bits, so what is sent doesn't grow with the cells they want.
 
 Defined results: null vectors, vectors without length and those of another width than the centres have similarity 0 to all
 queries; they are stored in cell -1, which an exact search reads where a query has fewer than k better ones.
@@ -16,19 +17,31 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftfield.operators.vectors import MOST_QUERIES, asked_rows, best_of_pairs, in_blocks, ranked, stacked, unit
+from siftfield.operators.vectors import BLOCK, asked_rows, best_of_pairs, block_groups, in_blocks, ranked, stacked, unit
+from siftfield.sources.scratch import scratch_table
 
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 10
 #: Angles are compared with this much to spare.
 SPARE = 1e-6
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit vector the centre most like it, and how like; by blocks of vectors."""
+    at, likeness = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for i in range(0, len(x), BLOCK):
+        near = x[i : i + BLOCK] @ centres.T
+        at[i : i + BLOCK] = near.argmax(1)
+        likeness[i : i + BLOCK] = near.max(1)
+    return at, likeness
+
+
 def centres_of(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
     """Unit centres of at most ``cells`` cells (k-means by cosine); the first ones are drawn far apart."""
     x = unit(sample)
@@ -45,7 +58,7 @@ def centres_of(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
         chosen.append(int(rng.choice(len(x), p=away / away.sum())))
     centres = x[chosen]
     for _ in range(ROUNDS):
-        at = (x @ centres.T).argmax(1)
+        at = nearest_centre(x, centres)[0]
         sums = np.zeros_like(centres)
         np.add.at(sums, at, x)
         moved = unit(sums)
@@ -74,11 +87,10 @@ def build(vectors: DataFrame, path: str, id_col: str = "id", vector_col: str = "
             x = unit(np.array([v for v, ok in zip(found, fits) if ok], np.float64).reshape(int(fits.sum()), -1))
             cell, angle = np.full(len(found), -1, np.int64), np.zeros(len(found))
             if len(centres) and len(x):
-                near = x @ centres.T
-                at = near.argmax(1)
+                at, near = nearest_centre(x, centres)
                 real = (x * x).sum(1) > 0
                 cell[fits] = np.where(real, at, -1)
-                angle[fits] = np.where(real, np.arccos(np.clip(near[np.arange(len(x)), at], -1, 1)), 0)
+                angle[fits] = np.where(real, np.arccos(np.clip(near, -1, 1)), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(angle)], names=[id_col, vector_col, "cell", "angle"])
 
     kinds = dict(vectors.dtypes)
@@ -108,61 +120,66 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int | str, id_
     numbers, reach = np.array([r.cell for r in cells], np.int64), np.array([r.reach for r in cells])
     asked = asked_rows(queries, k, query_id, vector_col)
 
-    def angles(column: pa.Array) -> np.ndarray:
+    def angles(x: np.ndarray) -> np.ndarray:
         """Of each query to each centre; null and odd queries are like all cells alike."""
-        found = [v if v is not None and len(v) == centres.shape[1] else [0.0] * centres.shape[1] for v in column.to_pylist()]
-        x = unit(np.array(found, np.float64).reshape(len(found), centres.shape[1]))
+        if x.shape[1] != centres.shape[1]:
+            return np.zeros((len(x), len(centres)))
+        x = unit(x)
         out = np.arccos(np.clip(x @ centres.T, -1, 1))
         out[(x * x).sum(1) == 0] = 0
         return out
 
-    def rows_for(batch: pa.RecordBatch, wanted: list[np.ndarray]) -> pa.RecordBatch:
-        """The queries, once for each cell that they want."""
-        size = [len(w) for w in wanted]
-        at = pa.array(np.repeat(np.arange(len(size)), size))
-        return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(np.concatenate([*wanted, np.zeros(0, np.int64)]).astype(np.int64))], names=[query_id, vector_col, "k_", "cell"])
+    def nearest(apart: np.ndarray, n: int) -> np.ndarray:
+        """Which of all cells are a query's n nearest."""
+        out = np.zeros(apart.shape, bool)
+        np.put_along_axis(out, np.argsort(apart, axis=1, kind="stable")[:, :n], True, axis=1)
+        return out
 
-    kind = f"{query_id} {kinds[0]}, {vector_col} {dict(queries.dtypes)[vector_col]}, k_ int, cell long"
+    def found_in(blocks: DataFrame, choose) -> DataFrame:
+        """The best of the cells that queries want; ``choose`` (angles, bounds): whether each query wants each cell, and cell -1."""
 
-    def nearest(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                order = np.argsort(angles(batch.column(1)), axis=1, kind="stable")[:, :n] if len(cells) else np.zeros((batch.num_rows, 0), np.int64)
-                yield rows_for(batch, [numbers[o] for o in order])
-
-        return run
-
-    def scored(wanted: DataFrame) -> DataFrame:
-        """The best of the cells that queries want: blocks of queries of a cell meet that cell's blocks of vectors."""
-        few = wanted.count() <= MOST_QUERIES
-        read = sorted(r[0] for r in wanted.select("cell").distinct().collect())
-        q = in_blocks(wanted.repartition("cell").sortWithinPartitions("cell"), query_id, vector_col, "q", "cell")
-        v = in_blocks(stored.filter(F.col("cell").isin(read)).withColumn("k_", F.lit(0)), id_col, vector_col, "v", "cell")
-        pairs = (v if few else v.hint("rebalance")).join(F.broadcast(q) if few else q, F.col("v_cell") == F.col("q_cell"))
-        return best_of_pairs(pairs, query_id, kinds[0], id_col, kinds[1], "cosine", digits)
-
+                for block, ids, raw, bounds in zip(*(c.to_pylist() for c in batch.columns)):
+                    wanted, rest = choose(angles(np.frombuffer(raw).reshape(len(ids), -1 if raw else 0)), bounds)
+                    masks = np.packbits(np.column_stack((wanted, rest)), axis=0)  # one column for each cell
+                    at = np.flatnonzero(masks.any(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int64)), pa.array(np.append(numbers, -1)[at]), pa.array([masks[:, i].tobytes() for i in at], pa.binary())], names=["q_block", "cell", "q_mask"])
+
+        wants = scratch_table(blocks.select("q_block", "q_ids", "q_flat", "q_bounds").mapInArrow(run, "q_block long, cell long, q_mask binary"), "wanted")
+        out = []
+        for group in block_groups(blocks):
+            some = wants.filter(F.col("q_block").isin(group))
+            read = sorted(r[0] for r in some.select("cell").distinct().collect())
+            v = in_blocks(stored.filter(F.col("cell").isin(read)).withColumn("k_", F.lit(0)), id_col, vector_col, "v", "cell")
+            pairs = v.join(F.broadcast(some.withColumnRenamed("q_block", "of_block")), F.col("v_cell") == F.col("cell"))
+            pairs = pairs.join(F.broadcast(blocks.filter(F.col("q_block").isin(group))), F.col("of_block") == F.col("q_block"))
+            out.append(best_of_pairs(pairs, query_id, kinds[0], id_col, kinds[1], "cosine", digits))
+        none = spark.createDataFrame([], f"{query_id} {kinds[0]}, k_ int, {id_col} {kinds[1]}, similarity double")
+        return reduce(DataFrame.unionByName, out) if out else none
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        return scratch_table(in_blocks(rows.repartition(parts), query_id, vector_col, "q", bound="least_"), name)
+
+    parts = max(1, -(-asked.count() // BLOCK))
+    n = first if probes is None else probes
+    blocks = packed(asked.withColumn("least_", F.lit(None).cast("double")), "queries")
+    some = found_in(blocks, lambda apart, bounds: (nearest(apart, n), np.zeros(len(apart), bool)))
     if probes is not None:
-        return ranked(scored(asked.mapInArrow(nearest(probes), kind)), query_id, id_col)
-    some = scored(asked.mapInArrow(nearest(first), kind))
+        return ranked(some, query_id, id_col)
+    some = scratch_table(some, "first-cells")
     found = ranked(some, query_id, id_col).groupBy(query_id).agg(F.count("*").alias("found_"), F.min("similarity").alias("least_"))
     bounds = asked.join(found, query_id, "left").select(query_id, vector_col, "k_", F.when(F.col("found_") >= F.col("k_"), F.col("least_")).alias("least_"))
     loose = 0.0 if digits is None else 10.0**-digits
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def others(apart: np.ndarray, bounds: list) -> tuple[np.ndarray, np.ndarray]:
         """Cells beyond the first ones that may hold something as similar as the k-th found (all where fewer were found)."""
-        for batch in batches:
-            least = np.array([-1.0 if x is None else x - loose for x in batch.column(3).to_pylist()])
-            wanted = [np.zeros(0, np.int64)] * batch.num_rows
-            if len(cells):
-                apart = angles(batch.column(1))
-                seen = np.zeros(apart.shape, bool)
-                np.put_along_axis(seen, np.argsort(apart, axis=1, kind="stable")[:, :first], True, axis=1)
-                odd = (apart == 0).all(1)  # similarity 0 to all
-                may = np.where(odd[:, None], least[:, None] <= 0, apart - reach[None] <= np.arccos(np.clip(least, -1, 1))[:, None] + SPARE) & ~seen
-                wanted = [numbers[m] for m in may]
-            yield rows_for(batch, [np.concatenate((w, [-1])) if low <= 0 else w for w, low in zip(wanted, least)])
-
-    more = scored(bounds.mapInArrow(others, kind))
+        least = np.array([-1.0 if x is None else x - loose for x in bounds])
+        odd = (apart == 0).all(1)  # similarity 0 to all
+        may = np.where(odd[:, None], least[:, None] <= 0, apart - reach[None] <= np.arccos(np.clip(least, -1, 1))[:, None] + SPARE)
+        return may & ~nearest(apart, first), least <= 0
+
+    more = found_in(packed(bounds, "bounds"), others)
     return ranked(some.unionByName(more), query_id, id_col)
 
 

@@ -60,9 +60,10 @@ def stacked(column: pa.Array, width: int) -> np.ndarray:
     return np.array([v if v is not None else [0.0] * width for v in column.to_pylist()], np.float64).reshape(len(column), width)
 
 
-def in_blocks(rows: DataFrame, id_col: str, vector_col: str, name: str, cell: str | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, id_col: str, vector_col: str, name: str, cell: str | None = None, bound: str | None = None) -> DataFrame:
     """Rows of up to BLOCK vectors of one width: a number, ids and limits as arrays, the vectors as one binary of doubles
-    (null: zeros); with ``cell``, of one cell each.  Numbers come from the task and the block's place in it, so none comes twice."""
+    (null: zeros); with ``cell``, of one cell each; with ``bound``, that column as another array.  Numbers come from the task
+    and the block's place in it, so none comes twice."""
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,23 +81,35 @@ def in_blocks(rows: DataFrame, id_col: str, vector_col: str, name: str, cell: st
                     part = batch.slice(i, min(BLOCK, high - i))
                     ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                     limits = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(2).cast(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), ids, limits, pa.array([stacked(part.column(1), int(widths[i])).tobytes()], pa.binary()), part.column(3)[:1]], names=[f"{name}_block", f"{name}_ids", f"{name}_limits", f"{name}_flat", f"{name}_cell"])
+                    columns = [pa.array([task << 32 | made]), ids, limits, pa.array([stacked(part.column(1), int(widths[i])).tobytes()], pa.binary()), part.column(3)[:1]]
+                    names = [f"{name}_block", f"{name}_ids", f"{name}_limits", f"{name}_flat", f"{name}_cell"]
+                    if bound:
+                        columns.append(pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(4)))
+                        names.append(f"{name}_bounds")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
                     made += 1
 
-    found = rows.select(id_col, vector_col, "k_", (F.col(cell) if cell else F.lit(0)).cast("long").alias("cell_"))
-    return found.mapInArrow(run, f"{name}_block long, {name}_ids array<{kinds[id_col]}>, {name}_limits array<int>, {name}_flat binary, {name}_cell long")
+    bounds = [F.col(bound).cast("double").alias("bound_")] if bound else []
+    found = rows.select(id_col, vector_col, "k_", (F.col(cell) if cell else F.lit(0)).cast("long").alias("cell_"), *bounds)
+    return found.mapInArrow(run, f"{name}_block long, {name}_ids array<{kinds[id_col]}>, {name}_limits array<int>, {name}_flat binary, {name}_cell long" + (f", {name}_bounds array<double>" if bound else ""))
 
 
 def best_of_pairs(pairs: DataFrame, query_id: str, query_kind: str, id_col: str, id_kind: str, metric: str, digits: int | None) -> DataFrame:
-    """qid, k_, id, similarity of the best vectors that each query meets in a task, from pairs of blocks."""
+    """qid, k_, id, similarity of the best vectors that each query meets in a task, from pairs of blocks.
+
+    Where pairs have ``q_mask``, its bits name the queries of the block that meet the vectors.
+    """
+    masked = "q_mask" in pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}  # by block of queries: ids, limits, and of each query the best scores and ids
         types: dict[int, pa.DataType] = {}
         for batch in batches:
             types = types or {0: batch.column(1).type.value_type, 3: batch.column(4).type.value_type}
-            for block, names, limits, q_raw, ids, v_raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, names, limits, q_raw, ids, v_raw, *mask in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
                 m, x = (np.frombuffer(raw).reshape(n, len(raw) // (8 * n)) for raw, n in ((q_raw, len(names)), (v_raw, len(ids))))
+                chosen = np.flatnonzero(np.unpackbits(np.frombuffer(mask[0], np.uint8), count=len(m))) if masked else np.arange(len(m))
+                m = m[chosen] if masked else m
                 if m.shape[1] != x.shape[1]:  # of other widths: as far as can be
                     scores = np.full((len(m), len(x)), 0.0 if metric == "cosine" else -np.inf)
                 elif metric == "cosine":
@@ -108,8 +121,8 @@ def best_of_pairs(pairs: DataFrame, query_id: str, query_kind: str, id_col: str,
                 ids = np.array(ids, object if isinstance(ids[0], str) else None)
                 held = best.setdefault(block, [names, limits, [np.empty(0)] * len(names), [ids[:0]] * len(names)])
                 most = max(limits, default=0)
-                for j, n in enumerate(limits):
-                    row = scores[j]
+                for row, j in zip(scores, chosen.tolist()):
+                    n = limits[j]
                     if len(row) > 4 * most > 0:  # ties with the n-th stay in
                         row_at = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if n else np.empty(0, np.int64)
                     else:
@@ -122,7 +135,7 @@ def best_of_pairs(pairs: DataFrame, query_id: str, query_kind: str, id_col: str,
             columns = [np.repeat(np.array(names, object), times).tolist(), np.repeat(np.array(limits), times), np.concatenate(found).tolist(), np.concatenate(scores)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (types[0], pa.int32(), types[3], pa.float64()))], names=[query_id, "k_", id_col, "similarity"])
 
-    return pairs.select("q_block", "q_ids", "q_limits", "q_flat", "v_ids", "v_flat").mapInArrow(run, f"{query_id} {query_kind}, k_ int, {id_col} {id_kind}, similarity double")
+    return pairs.select("q_block", "q_ids", "q_limits", "q_flat", "v_ids", "v_flat", *(["q_mask"] if masked else [])).mapInArrow(run, f"{query_id} {query_kind}, k_ int, {id_col} {id_kind}, similarity double")
 
 
 def ranked(near: DataFrame, query_id: str, id_col: str) -> DataFrame:
@@ -135,6 +148,13 @@ def asked_rows(queries: DataFrame, k: int | str, query_id: str, vector_col: str)
     return queries.select(query_id, vector_col, (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k_"))
 
 
+def block_groups(blocks: DataFrame) -> list[list[int]]:
+    """Numbers of blocks of queries, in groups of about MOST_QUERIES queries; there is one number for about BLOCK queries."""
+    numbers = sorted(r[0] for r in blocks.select("q_block").collect())
+    size = max(1, MOST_QUERIES // BLOCK)
+    return [numbers[i : i + size] for i in range(0, len(numbers), size)]
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: str = "id", vector_col: str = "embedding", query_id: str = "qid", metric: str = "cosine", digits: int | None = None) -> DataFrame:
     """qid, id, similarity, rank for many queries (qid, embedding and, where k names a column, that), by all vectors.
 
@@ -151,9 +171,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int | str, id_col: st
     groups = [blocks]
     if n > MOST_QUERIES:
         blocks = scratch_table(blocks, "queries")
-        numbers = sorted(r[0] for r in blocks.select("q_block").collect())  # one for about BLOCK queries
-        size = max(1, MOST_QUERIES // BLOCK)
-        groups = [blocks.filter(F.col("q_block").isin(numbers[i : i + size])) for i in range(0, len(numbers), size)]
+        groups = [blocks.filter(F.col("q_block").isin(numbers)) for numbers in block_groups(blocks)]
     found = [best_of_pairs(v.crossJoin(F.broadcast(q)), query_id, kinds[0], id_col, kinds[1], metric, digits) for q in groups]
     return ranked(reduce(DataFrame.unionByName, found), query_id, id_col)
 

@@ -439,6 +439,25 @@ def test_vector_index_reads_few_cells_and_is_exact_by_default(spark, tmp_path):
     assert vector_index.search(spark, empty, queries, 3).count() == 0
 
 
+def test_vector_index_sends_each_query_once_however_many_cells_it_wants(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "id int, embedding array<double>")
+    queries = df.filter("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    path, sent, pack = str(tmp_path / "index"), [], vector_index.in_blocks
+    vector_index.build(df, path, cells=24)
+
+    def counted(rows, id_col, vector_col, name, *rest, **more):
+        sent.extend([rows.count()] if name == "q" else [])
+        return pack(rows, id_col, vector_col, name, *rest, **more)
+
+    monkeypatch.setattr(vector_index, "in_blocks", counted)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 16)  # two groups
+    got = vector_index.search(spark, path, queries, 5, digits=9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vectors.batch_top_k(df, queries, 5, digits=9).collect()))
+    assert sent == [30, 30]  # once in each round, though vectors without clusters want nearly all cells
+
+
 def test_streams_equal_batches(spark, tmp_path, small):
     turns = spark.read.parquet(f"{small}/conversations.parquet")
     turns.repartition(3).write.parquet(str(tmp_path / "in"))
