@@ -131,6 +131,12 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, *accents())
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact value, ties to even, as Python and C do (Java's ``%f`` rounds
+    the shortest decimal form, half up)."""
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits))
+
+
 def joined(rows: Column, field: str, sep: str) -> Column:
     """One field of an array of structs, sorted by the struct, joined."""
     return F.array_join(F.transform(F.sort_array(rows), lambda x: x[field]), sep)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import contains_any, joined, words
+from siftfield.functions.text import contains_any, fixed, joined, words
 from siftfield.operators.lexicon import from_sources, mentions
 from siftfield.sources.scratch import scratch_table
 
@@ -273,11 +273,11 @@ def source_map(hits: DataFrame, group: str, rank: str, fields: dict[str, Column]
 
 
 def reference_list(hits: DataFrame, group: str, rank: str, file: Column, similarity: Column) -> DataFrame:
-    line = F.format_string("[%d] %s (%.2f%%)", F.col(rank), file, similarity * 100)
+    line = F.format_string("[%d] %s (%s%%)", F.col(rank), file, fixed(similarity * 100, 2))
     return hits.groupBy(group).agg(F.collect_list(F.struct(F.col(rank).alias("r"), line.alias("line"))).alias("x")).select(group, joined(F.col("x"), "line", "\n").alias("references"))
 
 
 def result_listing(hits: DataFrame, group: str, rank: str, name: Column, similarity: Column, text: Column) -> DataFrame:
     """Numbered blocks with the relevance in percent, for a prompt."""
-    block = F.format_string("%d. %s (relevancia %.1f%%)\n%s", F.col(rank), name, similarity * 100, text)
+    block = F.format_string("%d. %s (relevancia %s%%)\n%s", F.col(rank), name, fixed(similarity * 100, 1), text)
     return hits.groupBy(group).agg(F.collect_list(F.struct(F.col(rank).alias("r"), block.alias("block"))).alias("x")).select(group, joined(F.col("x"), "block", "\n\n").alias("listing"))

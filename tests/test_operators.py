@@ -439,6 +439,15 @@ def test_vector_index_reads_few_cells_and_is_exact_by_default(spark, tmp_path):
     assert vector_index.search(spark, empty, queries, 3).count() == 0
 
 
+def test_percents_are_rounded_by_their_exact_values(spark):
+    values = [0.1225, 0.1235, 0.12345, 0.00125, 0.01005, -0.00001, 1.0, None]
+    hits = spark.createDataFrame([(i, 1, "f", x, "t") for i, x in enumerate(values)], "qid int, rank int, file string, s double, text string")
+    refs = vectors.reference_list(hits, "qid", "rank", F.col("file"), F.col("s")).orderBy("qid").collect()
+    assert [r.references for r in refs] == [f"[1] f ({x * 100:.2f}%)" if x is not None else "[1] f (null%)" for x in values]
+    listing = vectors.result_listing(hits, "qid", "rank", F.col("file"), F.col("s"), F.col("text")).orderBy("qid").collect()
+    assert [r.listing for r in listing] == [f"1. f (relevancia {x * 100:.1f}%)\nt" if x is not None else "1. f (relevancia null%)\nt" for x in values]
+
+
 def test_vector_index_sends_each_query_once_however_many_cells_it_wants(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "id int, embedding array<double>")
