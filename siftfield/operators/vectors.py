@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftfield.functions.text import contains_any, fixed, joined, words
 from siftfield.operators.lexicon import from_sources, mentions
-from siftfield.sources.scratch import scratch_table
+from siftfield.sources.scratch import bounded_batches, scratch_table
 
 #: Vectors and queries in a block; queries that may go to every task.
 BLOCK, MOST_QUERIES = 1024, 10_000
@@ -100,6 +100,7 @@ def best_of_pairs(pairs: DataFrame, query_id: str, query_kind: str, id_col: str,
     Where pairs have ``q_mask``, its bits name the queries of the block that meet the vectors.
     """
     masked = "q_mask" in pairs.columns
+    bounded_batches(pairs.sparkSession)  # a pair may take a MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {}  # by block of queries: ids, limits, and of each query the best scores and ids
@@ -249,6 +250,7 @@ def embed_unseen(texts: DataFrame, cache: DataFrame, text_col: str, dim: int = 6
     Texts are keyed by MD5, so a failed one can't shift the others.  ``longest``: only so many characters go to
     the embedder, for services that cut their input (such as at 8,000).
     """
+    bounded_batches(texts.sparkSession)
     keyed = texts.select(F.md5(text_col).alias("text_md5"), (F.substring(text_col, 1, longest) if longest else F.col(text_col)).alias("text")).filter("text_md5 is not null").dropDuplicates(["text_md5"])
     misses = keyed.join(cache.select("text_md5"), "text_md5", "left_anti")
 

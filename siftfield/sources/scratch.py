@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,14 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand rows to Python in batches of about ``size`` bytes at most, however wide they are; a smaller setting of the session stays.
+
+    It has to hold while a lazy plan runs, so it stays set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+    now = int(number) << 10 * " kmgt".index(unit or " ")
+    if now <= 0 or now > size:
+        spark.conf.set(name, str(size))

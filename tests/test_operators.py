@@ -448,6 +448,21 @@ def test_percents_are_rounded_by_their_exact_values(spark):
     assert [r.listing for r in listing] == [f"1. f (relevancia {x * 100:.1f}%)\nt" if x is not None else "1. f (relevancia null%)\nt" for x in values]
 
 
+def test_python_gets_batches_of_bounded_size(spark):
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for given in ("64m", "1k"):  # a smaller setting stays
+            spark.conf.set(name, given)
+            texts = spark.range(0, 40, 1, 1).select(F.concat(F.repeat(F.lit("x"), 1_000_000), F.col("id").cast("string")).alias("text"))
+            empty = spark.createDataFrame([], "text_md5 string, embedding array<float>")
+            _, cache = vectors.embed_unseen(texts, empty, "text", 1, embedder=lambda rows, dim: [[float(sum(map(len, rows)))]] * len(rows))
+            sizes.append(max(r.embedding[0] for r in cache.collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert 4e6 < sizes[0] < 12e6 and sizes[1] < 2e6
+
+
 def test_vector_index_sends_each_query_once_however_many_cells_it_wants(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "id int, embedding array<double>")
