@@ -4,67 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.functions.text import SPACES, count_all, n_words, once
+from siftfield.functions.text import count_all, n_words, once
 from siftfield.lexicons import RELEVANT_TERMS
 from siftfield.operators.extract import structured_lines
 from siftfield.operators.lines import lines_of, settled, with_descriptions, with_general_info, with_keywords, with_section
+from siftfield.sources.scratch import bounded_batches
 
 SIZE, OVERLAP, SHORTEST = 500, 100, 50
-#: Characters of the pieces, and of the pieces in these, within which words are folded.
-LEVELS = (1 << 16, 1 << 11)
 SECTION_TYPES = [
     ("dosage", r"dosis|dosificaci[oó]n"), ("application", r"aplicaci[oó]n|instrucciones"), ("waiting_period", r"carencia"), ("limits", r"m[aá]ximo.*aplicaciones"),
     ("interval", r"intervalo"), ("precautions", r"precauciones|advertencias"), ("composition", r"composici[oó]n"),
 ]
 
 
-def cut_by(text: Column, most: int) -> Column:
-    """Pieces of at most ``most`` characters that end before white space, or one longer word."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{most}}}(?=[{SPACES}]|\z)|[^{SPACES}]++"), F.lit(0))
-
-
-def word_windows(text: Column, size: int, share: Column, tail: Column) -> Column:
+def word_windows(text: str | None, size: int, share: float, tail: int) -> list[str]:
     """Runs of a text's words, joined: a run closes when its words, each with a space, reach ``size``; a share of its
-    words opens the next one.  What is left at the end is a run if it's longer than ``tail``.
-
-    A fold over the words within the row, on the JVM: its state is the open run and the closed ones.  A fold copies
-    its state at every step, so words are folded within pieces of LEVELS characters, with closed runs of their own;
-    a text of any length then costs in proportion to it.
-    """
-    none = F.array().cast("array<string>")
-
-    def state(length: Column, now: Column, closed: Column) -> Column:
-        return F.struct(length.alias("length"), now.alias("now"), closed.alias("closed"))
+    words opens the next one.  What is left at the end is a run if it's longer than ``tail``."""
+    words, out, start, length = (text or "").split(), [], 0, 0
+    for end, word in enumerate(words, 1):
+        length += len(word) + 1
+        if length >= size:
+            out.append(" ".join(words[start:end]))
+            start = end - int((end - start) * share)
+            length = sum(len(w) + 1 for w in words[start:end])
+    left = " ".join(words[start:])
+    return [*out, left] if start < len(words) and len(left) > tail else out
 
-    def add(s: Column, word: Column) -> Column:
-        length, now = s["length"] + F.length(word) + 1, F.array_append(s["now"], word)
-        full, again = length >= size, F.floor((F.size(s["now"]) + 1) * share).cast("int")
-        kept = F.when(again > 0, F.slice(now, -again, again)).otherwise(none)
-        left = F.when(~full, length).when(again > 0, F.length(F.array_join(kept, " ")) + 1).otherwise(0)
-        return state(left, F.when(full, kept).otherwise(now), F.when(full, F.array_append(s["closed"], F.array_join(now, " "))).otherwise(s["closed"]))
 
-    def fold(text: Column, s: Column, levels: Sequence[int]) -> Column:
-        """The state after a piece of text, with the runs closed in it alone."""
-        begin = state(s["length"], s["now"], none)
-        if not levels:
-            return F.aggregate(F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != ""), begin, add)
-        further = lambda s, piece: once(fold(piece, s, levels[1:]), lambda x: state(x["length"], x["now"], F.concat(s["closed"], x["closed"])))
-        return F.aggregate(cut_by(text, levels[0]), begin, further)
-
-    def rest(s: Column) -> Column:
-        left = F.array_join(s["now"], " ")
-        return F.when((F.size(s["now"]) > 0) & (F.length(left) > tail), F.array_append(s["closed"], left)).otherwise(s["closed"])
+def windows_of(df: DataFrame, name: str, text: Column, size: int, share: Column, tail: Column) -> DataFrame:
+    """Adds an array of the text's :func:`word_windows`; none of a null text.
 
-    return once(fold(F.coalesce(text, F.lit("")), state(F.lit(0), none, none), LEVELS), rest)
+    Rows go to Python in Arrow batches of bounded size: a fold over words on the JVM copies its state at every word.
+    """
+    bounded_batches(df.sparkSession)
 
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, shares: pd.Series, tails: pd.Series) -> pd.Series:
+        return pd.Series([word_windows(x, size, s, n) for x, s, n in zip(texts, shares, tails)], texts.index, object)
 
-def windows_of(df: DataFrame, name: str, text: Column, size: int, share: Column, tail: Column) -> DataFrame:
-    """Adds an array of the text's :func:`word_windows`; none of a null text."""
-    rows = settled(df, whole_=text, share_=share, tail_=tail)
-    return settled(rows, **{name: word_windows(F.col("whole_"), size, F.col("share_"), F.col("tail_"))}).drop("whole_", "share_", "tail_")
+    return df.withColumn(name, cut(text, share.cast("double"), tail.cast("int")))
 
 
 def word_chunks(df: DataFrame, keys: Sequence[str], text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
