@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftfield.lexicons import CROPS, DOSE_PATTERNS, UNITS
 from siftfield.operators import chunk, convo, extract, lexicon, lines, score, tables, vectors, weather
-from siftfield.plans.registry import query, table
+from siftfield.plans.registry import dealt_table, query, table
 from siftfield.plans.search import FOUND, found
 from siftfield.sources import files, payloads, store
 from siftfield.sources.scratch import scratch_dir
@@ -29,7 +29,7 @@ def labels(spark, d):
         "\n", TEXT("Producto: ALFA", K() % 7), TEXT("MARCA", S(), " SC y MARCA", S(), " SC"), TEXT("Nombre comercial: BETA", K() % 3), TEXT("Ingrediente activo: glifosato ", S(), ",5 %"),
         F.when(K() % 2 == 0, "LENTEJA y trigo").otherwise("Otros cultivos"), dose, TEXT("Aplicar en ", timing), TEXT("No aplicar con viento ", S()), TEXT(S(), " - ", S() + 100, " litros de agua por hectárea"),
     )
-    return table(spark, d, "part").select(K(), S(), text.alias("text"))
+    return dealt_table(spark, d, "part").select(K(), S(), text.alias("text"))
 
 
 @query("label_fields", """
@@ -224,7 +224,7 @@ SELECT p_partkey, kind, CASE kind WHEN 'general_info' THEN 'MARCA' || p_size ||
   WHEN 'descriptive' THEN '=== COMPOSICIÓN ===' || chr(10) || '=== PRECAUCIONES ===' || chr(10) || 'Fabricado por ' || p_brand ELSE 'MARCA' || p_size || ' SC y MARCA' || p_size || ' SC' || chr(10) || 'Composición' || chr(10) || ' agua ' || p_size || chr(10) || 'Lote 1' || chr(10) || 'Precauciones' || chr(10) || 'guantes' || chr(10) || 'Fabricado por ' || p_brand END AS text
 FROM part, (VALUES ('general_info'), ('composition'), ('safety'), ('commercial'), ('descriptive'), ('full_document')) v(kind)""")
 def comprehensive_chunks(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.concat_ws("\n", TEXT("MARCA", S(), " SC y MARCA", S(), " SC"), F.lit("Composición"), TEXT(" agua ", S()), F.lit("Lote 1"), F.lit("Precauciones"), F.lit("guantes"), TEXT("Fabricado por ", F.col("p_brand"))).alias("text"))
+    rows = dealt_table(spark, d, "part").select("p_partkey", F.concat_ws("\n", TEXT("MARCA", S(), " SC y MARCA", S(), " SC"), F.lit("Composición"), TEXT(" agua ", S()), F.lit("Lote 1"), F.lit("Precauciones"), F.lit("guantes"), TEXT("Fabricado por ", F.col("p_brand"))).alias("text"))
     out = chunk.comprehensive_chunks(rows, "p_partkey", "text", "marca", ["composición", "precauciones"])
     return out.select("p_partkey", F.col("content_category").alias("kind"), "text")
 

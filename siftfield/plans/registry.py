@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are dealt to all cores, for work that takes long for its bytes: a small file is one task otherwise."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, name).repartition(n)
+
+
 from siftfield.plans import conversations, lines, records, search, store, texts  # noqa: E402, F401  they register their queries
 
 FLAGSHIP = QUERIES["numbered_context"]

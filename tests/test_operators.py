@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftfield.functions import text as t
 from siftfield.lexicons import CROPS, DOSE_PATTERNS, HEADINGS, UNITS, WEEDS
 from siftfield.operators import chunk, convo, extract, lexicon, lines, market, score, tables, vector_index, vectors, weather
+from siftfield.plans.registry import QUERIES
 from siftfield.sources import files, payloads, store
 from siftfield.streaming import jobs
 
@@ -448,6 +449,19 @@ def test_percents_are_rounded_by_their_exact_values(spark):
     assert [r.listing for r in listing] == [f"1. f (relevancia {x * 100:.1f}%)\nt" if x is not None else "1. f (relevancia null%)\nt" for x in values]
 
 
+@pytest.mark.parametrize("name", ["label_fields", "comprehensive_chunks"])
+def test_work_on_a_small_file_is_dealt_to_all_cores(spark, small, name):
+    assert QUERIES[name](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_words_are_cut_at_all_white_space(spark):
+    text = " a\u3000bb\x1cccc\u2003dd\xa0e\n\nffff "
+    assert chunk.word_windows(text, 6, 0.5, 2) == ["a bb ccc", "ccc dd", "dd e ffff", "ffff"]
+    assert chunk.word_windows(text, 500, 0.2, 50) == [] and chunk.word_windows(None, 5, 0.2, 0) == []
+    rows = chunk.windows_of(spark.createDataFrame([(text,), (None,)], "text string"), "cut", F.col("text"), 6, F.lit(0.5), F.lit(2))
+    assert [r.cut for r in rows.collect()] == [["a bb ccc", "ccc dd", "dd e ffff", "ffff"], []]
+
+
 def test_python_gets_batches_of_bounded_size(spark):
     name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
     before = spark.conf.get(name)
