@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftfield.functions import text as t
 from siftfield.lexicons import RELEVANT_TERMS
 from siftfield.operators import chunk, extract, lexicon, score, tables
-from siftfield.plans.registry import query, table
+from siftfield.plans.registry import dealt_table, query, table
 
 WORDS = ["license", "haben", "queux"]
 LANGUAGES = [("spanish", [" los ", " que "]), ("german", [" der ", " und "]), ("french", [" les ", " une "]), ("english", [" the ", " of "])]
@@ -244,7 +244,7 @@ FROM chunks"""
 
 @query("semantic_chunks", SEMANTIC_SQL)
 def semantic_chunks(spark, d):
-    return chunk.semantic_chunks(table(spark, d, "documents"), "doc_id", "text", ["the", "le", "der", "la"]).withColumn("relevance", F.round("relevance", 9))
+    return chunk.semantic_chunks(dealt_table(spark, d, "documents"), "doc_id", "text", ["the", "le", "der", "la"]).withColumn("relevance", F.round("relevance", 9))
 
 
 @query("section_type", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'license|rights') THEN 'law' WHEN regexp_matches(lower(text), 'token|password') THEN 'keys' ELSE 'general' END AS kind FROM documents")
