@@ -88,10 +88,15 @@ def shingle_sets(texts: list[bytes], rank: np.ndarray, width: int) -> list[np.nd
     out = []
     for i in range(len(texts)):
         h, p = hashes[bounds[i] : bounds[i + 1]], place[bounds[i] : bounds[i + 1]]
-        if len(h):
+        order = np.argsort(p)
+        p, h = p[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        if (new[1:] & (p[1:] == p[:-1])).any():  # different shingles at one place
             h, where = np.unique(h, return_index=True)
-            order = np.lexsort((h, p[where]))
-            h = h[order]
+            h = h[np.lexsort((h, p[where]))]
+        else:
+            h = h[new]
         out.append(h)
     return out
 
@@ -139,19 +144,22 @@ class ParityMaps:
         return out
 
 
-def described(docs: DataFrame, rank: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, digest of the set, and its prefix (64-bit hashes, rarest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+def described(docs: DataFrame, shared, width: int, percent: int, places=None) -> DataFrame:
+    """doc_id, text_key, n_shingles, digest of the set, the places where it may meet partners, and its parity map.
+
+    Places are 64-bit hashes: those of the prefix, rarest first, or what ``places`` makes of a block's sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 sets = shingle_sets(utf8(part.column(1)), shared.value, width)
                 digests = [digest_of(s) for s in sets]
-                prefixes = [s[: prefix_size(len(s), percent)].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "prefix"])
+                prefixes = places(sets) if places else [s[: prefix_size(len(s), percent)].tobytes() for s in sets]
+                maps = [parity(s).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, prefixes, maps))], names=["doc_id", "text_key", "n_shingles", "digest", "prefix", "map"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, prefix binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, prefix binary, map binary")
 
 
 def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
@@ -222,6 +230,21 @@ def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def common_places(nodes: DataFrame) -> DataFrame:
+    """token, node, n, place (0): the places that a node has in common with another one."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(2).to_pylist()
+            times = np.array([len(p) // 8 for p in found], np.int64)
+            node, n = (np.repeat(batch.column(i).to_numpy(), times) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(found), np.int64)), pa.array(node), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["token", "node", "n", "place"])
+
+    made = nodes.select("node", "n", "prefix").mapInArrow(entries, "token bigint, node bigint, n bigint, place bigint").distinct()
+    twice = made.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    return made.join(spread(twice), "token", "left_semi")
+
+
 def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int) -> DataFrame:
     """Compute something from the texts of the wanted rows (doc_id, text_key, digest and more), which are few or many.
 
@@ -246,8 +269,8 @@ def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int
     return docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("text", "digest", *others).mapInArrow(run, schema)
 
 
-class Maps:
-    """The parity map of each node's set."""
+class BlockSets:
+    """The full set of a node, once for each block that it has to come to, in batches of bounded size."""
 
     def __init__(self, rank, width: int):
         self.rank, self.width = rank, width
@@ -255,13 +278,6 @@ class Maps:
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         return shingle_sets(texts, self.rank.value, self.width)
 
-    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([columns[0], pa.array([parity(s).tobytes() for s in sets], pa.binary())], names=["node", "map"])
-
-
-class BlockSets(Maps):
-    """The full set of a node, once for each block that it has to come to, in batches of bounded size."""
-
     def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
 
@@ -421,7 +437,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: i
     return sets.repartition("block").sortWithinPartitions("block", "role", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL, tokens_of=None, with_keys: bool = False) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL, places=None, with_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Two documents link when 100 * intersection >= percent * union of their distinct shingles
@@ -431,24 +447,21 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts give equal components.
 
     ``with_keys`` adds text_key (xxhash64 of the text) and component, which names a component whatever
-    its ids (null without shingles).  ``tokens_of`` (nodes, texts, rank) may name other places to meet than
-    rare shingles: rows of token, node, n and place (0). Pairs are verified in any case.
+    its ids (null without shingles).  ``places`` may name other places to meet than rare shingles: of a block's
+    sets, 64-bit hashes end to end for each. Then no words are counted; pairs are verified in any case.
     """
     docs = text_rows(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    rank = rarity(word_counts(docs))
-    rows = written(described(docs, rank, width, percent), "shingles")
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(COUNTERS, np.uint64) if places else rarity(word_counts(docs)))
+    rows = written(described(docs, shared, width, percent, places), "shingles")
     own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "prefix")).alias("x"), F.min(own).alias("least"))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.text_key").alias("text_key"), F.col("x.n_shingles").alias("n"), F.col("x.prefix").alias("prefix"))
+    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "prefix", "map")).alias("x"), F.min(own).alias("least"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", F.col("x.doc_id").alias("doc_id"), F.col("x.text_key").alias("text_key"), F.col("x.n_shingles").alias("n"), F.col("x.prefix").alias("prefix"), F.col("x.map").alias("map"))
     nodes = written(nodes, "nodes")  # the numbers of nodes are drawn once
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
     once = docs  # one row for each id and text
     if rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
         once = docs.dropDuplicates(["doc_id", "text"])
-    tokens = tokens_of(nodes, once, shared) if tokens_of else shared_tokens(nodes, percent)
-    tokens = written(tokens, "tokens")
-    wanted = written(nodes.join(spread(tokens.select("node").distinct()), "node").select("node", "doc_id", "text_key", "digest"), "wanted")
-    maps = written(from_texts(once, wanted, Maps(shared, width), "node bigint, map binary", small), "maps").dropDuplicates(["node"])
+    tokens = written(common_places(nodes) if places else shared_tokens(nodes, percent), "tokens")
+    maps = nodes.select("node", "map")
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

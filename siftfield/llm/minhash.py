@@ -18,8 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import shingle_hashes, spread, word_hashes, written
-from siftfield.llm.jaccard_join import SMALL, Maps, from_texts, similar_groups
+from siftfield.llm.common import shingle_hashes, word_hashes
+from siftfield.llm.jaccard_join import SMALL, from_texts, similar_groups  # noqa: F401  a test counts the calls of from_texts here too
 
 PERMUTATIONS, WIDTH, SEED = 64, 5, 20
 #: Texts in blocks of about so many bytes; rows of a range of ids, and ranges at most.
@@ -131,21 +131,11 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     return in_id_ranges(docs).mapInArrow(run, SCHEMA)
 
 
-class Bands(Maps):
-    """A hash of each band of a node's signature, with the band's number in it."""
-
-    def __init__(self, rank, width: int, bands: int):
-        super().__init__(rank, width)
-        self.bands = bands
-
-    def __call__(self, sets: list[np.ndarray], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
-        signs = minima(np.concatenate(sets) if sets else np.empty(0, np.uint64), bounds)
-        rows = PERMUTATIONS // self.bands
-        tokens = [xxhash.xxh3_64_intdigest(signs[i, b * rows : (b + 1) * rows].tobytes(), b) for i in range(len(sets)) for b in range(self.bands)]
-        flat = np.array(tokens, np.uint64).view(np.int64)
-        node, n = (np.repeat(c.to_numpy(zero_copy_only=False), self.bands) for c in columns)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(n), pa.array(np.zeros(len(flat), np.int64))], names=["token", "node", "n", "place"])
+def band_hashes(sets: list[np.ndarray], bands: int) -> list[bytes]:
+    """Of each set, a hash of each band of its signature, with the band's number in it, end to end."""
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+    signs, rows = minima(np.concatenate(sets) if sets else np.empty(0, np.uint64), bounds), PERMUTATIONS // bands
+    return [np.array([xxhash.xxh3_64_intdigest(x[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)], np.uint64).tobytes() for x in signs]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80, bands: int = 16, small: int = SMALL) -> DataFrame:
@@ -154,11 +144,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     With 16 bands of 4 values a pair at the bound of 0.8 is missed about twice in ten thousand; pairs
     are verified on their full sets. Null, empty and repeated rows count as in the n-gram join.
     """
-
-    def tokens_of(nodes: DataFrame, texts: DataFrame, rank) -> DataFrame:
-        wanted = nodes.select("doc_id", "text_key", "digest", "node", "n")
-        made = written(from_texts(texts, wanted, Bands(rank, width, bands), "token bigint, node bigint, n bigint, place bigint", small), "bands").distinct()
-        twice = made.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-        return made.join(spread(twice), "token", "left_semi")
-
-    return similar_groups(df, id_col, text_col, width, percent, small=small, tokens_of=tokens_of)
+    return similar_groups(df, id_col, text_col, width, percent, small=small, places=lambda sets: band_hashes(sets, bands))

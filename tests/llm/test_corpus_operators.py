@@ -447,3 +447,32 @@ def test_null_and_repeated_ids_cost_no_more_than_others(spark, monkeypatch, smal
     assert Counter(map(tuple, jaccard_join.similar_groups(df, small=small_).collect())) == want
     found = minhash.near_duplicates(df, width=3, percent=90, small=small_)
     assert Counter(map(tuple, found.collect())) == want
+
+
+def test_bands_and_maps_come_of_one_pass(spark, monkeypatch):
+    """Sets are made once for all texts, and again for the pairs that are verified; no words are counted for bands."""
+    rows = [(i, " ".join(f"p{i // 2}w{j}" for j in range(80)) + (" more" if i % 2 else "")) for i in range(40)] + [(99, None), (None, "")]
+    df, calls, plain = spark.createDataFrame(rows, "doc_id bigint, text string"), [], jaccard_join.from_texts
+
+    def called(docs, wanted, made, schema, small):
+        calls.append(schema)
+        return plain(docs, wanted, made, schema, small)
+
+    for module in (jaccard_join, minhash):
+        monkeypatch.setattr(module, "from_texts", called)
+    monkeypatch.setattr(jaccard_join, "word_counts", lambda docs: calls.append("words") or np.zeros(jaccard_join.COUNTERS, np.int64))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {d: x for (d, _), x in zip(rows, h.components(rows, 5, 80))}
+    assert calls and all("hashes" in x for x in calls)  # sets of pairs alone
+    calls.clear()
+    jaccard_join.similar_groups(df).count()
+    assert calls[0] == "words" and all("hashes" in x for x in calls[1:])
+
+
+def test_places_of_different_shingles_that_agree(monkeypatch):
+    """Shingles in one place of the common order are sorted by hash, and repeats go."""
+    monkeypatch.setattr(jaccard_join, "mix64", lambda x: x * np.uint64(0))
+    words = [b"a b c a b c a b c d", b"", b"x", b"one two three four one two three"]
+    sets = jaccard_join.shingle_sets(words, np.zeros(jaccard_join.COUNTERS, np.uint64), 3)
+    assert [len(s) for s in sets] == [len(h.shingles(w.decode())) for w in words]
+    assert all(len(np.unique(s)) == len(s) for s in sets)
