@@ -94,24 +94,35 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Powers are kept for the largest text so far, up to so many bytes.
+KEPT_POWERS = 9 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
     size = 1 << max(16, (n - 1).bit_length()) if n < 1 << 20 else -(-n // (1 << 18)) << 18
-    if size not in _powers:
+    held = max(_powers, default=0)
+    if held < size or held > max(size, KEPT_POWERS):
         _powers.clear()
+        held = size
         with np.errstate(over="ignore"):
-            _powers[size] = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (BASE, UNBASE))
-    up, down = _powers[size]
+            _powers[size] = np.full(size, BASE), np.full(size, UNBASE)
+            for x in _powers[size]:
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+    up, down = _powers[held]
     return up[:n], down[:n]
 
 
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """P[i]: the polynomial hash of the first i bytes, so that any substring's hash takes one subtraction."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw))[0], out=out[1:])
+    own = out[1:]  # in place: texts of some MB take eight times their size once
+    own[:] = raw
+    own += np.uint64(1)
+    own *= powers(len(raw))[0]
+    np.cumsum(own, out=own)
     return out
 
 

@@ -37,6 +37,8 @@ LENGTH, GRAM = 50, 20
 #: Texts longer than CUT are looked at in pieces; bytes of text per bucket, and per group of documents
 #: whose finds are put together; ids to broadcast at most.
 CUT, BUCKET_BYTES, GROUP_BYTES, SMALL = 1_000_000, 16_000_000, 64_000_000, 400_000
+#: Bytes whose anchors are found at once (some twenty arrays of eight times the size); parts of a bucket that are sorted one by one.
+PIECE, PARTS = 1 << 18, 8
 #: Documents of an anchor beyond which its runs are dealt one by one; the bit of an entry that stands for a whole block.
 HOT, WHOLE = 20_000, 1 << 31
 LAST_ID = (1 << 63) - 1
@@ -51,12 +53,13 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
     ``length - 1``, so each run lies in one piece; an anchor may then come once for each piece.
     """
     found: list[tuple[np.ndarray, ...]] = []
-    pieces = [(d, s, t[s : s + CUT + length - 1]) for d, t in enumerate(texts) for s in range(0, max(len(t) - length + 1, 0), CUT)]
+    cut = min(CUT, PIECE)
+    pieces = [(d, s, t[s : s + cut + length - 1]) for d, t in enumerate(texts) for s in range(0, max(len(t) - length + 1, 0), cut)]
     held, size = [], 0
     for i, piece in enumerate(pieces):
         held.append(piece)
         size += len(piece[2])
-        if size < CUT and i + 1 < len(pieces):
+        if size < cut and i + 1 < len(pieces):
             continue
         raw = np.frombuffer(b"".join(p[2] for p in held), np.uint8)
         ends = np.cumsum([len(p[2]) for p in held])
@@ -192,21 +195,27 @@ def repeated_anchors(rows: DataFrame, groups: int, hot: int) -> DataFrame:
         if bucket < 0:
             return pa.table({"part": [-1 - bucket], "ids": [ids.tobytes()], "places": [places.tobytes()]}, schema=kinds)
         hashes = np.concatenate(hashes)
-        order = np.argsort(hashes)
-        starts, group = runs_of(hashes[order])
-        least, most = np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
-        whole = places[order] >= WHOLE
-        times = np.add.reduceat(np.where(whole, places[order].astype(np.int64) - WHOLE, 1), starts)
-        again = (least != most) | (np.add.reduceat(whole.astype(np.int64), starts) > 0)
-        keep = order[again[group] & ~whole]
+        keep, frequent = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for x in range(PARTS):
+            order = np.flatnonzero(hashes % np.uint64(PARTS) == x)
+            order = order[np.argsort(hashes[order])]
+            if not len(order):
+                continue
+            own, at = ids[order], places[order]
+            starts, group = runs_of(hashes[order])
+            whole = at >= WHOLE
+            times = np.add.reduceat(np.where(whole, at.astype(np.int64) - WHOLE, 1), starts)
+            again = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)) | (np.add.reduceat(whole.astype(np.int64), starts) > 0)
+            keep.append(order[again[group] & ~whole])
+            many = np.flatnonzero(times > hot)
+            frequent.append((hashes[order[starts[many]]] << np.uint64(16)) | (1024 * np.log2(times[many])).astype(np.uint64))
+        keep, many = np.concatenate(keep), np.concatenate(frequent)
         order_, part, sizes = grouped(ids[keep], groups)
         keep = keep[order_]
-        many = np.flatnonzero(times > hot)
-        frequent = (hashes[order][starts[many]] << np.uint64(16)) | (1024 * np.log2(times[many])).astype(np.uint64)
         part = np.concatenate((part, [-1 - bucket] if len(many) else []))
         packs = [packed(ids[keep], sizes), packed(places[keep], sizes)]
         if len(many):
-            packs = [pa.concat_arrays([packs[0], pa.array([b""], pa.binary())]), pa.concat_arrays([packs[1], pa.array([frequent.tobytes()], pa.binary())])]
+            packs = [pa.concat_arrays([packs[0], pa.array([b""], pa.binary())]), pa.concat_arrays([packs[1], pa.array([many.tobytes()], pa.binary())])]
         return pa.table({"part": part.astype(np.int64), "ids": packs[0], "places": packs[1]}, schema=kinds)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
