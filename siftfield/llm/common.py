@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -188,6 +190,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def released() -> None:
+    """Hand back to the system what earlier tasks of this Python worker have freed; else it stays with the worker,
+    which Spark uses for all stages, and adds to what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can't tell
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand texts to Python in batches of some MB; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

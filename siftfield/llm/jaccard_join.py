@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import blocks, mix64, shingle_hashes, spread, text_rows, utf8, word_hashes, written
+from siftfield.llm.common import blocks, mix64, released, shingle_hashes, spread, text_rows, utf8, word_hashes, written
 from siftfield.llm.components import components
 
 WIDTH, PERCENT = 3, 90
@@ -151,6 +151,7 @@ def described(docs: DataFrame, shared, width: int, percent: int, places=None) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 sets = shingle_sets(utf8(part.column(1)), shared.value, width)
@@ -254,6 +255,7 @@ def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int
     others = [c for c in wanted.columns if c not in ("doc_id", "text_key", "digest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 sets, keep, last = [], [], (None, None)

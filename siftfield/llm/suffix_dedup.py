@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import blocks, mix64, powers, prefix_hashes, sliding_min, spread, utf8, written
+from siftfield.llm.common import blocks, mix64, powers, prefix_hashes, released, sliding_min, spread, utf8, written
 
 LENGTH, GRAM = 50, 20
 #: Texts longer than CUT are looked at in pieces; bytes of text per bucket, and per group of documents
@@ -149,6 +149,7 @@ def anchor_rows(reps: DataFrame, buckets: int, groups: int) -> DataFrame:
     documents, the places that the block itself knows to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in blocks(batch, "text", CUT):
                 ords = part.column(0).to_numpy()
@@ -285,6 +286,7 @@ def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -
     names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in blocks(batch, "text", 2 * CUT):
                 ords, tags, raw = part.column(0).to_numpy(), np.frombuffer(b"".join(part.column(1).to_pylist()), TAG), utf8(part.column(2))
@@ -477,6 +479,7 @@ def cuts_of_buckets(rows: DataFrame, groups: int) -> DataFrame:
                 for k, v in (("ids", np.repeat(np.frombuffer(own, np.int64), counts).tobytes()), ("tags", np.repeat(np.frombuffer(tags, TAG), counts).tobytes()), ("lows", low), ("highs", high)):
                     columns[k].append(v)
             return pa.table({"part": [-1 - bucket], **{k: [b"".join(v)] for k, v in columns.items()}}, schema=kinds)
+        released()
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("ord", "tag", "hash", "low", "extra", "offset")}
         text = b"".join(table.column("bytes").to_pylist())
         for own, tags, counts, h, low, spans in zip(*(table.column(c).to_pylist() for c in ("ids", "tags", "counts", "hashes", "lows", "spans"))):
