@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import blocks
+from siftfield.llm.common import REMEMBERED, blocks, trimmed
 
 LONG = 200
 NO_RANK = 1 << 60
@@ -245,6 +245,9 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+REMEMBERED.append(loaded.cache_clear)  # some 200 MB of words on a large corpus, for tasks of this operator alone
+
+
 def encode_texts(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Add the ids of every text (array of int) and the text decoded from them.
 
@@ -257,6 +260,7 @@ def encode_texts(df: DataFrame, path: str, text_col: str = "text", ids_col: str
     fields = [f"`{n}` {t}" for n, t in df.dtypes] + [f"`{ids_col}` array<int>", f"`{decoded_col}` string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         bpe = loaded(path)
         for batch in batches:
             for part in blocks(batch, text_col, 1_000_000):

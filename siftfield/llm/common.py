@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -190,14 +190,36 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def released() -> None:
-    """Hand back to the system what earlier tasks of this Python worker have freed; else it stays with the worker,
-    which Spark uses for all stages, and adds to what the next one needs."""
+#: What operators remember in a Python worker from task to task: functions that drop it.
+REMEMBERED: list[Callable[[], object]] = [_powers.clear]
+
+
+def trimmed() -> None:
+    """Hand back to the system what this Python worker has freed."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can't tell
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released() -> None:
+    """Hand back what earlier tasks of this Python worker have freed, or remember for others of their kind; else it
+    stays with the worker, which Spark uses for all stages, and adds to what the next one needs."""
+    for drop in REMEMBERED:
+        drop()
+    trimmed()
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with memory handed back before and after each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        yield from run(batches)
+        released()
+
+    return whole
+
+
 def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand texts to Python in batches of some MB; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

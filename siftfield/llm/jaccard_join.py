@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import blocks, mix64, released, shingle_hashes, spread, text_rows, utf8, word_hashes, written
+from siftfield.llm.common import blocks, mix64, shingle_hashes, spread, text_rows, tidied, utf8, word_hashes, written
 from siftfield.llm.components import components
 
 WIDTH, PERCENT = 3, 90
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
     schema = "shard int, counts binary"
     out = np.zeros((SHARDS, COUNTERS // SHARDS), np.int64)
-    for row in docs.select("text").mapInArrow(count, schema).repartition("shard").mapInArrow(add, schema).collect():
+    for row in docs.select("text").mapInArrow(tidied(count), schema).repartition("shard").mapInArrow(tidied(add), schema).collect():
         out[row["shard"]] += np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)
 
@@ -151,7 +151,6 @@ def described(docs: DataFrame, shared, width: int, percent: int, places=None) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 sets = shingle_sets(utf8(part.column(1)), shared.value, width)
@@ -160,7 +159,7 @@ def described(docs: DataFrame, shared, width: int, percent: int, places=None) ->
                 maps = [parity(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, prefixes, maps))], names=["doc_id", "text_key", "n_shingles", "digest", "prefix", "map"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, prefix binary, map binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidied(run), "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, prefix binary, map binary")
 
 
 def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
@@ -226,8 +225,8 @@ def shared_tokens(nodes: DataFrame, percent: int) -> DataFrame:
             yield out(held, last=True)
 
     schema = "token bigint, node bigint, what bigint"
-    rows = nodes.select("node", "n", "prefix").mapInArrow(entries, schema).repartitionByRange("token", "what").sortWithinPartitions("token", "what")
-    found = rows.mapInArrow(repeated, "token bigint, node bigint, n bigint, place bigint")
+    rows = nodes.select("node", "n", "prefix").mapInArrow(tidied(entries), schema).repartitionByRange("token", "what").sortWithinPartitions("token", "what")
+    found = rows.mapInArrow(tidied(repeated), "token bigint, node bigint, n bigint, place bigint")
     return found
 
 
@@ -241,7 +240,7 @@ def common_places(nodes: DataFrame) -> DataFrame:
             node, n = (np.repeat(batch.column(i).to_numpy(), times) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(found), np.int64)), pa.array(node), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["token", "node", "n", "place"])
 
-    made = nodes.select("node", "n", "prefix").mapInArrow(entries, "token bigint, node bigint, n bigint, place bigint").distinct()
+    made = nodes.select("node", "n", "prefix").mapInArrow(tidied(entries), "token bigint, node bigint, n bigint, place bigint").distinct()
     twice = made.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     return made.join(spread(twice), "token", "left_semi")
 
@@ -255,7 +254,6 @@ def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int
     others = [c for c in wanted.columns if c not in ("doc_id", "text_key", "digest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         for batch in batches:
             for part in blocks(batch, "text", 1_000_000):
                 sets, keep, last = [], [], (None, None)
@@ -268,7 +266,7 @@ def from_texts(docs: DataFrame, wanted: DataFrame, made, schema: str, small: int
                 yield from made([sets[i] for i in which], [c.take(pa.array(which)) for c in part.columns[2:]])
 
     wanted = F.broadcast(wanted) if wanted.count() <= small else wanted
-    return docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("text", "digest", *others).mapInArrow(run, schema)
+    return docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("text", "digest", *others).mapInArrow(tidied(run), schema)
 
 
 class BlockSets:
@@ -364,7 +362,7 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             yield from emit(held)
 
     columns = ["cell", "n", "node", "group", "left", "place", "before", "map"]
-    out = meet.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint, differ bigint")
+    out = meet.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidied(run), "a bigint, b bigint, differ bigint")
     if closest:
         return out.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     return out.select("a", "b").distinct()
@@ -436,7 +434,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: i
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     sets = from_texts(docs, wanted, BlockSets(rank, width), "block bigint, role int, node bigint, hashes binary", small)
-    return sets.repartition("block").sortWithinPartitions("block", "role", "node").mapInArrow(run, "a bigint, b bigint")
+    return sets.repartition("block").sortWithinPartitions("block", "role", "node").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, small: int = SMALL, places=None, with_keys: bool = False) -> DataFrame:
@@ -475,7 +473,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.binary()), pa.array([parities] * len(found), pa.binary())], names=["token", "node", "n", "place", "before", "map"])
 
     mine = tokens.groupBy("node").agg(F.collect_list(F.struct("token", "n", "place")).alias("found"))  # no more than a prefix
-    entries = mine.join(maps, "node").mapInArrow(in_order, "token bigint, node bigint, n bigint, place bigint, before binary, map binary")
+    entries = mine.join(maps, "node").mapInArrow(tidied(in_order), "token bigint, node bigint, n bigint, place bigint, before binary, map binary")
     entries = written(entries, "entries")
 
     nodes = nodes.select("node", "doc_id", "text_key", "digest", "least")

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftfield.llm.common import blocks, mix64, powers, prefix_hashes, released, sliding_min, spread, utf8, written
+from siftfield.llm.common import blocks, mix64, powers, prefix_hashes, released, sliding_min, spread, tidied, trimmed, utf8, written
 
 LENGTH, GRAM = 50, 20
 #: Texts longer than CUT are looked at in pieces; bytes of text per bucket, and per group of documents
 #: whose finds are put together; ids to broadcast at most.
 CUT, BUCKET_BYTES, GROUP_BYTES, SMALL = 1_000_000, 16_000_000, 64_000_000, 400_000
-#: Bytes whose anchors are found at once (some twenty arrays of eight times the size); parts of a bucket that are sorted one by one.
+#: Bytes whose anchors are found, or whose suffixes are sorted, at once (some twenty arrays of eight times the size); parts of a bucket that are sorted one by one.
 PIECE, PARTS = 1 << 18, 8
 #: Documents of an anchor beyond which its runs are dealt one by one; the bit of an entry that stands for a whole block.
 HOT, WHOLE = 20_000, 1 << 31
@@ -149,7 +149,6 @@ def anchor_rows(reps: DataFrame, buckets: int, groups: int) -> DataFrame:
     documents, the places that the block itself knows to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         for batch in batches:
             for part in blocks(batch, "text", CUT):
                 ords = part.column(0).to_numpy()
@@ -164,7 +163,7 @@ def anchor_rows(reps: DataFrame, buckets: int, groups: int) -> DataFrame:
                     places = [np.ascontiguousarray(found["place"][i:j].astype(np.uint32).view(np.uint16).reshape(-1, 2).T).tobytes() for i, j in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(x, pa.binary()) for x in (ids, counts, hashes, places))], names=["bucket", "ids", "counts", "hashes", "places"])
 
-    return reps.select("key", "text").mapInArrow(run, ANCHORS)
+    return reps.select("key", "text").mapInArrow(tidied(run), ANCHORS)
 
 
 def grouped(ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +238,7 @@ def hot_anchors(places: DataFrame, most: int) -> np.ndarray:
             x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(16)).view(np.int64)), pa.array((x & np.uint64(0xFFFF)).astype(np.int64))], names=["hash", "times"])
 
-    rows = places.filter("key is null").select("places").mapInArrow(flat, "hash bigint, times bigint").orderBy(F.desc("times"), "hash").limit(most).toArrow()
+    rows = places.filter("key is null").select("places").mapInArrow(tidied(flat), "hash bigint, times bigint").orderBy(F.desc("times"), "hash").limit(most).toArrow()
     return np.sort(rows.column("hash").to_numpy().view(np.uint64))
 
 
@@ -286,11 +285,11 @@ def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -
     names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        released()
         for batch in batches:
             for part in blocks(batch, "text", 2 * CUT):
                 ords, tags, raw = part.column(0).to_numpy(), np.frombuffer(b"".join(part.column(1).to_pylist()), TAG), utf8(part.column(2))
                 found = anchors(raw)
+                trimmed()  # its arrays' memory, before the hashes of the whole block take theirs
                 wanted = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | (d << 40) for d, x in enumerate(part.column(3).to_pylist())])
                 keep = np.isin(found["place"] | (found["doc"] << 40), wanted)
                 flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -316,7 +315,7 @@ def context_rows(texts: DataFrame, buckets: int, groups: int, hot: np.ndarray) -
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     # all columns go in, so that the exchange of the texts is the one that the cutting uses again
-    return texts.select("ord", "tag", "text", "places", "rest").mapInArrow(run, CONTEXTS)
+    return texts.select("ord", "tag", "text", "places", "rest").mapInArrow(tidied(run), CONTEXTS)
 
 
 class Suffixes:
@@ -388,7 +387,7 @@ def equal_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return out
 
 
-def earlier_runs(members: dict[str, np.ndarray], raw: np.ndarray, slice_bytes: int = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def earlier_runs(members: dict[str, np.ndarray], raw: np.ndarray, slice_bytes: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """member, first byte, end (in its document): what members of a bucket have to give up.
 
     members: ord, hash, low, extra (runs beyond the first), offset (of the anchor), start (in raw).
@@ -560,7 +559,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = np.stack((np.zeros(len(n), np.int64), n), axis=1).astype(np.uint32).reshape(-1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(pairs, np.full(len(n), 2))], names=["ord", "tag", "cuts"])
 
-    found = found.unionByName(copies.select("ord", "tag", "n_bytes").mapInArrow(all_of, "ord bigint, tag binary, cuts binary"))
+    found = found.unionByName(copies.select("ord", "tag", "n_bytes").mapInArrow(tidied(all_of), "ord bigint, tag binary, cuts binary"))
     cuts = keyed(found).groupBy("key").agg(F.collect_list(F.struct("tag", "cuts")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -579,7 +578,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, types), left, part.column(4)], names=["doc_id", "n_bytes", "spans", "kept", "rest"])
 
     kinds = f"doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}, rest {docs.schema['rest'].dataType.simpleString()}"
-    out = docs.join(cuts, "key", "left").select("ord", "tag", "text", "cuts", "rest").mapInArrow(run, kinds)
+    out = docs.join(cuts, "key", "left").select("ord", "tag", "text", "cuts", "rest").mapInArrow(tidied(run), kinds)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 
 

@@ -1,19 +1,22 @@
 """Operators that compare or count over the whole corpus."""
 
+import gc
 import gzip
 import hashlib
 import io
 import math
 import tracemalloc
+import weakref
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import tests.llm.helpers as h
-from siftfield.llm import common, gru_lm, jaccard_join, minhash, mixing, suffix_dedup, warc
+from siftfield.llm import bpe, common, gru_lm, jaccard_join, minhash, mixing, suffix_dedup, warc
 from siftfield.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -464,6 +467,34 @@ def test_removal_takes_little_memory_beside_its_texts():
     assert peak < 75e6
 
 
+def test_sorting_a_bucket_takes_little_memory():
+    """Suffixes are sorted in slices; the plain result doesn't depend on their size."""
+    rng = np.random.default_rng(13)
+    n = 24_000
+    unit = rng.integers(97, 123, (n // 2, 64)).astype(np.uint8)
+    raw = np.concatenate([np.concatenate((x, x ^ np.array([1] + [0] * 63, np.uint8))) for x in unit])
+    members = {"ord": np.arange(n), "hash": np.repeat(np.arange(n // 2), 2).astype(np.uint64), "low": np.zeros(n, np.int64), "extra": np.full(n, 14), "offset": np.full(n, 30), "start": np.arange(n) * 64}
+    common._powers.clear()
+    tracemalloc.start()
+    got = suffix_dedup.earlier_runs(members, raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    want = suffix_dedup.earlier_runs(members, raw, slice_bytes=1 << 30)
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in want))) and len(got[0]) == 14 * n // 2
+
+
+def test_workers_forget_what_other_operators_remember():
+    """A worker that has encoded texts doesn't hold the vocabulary and its words beside the tasks of the other stages."""
+    words = bpe.loaded(public_tokenizers.path("word_bpe_49k.json"))
+    words.encode("one two three")
+    words = weakref.ref(words)
+    common.powers(1 << 21)
+    assert list(common.tidied(iter)(iter([1, 2]))) == [1, 2]
+    gc.collect()
+    assert words() is None and not bpe.loaded.cache_info().currsize and not common._powers
+
+
 def test_powers_are_those_of_the_base():
     up, down = common.powers(3_000_000)
     assert len(up) == len(down) == 3_000_000 and int(up[2_999_999]) == pow(int(common.BASE), 2_999_999, 1 << 64)
