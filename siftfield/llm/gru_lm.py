@@ -43,6 +43,8 @@ SHARD_TOKENS, ROUNDS, HELD = 1_000_000, 2, 3_000_000
 SEGMENT, FULL = 2048, 1 << 15
 #: Weights in a piece of a network on its way to the average, and rows of a block of logits.
 PIECE, ROWS = 1 << 16, 2048
+#: Weights of which an update makes all its passes before it goes on (they stay in a core's cache), and terms of a sum that are added step by step.
+NEAR, FEW = 1 << 14, 8
 #: Symbols: a word that isn't in the vocabulary, the end, then the vocabulary by frequency.
 OTHER, END, FIRST = 0, 1, 2
 
@@ -143,6 +145,24 @@ def class_bounds(symbols: int) -> np.ndarray:
     return np.array(out)
 
 
+def by_value(x: np.ndarray, most: int) -> np.ndarray:
+    """The order that sorts integers from 0 to ``most``, equals as they come: by 16 bits at a time, which numpy does by radix."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return order if most < 1 << 16 else order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def sums_of_runs(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``rows[order]``; runs begin at ``starts``.  Short runs, which are most, go term by term, all runs together."""
+    count = np.diff(np.append(starts, len(order)))
+    out = rows[order[starts]]
+    for k in range(1, FEW):
+        live = np.flatnonzero(count > k)
+        out[live] += rows[order[starts[live] + k]]
+    for i in np.flatnonzero(count > FEW).tolist():
+        out[i] += rows[order[starts[i] + FEW : starts[i] + count[i]]].sum(axis=0)
+    return out
+
+
 class Network:
     """Weights of the network, as one flat vector with views on it.
 
@@ -234,7 +254,7 @@ class Network:
         n, h, one = len(y), self.h, self.kind(1)
         # states lie between -1 and 1, so the longest row of weights bounds all logits; small ones need no shift before exp
         shift = max(np.einsum("ij,ij->i", w, w).max() for w in (self.views["wg"], self.views["wc"], self.views["ww"])) * (h + 1) > 60**2
-        order = np.argsort(self.of[y], kind="stable")  # by class, and so by group
+        order = by_value(self.of[y], self.c)  # by class, and so by group
         word = y[order]
         which = self.of[word]
         group = self.group_of[which]
@@ -295,30 +315,34 @@ class Network:
         d_b = np.empty_like(into)
         later, begins = np.zeros_like(states[0]), fresh.any(axis=1)
         z, r = kept["gates"][..., :n], kept["gates"][..., n:]
-        # what the chain rule needs of each step beside the gradient that comes back to its state
-        by_new = (1 - z) * (1 - kept["new"] ** 2)
-        by_z = (kept["before"] - kept["new"]) * z * (1 - z)
-        by_r = by_new * kept["from_h"] * r * (1 - r)
         for t in range(len(x) - 1, -1, -1):
-            d = back[t]
+            d, new, z_, r_ = back[t], kept["new"][t], z[t], r[t]
             d += later
-            np.multiply(d, by_z[t], out=into[t, :, :n])
-            np.multiply(d, by_r[t], out=into[t, :, n : 2 * n])
-            np.multiply(d, by_new[t], out=into[t, :, 2 * n :])
+            # what the chain rule needs of the step beside the gradient that comes back to its state
+            rest = 1 - z_
+            by_new = rest * (1 - new * new)
+            np.multiply(d, by_new, out=into[t, :, 2 * n :])
+            by_new *= kept["from_h"][t]
+            by_new *= r_
+            by_new *= 1 - r_
+            np.multiply(d, by_new, out=into[t, :, n : 2 * n])
+            rest *= z_
+            rest *= kept["before"][t] - new
+            np.multiply(d, rest, out=into[t, :, :n])
             d_b[t, :, : 2 * n] = into[t, :, : 2 * n]
-            np.multiply(into[t, :, 2 * n :], r[t], out=d_b[t, :, 2 * n :])
+            np.multiply(into[t, :, 2 * n :], r_, out=d_b[t, :, 2 * n :])
             np.matmul(d_b[t], u, out=later)
-            d *= z[t]
+            d *= z_
             later += d
             if begins[t]:
                 later[fresh[t]] = 0
         np.matmul(kept["before"].reshape(-1, n).T, d_b.reshape(-1, 3 * n), out=g["u"])
         words, flat = (x.reshape(-1), into.reshape(-1, 3 * n)) if whole else (x[real], into[real])
-        order = np.argsort(words, kind="stable")
+        order = by_value(words, self.m)
         words = words[order]
         starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
         rows = words[starts]
-        g["x"][rows] = np.add.reduceat(flat[order], starts, axis=0)
+        g["x"][rows] = sums_of_runs(flat, order, starts)
         return rows, states[-1].copy()
 
 
@@ -326,7 +350,7 @@ class Adam:
     def __init__(self, net: Network, rate: float):
         self.net, self.rate, self.t = net, rate, 0
         self.m, self.v, self.grad = np.zeros_like(net.flat), np.zeros_like(net.flat), net.empty()
-        self.room = np.empty_like(net.flat[net.views["x"].size :])
+        self.room = np.empty(NEAR, net.kind)
 
     def step(self, rows: np.ndarray) -> None:
         """Take a step by ``grad``; input weights are looked at for the words that were read only."""
@@ -341,7 +365,9 @@ class Adam:
         m, v = first[rows], second[rows]
         x[rows] -= self.change(read, m, v, np.empty_like(read))
         first[rows], second[rows] = m, v
-        self.net.flat[n:] -= self.change(rest, self.m[n:], self.v[n:], self.room)
+        for i in range(n, len(grad.flat), NEAR):
+            part = slice(i, min(i + NEAR, len(grad.flat)))
+            self.net.flat[part] -= self.change(grad.flat[part], self.m[part], self.v[part], self.room[: part.stop - i])
 
     def change(self, grad: np.ndarray, m: np.ndarray, v: np.ndarray, room: np.ndarray) -> np.ndarray:
         """What to take off the weights; updates the means m and v in place, as it does ``grad``."""

@@ -484,6 +484,36 @@ def test_sorting_a_bucket_takes_little_memory():
     assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in want))) and len(got[0]) == 14 * n // 2
 
 
+def test_sums_and_orders_of_the_network_are_the_plain_ones():
+    rng = np.random.default_rng(14)
+    for most in (70, 200_000):
+        x = rng.integers(0, most, 5000)
+        x[:900] = 3
+        order = gru_lm.by_value(x, most)
+        assert (order == np.argsort(x, kind="stable")).all()
+        rows = rng.normal(size=(len(x), 7))
+        starts = np.flatnonzero(np.diff(x[order], prepend=-1))
+        assert np.allclose(gru_lm.sums_of_runs(rows, order, starts), np.add.reduceat(rows[order], starts, axis=0))
+
+
+def test_an_update_needs_no_memory_of_the_size_of_the_network():
+    """Weights are updated in pieces, with the same result as all at once."""
+    counts = gru_lm.Counts(400_000, 40_001, 10, [b"%d" % k for k in range(40_000)], [9] * 40_000, np.empty(0, np.uint64), np.empty(0, np.int64), 0)
+    nets, rng = [gru_lm.Network.start(counts) for _ in range(2)], np.random.default_rng(15)
+    grads, rows = [rng.normal(size=len(nets[0].flat)).astype(np.float32) for _ in range(2)], np.arange(0, 40_000, 7)
+    for net, near in zip(nets, (gru_lm.NEAR, 1 << 30)):
+        adam = gru_lm.Adam(net, 0.01)
+        assert adam.room.nbytes < 1e6 or near != gru_lm.NEAR
+        if near != gru_lm.NEAR:
+            adam.room = np.empty_like(net.flat)
+        for g in grads:
+            adam.grad.flat[:] = g
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(gru_lm, "NEAR", near)
+                adam.step(rows)
+    assert (nets[0].flat == nets[1].flat).all()
+
+
 def test_workers_forget_what_other_operators_remember():
     """A worker that has encoded texts doesn't hold the vocabulary and its words beside the tasks of the other stages."""
     words = bpe.loaded(public_tokenizers.path("word_bpe_49k.json"))
