@@ -6,7 +6,9 @@
    many as a partner may miss plus one: two sets that are similar enough share a prefix shingle.
 3. Nodes meet at each shared prefix shingle.  A pair is looked at where its first common shingle is,
    and goes on if the length filter, the positional filter (what can follow is enough) and the suffix
-   filter pass; the last bounds from below in how many shingles the sets differ, from parity maps.
+   filter pass; the last bounds from below in how many shingles the sets differ, from parity maps.  A map
+   grows with its set, or large sets would pass whatever they hold; where a large node has too many entries
+   to take its map along to each, they take it folded, and its pairs are looked at again by the whole maps.
 4. Pairs that go on are verified once on the full sets.  First each node only meets its closest
    partner; then only pairs across the components found so far are looked at, all of them.  So a
    group of n near copies costs about n pairs and not n * n, and no link between groups is lost.
@@ -32,7 +34,9 @@ from siftfield.llm.components import components
 
 WIDTH, PERCENT = 3, 90
 #: Counters for words; bits of a parity map; nodes of a shingle that meet in one task; rows to broadcast at most.
-COUNTERS, MAP_LEAST, MAP_MOST, HOT, SMALL = 1 << 18, 512, 2048, 4096, 400_000
+COUNTERS, MAP_LEAST, MAP_MOST, HOT, SMALL = 1 << 18, 512, 1 << 17, 4096, 400_000
+#: Bits of a map that any entry takes along; bytes for each shingle up to which a node's entries take more in all.
+MAP_FREE, MAP_SHARE = 2048, 16
 #: Neighbours that an entry is compared with before it has to meet a partner in full.
 LOOK = 128
 #: Earlier shared shingles that go with an entry; a pair that shares one of them was met there. With more
@@ -109,10 +113,23 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def map_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the whole maps of sets of n shingles."""
+    return np.clip(1 << np.frexp(np.maximum(n // 2, 1))[1].astype(np.int64), MAP_LEAST, MAP_MOST)
+
+
+def entry_map(raw: bytes, n: int, entries: int) -> bytes:
+    """The map that goes with each of a node's entries, folded until all of them take MAP_SHARE * n bytes at most."""
+    x = np.frombuffer(raw, np.uint64)
+    while 64 * len(x) > MAP_FREE and 8 * len(x) * entries > MAP_SHARE * n:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def parity(hashes: np.ndarray) -> np.ndarray:
     """A map of bits, about half as many as shingles; sets that differ in d shingles have maps that differ in
     d bits at most. Folding a map (one half over the other) gives the map of half the size."""
-    bits = min(MAP_MOST, max(MAP_LEAST, 1 << max(len(hashes) // 2, 1).bit_length()))
+    bits = int(map_bits(np.array([len(hashes)]))[0])
     odd = np.bincount((hashes >> np.uint64(30)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -123,24 +140,27 @@ class ParityMaps:
     def __init__(self, raw: list[bytes]):
         self.raw = [np.frombuffer(x, np.uint64) for x in raw]
         self.size = np.array([len(x) for x in self.raw])
-        self.at: dict[int, np.ndarray] = {}
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def folded(self, size: int) -> np.ndarray:
+    def folded(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of this size, and where that of each set is (of those that have as many bits)."""
         if size not in self.at:
-            out = np.zeros((len(self.raw), size), np.uint64)
-            for row, x in zip(out, self.raw):
-                if len(x) >= size:
-                    row[:] = np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
-            self.at[size] = out
+            which = np.flatnonzero(self.size >= size)
+            out, place = np.zeros((len(which), size), np.uint64), np.zeros(len(self.raw), np.int64)
+            place[which] = np.arange(len(which))
+            for row, i in zip(out, which.tolist()):
+                row[:] = np.bitwise_xor.reduce(self.raw[i].reshape(-1, size), axis=0)
+            self.at[size] = out, place
         return self.at[size]
 
     def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out, size = np.empty(len(a), np.int64), np.minimum(self.size[a], self.size[b])
         for s in np.unique(size).tolist():
-            which, maps = np.flatnonzero(size == s), self.folded(s)
-            for k in range(0, len(which), 100_000):
-                w = which[k : k + 100_000]
-                out[w] = np.bitwise_count(maps[a[w]] ^ maps[b[w]]).sum(axis=1, dtype=np.int64)
+            which, (maps, place) = np.flatnonzero(size == s), self.folded(s)
+            step = max(1, 3_200_000 // s)  # of pairs, whose maps take some 25 MB a side
+            for k in range(0, len(which), step):
+                w = which[k : k + step]
+                out[w] = np.bitwise_count(maps[place[a[w]]] ^ maps[place[b[w]]]).sum(axis=1, dtype=np.int64)
         return out
 
 
@@ -297,7 +317,7 @@ class BlockSets:
 
 
 def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """a, b: pairs of nodes of different groups that pass the filters.
+    """a, b, coarse: pairs of nodes of different groups that pass the filters; coarse where a map was folded.
 
     ``meet``: cell, n, node, group, left (side of a cell of two sides, else -1), place (of the shingle in
     the set), before (the node's shared shingles before it), map.  ``closest``: of each node only the
@@ -309,6 +329,7 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
         order = np.lexsort((rows["node"], rows["n"]))
         n, node, group, place, left = (rows[k][order] for k in ("n", "node", "group", "place", "left"))
         maps, before = ParityMaps([raw[i] for i in order]), [before[i] for i in order]
+        whole = map_bits(n) // 64
         found: list[tuple[np.ndarray, ...]] = []
         step = max(1, 500_000 // len(n))
         for low in range(0, len(n), step):
@@ -331,8 +352,8 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             if not closest:  # at the first common shingle only
                 own = np.array([not len(np.intersect1d(before[i], before[j], assume_unique=True)) for i, j in zip(a, b)], bool)
                 a, b, differ = a[own], b[own], differ[own]
-            found.append((node[a], node[b], differ))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+            found.append((node[a], node[b], differ, np.minimum(maps.size[a], maps.size[b]) < np.minimum(whole[a], whole[b])))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -343,9 +364,9 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             before = [np.frombuffer(x or b"", np.int64) for x in rows.column("before").to_pylist()]
             for i, j in zip(cuts, cuts[1:]):
                 if j - i > 1:
-                    a, b, differ = pairs({k: v[i:j] for k, v in arrays.items()}, before[i:j], maps[i:j])
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(differ)], names=["a", "b", "differ"])
+                    found = pairs({k: v[i:j] for k, v in arrays.items()}, before[i:j], maps[i:j])
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "differ", "coarse"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -362,10 +383,10 @@ def candidates(meet: DataFrame, percent: int, closest: bool) -> DataFrame:
             yield from emit(held)
 
     columns = ["cell", "n", "node", "group", "left", "place", "before", "map"]
-    out = meet.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidied(run), "a bigint, b bigint, differ bigint")
+    out = meet.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidied(run), "a bigint, b bigint, differ bigint, coarse boolean")
     if closest:
-        return out.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    return out.select("a", "b").distinct()
+        return out.groupBy("a").agg(F.min(F.struct("differ", "b", "coarse")).alias("x")).select("a", "x.b", "x.coarse")
+    return out.select("a", "b", "coarse").distinct()
 
 
 CELL = ["cell", "n", "node", "group", "left", "place", "before", "map"]
@@ -399,6 +420,22 @@ def across(entries: DataFrame, hot: int) -> DataFrame:
     return rows.withColumn("cell", F.xxhash64("token", "to.kind", "to.a", "to.b")).withColumn("left", F.col("to.left")).select(*CELL)
 
 
+def told_apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the suffix filter by the whole maps of their nodes; a map takes a sixtieth of a set or so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.arange(batch.num_rows)
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = ParityMaps([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()]).differ(k, k + len(k))
+            ok = pa.array(differ <= n - 2 * -(-percent * n // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
+
+    maps = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}"))
+    rows = pairs.select("a", "b").join(maps("a"), "a").join(maps("b"), "b")
+    return rows.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(tidied(run), "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: int, percent: int, small: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, counted on the full sets of their texts.
 
@@ -406,6 +443,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rank, width: i
     the hub's set comes to a block once, and so does that of each partner.
     """
     pairs = written(pairs, "pairs")
+    if pairs.filter("coarse").limit(1).count():
+        pairs = written(pairs.filter("not coarse").select("a", "b").unionByName(told_apart(pairs.filter("coarse"), nodes, percent)), "pairs-left")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
     rows = pairs.join(spread(degree.select(F.col("node").alias("a"), F.col("k").alias("of_a"))), "a").join(spread(degree.select(F.col("node").alias("b"), F.col("k").alias("of_b"))), "b")
     first = (F.col("of_a") > F.col("of_b")) | ((F.col("of_a") == F.col("of_b")) & (F.col("a") < F.col("b")))
@@ -470,13 +509,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 tokens = np.array([x["token"] for x in found], np.int64)
                 columns = [pa.array(tokens), pa.array([node] * len(found), pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in ("n", "place"))]
                 before = [tokens[: min(k, SEEN)].tobytes() for k in range(len(found))]
+                parities = entry_map(parities, found[0]["n"], len(found))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.binary()), pa.array([parities] * len(found), pa.binary())], names=["token", "node", "n", "place", "before", "map"])
 
     mine = tokens.groupBy("node").agg(F.collect_list(F.struct("token", "n", "place")).alias("found"))  # no more than a prefix
     entries = mine.join(maps, "node").mapInArrow(tidied(in_order), "token bigint, node bigint, n bigint, place bigint, before binary, map binary")
     entries = written(entries, "entries")
 
-    nodes = nodes.select("node", "doc_id", "text_key", "digest", "least")
+    nodes = nodes.select("node", "doc_id", "text_key", "digest", "least", "n", "map")
     check = lambda pairs: verified(pairs, nodes, once, shared, width, percent, small)
     alone = entries.withColumns({"group": F.col("node"), "before": F.lit(None).cast("binary")})
     sizes = entries.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > hot)

@@ -561,3 +561,35 @@ def test_places_of_different_shingles_that_agree(monkeypatch):
     sets = jaccard_join.shingle_sets(words, np.zeros(jaccard_join.COUNTERS, np.uint64), 3)
     assert [len(s) for s in sets] == [len(h.shingles(w.decode())) for w in words]
     assert all(len(np.unique(s)) == len(s) for s in sets)
+
+
+@pytest.mark.parametrize("copies", [(), (0, 1)])
+def test_large_sets_that_share_one_shingle_are_told_apart_by_maps(spark, monkeypatch, copies):
+    """Sets of thousands of shingles are sent for pairs that may be similar alone, also where maps go folded with the entries."""
+    rng, plain, sent = np.random.default_rng(21), jaccard_join.from_texts, set()
+    texts = [[*"pqrst", *(f"w{k}" for k in rng.integers(0, 2000, 6000))] for _ in range(12)]
+    texts += [[f"x{i}" if i % 60 == 30 else w for i, w in enumerate(texts[k])] for k in copies]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def noted(docs, wanted, *rest):
+        sent.update(r.doc_id for r in wanted.collect())
+        return plain(docs, wanted, *rest)
+
+    monkeypatch.setattr(jaccard_join, "from_texts", noted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), width=5, percent=80).collect()}
+    assert got == {i: c for (i, _), (_, c) in zip(rows, h.components(rows, 5, 80))} == {**{i: i for i in range(12)}, **{12 + k: k for k in copies}}
+    assert sent == {i for k in copies for i in (k, 12 + k)}
+
+
+def test_maps_of_entries_are_bounded_and_tell_no_more_than_whole_ones():
+    rng = np.random.default_rng(22)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (300, 5000, 5000, 40_000, 2_500_000)]
+    whole = [jaccard_join.parity(s).tobytes() for s in sets]
+    assert [8 * len(x) for x in whole] == jaccard_join.map_bits(np.array([len(s) for s in sets])).tolist() == [512, 4096, 4096, 32_768, 1 << 17]
+    for entries in (1, 200, 1000):
+        short = [jaccard_join.entry_map(x, len(s), entries) for x, s in zip(whole, sets)]
+        assert all(8 * len(x) <= jaccard_join.MAP_FREE or len(x) * entries <= jaccard_join.MAP_SHARE * len(s) for x, s in zip(short, sets))
+        assert (short == whole) == (entries == 1)
+        a, b = np.array([0, 1, 1, 3]), np.array([1, 2, 3, 4])
+        told, real = (jaccard_join.ParityMaps(x).differ(a, b) for x in (short, whole))
+        assert (told <= real).all() and (real <= [len(sets[i]) + len(sets[j]) for i, j in zip(a, b)]).all()
